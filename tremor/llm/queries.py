@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from tremor.llm import line_dedup
+from tremor.llm import line_dedup, quality_rules, token_output
 
 QUERIES = {
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op8_token_output": token_output.op8_token_output,
 }
 
 ORACLES = {
+    "op2_quality_rules": quality_rules.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
 }
