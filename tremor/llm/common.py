@@ -63,3 +63,29 @@ def binaries(batch, name: str) -> list[bytes]:
     column = batch.column(name)
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [x or b"" for x in column.cast(kind).to_pylist()]
+
+
+def labelled(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> DataFrame:
+    """doc_id, text and label (0 or 1) of at most ``rows`` labelled documents
+    outside the held-out fold, chosen by a hash of doc_id.  The bound on the
+    sample (some 20 bytes a row) also bounds what is broadcast."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
+    known = known.where(crc_of_id() % mod != held).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+
+
+def logistic(x, y, l2: float, steps: int = 30):
+    """Weights of a logistic regression of ``y`` (0/1) on ``x`` by Newton's method, without an intercept."""
+    import numpy as np
+
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        gradient = x.T @ (y - p) - l2 * w
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
+        step = np.linalg.solve(hessian, gradient)
+        w += step
+        if np.abs(step).max() < 1e-6:
+            break
+    return w

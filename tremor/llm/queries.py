@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tremor.llm import line_dedup, mixing, quality_rules, token_output
+from tremor.llm import line_dedup, mixing, quality_model, quality_rules, token_output, toxicity
 
 QUERIES = {
+    "op1_quality_model": quality_model.op1_quality_model,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_output": token_output.op8_token_output,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 
 ORACLES = {
