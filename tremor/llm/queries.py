@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import line_dedup, mixing, quality_model, quality_rules, token_output, toxicity
+from tremor.llm import html_extract, line_dedup, mixing, quality_model, quality_rules, token_output, toxicity
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_mixing": mixing.op7_mixing,
     "op8_token_output": token_output.op8_token_output,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLES = {
