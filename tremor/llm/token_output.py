@@ -152,8 +152,9 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Dictionary from the serialized ids of a bounded sample, first by a hash of doc_id."""
     import zstandard
 
-    rows = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id").alias("h")).orderBy("h", "text").limit(SAMPLE_DOCS)
-    samples = coder(tokenizer).encode([r[0] for r in rows.collect()])
+    first = docs.select("doc_id").where("doc_id is not null").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS)
+    rows = docs.join(F.broadcast(first.distinct()), "doc_id").where(F.length("text").between(1, SAMPLE_CHARS)).select("text").limit(SAMPLE_DOCS)
+    samples = coder(tokenizer).encode(sorted(r[0] for r in rows.collect()))
     try:
         return zstandard.train_dictionary(DICT_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):  # too few samples to train on
