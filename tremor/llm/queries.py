@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tremor.llm import decontaminate, html_extract, line_dedup, mixing, quality_model, quality_rules, token_output, toxicity
+from tremor.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_output": token_output.op8_token_output,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op4_near_dedup": near_dedup.ORACLE,
     "op5_decontaminate": decontaminate.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
