@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import decontaminate, html_extract, line_dedup, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
+from tremor.llm import decontaminate, html_extract, line_dedup, lm_score, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_near_dedup": near_dedup.op4_near_dedup,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_mixing": mixing.op7_mixing,
     "op8_token_output": token_output.op8_token_output,
     "op9_toxicity": toxicity.op9_toxicity,
