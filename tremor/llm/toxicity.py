@@ -85,7 +85,7 @@ def learn_lexicon(sample: DataFrame) -> tuple[dict[str, float], set[str]]:
             weights[entry] = weight
     roots = sorted({x[:4] for x in weights})
     weak = counts.where(F.col("entry").endswith(" ") & (F.col("other") >= EXCEPTION_DOCS) & (F.col("weight") < EXCEPTION_WEIGHT) & F.substring("entry", 1, 4).isin(roots)).select("entry").collect()
-    exceptions = {r[0] for r in weak if any(r[0].startswith(x) for x in weights)}
+    exceptions = {r[0] for r in weak if any(r[0][:k] in weights for k in range(4, len(r[0]) + 1))}
     return weights, exceptions
 
 
