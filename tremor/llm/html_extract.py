@@ -24,7 +24,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tremor.llm.common import table
+from tremor.llm.common import park, table
 
 SUPPORT = 0.5  # share of a host's pages that a valid class is on
 MASS = 0.9  # share of the text that the content slot holds at least
@@ -198,7 +198,7 @@ def templates(pages: DataFrame) -> DataFrame:
     ``pages``: host, page_id, html.
     """
     tokens = pages.mapInArrow(_tokens, "host string, path string, pages bigint, total bigint, digest bigint, mixed bigint, letters bigint")
-    tokens = tokens.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "digest", "letters")], F.bit_xor("mixed").alias("mixed"))
+    tokens = park(tokens.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "digest", "letters")], F.bit_xor("mixed").alias("mixed")), "page-tokens")
     hosts = tokens.where("path = ''").select("host", F.col("pages").alias("n_pages"), F.col("digest").alias("once_digest"), F.col("mixed").alias("once_mixed"))
     valid = tokens.where("path <> ''").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
     # the class of each token: tokens whose vectors have the same sums and digests
