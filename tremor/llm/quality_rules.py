@@ -44,30 +44,38 @@ def _n_words(line: Column) -> Column:
     return F.size(F.split(F.btrim(line, F.lit(BLANK)), BLANK_RE))
 
 
-def line_passes(line: Column, doc_symbols: Column, doc_shouts: Column) -> Column:
-    """The verdict on a line with a word.  The document's counts only spare
-    the counting in lines that can't have any."""
-    symbols = (doc_symbols > 0) & (100 * _n(line, SYMBOLS) > MAX_SYMBOL_PCT * _word_chars(line))
-    shouting = (doc_shouts >= SHOUTS) & (_n(line, "!") >= SHOUTS) & (2 * _n(line, "!") > _n_words(line))
-    navigation = (doc_symbols > 0) & (_n(line, "|") >= SEPARATORS) & (_n_words(line) <= WORDS_PER_SEPARATOR * _n(line, "|"))
+def _boilerplate(line: Column) -> Column:
     lower = F.lower(line)
     phrase = F.lit(False)
     for x in BOILERPLATE:
         phrase = phrase | F.contains(lower, F.lit(x))
-    return ~(symbols | shouting | navigation | ((F.length(line) <= BOILERPLATE_CHARS) & phrase))
+    return (F.length(line) <= BOILERPLATE_CHARS) & phrase
 
 
-def _repeat_words(hashes: Column) -> Column:
-    """Words in windows whose hash recurs: sort (hash, place), keep places
-    with an equal neighbour, and add the gaps between them up to a window."""
-    ordered = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    n = F.size(hashes)
-    as_next = F.zip_with(ordered, F.slice(ordered, F.lit(2), n), lambda x, y: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.coalesce(x["h"] == y["h"], F.lit(False)).alias("e")))
-    before = F.concat(F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i"), F.lit(False).alias("e"))), F.slice(as_next, F.lit(1), n - 1))
-    marked = F.zip_with(as_next, before, lambda x, y: F.when(x["e"] | y["e"], x["i"]))
-    places = F.array_sort(F.array_compact(marked))
-    gaps = F.zip_with(places, F.slice(places, F.lit(2), n), lambda a, b: F.least(F.lit(WINDOW), F.coalesce(b - a, F.lit(WINDOW))))
-    return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
+def line_passes(line: Column) -> Column:
+    """The verdict on a line with a word."""
+    symbols = 100 * _n(line, SYMBOLS) > MAX_SYMBOL_PCT * _word_chars(line)
+    shouting = (_n(line, "!") >= SHOUTS) & (2 * _n(line, "!") > _n_words(line))
+    navigation = (_n(line, "|") >= SEPARATORS) & (_n_words(line) <= WORDS_PER_SEPARATOR * _n(line, "|"))
+    return ~(symbols | shouting | navigation | _boilerplate(line))
+
+
+def _with_repeat_words(df: DataFrame) -> DataFrame:
+    """Adds n_repeat_words from the window hashes h: sort (hash, place), keep
+    places with an equal neighbour, and add the gaps between them up to a window.
+
+    One column for each step, as each reads the one before twice."""
+    pair = "array<struct<h:bigint,i:int>>"
+    ordered = F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i")))).cast(pair)
+    df = df.withColumn("_o", F.when(F.size(F.array_distinct("h")) < F.size("h"), ordered).otherwise(F.array().cast(pair)))
+    n = F.size("_o")
+    as_next = F.zip_with("_o", F.slice("_o", F.lit(2), n), lambda x, y: F.struct(x["h"].alias("h"), x["i"].alias("i"), F.coalesce(x["h"] == y["h"], F.lit(False)).alias("e")))
+    df = df.withColumn("_e", as_next)
+    none = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.lit(0).alias("i"), F.lit(False).alias("e")))
+    before = F.slice(F.concat(none, F.col("_e")), F.lit(1), F.size("_e"))
+    df = df.withColumn("_p", F.array_sort(F.array_compact(F.zip_with("_e", before, lambda x, y: F.when(x["e"] | y["e"], x["i"])))))
+    gaps = F.zip_with("_p", F.slice("_p", F.lit(2), F.size("_p")), lambda x, y: F.least(F.lit(WINDOW), F.coalesce(y - x, F.lit(WINDOW))))
+    return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda x, y: x + y).cast("bigint"))
 
 
 def judged(documents: DataFrame) -> DataFrame:
@@ -86,11 +94,14 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     windows = F.transform(F.sequence(F.lit(1), F.col("n") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(WINDOW))))
     df = df.withColumn("h", F.when(F.col("n") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
-    df = df.withColumn("passed", F.filter("l", lambda x: line_passes(x, F.col("n_symbols"), F.col("shouts"))))
+    # without symbols and shouts only boilerplate is left to look for
+    plain = F.filter("l", lambda x: ~_boilerplate(x))
+    df = df.withColumn("passed", F.when((F.col("n_symbols") == 0) & (F.col("shouts") < SHOUTS), plain).otherwise(F.filter("l", line_passes)))
+    df = _with_repeat_words(df)
     df = df.select(
         "row", F.col("n").cast("bigint").alias("n_words"), F.col("word_chars").cast("bigint").alias("word_chars"), F.col("n_symbols").cast("bigint").alias("n_symbols"),
         (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
-        F.when(F.size(F.array_distinct("h")) == F.size("h"), 0).otherwise(_repeat_words(F.col("h"))).cast("bigint").alias("n_repeat_words"),
+        "n_repeat_words",
         F.array_join("passed", "\n").alias("clean"),
     )
     df = df.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PCT * F.col("n_words")))
