@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import table
+from tremor.llm.common import park, table
 
 # Fixed values of the contract: words, symbols, windows and base limits.
 BLANK = " \t\n\x0b\x0c\r"
@@ -123,11 +123,13 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 def clean_documents(documents: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns; text without the
     lines that failed, n_chars (where there is such a column) to match."""
-    # rand() keeps the optimizer from moving the condition, with all that it is
-    # made of, below the columns that it reads, which would work them out again for each word
-    df = judged(documents).withColumn("stays", F.when(F.rand() >= 0, F.col("kept"))).where("stays")
+    df = judged(documents)
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
-    return df.select(*[new.get(c, F.col("row")[c]).alias(c) for c in documents.columns])
+    columns = [new.get(c, F.col("row")[c]).alias(f"c{i}") for i, c in enumerate(documents.columns)]
+    # written first: the optimizer would move the condition, with all that it is
+    # made of, below the columns that it reads, and work them out again for each word
+    judgement = park(df.select(*columns, F.col("kept").alias("stays")), "clean-documents")
+    return judgement.where("stays").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
