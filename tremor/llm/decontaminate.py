@@ -92,15 +92,21 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
     sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
     n_bench = bench.count()
     bench = F.broadcast(bench) if n_bench <= broadcast_windows else bench
-    docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), _raw(F.col("text")).alias("raw")).where(F.size("raw") > 0)
-    docs = docs.withColumn("c", _canonical(F.col("raw")))
+    docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    templates = docs.withColumn("raw", _raw(F.col("text"))).select("doc_id", "text_key", _canonical(F.col("raw")).alias("c"))
     found = None
     for size in sizes or [WINDOW]:
-        keys = docs.select("doc_id", "text_key", "raw", F.posexplode(_windows(size, F.col("c"))).alias("place", "key"))
-        hits = keys.join(bench.where(F.col("size") == size), "key")
-        own = F.zip_with("values", F.slice("raw", F.col("place") + 1, size), lambda v, r: F.when(v.isNotNull(), F.struct(v.alias("item"), F.regexp_replace(F.lower(r), "\x01", "").alias("doc"))))
-        hits = hits.select("doc_id", "text_key", "item_id", "n_windows", "at", (F.col("place") - F.col("at")).alias("shift"), F.array_compact(own).alias("slots"))
+        # only keys go through the join; outer, lest the optimizer works the windows out once more to leave empty ones out
+        keys = templates.select("doc_id", "text_key", F.posexplode_outer(_windows(size, F.col("c"))).alias("place", "key"))
+        hits = keys.join(bench.where(F.col("size") == size), "key").select("doc_id", "text_key", "place", "item_id", "n_windows", "at", "size", "values")
         found = hits if found is None else found.unionByName(hits)
+    found = park(found, "benchmark-hits")
+    wanted = park(found.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")).distinct(), "benchmark-docs")
+    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_windows else wanted
+    on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))
+    raws = docs.join(wanted, on).select("of_doc", "of_key", _raw(F.col("text")).alias("raw")).dropDuplicates(["of_doc", "of_key"])
+    own = F.zip_with("values", F.slice("raw", F.col("place") + 1, F.col("size")), lambda v, r: F.when(v.isNotNull(), F.struct(v.alias("item"), F.regexp_replace(F.lower(r), "\x01", "").alias("doc"))))
+    found = found.join(raws, on).select("doc_id", "text_key", "item_id", "n_windows", "at", (F.col("place") - F.col("at")).alias("shift"), F.array_compact(own).alias("slots"))
     # slots of an alignment: pairs of values, each item value with one document value
     along = found.groupBy("doc_id", "text_key", "item_id", "n_windows", "shift").agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     same = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"]))) == F.size("slots")
