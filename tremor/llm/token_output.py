@@ -28,7 +28,7 @@ END_ID = 2
 SEGMENT_DOCS, SEGMENT_BYTES = 1024, 1 << 20
 DICT_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000  # the dictionary is trained on at most so many documents, none longer
-CACHED_CHUNKS = 1_000_000  # of a Python worker, some 200 bytes each
+CACHED_CHUNKS = 500_000  # of a Python worker, some 200 bytes each
 PUNCTUATION = ".,;:!?#*$%&|<>()[]{}\"/-_=+~"  # neither letters, digits, white space nor apostrophes
 ODD = False
 _coders: dict[str, Coder] = {}
@@ -221,11 +221,10 @@ def _encode(tokenizer: str, dictionary: bytes, bounds: list[int], end_id: int):
         end = np.array([end_id], code.dtype).tobytes()
         width = len(end)
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            texts = [x or "" for x in batch.column("text").to_pylist()]
-            for i in range(0, len(ids), 1024):
-                part = ids[i : i + 1024]
-                raw = [x + end for x in code.encode(texts[i : i + 1024])]
+            for i in range(0, batch.num_rows, 256):
+                rows = batch.slice(i, 256)
+                part = rows.column("doc_id").to_pylist()
+                raw = [x + end for x in code.encode([x or "" for x in rows.column("text").to_pylist()])]
                 bucket = np.searchsorted(bounds, [np.inf if x is None else x for x in part]) if bounds else np.zeros(len(part), int)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(bucket, pa.int32()), pa.array(part, pa.int64()), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([write.compress(x) for x in raw], pa.binary())],
