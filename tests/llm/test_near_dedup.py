@@ -81,3 +81,18 @@ def test_hashes_depend_on_words_only(monkeypatch):
     monkeypatch.setattr("tremor.llm.hashing.PIECE", 64)
     assert all((a == b).all() for a, b in zip(plain, word_hashes(texts), strict=True))
     assert len(shingles(plain[3], 5)) == 1 and len(shingles(plain[1], 5)) == 0
+
+
+def test_pairs_among_pages_of_one_template(spark):
+    draw = random.Random(5)
+    rows = []
+    for i in range(1000):  # 43 of 50 shingles from the template: similarity 0.754 to one another
+        own = [f"u{i}x{k}" for k in range(7)]
+        rows.append([f"t{k}" for k in range(43)] + own)
+    for i in range(0, 300, 2):  # pairs that share two more: 0.818
+        rows[i + 1][43:45] = rows[i][43:45]
+    order = list(range(1000))
+    draw.shuffle(order)
+    docs = spark.createDataFrame([(i, " ".join(rows[i])) for i in order], "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in N.near_duplicates(docs, 1).collect()}
+    assert got == {i: i - i % 2 if i < 300 else i for i in range(1000)}

@@ -11,6 +11,10 @@ Pairs go through a 64-bit sketch and a length test, and are confirmed on full
 sets: first neighbours in a few orders, then, of all others, those that their
 components don't join already.  So copies of one text by the thousand cost a
 few confirmations each.
+
+Regions that stay dense are then searched exactly: all nodes that share
+``DENSE_DEPTH`` values with more than ``REGION`` others are compared block by
+block, on full sets, but for those that one component holds already.
 """
 
 from __future__ import annotations
@@ -28,6 +32,8 @@ from tremor.llm.hashing import shingles, word_hashes
 TREES, DEPTH = 16, 8
 REGION = 24  # nodes of a region whose pairs are all taken
 LEAST_DEPTH = 2
+DENSE_DEPTH = 3  # regions of over REGION nodes that share so many values are compared exactly
+SKETCH_BLOCK, SET_BLOCK = 4096, 256  # rows of a block of sketches and of sets; blocks of a region meet in pairs
 FIRST_TREES = 3  # orders whose direct neighbours are confirmed first
 SKETCH = 44  # equal bits of 64: at a similarity of 0.8 57.6 are expected, with a deviation of 2.4
 BROADCAST_NODES = 1_000_000  # nodes with pairs (some 30 bytes each) that are sent to all tasks; more are joined by shuffle
@@ -144,6 +150,141 @@ def candidates(nodes: DataFrame) -> DataFrame:
     return found.groupBy("a", "b").agg(F.max("first").alias("first"))
 
 
+def _blocks(rows: DataFrame, size: int) -> DataFrame:
+    """``rows`` (with region, node and component) once for each pair of blocks, ``i`` and ``j``, to compare;
+    ``own`` is the row's block.
+
+    Blocks hold ``size`` rows of a region on average; those below 0 are of its largest component and meet
+    the others only, so that a row of a large component isn't dealt out more often than other rows need it.
+    Any two rows that aren't both of that component meet in one pair of blocks.
+    """
+    count = F.count(F.lit(1))
+    of_component = rows.groupBy("region", "component").agg(count.alias("n"))
+    n = of_component.groupBy("region").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    blocks = lambda x: F.ceil(x / size).cast("int")
+    n = n.select("region", F.col("top.component").alias("top"), blocks(F.col("top.n")).alias("n_top"), blocks(F.col("all") - F.col("top.n")).alias("n_rest"))
+    rows = rows.join(n, "region").withColumn("in_top", F.col("component") == F.col("top"))
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("own", F.when(F.col("in_top"), -1 - place(F.col("n_top"))).otherwise(place(F.col("n_rest"))))
+    low = F.when(F.col("in_top"), F.lit(0)).otherwise(-F.col("n_top"))
+    rows = rows.where("n_rest > 0").withColumn("other", F.explode(F.sequence(low, F.col("n_rest") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "n_top", "n_rest", "top", "in_top")
+    return rows.repartition(partitions(rows.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j")
+
+
+def _groups(batches: Iterator, read) -> Iterator[list[tuple]]:
+    """The rows of each pair of blocks; ``read`` makes (key, row) of a batch."""
+    last, group = None, []
+    for batch in batches:
+        for key, row in read(batch):
+            if key != last and group:
+                yield group
+                group = []
+            last = key
+            group.append(row)
+    if group:
+        yield group
+
+
+def _keys(part) -> Iterator:
+    return zip(*(part.column(c).to_pylist() for c in ("region", "i", "j")), strict=True)
+
+
+def _alike(batches: Iterator) -> Iterator:
+    """region and node of the nodes that may be similar to one of another component."""
+    import numpy as np
+    import pyarrow as pa
+
+    def read(batch):
+        yield from zip(_keys(batch), zip(*(batch.column(c).to_pylist() for c in ("region", "own", "node", "n", "sketch", "component")), strict=True), strict=True)
+
+    for group in _groups(batches, read):
+        own, node, n, sketch, component = (np.array([x[c] for x in group], np.int64) for c in range(1, 6))
+        right = own == own.max()
+        left = ~right if not right.all() else right
+        live = np.zeros(len(group), bool)
+        r = np.flatnonzero(right)
+        for k in range(0, int(left.sum()), 256):
+            m = np.flatnonzero(left)[k : k + 256]
+            fits = np.bitwise_count((sketch[m][:, None] ^ sketch[r]).view(np.uint64)) <= 64 - SKETCH
+            fits &= np.minimum(n[m][:, None], n[r]) * 100 >= 80 * np.maximum(n[m][:, None], n[r])
+            fits &= component[m][:, None] != component[r]
+            live[m] |= fits.any(axis=1)
+            live[r] |= fits.any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([group[0][0]] * int(live.sum()), pa.int64()), pa.array(node[live])], ["region", "node"])
+
+
+def _common(left: list, right: list):
+    """Sizes of the intersections of each set of ``left`` with each of ``right``."""
+    import numpy as np
+
+    both = np.zeros((len(left), len(right)), np.float64)
+    words, at = np.unique(np.concatenate(left + right), return_inverse=True)
+    rows = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in left + right])
+    often = np.bincount(at, minlength=len(words)) > 1
+    place = np.cumsum(often) - 1
+    rows, at = rows[often[at]], place[at[often[at]]]
+    order = np.argsort(at, kind="stable")
+    rows, at = rows[order], at[order]
+    for lo in range(0, int(often.sum()), 4096):
+        a, b = np.searchsorted(at, [lo, lo + 4096])
+        has = np.zeros((len(left) + len(right), 4096), np.float32)
+        has[rows[a:b], at[a:b] - lo] = 1
+        both += has[: len(left)] @ has[len(left) :].T
+    return both
+
+
+def _links(size: int, percent: int):
+    """Links of nodes of different components, as many as join all that belong together."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def read(batch):
+            for k in range(0, batch.num_rows, 64):
+                part = batch.slice(k, 64)
+                sets = (shingles(x, size) for x in word_hashes([t.lower() for t in binaries(part, "text")]))
+                yield from zip(_keys(part), zip(*(part.column(c).to_pylist() for c in ("own", "node", "component")), sets, strict=True), strict=True)
+
+        for group in _groups(batches, read):
+            last = max(x[0] for x in group)
+            right = [x for x in group if x[0] == last]
+            left = [x for x in group if x[0] != last] or right
+            n, m = (np.array([len(x[3]) for x in side], np.float64) for side in (left, right))
+            both = _common([x[3] for x in left], [x[3] for x in right])
+            root: dict[int, int] = {}
+
+            def find(x: int, root: dict[int, int] = root) -> int:
+                while x in root:
+                    x = root[x]
+                return x
+
+            a, b = [], []
+            for i, j in zip(*np.nonzero(100 * both >= percent * (n[:, None] + m - both)), strict=True):
+                x, y = find(left[i][2]), find(right[j][2])
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+                    a.append(left[i][1])
+                    b.append(right[j][1])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def dense(nodes: DataFrame, joined: DataFrame) -> DataFrame:
+    """region, node and component of the nodes to compare exactly, from node, n, sketch, label and the components so far."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+    own = F.coalesce("component", "node").alias("component")
+    rows = nodes.join(joined, "node", "left").select(tree.alias("tree"), "label", "node", "n", "sketch", own)
+    region = F.xxhash64("tree", F.substring("label", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DENSE_DEPTH)))
+    rows = rows.select(region.alias("region"), "node", "n", "sketch", "component")
+    open_ = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
+    rows = rows.join(open_.where((F.col("size") > REGION) & (F.col("low") < F.col("high"))).select("region"), "region")
+    live = _blocks(rows, SKETCH_BLOCK).mapInArrow(_alike, "region bigint, node bigint").distinct()
+    return live.join(joined, "node", "left").select("region", "node", own)
+
+
 def _confirm(size: int, percent: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -186,11 +327,15 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     pairs = park(candidates(nodes.select("node", "n", "sketch", "label")), "near-pairs")
 
     paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = park(nodes.join(paired, "node").select("node", F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")), "near-wanted")
-    few = wanted.count() <= BROADCAST_NODES
-    here = F.broadcast(wanted) if few else wanted
-    texts = docs.join(here, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text").dropDuplicates(["node"])
-    texts = park(texts, "near-texts")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        wanted = park(nodes.join(some, "node").select("node", F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")), "near-wanted")
+        few = wanted.count() <= BROADCAST_NODES
+        here = F.broadcast(wanted) if few else wanted
+        found = docs.join(here, (F.col("text_key") == F.col("of_key")) & F.col("doc_id").eqNullSafe(F.col("of_doc"))).select("node", "text").dropDuplicates(["node"])
+        return park(found, "near-texts")
+
+    texts = texts_of(paired)
 
     def confirmed(some: DataFrame) -> DataFrame:
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
@@ -203,7 +348,14 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     of_b = joined.select(F.col("node").alias("b"), F.col("component").alias("cb"))
     apart = pairs.where("not first").join(of_a, "a", "left").join(of_b, "b", "left").where("not (ca <=> cb) or ca is null")
     more = confirmed(apart)
-    joined = park(components(links.unionByName(more)), "near-components")
+    links = links.unionByName(more)
+    joined = park(components(links), "near-components")
+    left = park(dense(nodes, joined), "near-dense")
+    if not left.isEmpty():
+        rest = _blocks(left, SET_BLOCK).select("region", "i", "j", "own", "node", "component")
+        rest = rest.join(texts_of(left.select("node").distinct()), "node").repartition(partitions(documents.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j")
+        exact = park(rest.mapInArrow(_links(size, percent), "a bigint, b bigint"), "near-links")
+        joined = park(components(links.unionByName(exact)), "near-components")
 
     least = nodes.select("node", "doc_id").join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     of_node = joined.join(least, "component").select("node", "component_id")
