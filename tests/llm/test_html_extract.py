@@ -50,3 +50,15 @@ def test_edges(spark):
     got = sorted((r.page_id or 0, r.n_chars) for r in H.extract_text(pages).collect())
     assert got == [(0, 0), (1, 0), (2, 6 * 30_000 - 2), (2, 6 * 30_000 - 2)]
     assert H.extract_text(pages.where("false")).collect() == []
+
+
+def test_odd_and_empty_pages_leave_the_layout(spark):
+    """One listing, one empty, one null and one truncated page must not switch the template of the host off."""
+    plain_div = '<html><body><div id="text"><h1>T{0}</h1><p>' + "Long words of page {0}. " * 20 + '</p></div><div class="teasers"><p>More</p></div></body></html>'
+    article = plain_div.replace('<div id="text">', "<article>").replace("</p></div><div", "</p></article><div")
+    for n, page in enumerate((plain_div, article)):
+        odd = ["<html><body><ul><li>One<li>Two</ul></body></html>", "", None, "<html><body>"]
+        rows = [(i, f"http://h{n}.example/{i}", x) for i, x in enumerate([page.format(k) for k in range(8)] + odd)]
+        got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+        assert all(got[k] == f"T{k}\n\n" + " ".join([f"Long words of page {k}."] * 20) for k in range(8))
+        assert got[8] == "One\n\nTwo" and not got[9] and not got[10] and not got[11]

@@ -4,10 +4,12 @@ A page's tokens are its opening tags, each named by its path from the root.
 Over all pages of a host, tokens with the same occurrence vector (the same
 count on every page) form an equivalence class; classes on at least half of
 the host's pages are valid, and nest by their paths into the host's template.
-The class that occurs once on every page is its skeleton, and what lies
-between its tokens are slots.  The content slot is the article or main element
-of the skeleton or else the deepest one that holds nearly all text outside
-menus, headers, footers and the like; its text is extracted block by block.
+A class that occurs once on each page that it is on is the skeleton of a
+layout, and what lies between its tokens are slots.  The content slot of a
+layout is the article or main element or else the deepest one that holds
+nearly all text of the layout's pages outside menus, headers, footers and the
+like.  A page's slot is the first of its host's slots that it has, and is
+extracted block by block.  Pages without text tell nothing about a template.
 
 Vectors are never collected: pages, occurrences, and two order-free digests of
 (page, count) identify them, so that a host of any size is summed up in
@@ -21,14 +23,16 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor.llm.common import park, table
 
 SUPPORT = 0.5  # share of a host's pages that a valid class is on
 MASS = 0.9  # share of the text that the content slot holds at least
+OWN_MASS = 0.5  # share of a page's text from which its own article goes before a slot that is the whole body
 MAX_PATH = 12  # deeper tokens are named by their first elements
+WHOLE = ("/html", "/html/body")  # as slots these come last
 BROADCAST_HOSTS = 100_000  # templates (some 100 bytes each) that are sent to all tasks; more are joined
 
 # Elements by their role in a page.
@@ -36,6 +40,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 OMITTED = frozenset("head title script style noscript template iframe svg math nav header footer aside form button select option textarea dialog menu object canvas audio video".split())
 BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption hr address details summary body html center".split()) | OMITTED
+#: Elements that hold a part of a text, so that headings or other parts would be lost with them as slots.
+TEXT_LEVEL = "p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption a b i em strong span font small".split()
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "body": {"head"}}
 OMITTED_NAME = re.compile(
     r"(?:^|[-_\s])(?:nav\w*|menu\w*|header|masthead|footer|foot|side|sidebar\w*|aside|ads?|advert\w*|adsense|banner\w*|promo\w*|sponsor\w*|cookie\w*|notices?|consent|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|breadcrumbs?|comments?|commentlist|reply|replies|respond|widgets?|login|search\w*|copyright|disclaimer|pagination|pager|toolbar|skip)(?:[-_\s]|$)",
@@ -133,11 +139,11 @@ def occurrences(page: str) -> tuple[Counter, Counter]:
     return counts, letters
 
 
-def extract(page: str, slot: str | None) -> str:
-    """The text in ``slot``, a path, or in the page's article, main element or
-    body if the page has no such slot; blocks in page order."""
+def extract(page: str, slots: list[str] | None) -> str:
+    """The text in the first of ``slots``, paths, that the page has, or in the page's article, main element or
+    body if it has none; blocks in page order."""
     blocks: dict[str, list[list[str]]] = defaultdict(lambda: [[]])
-    roots = [slot] if slot else []
+    roots = list(slots or ())
     seen: dict[str, str] = {}  # root by the kind of its element
     for kind, path, omitted, value in walk(page):
         if kind == "open" and not omitted and value in ("article", "main"):
@@ -155,37 +161,46 @@ def extract(page: str, slot: str | None) -> str:
         elif value in BLOCK:
             for root in blocks:
                 blocks[root].append([])
-    root = next((x for x in (slot, seen.get("article"), seen.get("main")) if x and any(map("".join, blocks.get(x, ())))), "")
-    texts = (" ".join(html.unescape("".join(x)).split()) for x in blocks.get(root, ()))
-    return "\n\n".join(x for x in texts if x)
+    texts = {root: ["".join(x) for x in block] for root, block in blocks.items()}
+    letters = {root: sum(len(x.strip()) for x in text) for root, text in texts.items()}
+    own = [x for x in (seen.get("article"), seen.get("main")) if letters.get(x)]
+    large = [x for x in own if letters[x] >= OWN_MASS * letters[""]]
+    narrow = [x for x in slots or () if x not in WHOLE]
+    root = next((x for x in (*narrow, *large, *(slots or ()), *own) if letters.get(x)), "")
+    words = (" ".join(html.unescape(x).split()) for x in texts.get(root, ()))
+    return "\n\n".join(x for x in words if x)
 
 
 def _tokens(batches: Iterator) -> Iterator:
     import pyarrow as pa
     import xxhash
 
-    names = ["host", "path", "pages", "total", "digest", "mixed", "letters"]
-    kinds = [pa.string(), pa.string(), *[pa.int64()] * 5]
+    names = ["host", "path", "pages", "total", "digest", "mixed", "letters", "around"]
+    kinds = [pa.string(), pa.string(), *[pa.int64()] * 6]
 
     def rows():
         keys = list(sums)
-        columns = [[k[0] for k in keys], [k[1] for k in keys], *([sums[k][i] for k in keys] for i in range(5))]
+        columns = [[k[0] for k in keys], [k[1] for k in keys], *([sums[k][i] for k in keys] for i in range(6))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
 
     sums: dict[tuple[str, str], list[int]] = {}
     for batch in batches:
         for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html")), strict=True):
             counts, letters = occurrences(page or "")
+            around = letters.total()  # of the whole page
+            if not around:
+                continue
             counts[""] = 1  # the page itself
             for path in counts.keys() | letters.keys():
                 n = counts[path]
                 digest = xxhash.xxh3_64_intdigest(f"{page_id} {n}")
-                own = sums.setdefault((host, path), [0] * 5)
+                own = sums.setdefault((host, path), [0] * 6)
                 own[0] += 1
                 own[1] += n
                 own[2] += digest >> 33
                 own[3] ^= digest >> 1
                 own[4] += letters[path]
+                own[5] += around
         if len(sums) > 100_000:
             yield rows()
             sums.clear()
@@ -193,27 +208,30 @@ def _tokens(batches: Iterator) -> Iterator:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host and slot, the path of the host's content slot, from all its pages.
+    """host, slot and slots: the paths of the content slots of the host's layouts, from all its pages, and the first of them.
 
     ``pages``: host, page_id, html.
     """
-    tokens = pages.mapInArrow(_tokens, "host string, path string, pages bigint, total bigint, digest bigint, mixed bigint, letters bigint")
-    tokens = park(tokens.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "digest", "letters")], F.bit_xor("mixed").alias("mixed")), "page-tokens")
-    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("n_pages"), F.col("digest").alias("once_digest"), F.col("mixed").alias("once_mixed"))
-    valid = tokens.where("path <> ''").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
-    # the class of each token: tokens whose vectors have the same sums and digests
+    tokens = pages.mapInArrow(_tokens, "host string, path string, pages bigint, total bigint, digest bigint, mixed bigint, letters bigint, around bigint")
+    tokens = park(tokens.groupBy("host", "path").agg(*[F.sum(c).alias(c) for c in ("pages", "total", "digest", "letters", "around")], F.bit_xor("mixed").alias("mixed")), "page-tokens")
+    hosts = tokens.where("path = ''").select("host", F.col("pages").alias("n_pages"))
+    # tokens that occur once on each page that they are on
+    valid = tokens.where("path <> '' and total = pages").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
+    # the class of each token, a layout: tokens whose vectors have the same sums and digests
     valid = valid.withColumn("class", F.xxhash64("pages", "total", "digest", "mixed"))
-    skeleton = F.col("class") == F.xxhash64("n_pages", "n_pages", "once_digest", "once_mixed")
     # text by slot: every token gives its letters to all elements on its path
     parts = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     mass = tokens.where("path <> '' and letters > 0").select("host", F.explode(above).alias("path"), "letters").groupBy("host", "path").agg(F.sum("letters").alias("mass"))
-    nested = valid.where(skeleton).join(mass, ["host", "path"]).withColumn("most", F.max("mass").over(Window.partitionBy("host")))
     last = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[a-z0-9]+", 0)
+    fits = valid.join(mass, ["host", "path"]).where((F.col("mass") >= MASS * F.col("around")) & ~last.isin(TEXT_LEVEL))
     rank = F.when(last == "article", 2).when(last == "main", 1).otherwise(0)
-    fits = nested.where((F.col("mass") >= MASS * F.col("most")) & (F.col("most") > 0))
     depth = F.struct(rank.alias("rank"), F.size(F.split("path", "/")).alias("depth"), "mass", "path")
-    return fits.groupBy("host").agg(F.max(depth).alias("best")).select("host", F.col("best.path").alias("slot"))
+    best = fits.groupBy("host", "class").agg(F.max(depth).alias("best"), F.first("pages").alias("pages"))
+    # an article first, then what more pages have; the whole body last
+    order = F.struct(~F.col("best.path").isin(*WHOLE), F.col("best.rank"), "pages", F.col("best.depth"), F.col("best.path").alias("path"))
+    slots = F.transform(F.sort_array(F.collect_list(order), asc=False), lambda x: x["path"])
+    return best.groupBy("host").agg(slots.alias("slots")).select("host", F.element_at("slots", 1).alias("slot"), "slots")
 
 
 def _extract(slots):
@@ -222,8 +240,8 @@ def _extract(slots):
 
         known = None if slots is None else slots.value
         for batch in batches:
-            own = batch.column("slot").to_pylist() if known is None else [known.get(x) for x in batch.column("host").to_pylist()]
-            texts = [extract(x or "", slot) for x, slot in zip(batch.column("html").to_pylist(), own, strict=True)]
+            own = batch.column("slots").to_pylist() if known is None else [known.get(x) for x in batch.column("host").to_pylist()]
+            texts = [extract(x or "", of_host) for x, of_host in zip(batch.column("html").to_pylist(), own, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(x) for x in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return run
@@ -239,12 +257,12 @@ def extract_text(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> Da
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"))
     spark = pages.sparkSession
-    found = templates(rows.select("host", "page_id", "html"))
+    found = templates(rows.select("host", "page_id", "html")).select("host", "slots")
     schema = f"page_id {rows.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars bigint"
     first = found.limit(broadcast_hosts + 1).collect()
     if len(first) <= broadcast_hosts:
         return rows.mapInArrow(_extract(spark.sparkContext.broadcast(dict(map(tuple, first)))), schema)
-    return rows.join(found, "host", "left").select("page_id", "url", "html", "slot").mapInArrow(_extract(None), schema)
+    return rows.join(found, "host", "left").select("page_id", "url", "html", "slots").mapInArrow(_extract(None), schema)
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
