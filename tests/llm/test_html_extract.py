@@ -62,3 +62,12 @@ def test_odd_and_empty_pages_leave_the_layout(spark):
         got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
         assert all(got[k] == f"T{k}\n\n" + " ".join([f"Long words of page {k}."] * 20) for k in range(8))
         assert got[8] == "One\n\nTwo" and not got[9] and not got[10] and not got[11]
+
+
+@pytest.mark.parametrize("element", ["article", "div id=text"])
+def test_slots_deeper_than_the_named_path(spark, element):
+    deep = "<html><body>" + "<div>" * 20
+    page = deep + f"<{element}><h2>T{{0}}</h2><p>" + "Long words. " * 20 + f"<p>End</{element.split()[0]}><div class=w-1/2><p>Beside</div>" + "</div>" * 20 + "</body></html>"
+    pages = spark.createDataFrame([(i, "http://h.example/", page.format(i)) for i in range(4)], "page_id bigint, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(pages).collect()}
+    assert got == {i: f"T{i}\n\n" + " ".join(["Long words."] * 20) + "\n\nEnd" for i in range(4)}

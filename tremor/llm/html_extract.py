@@ -31,7 +31,7 @@ from tremor.llm.common import park, table
 SUPPORT = 0.5  # share of a host's pages that a valid class is on
 MASS = 0.9  # share of the text that the content slot holds at least
 OWN_MASS = 0.5  # share of a page's text from which its own article goes before a slot that is the whole body
-MAX_PATH = 12  # deeper tokens are named by their first elements
+MAX_PATH = 12  # deeper tokens are named by their first elements, their own, their depth and a hash of the whole path
 WHOLE = ("/html", "/html/body")  # as slots these come last
 BROADCAST_HOSTS = 100_000  # templates (some 100 bytes each) that are sent to all tasks; more are joined
 
@@ -88,18 +88,20 @@ def events(page: str) -> Iterator[tuple[str, str, str]]:
             at = tag + 1
 
 
-def walk(page: str) -> Iterator[tuple[str, str, bool, str]]:
-    """(kind, path, omitted, value) for each text and each opened ('open') or closed ('close') block.
+def walk(page: str) -> Iterator[tuple[str, str, bool, str, list[tuple]]]:
+    """(kind, path, omitted, value, stack of open elements) for each text and each opened ('open') or closed ('close') block.
 
     Elements left open end with their parent; a paragraph ends where a block begins."""
-    stack: list[tuple[str, str, bool]] = []  # name, path, omitted
+    import xxhash
+
+    stack: list[tuple[str, str, bool, str, int]] = []  # name, path, omitted, path by its first elements, depth
 
-    def top() -> tuple[str, str, bool]:
-        return stack[-1] if stack else ("", "", False)
+    def top() -> tuple[str, str, bool, str, int]:
+        return stack[-1] if stack else ("", "", False, "", 0)
 
     for kind, value, attributes in events(page):
         if kind == "text":
-            yield "text", top()[1], top()[2], value
+            yield "text", top()[1], top()[2], value, stack
         elif kind == "open":
             ends = CLOSED_BY.get(value, ())
             if value in BLOCK and any(x[0] == "p" for x in stack):
@@ -110,32 +112,37 @@ def walk(page: str) -> Iterator[tuple[str, str, bool, str]]:
                     break
                 if stack[k][0] in BLOCK and stack[k][0] != "p" and "p" not in ends:
                     break
-            _, path, omitted = top()
+            _, path, omitted, begin, depth = top()
             named = " ".join(f"{a.lower()}={v.strip(chr(34) + chr(39)).strip().lower()}" for a, v in sorted(ATTRIBUTE.findall(attributes)))
             names = " ".join(x.partition("=")[2] for x in re.split(r" (?=class=|id=|role=)", named))
             omitted = omitted or value in OMITTED or "hidden" in attributes.lower().split() or bool(names and value not in ("html", "body", "article", "main") and OMITTED_NAME.search(names))
-            step = re.sub(r"\d+", "0", f"{value}[{named}]" if named else value)
-            path = f"{path}/{step}" if path.count("/") < MAX_PATH else path
-            yield "open", path, omitted, value
+            step = re.sub(r"\d+", "0", f"{value}[{named}]" if named else value).replace("/", "|")
+            depth += 1
+            if depth <= MAX_PATH:
+                path = begin = f"{path}/{step}"
+            else:
+                path = f"{begin}/{step}~{depth}#{xxhash.xxh3_64_hexdigest(f'{path}/{step}')}"
+            yield "open", path, omitted, value, stack
             if value not in VOID and not attributes.endswith("/"):
-                stack.append((value, path, omitted))
+                stack.append((value, path, omitted, begin, depth))
         else:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == value:
-                    yield "close", stack[k][1], stack[k][2], value
+                    yield "close", stack[k][1], stack[k][2], value, stack
                     del stack[k:]
                     break
 
 
 def occurrences(page: str) -> tuple[Counter, Counter]:
-    """How often each path occurs on a page, and the letters of its own text outside omitted elements."""
+    """How often each path occurs on a page, and the letters of the text in it outside omitted elements; "" is the page."""
     counts: Counter = Counter()
     letters: Counter = Counter()
-    for kind, path, omitted, value in walk(page):
+    for kind, path, omitted, value, stack in walk(page):
         if kind == "open" and not omitted:
             counts[path] += 1
-        elif kind == "text" and not omitted:
-            letters[path] += len(value.strip())
+        elif kind == "text" and not omitted and (n := len(value.strip())):
+            for around in {"", *(x[1] for x in stack)}:
+                letters[around] += n
     return counts, letters
 
 
@@ -145,15 +152,16 @@ def extract(page: str, slots: list[str] | None) -> str:
     blocks: dict[str, list[list[str]]] = defaultdict(lambda: [[]])
     roots = list(slots or ())
     seen: dict[str, str] = {}  # root by the kind of its element
-    for kind, path, omitted, value in walk(page):
+    for kind, path, omitted, value, stack in walk(page):
         if kind == "open" and not omitted and value in ("article", "main"):
             seen.setdefault(value, path)
             if path not in roots:
                 roots.append(path)
         if kind == "text":
             if not omitted:
+                inside = {x[1] for x in stack} if roots else ()
                 for root in ("", *roots):
-                    if path == root or path.startswith(f"{root}/"):
+                    if not root or root in inside:
                         blocks[root][-1].append(value)
         elif value == "br":
             for root in blocks:
@@ -187,7 +195,7 @@ def _tokens(batches: Iterator) -> Iterator:
     for batch in batches:
         for host, page_id, page in zip(*(batch.column(c).to_pylist() for c in ("host", "page_id", "html")), strict=True):
             counts, letters = occurrences(page or "")
-            around = letters.total()  # of the whole page
+            around = letters[""]
             if not around:
                 continue
             counts[""] = 1  # the page itself
@@ -219,14 +227,12 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = tokens.where("path <> '' and total = pages").join(hosts, "host").where(F.col("pages") >= SUPPORT * F.col("n_pages"))
     # the class of each token, a layout: tokens whose vectors have the same sums and digests
     valid = valid.withColumn("class", F.xxhash64("pages", "total", "digest", "mixed"))
-    # text by slot: every token gives its letters to all elements on its path
-    parts = F.split("path", "/")
-    above = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    mass = tokens.where("path <> '' and letters > 0").select("host", F.explode(above).alias("path"), "letters").groupBy("host", "path").agg(F.sum("letters").alias("mass"))
     last = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[a-z0-9]+", 0)
-    fits = valid.join(mass, ["host", "path"]).where((F.col("mass") >= MASS * F.col("around")) & ~last.isin(TEXT_LEVEL))
+    fits = valid.withColumnRenamed("letters", "mass").where((F.col("mass") > 0) & (F.col("mass") >= MASS * F.col("around")) & ~last.isin(TEXT_LEVEL))
     rank = F.when(last == "article", 2).when(last == "main", 1).otherwise(0)
-    depth = F.struct(rank.alias("rank"), F.size(F.split("path", "/")).alias("depth"), "mass", "path")
+    deep = F.regexp_extract("path", r"~(\d+)#[0-9a-f]{16}$", 1)
+    depth = F.when(deep != "", deep.cast("int")).otherwise(F.size(F.split("path", "/")) - 1)
+    depth = F.struct(rank.alias("rank"), depth.alias("depth"), "mass", "path")
     best = fits.groupBy("host", "class").agg(F.max(depth).alias("best"), F.first("pages").alias("pages"))
     # an article first, then what more pages have; the whole body last
     order = F.struct(~F.col("best.path").isin(*WHOLE), F.col("best.rank"), "pages", F.col("best.depth"), F.col("best.path").alias("path"))
