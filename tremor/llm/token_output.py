@@ -4,7 +4,8 @@ A file image holds up to ``SEGMENT_DOCS`` documents in ascending doc_id order:
 header (magic, id width, document count, SHA-256 of the dictionary), document
 ids, frame offsets, token counts, then one zstandard frame per document, so
 that a short document is read by its offset without its neighbours.  Images
-are rows of a Parquet table (bucket, seq, tokens_before, n_tokens, image), the
+are rows of a Parquet table (bucket, seq, first_id, last_id, tokens_before,
+n_tokens, image; the ids are those of the first and last document), the
 dictionary is a one-row table beside it; any store that Spark writes to holds
 them.
 """
@@ -30,18 +31,25 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000  # the dictionary is trained on at most so many documents, none longer
 CACHED_CHUNKS = 500_000  # of a Python worker, some 200 bytes each
 PUNCTUATION = ".,;:!?#*$%&|<>()[]{}\"/-_=+~"  # neither letters, digits, white space nor apostrophes
-ODD = False
+LINE, LAST = "\ue000", "\ue000\ue000"  # mark a chunk after a line break, and the line break that ends a text
+GROUP_CHARS = 1 << 24  # texts that are encoded together
 _coders: dict[str, Coder] = {}
 
 
 class Coder:
-    """Encodes texts chunk by chunk, each distinct chunk once.
+    """Encodes texts chunk by chunk, each distinct chunk of a group of texts once.
+
+    Ids are kept in two generations: when the young one is full it becomes the
+    old one, whose chunks come back as they are met.
 
     The byte-level pre-tokenizer starts a new piece at every space that a
-    non-space follows, so ids of " word" don't depend on its neighbours, and a
-    word and the punctuation after it are pieces of their own.  A text that
-    has a space before other white space or at its end is encoded as a whole,
-    as are texts for tokenizers of another kind.
+    non-space follows, and takes a line break between non-spaces for a piece
+    of its own, so that ids of " word", or of a line break and the word after
+    it, don't depend on their neighbours; a word of letters and the
+    punctuation after it are pieces of their own.  Texts that are cut in
+    another way (a space before white space or at the end, strings of the
+    tokenizer's special tokens) are encoded whole, as are all texts for
+    tokenizers of another kind.
     """
 
     def __init__(self, name: str):
@@ -51,7 +59,7 @@ class Coder:
         import json
 
         import numpy as np
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         path = name
         if "/" not in name:
@@ -59,87 +67,109 @@ class Coder:
 
             path = public_tokenizers.path(name)
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.dtype = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         with open(path) as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.by_chunk = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not spec.get("normalizer")
-        self.cache: dict[str, bytes | bool] = {}
+        self.whole = [LINE, *(x.content for x in self.tokenizer.get_added_tokens_decoder().values())]
+        self.young: dict[str, bytes] = {LAST: self._ids(["\n"])[0]}
+        self.old: dict[str, bytes] = {}
         if self.by_chunk:
-            self.words = Tokenizer.from_file(path)
-            self.words.encode_special_tokens = True
-            self.words.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "merged_with_next"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
             vocab = self.tokenizer.get_vocab()
             self.n_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
             for token, i in vocab.items():
-                self.n_bytes[i] = len(token)
+                self.n_bytes[i] = len(token)  # a character of the vocabulary stands for a byte
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
         return [np.array(x.ids, self.dtype).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """The ids of " word" for words of letters only, cut from those of their concatenation."""
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """The ids of parts that are pieces of their own in their concatenation, cut from those of it."""
         import numpy as np
 
-        if not words:
-            return []
-        ids = np.array(self.words.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, self.dtype)
-        ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(x.encode()) + 1 for x in words])) + 1
-        size = ids.itemsize
-        raw = ids.tobytes()
-        at = [0, *(ends * size).tolist()]
-        return [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        cache = self.cache
-        if len(cache) > CACHED_CHUNKS:
-            cache.clear()
-        stems: list[str] = []
-        tails: list[tuple[str, str, str]] = []
-        others = []
-        for chunk in chunks:
-            stem = chunk.rstrip(PUNCTUATION)
-            if stem.isalpha():
-                if stem not in cache:
-                    stems.append(stem)
-                if stem != chunk:
-                    tails.append((chunk, stem, chunk[len(stem) :]))
-            elif chunk and not chunk[0].isspace():
-                others.append(chunk)
-            else:
-                cache[chunk] = ODD
-        stems = list(dict.fromkeys(stems))
-        cache.update(zip(stems, self._words(stems), strict=True))
-        ends = list({x for _, _, x in tails})
-        ids_of = dict(zip(ends, self._ids(ends), strict=True))
-        for chunk, stem, tail in tails:
-            cache[chunk] = cache[stem] + ids_of[tail]
-        cache.update(zip(others, self._ids([" " + x for x in others]), strict=True))
+        some = [parts[i : i + 1000] for i in range(0, len(parts), 1000)]
+        out: list[bytes] = []
+        for own, found in zip(some, self.tokenizer.encode_batch_fast(["".join(x) for x in some], add_special_tokens=False), strict=True):
+            ids = np.array(found.ids, self.dtype)
+            ends = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(x.encode()) for x in own])) + 1
+            at = [0, *(ends * ids.itemsize).tolist()]
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip(at, at[1:], strict=False)]
+        return out
+
+    def _of_chunks(self, chunks: list[str]) -> list[bytes | None]:
+        """The ids of each of ``chunks``, which are distinct; None if it can't be encoded alone."""
+        if len(self.young) > CACHED_CHUNKS // 2:
+            self.old, self.young = self.young, {LAST: self.young[LAST]}
+        young, old = self.young, self.old
+        known = list(map(young.get, chunks))
+        at = [k for k, ids in enumerate(known) if ids is None]
+        new = [chunks[k] for k in at]
+        back = list(map(old.get, new))
+        missing = [x for x, ids in zip(new, back, strict=True) if ids is None]
+        alone = [x for x in missing if x.removeprefix(LINE)[:1].strip()]
+        young |= zip(new, back, strict=True)
+        young |= dict.fromkeys(missing, b"")
+        young |= zip(alone, self._joined(["\n" + x[1:] if x[0] == LINE else " " + x for x in alone]), strict=True)
+        for k, x in zip(at, new, strict=True):
+            known[k] = young[x]
+        return [ids or None for ids in known]
+
+    def _marked(self, text: str) -> str | None:
+        """A text whose chunks begin at spaces; None if it is to be encoded whole."""
+        if any(x in text for x in self.whole):
+            return None
+        if "\n\n" in text:  # a line break beside white space can be part of a longer piece
+            return text
+        last = text[-1:] == "\n" and text[-2:-1].strip() != ""
+        text = (text[:-1] if last else text).replace("\n", f" {LINE}")
+        return f"{text} {LAST}" if last else text
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes."""
         if not self.by_chunk:
             return self._ids(texts)
-        cache, out = self.cache, []
-        for i in range(0, len(texts), 64):
-            split = [text.split(" ") for text in texts[i : i + 64]]
-            heads = self._ids([x[0] for x in split])
-            found = [list(map(cache.get, x)) for x in split]
-            new = {x for parts, ids in zip(split, found, strict=True) for x, y in zip(parts[1:], ids[1:], strict=True) if y is None}
-            if new:
-                self._learn(list(new))
-            for k, (parts, ids, head) in enumerate(zip(split, found, heads, strict=True)):
-                if new:
-                    ids = list(map(cache.get, parts))
-                ids[0] = head
-                try:
-                    out.append(b"".join(ids))
-                except TypeError:  # an odd chunk, or one that was dropped from a full cache
-                    out.append(self._ids([texts[i + k]])[0])
-        return out
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size > GROUP_CHARS:
+                out += self._encode(group)
+                group, size = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        marked = [self._marked(x) for x in texts]
+        chunks = pc.split_pattern(pa.array([x or "" for x in marked], pa.large_string()), " ")
+        first = chunks.offsets.to_numpy()
+        distinct = chunks.values.dictionary_encode()
+        # punctuation after a letter is a piece of its own
+        stems = pc.utf8_rtrim(distinct.dictionary, PUNCTUATION)
+        cut = pc.and_(pc.match_substring_regex(stems, r"\p{L}$"), pc.not_equal(stems, distinct.dictionary))
+        tails = pa.array([x[len(y) :] for x, y in zip(distinct.dictionary.filter(cut).to_pylist(), stems.filter(cut).to_pylist(), strict=True)], pa.string()).dictionary_encode()
+        tail_ids = pa.array(self._ids(tails.dictionary.to_pylist()), pa.large_binary()).take(tails.indices)
+        stems = pc.if_else(cut, stems, distinct.dictionary).dictionary_encode()
+        ids = pa.array(self._of_chunks(stems.dictionary.to_pylist()), pa.large_binary()).take(stems.indices)
+        ids = pc.replace_with_mask(ids, cut, pc.binary_join_element_wise(ids.filter(cut), tail_ids, pa.scalar(b"", pa.large_binary())))
+        ids_of = ids.take(distinct.indices)
+        _, ends, data = ids_of.buffers()
+        ends, data = np.frombuffer(ends, np.int64, len(ids_of) + 1), memoryview(data or b"")
+        odd = np.cumsum(np.append(0, np.diff(ends) == 0))  # how many chunks before have no ids
+        odd = odd[first[1:]] > odd[first[:-1] + 1]
+        heads = self._ids([(x or "").partition(" ")[0] for x in marked])
+        whole = [k for k, x in enumerate(marked) if x is None or odd[k]]
+        own = dict(zip(whole, self._ids([texts[k] for k in whole]), strict=True))
+        at = zip(ends[first[:-1] + 1].tolist(), ends[first[1:]].tolist(), strict=True)
+        return [own[k] if k in own else head + data[a:b] for k, (head, (a, b)) in enumerate(zip(heads, at, strict=True))]
 
 
 def coder(name: str) -> Coder:
@@ -210,7 +240,35 @@ class Image:
         return np.frombuffer(raw, f"<u{self.width}")
 
 
-def _encode(tokenizer: str, dictionary: bytes, bounds: list[int], end_id: int):
+class Buckets:
+    """Ranges of doc_id that are written as one partition each, in order.
+
+    ``found`` holds the ids at equal steps of the sorted ids, so that an id
+    with many rows is in it several times; such an id, and a null id with as
+    many rows, has buckets of its own, among which its rows are dealt.
+    """
+
+    def __init__(self, found: list[int], nulls: int):
+        from collections import Counter
+
+        import numpy as np
+
+        heavy = {x: n for x, n in Counter(found).items() if n > 1}
+        self.bounds = sorted({*found, *(x - 1 for x in heavy)})
+        self.ways = np.array([*(heavy.get(x, 1) for x in self.bounds), 1, max(1, nulls)])
+        self.first = np.cumsum(self.ways) - self.ways
+
+    def of(self, ids: list[int | None], row: int):
+        """The bucket of each id, for rows that begin with number ``row`` of their task."""
+        import numpy as np
+
+        known = np.array([x is not None for x in ids], bool)
+        values = np.array([x if x is not None else 0 for x in ids], np.int64)
+        k = np.where(known, np.searchsorted(np.array(self.bounds, np.int64), values), len(self.bounds) + 1)
+        return self.first[k] + (row + np.arange(len(ids))) % self.ways[k]
+
+
+def _encode(tokenizer: str, dictionary: bytes, buckets: Buckets, end_id: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -220,16 +278,15 @@ def _encode(tokenizer: str, dictionary: bytes, bounds: list[int], end_id: int):
         write = zstandard.ZstdCompressor(level=1, dict_data=_dictionary(dictionary), write_content_size=True, write_checksum=False)
         end = np.array([end_id], code.dtype).tobytes()
         width = len(end)
+        row = 0
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                rows = batch.slice(i, 256)
-                part = rows.column("doc_id").to_pylist()
-                raw = [x + end for x in code.encode([x or "" for x in rows.column("text").to_pylist()])]
-                bucket = np.searchsorted(bounds, [np.inf if x is None else x for x in part]) if bounds else np.zeros(len(part), int)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int32()), pa.array(part, pa.int64()), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([write.compress(x) for x in raw], pa.binary())],
-                    ["bucket", "doc_id", "n", "frame"],
-                )
+            part = batch.column("doc_id").to_pylist()
+            raw = [x + end for x in code.encode([x or "" for x in batch.column("text").to_pylist()])]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets.of(part, row), pa.int32()), pa.array(part, pa.int64()), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([write.compress(x) for x in raw], pa.binary())],
+                ["bucket", "doc_id", "n", "frame"],
+            )
+            row += len(part)
 
     return run
 
@@ -247,8 +304,8 @@ def _pack(width: int, dict_sha: bytes):
             ids, counts, frames = zip(*docs, strict=True)
             data = pack_image(list(ids), list(frames), list(counts), width, dict_sha)
             return pa.RecordBatch.from_arrays(
-                [pa.array([bucket], pa.int32()), pa.array([seq], pa.int64()), pa.array([before], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([data], pa.binary())],
-                ["bucket", "seq", "tokens_before", "n_tokens", "image"],
+                [pa.array([bucket], pa.int32()), pa.array([seq], pa.int64()), pa.array([ids[0]], pa.int64()), pa.array([max((x for x in ids if x is not None), default=None)], pa.int64()), pa.array([before], pa.int64()), pa.array([sum(counts)], pa.int64()), pa.array([data], pa.binary())],
+                ["bucket", "seq", "first_id", "last_id", "tokens_before", "n_tokens", "image"],
             )
 
         for batch in batches:
@@ -271,20 +328,21 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     """Encode ``documents`` and write images and dictionary under ``path``.
 
     A null or empty text is the end id alone; documents with a null doc_id
-    come last; rows with equal doc_id follow one another in the order of their
-    frames; other columns are not read; an empty table gives no images.
-    ``tokenizer``: a file of the public tokenizers or a path.
+    come last; rows with equal doc_id follow one another, in no set order;
+    other columns are not read; an empty table gives no images.  The format
+    holds ids of 64 bits: a doc_id of another type is cast, and a text that is
+    no number is an error.  ``tokenizer``: a file of the public tokenizers or a path.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     spark = docs.sparkSession
     dictionary = train_dictionary(docs, tokenizer)
     n = partitions(spark)
-    found = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000)).first()[0]
-    bounds = sorted(set(found or []))
-    frames = docs.mapInArrow(_encode(tokenizer, dictionary, bounds, end_id), "bucket int, doc_id bigint, n bigint, frame binary")
+    found = docs.select(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 10_000).alias("ids"), F.count("*").alias("rows"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
+    buckets = Buckets(list(found["ids"] or []), -(-n * found["nulls"] // max(1, found["rows"])))
+    frames = docs.mapInArrow(_encode(tokenizer, dictionary, buckets, end_id), "bucket int, doc_id bigint, n bigint, frame binary")
     ordered = frames.repartition(n, "bucket").sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), "frame")
     width = int(coder(tokenizer).dtype[-1])
-    images = ordered.mapInArrow(_pack(width, hashlib.sha256(dictionary).digest()), "bucket int, seq bigint, tokens_before bigint, n_tokens bigint, image binary")
+    images = ordered.mapInArrow(_pack(width, hashlib.sha256(dictionary).digest()), "bucket int, seq bigint, first_id bigint, last_id bigint, tokens_before bigint, n_tokens bigint, image binary")
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").write.parquet(f"{path}/dictionary")
     images.write.parquet(f"{path}/images")
 
@@ -325,6 +383,25 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     return images.select("bucket", "tokens_before", "image").mapInArrow(decode, "doc_id bigint, start bigint, " + ("ids array<int>" if ids else "n_tokens bigint, ids_crc32 bigint"))
 
 
+def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """doc_id and ids of single documents: ranges of ids in the images' columns leave all other images
+    unread, and of an image only the frames asked for are decompressed."""
+    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
+    wanted = frozenset(doc_ids)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column("image").to_pylist():
+                image = Image(data, dictionary)
+                own = [k for k, x in enumerate(image.ids) if x in wanted]
+                yield pa.RecordBatch.from_arrays([pa.array([image.ids[k] for k in own], pa.int64()), pa.array([image.tokens(k).tolist() for k in own], pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    holds = [f"first_id <= {int(x)} and last_id >= {int(x)}" for x in sorted(wanted)]
+    return spark.read.parquet(f"{path}/images").where(" or ".join(holds) or "false").select("image").mapInArrow(run, "doc_id bigint, ids array<int>")
+
+
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/token-ids-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), path)
