@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import binaries, crc_of_id, park, partitions, table
+from tremor.llm.common import binaries, crc_of_id, park, partitions, table, trim
 from tremor.llm.elias_fano import Trie
 from tremor.llm.hashing import word_hashes
 
@@ -87,15 +87,6 @@ def _blocks(batches: Iterator) -> Iterator:
         yield ids, held, words
 
 
-def _trim() -> None:
-    """Give freed memory back to the system, where the C library can."""
-    import contextlib
-    import ctypes
-
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def _survey(batches: Iterator) -> Iterator:
     """Counts of a block's frequent training tokens and of a sample of hash values; key null: of all."""
     import numpy as np
@@ -294,7 +285,7 @@ def _shard_sums(plan: Plan):
                 if shard != now and blobs:
                     yield batch_of((a, False, b) for a, b in process(blobs, now))
                     blobs = []
-                    _trim()
+                    trim()
                 now = shard
                 blobs.append((block, payload))
         if blobs:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import partitions, shared_dir, table
+from tremor.llm.common import partitions, shared_dir, table, trim
 
 MAGIC = b"TRMIDS1\n"
 HEAD = struct.Struct("<8sIIQ32s")
@@ -29,10 +29,10 @@ END_ID = 2
 SEGMENT_DOCS, SEGMENT_BYTES = 1024, 1 << 20
 DICT_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000  # the dictionary is trained on at most so many documents, none longer
-CACHED_CHUNKS = 500_000  # of a Python worker, some 200 bytes each
+CACHED_CHUNKS = 400_000  # of a Python worker, some 200 bytes each
 PUNCTUATION = ".,;:!?#*$%&|<>()[]{}\"/-_=+~"  # neither letters, digits, white space nor apostrophes
 LINE, LAST = "\ue000", "\ue000\ue000"  # mark a chunk after a line break, and the line break that ends a text
-GROUP_CHARS = 1 << 24  # texts that are encoded together
+GROUP_CHARS = 1 << 23  # texts that are encoded together
 _coders: dict[str, Coder] = {}
 
 
@@ -287,6 +287,9 @@ def _encode(tokenizer: str, dictionary: bytes, buckets: Buckets, end_id: int):
                 ["bucket", "doc_id", "n", "frame"],
             )
             row += len(part)
+            del raw
+            pa.default_memory_pool().release_unused()
+            trim()
 
     return run
 
