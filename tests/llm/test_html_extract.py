@@ -28,14 +28,65 @@ def test_pages_against_plain_form(spark, sf):
         assert got[r.page_id].n_chars == len(got[r.page_id].text)
 
 
-def test_template_finds_slot_without_article(spark):
-    rows = [(i, f"http://h.example/{i}", PAGE.replace("four", f"four{i}")) for i in range(6)]
-    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
-    found = H.templates(pages.selectExpr("'h' as host", "page_id", "html")).collect()
-    assert [r.slot for r in found] == ["/html/body/div[id=body-text]"]
-    assert {r.text for r in H.extract_text(pages).collect()} == {TEXT.replace("four", f"four{i}") for i in range(6)}
-    joined = H.extract_text(pages, broadcast_hosts=0)
-    assert sorted(joined.collect()) == sorted(H.extract_text(pages).collect())
+def run(spark, pages, **options):
+    rows = [(i, f"http://h.example/{i}", x) for i, x in enumerate(pages)]
+    got = H.extract_text(spark.createDataFrame(rows, "page_id bigint, url string, html string"), **options)
+    return {r.page_id: r.text for r in got.collect()}
+
+
+def test_slot_without_article(spark):
+    pages = [PAGE.replace("four", f"four{i}").replace("Head", f"Head{i}").replace("a<li>b", f"a{i}<li>b{i}").replace("5 &lt;", f"5{i} &lt;") for i in range(6)]
+    want = {i: TEXT.replace("four", f"four{i}").replace("Head", f"Head{i}").replace("a\n\nb", f"a{i}\n\nb{i}").replace("5 <", f"5{i} <") for i in range(6)}
+    assert run(spark, pages) == want
+    assert run(spark, pages, broadcast_bytes=0) == want
+
+
+ANONYMOUS = (
+    "<html><body><div><span>Site</span><div>Home</div><div>About us</div></div><div><div><h2>Title {0}</h2><p>Text of page {0}, one. "
+    "<div>Print this</div><p>Text of page {0}, two, which is a good deal longer than the first one was.<p>Rated by readers</div></div><div>Latest: {1}</div><div>All rights reserved</div></body></html>"
+)
+
+
+def anonymous(k):
+    return ANONYMOUS.format(k, "abc"[k % 3])
+
+
+def test_template_alone_tells_the_slot_and_its_constants(spark):
+    """No article, no telling tag or name: without the template all text of the body comes."""
+    got = run(spark, [anonymous(k) for k in range(9)])
+    assert got == {k: f"Title {k}\n\nText of page {k}, one.\n\nText of page {k}, two, which is a good deal longer than the first one was." for k in range(9)}
+    assert "Home" in H.extract(anonymous(1), None) and "Print this" in H.extract(anonymous(1), None)
+
+
+def test_two_layouts_of_a_host(spark):
+    other = "<html><body><section>Shop</section><section><div>Goods {0} of the best sort, cheap</div></section><section>Basket</section></body></html>"
+    got = run(spark, [anonymous(k) for k in range(6)] + [other.format(k) for k in range(6)])
+    assert all(got[k] == f"Title {k}\n\nText of page {k}, one.\n\nText of page {k}, two, which is a good deal longer than the first one was." for k in range(6))
+    assert all(got[6 + k] == f"Goods {k} of the best sort, cheap" for k in range(6))
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    assert set(run(spark, [anonymous(1)] * 5).values()) == {H.extract(anonymous(1), None)}
+    got = run(spark, [anonymous(1)] * 20 + [anonymous(k) for k in range(2, 8)])
+    assert got[3] == "Title 1\n\nText of page 1, one.\n\nText of page 1, two, which is a good deal longer than the first one was."
+
+
+def test_names_leave_the_authors_text():
+    kept = '<body><div class="has-sidebar"><article><div class="search-method"><p>Binary search explained.</p></div><header class="x">Top</header><div class="share"><p>Share of votes</p></div><div class="ad">Buy</div></article></div></body>'
+    assert H.extract(kept, None) == "Binary search explained.\n\nShare of votes"
+    assert H.extract('<body class="menu"><div class="comments"><article>Text</article></div></body>', None) == "Text"
+    assert H.extract('<body><div class="sidebar"><p>Nearly all of the text of this page</div><p>x</body>', None) == "Nearly all of the text of this page\n\nx"
+
+
+def test_attributes_of_any_length_and_kind():
+    for value in (f'"{"a" * 5000}>leak"', f"'{'a' * 5000}>leak\"'", "it's", "a>", ""):
+        assert H.extract(f"<p data-x={value}>hello</p>", None) in ("hello", ">hello")
+    assert H.extract('<p data-x="' + "a" * 5000 + '>leak">hello</p>', None) == "hello"
+    assert H.extract('<p data-class="ad" title="class=ad">kept <b hidden>no</b><i data-hidden>yes</i>', None) == "kept yes"
+
+
+def test_inline_script_is_no_block():
+    assert H.extract("<p>one <script>x</script>two <svg><g>y</g></svg>three", None) == "one two three"
 
 
 @pytest.mark.parametrize("page", ["", "no tags", "a < b", "<", "</p>", "<p", "<p>x", "<a href='", '<a b="', "<script>x", "<!--", "<div><p>a</div>b"])
