@@ -113,7 +113,7 @@ def test_csv_loader(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         loader.DatasetLoader(spark, loader.DatasetPaths(**paths))
     for k, text in files.items():
-        sinks.write_text(text, paths[k])
+        sinks.write_text(spark, text, paths[k])
     data = loader.DatasetLoader(spark, loader.DatasetPaths(**paths))
     assert data.list_cases() == ["c1", "c2"] and data.get_metric_columns() == ["a_cpu", "b_mem"]
     assert data.get_case_time_window("c1") == (1000, 2000, 3000)
@@ -128,6 +128,119 @@ def test_csv_loader(spark, tmp_path):
     assert got[3].event_id == "trace:c1:s:0"
 
 
+def test_rows_are_numbered_by_a_total_order_across_minutes(spark):
+    rows = [(c, None if k == 0 else 40_000 * (k % 7) + k % 2, "box", f"m{k % 5}") for c in ("c1", None) for k in range(30)]
+    df = spark.createDataFrame([(c, "d", "f", "s", *x) for c, *x in rows], "case string, dataset string, fault string, root_cause_service string, timestamp_ms bigint, container_name string, message string")
+    got = normalize._with_row_id(df, "timestamp_ms", "container_name", "message").collect()
+    for case in ("c1", None):
+        own = sorted((r for r in got if r.case == case), key=lambda r: r._row_id)
+        assert [r._row_id for r in own] == list(range(30))
+        key = [(r.timestamp_ms is not None, r.timestamp_ms or 0, r.container_name, r.message) for r in own]
+        assert key == sorted(key)
+
+
+def test_events_as_objects(spark):
+    first = next(normalize.to_events(events(spark, [1.5])))
+    assert (first.case_id, first.timestamp_ms, first.service_name, first.value, first.message) == ("c1", 0, "svc", 1.5, None)
+    with pytest.raises(ValueError):
+        next(normalize.to_events(spark.createDataFrame([], "case_id string")))
+
+
+def test_scenarios(spark):
+    truth = spark.createDataFrame([("c1", "d", "cpu", "svc", 20, 0, 40), ("c2", "d", "delay", "svc", 20, 0, 40)], "case string, dataset string, fault string, root_cause_service string, inject_time bigint, time_start bigint, time_end bigint")
+    found = spark.createDataFrame([("c1", 25_000, "cpu_saturation"), ("c1", 26_000, "cpu_saturation"), ("c2", 25_000, "network_failure"), ("c2", 1000, "db_latency")], "case_id string, timestamp_ms bigint, incident_type string")
+    checked = evaluate.scenario_check(evaluate.case_windows(truth), found)
+    assert [(r.after, r.before, r.incident_types, r.passed) for r in checked.orderBy("case_id").collect()] == [(2, 0, ["cpu_saturation"], True), (1, 1, ["network_failure"], False)]
+    assert tuple(evaluate.group_acceptance(checked).first()) == (2, 1, 1, False)
+    assert tuple(evaluate.group_acceptance(checked.where("case_id = 'c1'")).first()) == (1, 2, 0, True)
+    assert evaluate.group_acceptance(checked.where("false")).first().accepted is False
+
+
+def test_cases_by_telemetry(spark):
+    cases = spark.createDataFrame([("c1", "cpu"), ("c2", "loss")], "case string, fault string")
+    logs = spark.createDataFrame([("c1",), ("c1",), ("c3",)], "case string")
+    assert [r.case for r in etl.semi(cases, logs).collect()] == ["c1"]
+    assert [r.case for r in etl.without_telemetry(cases, logs).collect()] == ["c2"]
+
+
+def test_reach_has_no_bound(spark):
+    chain = spark.createDataFrame([(f"s{k}", f"s{k + 1}") for k in range(7)], "source string, target string")
+    got = {tuple(r) for r in etl.reachable(chain).collect()}
+    assert got == {(f"s{a}", f"s{b}", b - a) for a in range(8) for b in range(a + 1, 8)}
+    assert etl.reachable(chain.where("false")).count() == 0
+
+
+def raw_tree(spark, root):
+    """Three cases: one whole, one with metrics that can't be read and no logs, one without a folder."""
+    for case in ("c1", "c2"):
+        spark.createDataFrame([(t, 1.0 * t, 2.0) for t in range(20)], "time bigint, svc_cpu double, `other_latency-90` double").coalesce(1).write.parquet(f"{root}/tmp-{case}")
+        (root / case).mkdir()
+        part = next((root / f"tmp-{case}").glob("part-*"))
+        part.rename(root / case / "metrics.parquet")
+    (root / "c2" / "metrics.parquet").write_bytes(b"no parquet")
+    spans = "spanID string, serviceName string, parentSpanID string, time bigint"
+    for case, rows in (("c1", [("1", "a", None, 1), ("2", "b", "1", 2), ("3", None, "1", 3)]), ("c2", [("1", "b", None, 1), ("2", "c", "1", 2)])):
+        spark.createDataFrame(rows, spans).coalesce(1).write.parquet(f"{root}/tmp-spans-{case}")
+        next((root / f"tmp-spans-{case}").glob("part-*")).rename(root / case / "traces.parquet")
+    return spark.createDataFrame([("c1", "RE2-OB", "cpu", "a"), ("c2", "RE2-SS", "loss", "b"), ("c3", "RE2-TT", "delay", "c")], "case string, dataset string, fault string, root_cause_service string")
+
+
+@pytest.mark.parametrize("indexed", [False, True])
+def test_dataset_build(spark, tmp_path, indexed):
+    raw, out = tmp_path / "raw", f"{tmp_path}/out"
+    raw.mkdir()
+    subset = raw_tree(spark, raw)
+    if indexed:
+        subset.selectExpr("*", "20 as inject_time", "'x' as unwanted").union(subset.selectExpr("'c9' as c", "dataset", "fault", "root_cause_service", "1", "'x' as x")).write.parquet(f"{raw}/cases.parquet")
+    got = etl.build_dataset(spark, str(raw), subset, out)
+    assert got["rows"] == {"cases": 3, "metrics": 20, "logs": 0, "traces": 5, "services": 3, "dependencies": 2}
+    assert got["missing"] == {"metrics": ["c2", "c3"], "logs": ["c1", "c2", "c3"], "traces": ["c3"]}
+    assert all(got["files"].values()) and len(got["files"]) == 8
+    truth = spark.read.csv(f"{out}/ground_truth", header=True)
+    assert truth.columns == ["case", "dataset", "fault", "root_cause_service", *(["inject_time"] if indexed else [])] and truth.count() == 3
+    assert [tuple(r) for r in spark.read.csv(f"{out}/dependencies", header=True).collect()] == [("a", "b"), ("b", "c")]
+    assert [r.service for r in spark.read.csv(f"{out}/services", header=True).collect()] == ["a", "b", "c"]
+    assert {(r.incident_type, r.case) for r in spark.read.csv(f"{out}/incidents", header=True).collect()} == {("cpu_saturation", "c1"), ("network_failure", "c2"), ("db_latency", "c3")}
+    assert spark.read.csv(f"{out}/inventory", header=True).count() == 3
+    assert spark.read.parquet(f"{out}/metrics").select("dataset", "fault", "root_cause_service").distinct().count() == 1
+    with pytest.raises(ValueError, match="fault"):
+        etl.build_dataset(spark, str(raw), subset.drop("fault"), out)
+
+
+def test_evaluation_on_disk(spark, tmp_path):
+    import json
+
+    from tremor import evaluation
+
+    root = str(tmp_path)
+    metrics = "".join(f"{c},d,{f},svc,{t},{50 if t >= 20 else 9 + t % 2 * 2}\n" for c, f in (("c1", "cpu"), ("c2", "delay"), ("c3", "cpu")) for t in range(60))
+    files = {
+        loader.FILES["metrics"]: "case,dataset,fault,root_cause_service,time,svc_cpu\n" + metrics,
+        loader.FILES["logs"]: "case,dataset,fault,root_cause_service,timestamp,container_name,message\n",
+        loader.FILES["traces"]: ",".join(schemas.names(schemas.TRACE_SCHEMA)) + "\n",
+        loader.FILES["ground_truth"]: "case,dataset,fault,root_cause_service,inject_time,time_start,time_end\nc1,d,cpu,svc,20,0,40\nc2,d,delay,svc,20,0,40\nc3,d,cpu,svc,,0,40\nc4,d,cpu,svc,50,0,40\n",
+    }
+    for path, text in files.items():
+        sinks.write_text(spark, text, f"{root}/{path}")
+    data = loader.create_default_loader(spark, root)
+    assert data.list_cases(2) == ["c1", "c2"]
+    found = evaluation.run_evaluation(spark, data, output_dir=f"{root}/out")
+    assert [c["case_id"] for c in found["cases"]] == ["c1", "c2"] and sorted(found["skipped"]) == ["c3", "c4"]
+    assert found["cases"][0]["true_positives"] == 21 and found["aggregate"]["detected_cases"] == 2
+    on_disk = json.loads((tmp_path / "out/detection_results.json").read_text())
+    assert on_disk["config"]["method"] == "z_score" and len(on_disk["cases"]) == 2
+    assert "c4: the injection is outside" in (tmp_path / "out/detection_report.txt").read_text()
+    with pytest.raises(SystemExit):
+        evaluation.main(["--method", "none"])
+
+
+def test_orders_of_counts(spark):
+    df = spark.createDataFrame([("b",), ("a",), ("b",), ("c",)], "x string")
+    assert [r.x for r in profile.value_counts(df, "x", "desc").collect()] == ["b", "a", "c"]
+    assert [r.x for r in profile.value_counts(df, "x", "asc").collect()] == ["a", "c", "b"]
+    assert profile.bars(profile.value_counts(df, "x", "key"), 4).splitlines() == ["a ## 1", "b #### 2", "c ## 1"]
+
+
 def test_profile(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "x int, y string")
     assert profile.duplicate_rows(df).first()[0] == 1

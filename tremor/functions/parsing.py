@@ -9,19 +9,15 @@ from tremor.config import FAULT_TO_INCIDENT, METRIC_SUFFIXES, SYSTEM_NAMES
 
 
 def service_of(name: Column) -> Column:
-    """The name without its known suffix, else without its last ``_token``."""
-    out = F.regexp_replace(name, r"_[^_]+\z", "")
-    for suffix in METRIC_SUFFIXES:
-        out = F.when(F.endswith(name, F.lit(f"_{suffix}")), F.substring(name, F.lit(1), F.length(name) - len(suffix) - 1)).otherwise(out)
-    return out
+    """The name without its last ``_token``; no known suffix holds an underscore, so that it is that token."""
+    signal = F.substring_index(name, "_", -1)
+    cut = F.contains(name, F.lit("_")) & (signal != "")
+    return F.when(cut, F.substring(name, F.lit(1), F.length(name) - F.length(signal) - 1)).otherwise(name)
 
 
 def signal_of(name: Column) -> Column:
-    """The known suffix, else the last token; null if there is none."""
-    out = F.nullif(F.regexp_extract(name, r"([^_]+)\z", 1), F.lit(""))
-    for suffix in METRIC_SUFFIXES:
-        out = F.when(F.endswith(name, F.lit(f"_{suffix}")), suffix).otherwise(out)
-    return out
+    """The last token; null if there is none."""
+    return F.nullif(F.substring_index(name, "_", -1), F.lit(""))
 
 
 def is_parseable(name: Column) -> Column:
@@ -58,7 +54,8 @@ def system_of(dataset: Column) -> Column:
 
 
 def seconds_to_ms(seconds: Column) -> Column:
-    return (seconds.cast("double") * 1000).cast("bigint")
+    """Whole milliseconds; null for what is no number (a case's metadata then raise ValueError)."""
+    return (seconds.try_cast("double") * 1000).cast("bigint")
 
 
 def z_score(value: Column, mean: Column, std: Column) -> Column:

@@ -52,12 +52,13 @@ def in_baseline(series: DataFrame, baseline_end: DataFrame | None) -> DataFrame:
     return rows.withColumn("in_baseline", F.col("timestamp_ms") < F.col("baseline_end")).withColumn("evaluated", ~F.col("in_baseline")).drop("baseline_end")
 
 
-def baselines(points: DataFrame, quantile: float = 0.95) -> DataFrame:
-    """Per series: n_total, n_base, mean, population std, max and the linearly interpolated quantile."""
+def baselines(points: DataFrame, quantile: float | None = 0.95) -> DataFrame:
+    """Per series: n_total, n_base, mean, population std, max and the linearly interpolated quantile (null for
+    ``quantile`` None: its buffer holds a series' distinct values, so that only the method that needs it pays)."""
     base = F.when(F.col("in_baseline"), F.col("value"))
     return points.groupBy(*KEYS).agg(
         F.count(F.lit(1)).alias("n_total"), F.count(base).alias("n_base"), F.avg(base).alias("mean"), F.stddev_pop(base).alias("std"), F.max(base).alias("max"),
-        F.percentile(base, quantile).alias("quantile"),
+        (F.lit(None).cast("double") if quantile is None else F.percentile(base, quantile)).alias("quantile"),
     )
 
 
@@ -69,7 +70,7 @@ def detect(events: DataFrame, baseline_end: DataFrame | None = None, config: Det
     """Anomalies: event_id, keys, timestamp_ms, value, method, score, threshold, incident_type and the baseline's figures."""
     config = config or DetectorConfig()
     points = in_baseline(build_series(events, restrict_to_incident), baseline_end)
-    stats = eligible(baselines(points, config.threshold_quantile), config)
+    stats = eligible(baselines(points, config.threshold_quantile if config.method == "threshold" else None), config)
     rows = points.where("evaluated")
     if config.min_value is not None:
         rows = rows.where(F.col("value") >= config.min_value)
@@ -84,3 +85,8 @@ def detect(events: DataFrame, baseline_end: DataFrame | None = None, config: Det
         event_id.alias("event_id"), *KEYS, "timestamp_ms", "value", F.lit(config.method).alias("method"), "score", "threshold", "incident_type", "fault", "root_cause_service",
         F.struct("mean", "std", "max", "quantile", F.col("n_base").alias("samples")).alias("baseline"),
     )
+
+
+def detect_in_events(events: DataFrame, baseline_end: DataFrame | None = None, config: DetectorConfig | None = None, restrict_to_incident: bool = True) -> DataFrame:
+    """The anomalies of events, by time; ties by series."""
+    return detect(events, baseline_end, config, restrict_to_incident).orderBy("timestamp_ms", *KEYS)

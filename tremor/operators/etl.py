@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tremor import store
 from tremor.config import FAULT_TO_INCIDENT
-from tremor.schemas import CASE
+from tremor.schemas import CASE, GROUND_TRUTH_SCHEMA, LOG_SCHEMA, METRICS_META, TRACE_SCHEMA, names, require
 from tremor.sources import sinks
 
 
@@ -44,7 +43,7 @@ def union_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
 
 def read_case_files(spark: SparkSession, raw: str, name: str) -> DataFrame:
     """``raw``/*/``name``.parquet in one scan, the folder's name as case."""
-    df = spark.read.option("mergeSchema", "true").parquet(f"{raw}/*/{name}.parquet")
+    df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(f"{raw}/*/{name}.parquet")
     case = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return df.select(case.alias("case"), *[c for c in df.columns if c != "case"])
 
@@ -68,14 +67,22 @@ def dependencies(traces: DataFrame) -> DataFrame:
     return edges.select("source", "target").distinct()
 
 
-def reachable(edges: DataFrame, depth: int = 4) -> DataFrame:
-    """source, target, hops: services that depend on one another within ``depth`` steps."""
-    step = edges.select("source", "target").distinct()
+def reachable(edges: DataFrame) -> DataFrame:
+    """source, target, hops: services that depend on one another, by the fewest steps.
+
+    The edges are written once; each round extends only the pairs that the one
+    before found, until there are none.
+    """
+    step = store.park(edges.select("source", "target").distinct(), "edges")
+    onward = step.select(F.col("source").alias("via"), "target")
     found = near = step.withColumn("hops", F.lit(1))
-    for k in range(2, depth + 1):
-        near = near.select("source", F.col("target").alias("via")).join(step.select(F.col("source").alias("via"), "target"), "via").select("source", "target").distinct().withColumn("hops", F.lit(k))
+    hops = 1
+    while not near.isEmpty():
+        hops += 1
+        further = near.select("source", F.col("target").alias("via")).join(onward, "via").select("source", "target").distinct()
+        near = store.park(further.join(found, ["source", "target"], "left_anti").withColumn("hops", F.lit(hops)), "reached")
         found = found.unionByName(near)
-    return found.groupBy("source", "target").agg(F.min("hops").alias("hops"))
+    return found
 
 
 def first_deviation(anomalies: DataFrame) -> DataFrame:
@@ -94,19 +101,61 @@ def logs_near(logs: DataFrame, cases: DataFrame, before_ms: int, after_ms: int)
     return rows.where(F.col("timestamp_ms").between(F.col("inject_time_ms") - before_ms, F.col("inject_time_ms") + after_ms))
 
 
-def build_dataset(spark: SparkSession, raw: str, subset: DataFrame, out: str) -> dict[str, int]:
-    """The whole build: class files, ground truth, unified telemetry and topology; rows by table."""
+def case_index(spark: SparkSession, raw: str, subset: DataFrame) -> DataFrame:
+    """The cases of the subset as the index (``raw``/cases.parquet) has them; without one, the subset itself."""
+    path = f"{raw}/cases.parquet"
+    cases = semi(spark.read.parquet(path), subset) if store.exists(spark, path) else subset
+    return available(cases, names(GROUND_TRUTH_SCHEMA))
+
+
+def build_dataset(spark: SparkSession, raw: str, subset: DataFrame, out: str) -> dict:
+    """The whole build: class files, ground truth, unified telemetry, topology and inventory.
+
+    ``raw`` holds a folder for each case with metrics, logs and traces in
+    Parquet, ``subset`` the wanted cases.  Returns the rows by table, the cases
+    that lack a source, and the status of each written path.  A file that
+    can't be read is skipped, and its case counts as one without that source.
+    A source that no case has is written as an empty table.
+    """
+    require(subset, CASE, "subset")
     sinks.write_incident_classes(subset, f"{out}/incidents")
-    sinks.write_csv(subset, f"{out}/ground_truth")
-    counts = {"cases": subset.count()}
-    cases = F.broadcast(subset.select(*CASE)) if counts["cases"] <= 100_000 else subset.select(*CASE)
-    for name in ("metrics", "logs", "traces"):
-        if any(os.path.exists(f"{raw}/{c}/{name}.parquet") for c in os.listdir(raw)) if os.path.isdir(raw) else True:
-            rows = read_case_files(spark, raw, name)
-            rows = rows.select(*[c for c in rows.columns if c not in CASE[1:]]).join(cases, "case")
-            sinks.write_telemetry(rows.select(*CASE, *[c for c in rows.columns if c not in CASE]), f"{out}/{name}")
-            counts[name] = spark.read.parquet(f"{out}/{name}").count()
-            if name == "traces":
-                sinks.write_csv(services(rows).orderBy("service"), f"{out}/services")
-                sinks.write_csv(dependencies(rows).orderBy("source", "target"), f"{out}/dependencies")
-    return counts
+    sinks.write_csv(case_index(spark, raw, subset), f"{out}/ground_truth")
+    sinks.write_csv(subset, f"{out}/inventory")
+    report: dict = {"rows": {"cases": subset.count()}, "missing": {}}
+    empty = {"metrics": ", ".join(f"{c} {'bigint' if c == 'time' else 'string'}" for c in METRICS_META), "logs": LOG_SCHEMA, "traces": TRACE_SCHEMA}
+    for name, schema in empty.items():
+        if store.listed(spark, f"{raw}/*/{name}.parquet"):
+            rows = with_case(read_case_files(spark, raw, name), subset)
+        else:
+            rows = spark.createDataFrame([], schema)
+        sinks.write_telemetry(rows, f"{out}/{name}")
+        written = rows if "case" not in rows.columns else spark.read.schema(rows.schema).parquet(f"{out}/{name}")
+        report["rows"][name] = written.count()
+        report["missing"][name] = [r[0] for r in without_telemetry(subset, written).select("case").distinct().orderBy("case").collect()]
+        if name == "traces":
+            spans = available(written, ("case", "spanID", "serviceName", "parentSpanID"))
+            edges = dependencies(spans).select(F.col("source").alias("source_service"), F.col("target").alias("target_service"))
+            for table, rows in (("services", services(spans).orderBy("service")), ("dependencies", edges.orderBy("source_service", "target_service"))):
+                sinks.write_csv(rows, f"{out}/{table}")
+                report["rows"][table] = rows.count()
+    report["files"] = sinks.generated_files(spark, [f"{out}/{x}" for x in ("incidents", "ground_truth", "inventory", *empty, "services", "dependencies")])
+    return report
+
+
+def main(arguments: list[str] | None = None) -> None:
+    """python -m tremor.operators.etl RAW SUBSET_CSV OUT"""
+    import argparse
+    import json
+
+    from tremor import session
+
+    parser = argparse.ArgumentParser(description="Build the data set of incident cases")
+    for name in ("raw", "subset", "out"):
+        parser.add_argument(name)
+    args = parser.parse_args(arguments)
+    spark = session.build("dataset-build")
+    print(json.dumps(build_dataset(spark, args.raw, spark.read.csv(args.subset, header=True, escape='"'), args.out), indent=2))
+
+
+if __name__ == "__main__":
+    main()

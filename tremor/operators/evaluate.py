@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tremor.functions.parsing import incident_of
+from tremor.functions.parsing import incident_of, seconds_to_ms
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -22,7 +22,7 @@ def harmonic(p: Column, r: Column) -> Column:
 
 def case_windows(ground_truth: DataFrame) -> DataFrame:
     """case_id, fault, root cause, incident type and times in ms."""
-    ms = [(F.col(c).cast("double") * 1000).cast("bigint").alias(f"{c}_ms") for c in ("inject_time", "time_start", "time_end")]
+    ms = [seconds_to_ms(F.col(c)).alias(f"{c}_ms") for c in ("inject_time", "time_start", "time_end")]
     return ground_truth.select(F.col("case").alias("case_id"), "dataset", "fault", "root_cause_service", incident_of(F.col("fault")).alias("incident_type"), *ms)
 
 
@@ -124,16 +124,37 @@ def before_after(cases: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def scenario_check(cases: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """Per case the incident types seen after the injection; a case passes with anomalies there and a mapped type."""
-    rows = _hits(cases, anomalies).groupBy("case_id", "incident_type").agg(F.count_if(F.col("timestamp_ms") >= F.col("inject_time_ms")).alias("after"), F.count_if(F.col("timestamp_ms") < F.col("inject_time_ms")).alias("before"))
-    return rows.withColumn("passed", (F.col("after") > 0) & (F.col("before") == 0) & F.col("incident_type").isNotNull())
+    """Per case the anomalies before and after the injection, and the sorted incident types seen after it; a case
+    passes with anomalies after only, among them one of its own type."""
+    ts, inject = F.col("timestamp_ms"), F.col("inject_time_ms")
+    own = anomalies.select("case_id", "timestamp_ms", F.col("incident_type").alias("seen"))
+    rows = cases.join(own, "case_id", "left").groupBy("case_id", "incident_type").agg(
+        F.count_if(ts >= inject).alias("after"), F.count_if(ts < inject).alias("before"), F.array_sort(F.collect_set(F.when(ts >= inject, F.col("seen")))).alias("incident_types")
+    )
+    ok = (F.col("after") > 0) & (F.col("before") == 0) & F.coalesce(F.array_contains("incident_types", F.col("incident_type")), F.lit(False))
+    return rows.withColumn("passed", ok)
+
+
+def group_acceptance(checked: DataFrame) -> DataFrame:
+    """One row: a group of scenarios is accepted if each case has anomalies after its injection and none has one before."""
+    rows = checked.agg(F.count(F.lit(1)).alias("cases"), F.min("after").alias("min_after"), F.max("before").alias("max_before"))
+    return rows.withColumn("accepted", F.coalesce((F.col("min_after") > 0) & (F.col("max_before") == 0), F.lit(False)))
+
+
+def case_quality(cases: DataFrame) -> DataFrame:
+    """case_id and flaw: why a case can't be evaluated, null if it can.  A flawed case is left out, the others go on."""
+    times = [F.col(c) for c in ("inject_time_ms", "time_start_ms", "time_end_ms")]
+    flaw = F.when(times[0].isNull() | times[1].isNull() | times[2].isNull(), "a time is missing or no number").when((times[1] > times[0]) | (times[0] > times[2]), "the injection is outside of the case's window")
+    return cases.select("case_id", flaw.alias("flaw"))
 
 
 def run_evaluation(events: DataFrame, ground_truth: DataFrame, config=None, total_points: DataFrame | None = None) -> dict[str, DataFrame]:
-    """anomalies, cases, aggregate, per_incident and per_fault as lazy frames."""
+    """anomalies, cases, aggregate, per_incident, per_fault and skipped (flawed cases) as lazy frames."""
     from tremor.operators.detect import detect
 
-    cases = case_windows(ground_truth)
+    known = case_windows(ground_truth).where("case_id is not null")
+    flaws = case_quality(known).where("flaw is not null")
+    cases = known.join(flaws, "case_id", "left_anti")
     anomalies = detect(events, cases.select("case_id", F.col("inject_time_ms").alias("baseline_end")), config)
     metrics = evaluate_cases(cases, anomalies, total_points)
-    return {"anomalies": anomalies, "cases": metrics, "aggregate": aggregate(metrics), "per_incident": per_incident(metrics), "per_fault": per_fault(metrics)}
+    return {"anomalies": anomalies, "cases": metrics, "aggregate": aggregate(metrics), "per_incident": per_incident(metrics), "per_fault": per_fault(metrics), "skipped": flaws}

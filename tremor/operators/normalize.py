@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,12 +24,21 @@ def _event(df: DataFrame, source: str, **own: Column) -> DataFrame:
     return df.select(*[(given[c].try_cast("double") if c in given and c in doubles else given.get(c, F.lit(None)).cast(kinds[c])).alias(c) for c in schemas.EVENT_COLUMNS])
 
 
-def _row_id(*order: str) -> Column:
-    """Place of the row in its case, from 0, by a total order of its values.
+def _with_row_id(df: DataFrame, *order: str) -> DataFrame:
+    """Adds _row_id, the place of the row in its case, from 0, by a total order of its values.
 
-    The rows of one case are numbered in one task each; a case's window bounds them.
+    Rows are numbered within the minutes of a case, each in its own group, and
+    the rows of earlier minutes, one count for each, come on top: no task
+    holds all rows of a case.
     """
-    return F.row_number().over(Window.partitionBy("case").orderBy(*order)) - 1
+    minute = F.coalesce(F.floor(F.col("timestamp_ms") / 60_000), F.lit(-(1 << 62)))  # no time comes first, as it sorts
+    df = df.withColumns({"_case": F.coalesce("case", F.lit("")), "_minute": minute})
+    counts = df.groupBy("_case", "_minute").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_case").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_case", "_minute", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_case", "_minute").orderBy(*order))
+    rows = df.join(offsets, ["_case", "_minute"]).withColumn("_row_id", F.col("_before") + place - 1)
+    return rows.drop("_case", "_minute", "_before")
 
 
 def normalize_metrics(df: DataFrame) -> DataFrame:
@@ -41,7 +51,7 @@ def normalize_metrics(df: DataFrame) -> DataFrame:
 def normalize_logs(df: DataFrame) -> DataFrame:
     schemas.require(df, LOG_COLUMNS, "logs")
     ms = F.col("timestamp_ms").cast("bigint")
-    df = df.withColumn("_row_id", _row_id("timestamp_ms", "container_name", "message"))
+    df = _with_row_id(df, "timestamp_ms", "container_name", "message")
     event_id = F.concat(F.lit("log:"), F.col("case"), F.lit(":"), ms.cast("string"), F.lit(":"), F.col("_row_id").cast("string"))
     return _event(df, "log", event_id=event_id, timestamp_ms=ms, service_name=F.col("container_name"), message=F.col("message"))
 
@@ -49,7 +59,7 @@ def normalize_logs(df: DataFrame) -> DataFrame:
 def normalize_traces(df: DataFrame) -> DataFrame:
     schemas.require(df, TRACE_COLUMNS, "traces")
     order = ("timestamp_ms", "spanID", "traceID", "serviceName", "methodName", "operationName", "parentSpanID", "duration", "statusCode")
-    df = df.withColumn("_row_id", _row_id(*order))
+    df = _with_row_id(df, *order)
     event_id = F.concat(F.lit("trace:"), F.col("case"), F.lit(":"), F.coalesce("spanID", F.lit("unknown")), F.lit(":"), F.col("_row_id").cast("string"))
     return _event(
         df, "trace", event_id=event_id, timestamp_ms=F.col("timestamp_ms").cast("bigint"), service_name=F.col("serviceName"), trace_id=F.col("traceID"), span_id=F.col("spanID"),
@@ -70,3 +80,10 @@ def normalize_case(loader, case_id: str, **include: bool) -> DataFrame:
     """Canonical events of one case within its time window."""
     found = loader.load_case(case_id, **include)
     return normalize_all(loader.spark, metrics=found["metrics"], logs=found["logs"], traces=found["traces"])
+
+
+def to_events(df: DataFrame) -> Iterator[schemas.Event]:
+    """The rows of a canonical frame as objects, a partition at a time; for the application's edge only."""
+    schemas.require(df, schemas.EVENT_COLUMNS, "events")
+    for row in df.select(*schemas.EVENT_COLUMNS).toLocalIterator():
+        yield schemas.Event(*row)

@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+def value_counts(df: DataFrame, column: str, order: str | None = None) -> DataFrame:
+    """``order``: key, desc or asc (of the counts, ties by key); None leaves the rows as they come."""
+    rows = df.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
+    by = {None: (), "key": (column,), "desc": (F.desc("n"), column), "asc": ("n", column)}[order]
+    return rows.orderBy(*by) if by else rows
+
+
+def bars(counts: DataFrame, width: int = 40) -> str:
+    """A text bar for each row of a small frame (label, n)."""
+    rows = [(str(r[0]), r[1]) for r in counts.collect()]
+    most, wide = max((n for _, n in rows), default=1), max((len(x) for x, _ in rows), default=0)
+    return "\n".join(f"{x:<{wide}} {'#' * max(1, round(width * n / most))} {n}" for x, n in rows)
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -22,13 +32,20 @@ def _melt(row: DataFrame, names: list[str], *fields: str) -> DataFrame:
 
 
 def null_counts(df: DataFrame) -> DataFrame:
+    """column and nulls, most first."""
     row = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(f"nulls_{i}") for i, c in enumerate(df.columns)])
-    return _melt(row, df.columns, "nulls")
+    return _melt(row, df.columns, "nulls").orderBy(F.desc("nulls"), "column")
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    aggs = [x for i, c in enumerate(df.columns) for x in (F.count(F.col(f"`{c}`")).alias(f"non_null_{i}"), F.count_distinct(F.col(f"`{c}`")).alias(f"distinct_{i}"), F.lit(dict(df.dtypes)[c]).alias(f"dtype_{i}"))]
-    return _melt(df.agg(*aggs), df.columns, "dtype", "non_null", "distinct")
+    """column, dtype, non_null and distinct; each column is counted on its own, so that no row is copied for each
+    distinct count, and equal values meet before the shuffle."""
+    out = None
+    for name, dtype in df.dtypes:
+        values = df.groupBy(F.col(f"`{name}`").alias("value")).agg(F.count(F.lit(1)).alias("n")).where("value is not null")
+        row = values.agg(F.lit(name).alias("column"), F.lit(dtype).alias("dtype"), F.coalesce(F.sum("n"), F.lit(0)).alias("non_null"), F.count(F.lit(1)).alias("distinct"))
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list[str]) -> DataFrame:

@@ -17,7 +17,8 @@ def results(evaluation: dict[str, DataFrame], config: DetectorConfig) -> dict:
     for name, key in (("per_incident", "incident_type"), ("per_fault", "fault")):
         whole[name] = {r[key]: {k: v for k, v in r.asDict().items() if k != key} for r in evaluation[name].orderBy(key).collect()}
     cases = [r.asDict(recursive=True) for r in evaluation["cases"].orderBy("case_id").collect()]
-    return {"config": asdict(config), "aggregate": whole, "cases": cases}
+    skipped = {r["case_id"]: r["flaw"] for r in evaluation["skipped"].collect()} if "skipped" in evaluation else {}
+    return {"config": asdict(config), "aggregate": whole, "cases": cases, "skipped": skipped}
 
 
 def _value(x, form: str) -> str:
@@ -42,4 +43,6 @@ def format_report(found: dict) -> str:
     lines += ["CASES", "-" * RULE]
     for c in found["cases"]:
         lines.append(f"  {c['case_id']}: {'detected' if c['detected'] else 'missed'}, recall {c['recall']:.4f}, precision {c['precision']:.4f}, F1 {c['f1_score']:.4f}, delay {_value(c['delay_seconds'], '.2f')} s, services {', '.join(c['detected_services']) or '-'}")
+    if found.get("skipped"):
+        lines += ["", "SKIPPED", "-" * RULE, *(f"  {case}: {flaw}" for case, flaw in sorted(found["skipped"].items()))]
     return "\n".join(lines) + "\n"

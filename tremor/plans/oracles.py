@@ -123,6 +123,10 @@ edges as (select distinct p.source, s."serviceName" as target from spans s join
 _BY = "count(*) as total, count(*) filter (where detected) as detected, cast(sum(false_positives) as bigint) as false_positives, round(avg(detected::int), 6) as detection_rate, round(avg(delay_seconds) filter (where detected), 6) as avg_delay_seconds"
 _PROFILED = ("case", "spanID", "serviceName", "parentSpanID", "duration")
 _SYSTEMS = " ".join(f"when '{k}' then '{v}'" for k, v in SYSTEM_NAMES.items())
+_CHECKED = """select case_id, incident_type, {} from (select c.case_id, c.incident_type, count(*) filter (where timestamp_ms >= inject_time_ms) as after, count(*) filter (where timestamp_ms < inject_time_ms) as before,
+  coalesce(string_agg(distinct a.incident_type, ',' order by a.incident_type) filter (where timestamp_ms >= inject_time_ms), '') as incident_types,
+  coalesce(bool_or(a.incident_type = c.incident_type) filter (where timestamp_ms >= inject_time_ms), false) as own
+  from cases c left join anomalies a on a.case_id = c.case_id group by all) t"""
 
 ORACLES = {
     "load_metrics_window": _with(f"""select "case", time, time * 1000 as timestamp, "svc-0_cpu", "svc-1_error" from metrics_wide where "case" = 'case_1' and time >= {WINDOW_MS[0] // 1000} and time <= {WINDOW_MS[1] // 1000}"""),
@@ -180,11 +184,16 @@ ORACLES = {
     "per_fault_metrics": _with(f"select fault, {_BY} from metrics group by fault", _metrics("by_binary")),
     "root_cause_hits": _with("select case_id, root_cause_service, root_cause_detected from metrics", _metrics("by_binary")),
     "before_after_counts": _with("select case_id, count(*) filter (where timestamp_ms < inject_time_ms) as before, count(*) filter (where timestamp_ms >= inject_time_ms) as after from cases left join half_anomalies using (case_id) group by case_id"),
-    "scenario_check": _with("select *, after > 0 and before = 0 and incident_type is not null as passed from (select case_id, incident_type, count(*) filter (where timestamp_ms >= inject_time_ms) as after, count(*) filter (where timestamp_ms < inject_time_ms) as before from hits group by all) t"),
+    "scenario_check": _with(_CHECKED.format("after, before, incident_types, after > 0 and before = 0 and own as passed")),
+    "scenario_acceptance": _with("select count(*) as cases, min(after) as min_after, max(before) as max_before, coalesce(min(after) > 0 and max(before) = 0, false) as accepted from (" + _CHECKED.format("after, before") + ") c"),
+    "case_quality": _with("select case_id, case when inject_time_ms is null or time_start_ms is null or time_end_ms is null then 'a time is missing or no number' when time_start_ms > inject_time_ms or inject_time_ms > time_end_ms then 'the injection is outside of the case''s window' end as flaw from cases"),
+    "anomalies_in_time_order": _with(f"select case_id, service, signal_type, timestamp_ms, round(value, 6) as value, round(score, 6) as score from anomalies where {_RESTRICTED} order by timestamp_ms, case_id, service, signal_type"),
+    "value_counts_ordered": _with(" union all ".join(f"select '{k}' as ordered_by, cast(row_number() over (order by {o}) - 1 as integer) as place, fault, n from (select fault, count(*) as n from traces_raw group by fault) {k}_counts" for k, o in (("key", "fault"), ("desc", "n desc, fault"), ("asc", "n, fault")))),
+    "first_cases": _with("""select distinct "case" from ground_truth where "case" is not null order by 1 limit 10"""),
     "incident_class_split": _with(f"""select {_incident("fault")} as incident_type, "case", fault from ground_truth"""),
-    "ground_truth_semi": _with("""select "case", dataset, fault from ground_truth where "case" in (select "case" from logs_raw where container_name = 'user' and timestamp < 1704070000)"""),
+    "ground_truth_semi": _with("""select "case", dataset, fault from ground_truth where "case" in (select "case" from logs_raw where container_name = 'user')"""),
     "telemetry_with_case": _with("""select "case", dataset, fault, root_cause_service, "spanID", "serviceName", duration from traces_raw"""),
-    "cases_without_telemetry": _with("""select "case", fault from ground_truth where "case" not in (select "case" from logs_raw where timestamp < 1704068000)"""),
+    "cases_without_telemetry": _with("""select "case", fault from ground_truth where "case" not in (select "case" from logs_raw)"""),
     "union_heterogeneous": _with("""select "case", container_name, timestamp, null as "serviceName", null as time from logs_raw union all select "case", null, null, "serviceName", time from traces_raw"""),
     "services": _with("""select distinct "serviceName" as service from traces_raw where "serviceName" is not null"""),
     "dependencies": _with("select * from edges", _EDGES.format("")),
@@ -198,7 +207,7 @@ ORACLES = {
     "system_name_counts": _with(f"select case regexp_extract(dataset, '-(OB|SS|TT)$', 1) {_SYSTEMS} end as system_name, count(*) as n from metrics_long group by 1"),
     "inject_time_datetime": _with("""select "case", strftime(make_timestamp(inject_time * 1000000), '%Y-%m-%d %H:%M:%S') as injected_at from ground_truth"""),
     "topology_counts": _with("select source, count(*) as n_targets from edges group by 1", _EDGES.format("")),
-    "reachable_services": _with("select source, target, min(hops) as hops from reach group by all", _EDGES.format("""and ("serviceName" < 'svc-4' or time % 2 = 0)""") + ", reach as (select source, target, 1 as hops from edges union select r.source, e.target, r.hops + 1 from reach r join edges e on e.source = r.target where r.hops < 4)"),
+    "reachable_services": _with("select source, target, min(hops) as hops from reach group by all", _EDGES.format("") + ", reach as (select source, target, 1 as hops from edges union select r.source, e.target, r.hops + 1 from reach r join edges e on e.source = r.target where r.hops <= (select count(*) from (select source from edges union select target from edges) s))"),
     "first_deviation": _with("select *, cast(row_number() over (partition by case_id order by first_ms, service, signal_type) as integer) as place from (select case_id, service, signal_type, min(timestamp_ms) as first_ms from anomalies group by all) t"),
     "similar_vectors": """with v as (select vec_id as id, cast(embedding as double[]) as v from embeddings), u as (select id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) as n from v),
 s as (select q.id as query_id, u.id, case when q.n * u.n > 0 then list_dot_product(q.v, u.v) / (q.n * u.n) else 0.0 end as similarity from u q join u on u.id <> q.id where q.id % 50 = 0)

@@ -194,7 +194,7 @@ def series_arrays(t):
 # Baseline
 @query
 def baseline_stats(t):
-    rows = D.baselines(D.in_baseline(D.build_series(events(t)), ends(t)))
+    rows = D.baselines(D.in_baseline(D.build_series(events(t)), ends(t)), None)
     return r6(rows, "mean", "std", "max").drop("quantile")
 
 
@@ -326,7 +326,23 @@ def before_after_counts(t):
 
 @query
 def scenario_check(t):
-    return evaluate.scenario_check(cases(t), found(t))
+    return evaluate.scenario_check(cases(t), found(t)).withColumn("incident_types", F.array_join("incident_types", ","))
+
+
+@query
+def scenario_acceptance(t):
+    return evaluate.group_acceptance(evaluate.scenario_check(cases(t), found(t)))
+
+
+@query
+def case_quality(t):
+    return evaluate.case_quality(cases(t))
+
+
+@query
+def anomalies_in_time_order(t):
+    rows = D.detect_in_events(events(t), ends(t))
+    return r6(rows.select(*D.KEYS, "timestamp_ms", "value", "score"), "value", "score")
 
 
 # Dataset build
@@ -338,7 +354,7 @@ def incident_class_split(t):
 
 @query
 def ground_truth_semi(t):
-    return etl.semi(t.ground_truth(), t.logs_raw().where("container_name = 'user'").where("timestamp < 1704070000")).select("case", "dataset", "fault")
+    return etl.semi(t.ground_truth(), t.logs_raw().where("container_name = 'user'")).select("case", "dataset", "fault")
 
 
 @query
@@ -349,7 +365,7 @@ def telemetry_with_case(t):
 
 @query
 def cases_without_telemetry(t):
-    return etl.without_telemetry(t.ground_truth(), t.logs_raw().where("timestamp < 1704068000")).select("case", "fault")
+    return etl.without_telemetry(t.ground_truth(), t.logs_raw()).select("case", "fault")
 
 
 @query
@@ -383,6 +399,19 @@ def value_counts_root_cause(t):
     return profile.value_counts(t.logs_raw(), "root_cause_service")
 
 
+@query
+def value_counts_ordered(t):
+    """The fault counts in the three orders; rows are numbered as they come."""
+    parts = [profile.value_counts(t.traces_raw(), "fault", order).collect() for order in ("key", "desc", "asc")]
+    rows = [(order, k, r["fault"], r["n"]) for order, part in zip(("key", "desc", "asc"), parts, strict=True) for k, r in enumerate(part)]
+    return t.spark.createDataFrame(rows, "ordered_by string, place int, fault string, n bigint")
+
+
+@query
+def first_cases(t):
+    return t.ground_truth().select("case").where("case is not null").distinct().orderBy("case").limit(10)
+
+
 @query
 def duplicate_rows(t):
     return profile.duplicate_rows(t.traces_raw().select("case", "traceID", "spanID", "serviceName"))
@@ -422,7 +451,7 @@ def topology_counts(t):
 # Beyond the batch pipeline
 @query
 def reachable_services(t):
-    return etl.reachable(etl.dependencies(t.traces_raw().where("serviceName < 'svc-4' or time % 2 = 0")))
+    return etl.reachable(etl.dependencies(t.traces_raw()))
 
 
 @query

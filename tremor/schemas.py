@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import make_dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 
 EVENT_SCHEMA = (
@@ -10,6 +12,8 @@ EVENT_SCHEMA = (
     "operation_name string, duration_ms double, status_code double"
 )
 EVENT_COLUMNS = [x.split()[0] for x in EVENT_SCHEMA.split(", ")]
+#: One canonical event: its fields are the columns, in their order; all but the first three and source may be None.
+Event = make_dataclass("Event", EVENT_COLUMNS, frozen=True, slots=True)
 CASE = ("case", "dataset", "fault", "root_cause_service")
 METRICS_META = (*CASE, "time")
 LOG_SCHEMA = "case string, dataset string, fault string, root_cause_service string, timestamp bigint, container_name string, message string"

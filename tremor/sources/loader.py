@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor import schemas
+from tremor import schemas, store
 
 FILES = {"metrics": "data/processed/metrics/metrics.csv", "logs": "data/processed/logs/logs.csv", "traces": "data/processed/traces/traces.csv", "ground_truth": "data/ground_truth/target_incidents.csv"}
 
@@ -67,15 +66,17 @@ class DatasetLoader:
     def __init__(self, spark: SparkSession, paths: DatasetPaths, validate_paths: bool = True):
         self.spark, self.paths = spark, paths
         if validate_paths:
-            missing = [p for p in vars(paths).values() if "://" not in p and not os.path.exists(p)]
+            missing = [p for p in vars(paths).values() if not store.exists(spark, p)]
             if missing:
                 raise FileNotFoundError(f"missing data files: {missing}")
 
-    def _csv(self, path: str, schema: str, required, source: str) -> DataFrame:
+    def _csv(self, path: str, schema: str, required, source: str, multi_line: bool = False) -> DataFrame:
+        """``multi_line``: values may hold line breaks; a file is then read by one task, so that a large table has
+        to come in many files."""
         header = self.spark.read.csv(path, header=True).columns
         kinds = dict(x.split() for x in schema.split(", "))
         declared = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header)
-        df = self.spark.read.csv(path, header=True, schema=declared, multiLine=True, escape='"')
+        df = self.spark.read.csv(path, header=True, schema=declared, multiLine=multi_line, escape='"')
         return schemas.require(df, required, source)
 
     def get_metric_columns(self) -> list[str]:
@@ -91,7 +92,7 @@ class DatasetLoader:
     load_metrics = scan_metrics
 
     def load_logs(self, case_id: str | None = None, *, time_start_ms: int | None = None, time_end_ms: int | None = None) -> DataFrame:
-        df = self._csv(self.paths.logs, schemas.LOG_SCHEMA, schemas.names(schemas.LOG_SCHEMA), "logs")
+        df = self._csv(self.paths.logs, schemas.LOG_SCHEMA, schemas.names(schemas.LOG_SCHEMA), "logs", multi_line=True)
         return to_ms(window(case_filter(df, case_id), "timestamp", time_start_ms, time_end_ms), "timestamp", "timestamp_ms")
 
     def load_traces(self, case_id: str | None = None, *, time_start_ms: int | None = None, time_end_ms: int | None = None) -> DataFrame:
@@ -115,8 +116,10 @@ class DatasetLoader:
         if chunk:
             yield chunk
 
-    def list_cases(self) -> list[str]:
-        return [r[0] for r in self.load_ground_truth().select("case").where("case is not null").distinct().orderBy("case").collect()]
+    def list_cases(self, first: int | None = None) -> list[str]:
+        """All cases in order, or the ``first`` of them."""
+        rows = self.load_ground_truth().select("case").where("case is not null").distinct().orderBy("case")
+        return [r[0] for r in (rows if first is None else rows.limit(first)).collect()]
 
     def get_case_info(self, case_id: str) -> CaseInfo:
         row = self.load_ground_truth(case_id).first()

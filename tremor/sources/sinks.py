@@ -3,21 +3,22 @@
 from __future__ import annotations
 
 import json
-import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor import store
 from tremor.functions.parsing import incident_of
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """A folder of CSV files with header; quotes in values are doubled, as the loader reads them."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_incident_classes(cases: DataFrame, path: str) -> None:
     """One CSV folder for each incident class of the faults."""
-    cases.withColumn("incident_type", incident_of(F.col("fault"))).where("incident_type is not null").write.mode("overwrite").partitionBy("incident_type").csv(path, header=True)
+    cases.withColumn("incident_type", incident_of(F.col("fault"))).where("incident_type is not null").write.mode("overwrite").partitionBy("incident_type").csv(path, header=True, escape='"')
 
 
 def write_telemetry(df: DataFrame, path: str) -> None:
@@ -25,15 +26,13 @@ def write_telemetry(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("case").parquet(path)
 
 
-def write_text(text: str, path: str) -> None:
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    store.write_text(spark, text, path)
 
 
-def write_json(value, path: str) -> None:
-    write_text(json.dumps(value, indent=2, default=str), path)
+def write_json(spark: SparkSession, value, path: str) -> None:
+    store.write_text(spark, json.dumps(value, indent=2, default=str), path)
 
 
-def generated_files(paths: list[str]) -> dict[str, bool]:
-    return {p: os.path.exists(p) for p in paths}
+def generated_files(spark: SparkSession, paths: list[str]) -> dict[str, bool]:
+    return {p: store.exists(spark, p) for p in paths}
