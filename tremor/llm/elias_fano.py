@@ -1,146 +1,152 @@
-"""Elias-Fano sequences, and a two-level n-gram trie of them.
+"""Elias-Fano sequences, and an n-gram trie of them.
 
-A sequence of n non-decreasing integers below u keeps the low bits of each in
-whole bytes and the high bits in unary, about n * (2 + log2(u / n)) bits.  All
-queries work on arrays of keys.
+A sequence of n non-decreasing integers below u keeps the low floor(log2(u /
+n)) bits of each and the high bits in unary, about n * (2 + log2(u / n)) bits,
+with one count of 32 bits for every 64 bits of the unary part to find a bit in
+it.  All queries work on arrays of keys.
 """
 
 from __future__ import annotations
 
 import mmap
-import os
-import tempfile
 
+CONTEXT_BITS = 40
 
-class EliasFano:
-    def __init__(self, low, high, n: int, shift: int):
-        import numpy as np
 
-        self.low, self.high, self.n, self.shift = low, high, n, shift
-        words = high.view(np.uint64)
-        zeros = 64 - np.bitwise_count(words).astype(np.int64)
-        self.zeros_before = np.cumsum(zeros) - zeros
+def _select_in(word, k):
+    """Place of the one number ``k`` (from 0) in each 64-bit word."""
+    import numpy as np
+
+    at = np.zeros(len(word), np.uint64)
+    k = k.astype(np.uint8)
+    for width in (32, 16, 8, 4, 2, 1):
+        low = np.bitwise_count((word >> at) & np.uint64((1 << width) - 1))
+        up = k >= low
+        k = np.where(up, k - low, k)
+        at += np.where(up, np.uint64(width), np.uint64(0))
+    return at.astype(np.int64)
+
+
+class EliasFano:
+    def __init__(self, low, high, before, n: int, shift: int):
+        self.low, self.high, self.before, self.n, self.shift = low, high, before, n, shift
 
     @staticmethod
     def build(values, universe: int) -> EliasFano:
         import numpy as np
 
         n = len(values)
-        bits = max(0, (universe // max(1, n)).bit_length())
-        shift = -(-bits // 8) * 8
-        low = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(n, 8)[:, : shift // 8] if n else np.zeros((0, shift // 8), np.uint8)
-        high = (values >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(n, np.int64)
-        size = ((universe >> shift) + n + 2 + 63) // 64 * 64
-        marks = np.zeros(size, np.uint8)
-        marks[high + np.arange(n)] = 1
-        return EliasFano(np.ascontiguousarray(low), np.packbits(marks, bitorder="little"), n, shift)
-
-    def _select0(self, k):
-        """Place of the zero number ``k`` (from 0) in the unary part."""
-        import numpy as np
-
-        if 16 * len(k) > self.n:  # so many keys that one walk over the unary part costs less
-            return np.flatnonzero(np.unpackbits(self.high, bitorder="little") == 0)[k]
-        out = np.empty(len(k), np.int64)
-        words = self.high.reshape(-1, 8)
-        for a in range(0, len(k), 1 << 15):
-            part = k[a : a + (1 << 15)]
-            word = np.searchsorted(self.zeros_before, part, "right") - 1
-            zero = np.cumsum(1 - np.unpackbits(words[word], axis=1, bitorder="little").astype(np.int8), axis=1, dtype=np.int8)
-            out[a : a + len(part)] = word * 64 + (zero < (part - self.zeros_before[word] + 1)[:, None]).sum(axis=1)
-        return out
+        shift = max(0, (universe // max(1, n)).bit_length() - 1)
+        high = np.zeros((((universe >> shift) + n + 1) >> 6) + 1, np.uint64)
+        one = (values >> np.uint64(shift)).astype(np.int64) + np.arange(n)
+        np.bitwise_or.at(high, one >> 6, np.uint64(1) << (one & 63).astype(np.uint64))
+        ones = np.bitwise_count(high).astype(np.uint32)
+        low = np.zeros(((n * shift) >> 6) + 2, np.uint64)
+        if shift:
+            rest = values & np.uint64((1 << shift) - 1)
+            bit = np.arange(n, dtype=np.int64) * shift
+            off = (bit & 63).astype(np.uint64)
+            np.bitwise_or.at(low, bit >> 6, rest << off)
+            over = off + np.uint64(shift) > 64
+            np.bitwise_or.at(low, (bit[over] >> 6) + 1, rest[over] >> (np.uint64(64) - off[over]))
+        return EliasFano(low, high, np.cumsum(ones, dtype=np.uint32) - ones, n, shift)
 
-    def _low(self, at):
+    def values(self, at):
+        """The values at the places ``at``."""
         import numpy as np
 
-        out = np.zeros(len(at), np.uint64)
-        for k in range(self.shift // 8):
-            out |= self.low[at, k].astype(np.uint64) << np.uint64(8 * k)
+        if not len(at):
+            return np.zeros(0, np.uint64)
+        word = np.searchsorted(self.before, at.astype(np.uint32), "right") - 1
+        one = (word << 6) + _select_in(self.high[word], at - self.before[word])
+        out = (one - at).astype(np.uint64)
+        if self.shift:
+            bit = at * self.shift
+            off = (bit & 63).astype(np.uint64)
+            low = self.low[bit >> 6] >> off
+            low |= np.where(off > 0, self.low[(bit >> 6) + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+            out = (out << np.uint64(self.shift)) | (low & np.uint64((1 << self.shift) - 1))
         return out
 
-    def successor(self, keys):
-        """Place of the first value that is not less than the key (n if none)."""
+    def successor(self, keys, lo=None, hi=None):
+        """Place of the first value from ``lo`` on that is not less than the key; ``hi`` if none before it is."""
         import numpy as np
 
-        high = (keys >> np.uint64(self.shift)).astype(np.int64) if self.shift < 64 else np.zeros(len(keys), np.int64)
-        key = keys & np.uint64((1 << self.shift) - 1)
-        end = self._select0(high) - high
-        lo = np.where(high > 0, self._select0(np.maximum(high - 1, 0)) - high + 1, 0)
-        hi = end.copy()
-        while (open_ := np.flatnonzero(lo < hi)).size:
+        lo = np.zeros(len(keys), np.int64) if lo is None else lo.copy()
+        hi = np.full(len(keys), self.n, np.int64) if hi is None else hi.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while open_.size:
             mid = (lo[open_] + hi[open_]) >> 1
-            less = self._low(mid) < key[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
+            less = self.values(mid) < keys[open_]
+            lo[open_[less]] = mid[less] + 1
+            hi[open_[~less]] = mid[~less]
+            open_ = open_[lo[open_] < hi[open_]]
         return lo
 
-    def values(self, at):
-        """The values at the places ``at``."""
-        import numpy as np
-
-        marks = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        return ((marks - np.arange(self.n))[at].astype(np.uint64) << np.uint64(self.shift)) | self._low(at)
-
     def arrays(self) -> list:
-        return [self.low, self.high]
+        return [self.low, self.high, self.before]
 
 
 class Trie:
-    """Words over their contexts: level 1 holds the words' hashes, monotone
-    pointers into level 2, and the words' counts; level 2 the contexts of each
-    word, made monotone by the place of the word, and quantised log10 values.
-    The arrays lie in one memory-mapped file that goes with the object."""
+    """n-grams level by level in one memory map that goes with the object.
+
+    ``add`` appends a level: for each place of its parent level the children
+    there, sorted, with an optional code each.  A level keeps the children,
+    made monotone by the place of the parent, and monotone pointers from the
+    parents to their first child; a child is searched for between the pointers
+    of its parent only.
+    """
 
-    CONTEXT_BITS = 40
+    def __init__(self):
+        self.levels: dict[str, tuple] = {}
 
-    def __init__(self, words, counts, sizes, contexts, values, codes: int = 1 << 16):
+    def add(self, name: str, parents: int, parent, child, codes=None) -> None:
         import numpy as np
 
-        starts = np.concatenate([[0], np.cumsum(sizes)]).astype(np.uint64)
-        self.low_value = float(values.min()) if len(values) else 0.0
-        self.step = (float(values.max()) - self.low_value) / (codes - 1) if len(values) else 0.0
-        code = np.round((values - self.low_value) / (self.step or 1.0)).astype(np.uint16)
-        owner = np.repeat(np.arange(len(words), dtype=np.uint64), sizes)
-        level1 = EliasFano.build(words, 1 << 64)
-        pointers = EliasFano.build(starts, len(contexts) + 1)
-        level2 = EliasFano.build((owner << np.uint64(self.CONTEXT_BITS)) | contexts, max(1, len(words)) << self.CONTEXT_BITS)
-        kept = [level1, pointers, level2]
-        arrays = [x for y in kept for x in y.arrays()] + [counts.astype("<i8"), code]
-        with tempfile.TemporaryFile() as f:  # unlinked: nothing stays behind
-            for x in arrays:
-                f.write(x.tobytes())
-                f.write(b"\0" * (-x.nbytes % 8))
-            f.flush()
-            self.bytes = os.fstat(f.fileno()).st_size
-            whole = np.frombuffer(mmap.mmap(f.fileno(), max(1, self.bytes), prot=mmap.PROT_READ), np.uint8)
-        at, mapped = 0, []
-        for x in arrays:
-            mapped.append(whole[at : at + x.nbytes].view(x.dtype).reshape(x.shape))
-            at += x.nbytes + -x.nbytes % 8
-        self.words, self.pointers, self.contexts = (EliasFano(mapped[2 * i], mapped[2 * i + 1], y.n, y.shift) for i, y in enumerate(kept))
-        self.counts, self.codes = mapped[6], mapped[7]
+        starts = np.searchsorted(parent, np.arange(parents + 1)).astype(np.uint64)
+        key = (parent.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | child if parents > 1 else child
+        universe = parents << CONTEXT_BITS if parents > 1 else 1 << 64
+        self.levels[name] = EliasFano.build(key, universe), EliasFano.build(starts, len(child) + 1), codes, parents
 
-    def find_words(self, words):
-        """(place, known) of each word."""
+    def map(self) -> Trie:
+        """Move all levels into one memory map."""
         import numpy as np
 
-        if not self.words.n:
-            return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
-        at = np.minimum(self.words.successor(words), self.words.n - 1)
-        return at, self.words.values(at) == words
+        arrays = [x for keys, starts, codes, _ in self.levels.values() for x in (*keys.arrays(), *starts.arrays(), *([] if codes is None else [codes]))]
+        self.bytes = sum(x.nbytes + -x.nbytes % 8 for x in arrays)
+        whole = np.frombuffer(mmap.mmap(-1, max(1, self.bytes)), np.uint8)
+        at = 0
 
-    def values_of(self, place, contexts):
-        """log10 value of each (word at ``place``, context), NaN if it isn't held."""
+        def place(x):
+            nonlocal at
+            out = whole[at : at + x.nbytes].view(x.dtype)
+            out[:] = x
+            at += x.nbytes + -x.nbytes % 8
+            return out
+
+        for name, (keys, starts, codes, parents) in self.levels.items():
+            keys, starts = (EliasFano(*map(place, x.arrays()), x.n, x.shift) for x in (keys, starts))
+            self.levels[name] = keys, starts, None if codes is None else place(codes), parents
+        return self
+
+    def find(self, name: str, parent, child):
+        """Place of each ``child`` below the place ``parent`` (-1: none), -1 if it isn't held."""
         import numpy as np
 
-        out = np.full(len(place), np.nan)
-        if not self.contexts.n:
+        keys, starts, _, parents = self.levels[name]
+        out = np.full(len(child), -1, np.int64)
+        ask = np.flatnonzero(parent >= 0) if keys.n else np.zeros(0, np.int64)
+        if not ask.size:
             return out
-        key = (place.astype(np.uint64) << np.uint64(self.CONTEXT_BITS)) | contexts
-        starts = self.pointers.values(np.arange(self.pointers.n)).astype(np.int64)
-        at = self.contexts.successor(key)
-        inside = (at >= starts[place]) & (at < starts[place + 1])
-        at = np.where(inside, at, 0)
-        hit = inside & (self.contexts.values(at) == key)
-        out[hit] = self.low_value + self.step * self.codes[at[hit]]
+        above, key = parent[ask], child[ask]
+        if parents > 1:
+            key = (above.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | key
+        hi = starts.values(above + 1).astype(np.int64)
+        at = keys.successor(key, starts.values(above).astype(np.int64), hi)
+        hit = np.flatnonzero(at < hi)
+        hit = hit[keys.values(at[hit]) == key[hit]]
+        out[ask[hit]] = at[hit]
         return out
+
+    def codes(self, name: str):
+        return self.levels[name][2]

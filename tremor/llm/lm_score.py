@@ -1,23 +1,28 @@
-"""Bigram language model in Elias-Fano tries, one for each shard of words.
-
-A word w after v has the probability
-
-    (c(v w) + m(v) * u(w)) / (c(v) + m(v)),   u(w) = (c(w) + 1/2) / (N + V)
-
-with counts c over the training documents, N their tokens and V an estimate of
-their distinct tokens; 1/2 a type is left for as many unseen types.  m(v), how
-many counts the unigram weighs, is ``RARE`` for contexts below a share of 1 in
-``FREQUENT`` of the tokens and grows as count ** 0.75 above, about as the
-number of different words after v does.
-
-The sum of logarithms splits: numerators need only the counts of w, so words
-(not documents) are sharded, every occurrence goes to the shard of its word
-once, and c(v) + m(v) is added up where v is the word.  Very frequent words
-are spread over all shards by their context.  A shard merges the counts of all
-blocks of documents into a trie (words, then contexts, then quantised log10
-numerators), looks its occurrences up in it, and sends back one sum per
-document.  Nothing but the contexts above that share (at most ``FREQUENT``)
-is sent to all tasks.
+"""Trigram language model in Elias-Fano tries, one for each shard of words.
+
+With counts c over the training documents, a word w after u v has
+
+    p(w | u v) = (1 - d3) c(u v w) / c(u v)   if u v w was seen, else  d3 p(w | v)
+    p(w | v)   = (1 - d2) c(v w) / c(v)       if v w was seen, else    d2 p(w)
+    p(w)       = (c(w) + 1/2) / (N + V)
+
+where d = a * c ** -b of the context's count c is the share left for unseen
+words (1 for an unseen context): back-off with a linear discount that falls
+with the context's count.  1/2 a type is left for as many unseen types.  The
+sums over w stay below 1, as words seen after a context also have a part of
+what is left for the others.
+
+The logarithm is a sum of terms, each of counts of one word and its
+neighbours, so that every occurrence goes to the shard of its word once, with
+the two words before it and the one after: c(u v w), c(v w) and c(w) decide
+there which of the three it is and its numerator; as a context for the next
+word, c(u v), c(v) and what was seen after them give the rest.  A very frequent
+word is spread over all shards by the word before it; its count goes to all
+shards, and its part as a context v is added where w is.  A shard merges the
+counts of all blocks of documents into a trie (words; words before them, twice;
+words after them, also after pairs; quantised log10 counts), looks each
+distinct n-gram up in it, and sends back one sum per document.  Which words are
+spread, and how the documents are cut, doesn't change a score.
 """
 
 from __future__ import annotations
@@ -33,13 +38,12 @@ from tremor.llm.elias_fano import Trie
 from tremor.llm.hashing import word_hashes
 
 MOD, HELD_OUT = 7, 2
-FREQUENT = 1 << 16
-HOT = 1000  # words with at least 1 in so many tokens are spread over all shards
-RARE = 300.0
+HOT = 1000  # words with about 1 in so many tokens are spread over all shards; 4 times as many at most
+DISCOUNT2, DISCOUNT3 = (0.9, 0.1), (0.75, 0.1)  # a and b
 END = 0x5EED_0F_7E97  # stands for the end of a document, and for the context before its first word
 BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_500_000
-SAMPLE = 16  # one in so many hash values counts for V
 CONTEXT = (1 << 40) - 1
+STEP = 4096  # codes of log10 counts for each unit
 
 
 def _pack(*arrays) -> bytes:
@@ -88,24 +92,23 @@ def _blocks(batches: Iterator) -> Iterator:
 
 
 def _survey(batches: Iterator) -> Iterator:
-    """Counts of a block's frequent training tokens and of a sample of hash values; key null: of all."""
+    """Counts of a block's frequent training tokens; key null: of all training tokens, all tokens, training documents."""
     import numpy as np
     import pyarrow as pa
 
     for _, held, words in _blocks(batches):
-        n_all = sum(map(len, words))
         train = [x for x, out in zip(words, held, strict=True) if not out]
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *train]), return_counts=True)
         n = int(counts.sum())
-        keep = (counts * FREQUENT >= n) | (keys % np.uint64(SAMPLE) == 0)
+        keep = counts * HOT >= n
         yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()), pa.array([n, *counts[keep].tolist()], pa.int64()), pa.array([n_all] + [0] * int(keep.sum()), pa.int64())],
+            [pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()), pa.array([n, *counts[keep].tolist()], pa.int64()), pa.array([sum(map(len, words))] + [0] * int(keep.sum()), pa.int64())],
             ["key", "n", "n_all"],
         )
 
 
 class Plan:
-    """What all tasks know: N, V, the number of shards and the frequent contexts."""
+    """What all tasks know: N, the number of shards, and the words that are spread over them."""
 
     def __init__(self, docs: DataFrame):
         import numpy as np
@@ -113,32 +116,34 @@ class Plan:
         found = park(docs.mapInArrow(_survey, "key bigint, n bigint, n_all bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "lm-survey")
         whole = found.where("key is null").first()
         self.n, total = (whole["n"], whole["n_all"]) if whole else (0, 0)
-        self.v = max(1, SAMPLE * found.where(f"pmod(key, {SAMPLE}) = 0").count())
         self.shards = max(1, -(-total // SHARD_TOKENS))
-        rows = found.where("key is not null").where(F.col("n") * FREQUENT >= self.n).select("key", "n").collect()
-        keys = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        counts = np.array([r[1] for r in rows], np.float64)
-        weight = np.maximum(RARE, 8 * counts**0.75)
-        order = np.argsort(keys)
-        self.keys, self.weights = keys[order], weight[order]
-        short = np.argsort(keys & np.uint64(CONTEXT), kind="stable")
-        self.contexts, self.context_weights = (keys & np.uint64(CONTEXT))[short], weight[short]
-        self.hot = np.sort(keys[counts * HOT >= max(1, self.n)])
-
-    @staticmethod
-    def _look(keys, values, wanted):
-        import numpy as np
+        # a word with 1 in HOT tokens is frequent in a block at least; words frequent in few blocks only are left out
+        rows = found.where(f"key is not null and n * {4 * HOT} >= {self.n}").select("key").collect()
+        self.hot = np.unique(np.array([END, *(r[0] & ((1 << 64) - 1) for r in rows)], np.uint64))
+        self.hot_context = np.argsort(self.hot & np.uint64(CONTEXT))
+
+
+def _place(keys, wanted):
+    """Where each wanted value is in the sorted, non-empty keys, -1 for nowhere."""
+    import numpy as np
+
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+def _low5(x):
+    import numpy as np
+
+    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].copy()
 
-        if not len(keys):
-            return np.full(len(wanted), RARE)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where(keys[at] == wanted, values[at], RARE)
 
-    def weight(self, words):
-        return self._look(self.keys, self.weights, words)
+def _from5(parts: list):
+    import numpy as np
 
-    def context_weight(self, contexts):
-        return self._look(self.contexts, self.context_weights, contexts)
+    low = np.concatenate(parts)
+    out = np.zeros(len(low), np.uint64)
+    out.view(np.uint8).reshape(-1, 8)[:, :5] = low
+    return out
 
 
 def _occurrences(plan: Plan):
@@ -160,113 +165,146 @@ def _occurrences(plan: Plan):
             known = np.array([x is not None for x in ids], bool)
             yield row(-1, block, known, np.array([x or 0 for x in ids], np.int64), np.array(held, bool), sizes)
             word = np.concatenate(docs)
-            context = np.empty_like(word)
-            context[1:] = word[:-1]
-            context[np.cumsum(sizes) - sizes] = END
-            context &= np.uint64(CONTEXT)
-            doc = np.repeat(np.arange(len(docs), dtype=np.uint32), sizes)
+            low = word & np.uint64(CONTEXT)
+            first = np.cumsum(sizes) - sizes
+            before = np.roll(low, 1)
+            before[first] = END
+            before2 = np.roll(before, 1)
+            before2[first] = END
+            after = np.roll(low, -1)  # of a document's last token: not used
+            doc = np.repeat(np.arange(len(docs), dtype=np.uint16 if len(docs) < 1 << 16 else np.uint32), sizes)
             shard = ((word >> np.uint64(32)) % np.uint64(plan.shards)).astype(np.int32)
-            if len(plan.hot):
-                hot = plan.hot[np.minimum(np.searchsorted(plan.hot, word), len(plan.hot) - 1)] == word
-                shard[hot] = ((word[hot] >> np.uint64(32)) + context[hot] * np.uint64(0x9E3779B1)) % np.uint64(plan.shards)
-            order = np.lexsort((context, word, shard))
-            word, context, doc, shard = word[order], context[order], doc[order], shard[order]
+            hot = _place(plan.hot, word)
+            spread = hot >= 0
+            shard[spread] = ((word[spread] >> np.uint64(32)) + before[spread] * np.uint64(0x9E3779B1)) % np.uint64(plan.shards)
             train = ~np.array(held, bool)[doc]
-            # counts of hot words, for all shards
-            n_hot = np.bincount(np.searchsorted(plan.hot, word[np.isin(word, plan.hot) & train]), minlength=len(plan.hot)).astype(np.uint32) if len(plan.hot) else np.zeros(0, np.uint32)
+            n_hot = np.bincount(hot[spread & train], minlength=len(plan.hot)).astype(np.uint32)
+            order = np.lexsort((before, word, shard))
+            word, before, before2, after, doc, train, shard = (x[order] for x in (word, before, before2, after, doc, train, shard))
             cuts = np.searchsorted(shard, np.arange(plan.shards + 1))
             for s in range(plan.shards):
                 a, b = int(cuts[s]), int(cuts[s + 1])
-                if a == b and not n_hot.any():
-                    continue
-                w, c, d, t = word[a:b], context[a:b], doc[a:b], train[a:b]
+                w, c = word[a:b], before[a:b]
                 new = np.ones(b - a, bool)
                 new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
-                first = np.flatnonzero(new)
-                bw = w[first]
-                top = np.ones(len(first), bool)
-                top[1:] = bw[1:] != bw[:-1]
+                pair = np.flatnonzero(new)
+                top = np.ones(len(pair), bool)
+                top[1:] = w[pair][1:] != w[pair][:-1]
                 tops = np.flatnonzero(top)
-                per_pair = np.diff(np.append(first, b - a)).astype(np.uint32)
-                seen = np.add.reduceat(t.astype(np.uint32), first) if len(first) else np.zeros(0, np.uint32)
-                low5 = np.ascontiguousarray(c[first].astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5]
-                yield row(s, block, bw[tops], np.diff(np.append(tops, len(first))).astype(np.uint32), low5.copy(), per_pair, seen.astype(np.uint32), d, n_hot)
+                yield row(
+                    s, block, w[pair][tops], np.diff(np.append(tops, len(pair))).astype(np.uint32), _low5(c[pair]), np.diff(np.append(pair, b - a)).astype(np.uint32),
+                    _low5(before2[a:b]), _low5(after[a:b]), doc[a:b], np.packbits(train[a:b]), n_hot,
+                )
 
     return run
 
 
+def _left(count, discount: tuple[float, float]):
+    """log10 of the share that a context leaves for unseen words, and of what a seen word's count is multiplied by."""
+    import numpy as np
+
+    a, b = discount
+    c = np.maximum(count, 1).astype(np.float64)
+    share = np.where(count > 0, a * c**-b, 1.0)
+    return np.log10(share), np.log10(np.maximum(1 - share, 1e-300) / c)
+
+
 def _shard_sums(plan: Plan):
     """Blobs sorted by shard to (block, payload): per document of a block the sums of a shard.
 
     Block null: payload holds the shard's training tokens and distinct ones."""
 
+    def distinct(parent, child):
+        """Distinct (parent, child) as arrays sorted by both, and which of them each is."""
+        import numpy as np
+
+        key, of = np.unique((parent.astype(np.uint64) << np.uint64(40)) | child, return_inverse=True)
+        return (key >> np.uint64(40)).astype(np.int64), key & np.uint64(CONTEXT), of.astype(np.int32)
+
+    def code(counts):
+        import numpy as np
+
+        return np.round(np.log10(counts) * STEP).astype(np.uint16)
+
     def process(blobs: list[tuple[str, bytes]], shard: int):
         import numpy as np
 
         names, parts = [x[0] for x in blobs], []
         while blobs:  # their bytes go as they are unpacked
             parts.append(_unpack(blobs.pop(0)[1]))
-        word = np.concatenate([np.repeat(p[0], p[1]) for p in parts])
-        context = np.zeros(len(word), np.uint64)
-        context.view(np.uint8).reshape(-1, 8)[:, :5] = np.concatenate([p[2] for p in parts])
-        seen = np.concatenate([p[4] for p in parts])
-        n_hot = sum((p[6].astype(np.int64) for p in parts), np.zeros(len(plan.hot), np.int64))
-        parts = [(p[3], p[5]) for p in parts]
-        order = np.lexsort((context, word))
-        sw, sc = word[order], context[order]
-        new = np.ones(len(sw), bool)
-        new[1:] = (sw[1:] != sw[:-1]) | (sc[1:] != sc[:-1])
-        first = np.flatnonzero(new)
-        pair = np.empty(len(sw), np.int32)  # of each blob's pair: the merged one
-        pair[order] = np.cumsum(new, dtype=np.int32) - 1
-        pw, pc = sw[first], sc[first]
-        c_pair = np.add.reduceat(seen[order], first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
-        del word, context, seen, order, sw, sc, new
-        top = np.ones(len(pw), bool)
-        top[1:] = pw[1:] != pw[:-1]
-        tops = np.flatnonzero(top)
-        words = pw[tops]
-        c_word = np.add.reduceat(c_pair, tops) if len(tops) else np.zeros(0, np.int64)
-        hot = np.isin(words, plan.hot)
-        if hot.any():
-            c_word[hot] = n_hot[np.searchsorted(plan.hot, words[hot])]
+        n_hot = sum((p[8].astype(np.int64) for p in parts), np.zeros(len(plan.hot), np.int64))
+        train = np.concatenate([np.unpackbits(p[7], count=len(p[6])).astype(bool) for p in parts])
+        words, word = np.unique(np.concatenate([np.repeat(p[0], p[1]) for p in parts]), return_inverse=True)
+        of_word, before, pair = distinct(word, _from5([p[2] for p in parts]))
+        pair = np.repeat(pair, np.concatenate([p[3] for p in parts]))  # of each occurrence
+        of_pair, before2, tri = distinct(pair, _from5([p[4] for p in parts]))
+        after_pair, after, nxt = distinct(pair, _from5([p[5] for p in parts]))
+        docs = [p[6] for p in parts]
+        del parts, word
+        seen_tri, seen_after = (np.bincount(x[train], minlength=len(y)) for x, y in ((tri, of_pair), (nxt, after_pair)))
+        seen_pair = np.bincount(of_pair, seen_tri, len(of_word)).astype(np.int64)
+        seen_word = np.bincount(of_word, seen_pair, len(words)).astype(np.int64)
+        hot = _place(plan.hot, words)
+        seen_word = np.where(hot >= 0, n_hot[hot], seen_word)
         # the trie holds what occurs in training documents
-        own = c_pair > 0
-        of_pair = np.cumsum(top, dtype=np.int32) - 1
-        kept = np.flatnonzero(np.isin(np.arange(len(words)), of_pair[own]) | (c_word > 0))
-        u = (c_word + 0.5) / (plan.n + plan.v)
-        weight = plan.context_weight(pc)
-        value = np.log10(c_pair[own] + weight[own] * u[of_pair[own]])
-        sizes = np.bincount(np.searchsorted(kept, of_pair[own]), minlength=len(kept))
-        trie = Trie(words[kept], c_word[kept], sizes, pc[own], value)
-        # every distinct pair is looked up once
-        place, known = trie.find_words(words)
-        count = np.where(known, trie.counts[np.minimum(place, max(0, len(kept) - 1))] if len(kept) else 0, 0)
-        found = np.full(len(pw), np.nan)
-        ask = np.flatnonzero(known[of_pair])
-        found[ask] = trie.values_of(place[of_pair[ask]], pc[ask])
-        u = (count + 0.5) / (plan.n + plan.v)
-        log_p = np.where(np.isnan(found), np.log10(weight * u[of_pair]), found)
-        # of a word, but not the end, as the next one's context
-        below = np.where(words == np.uint64(END), 0.0, np.log10(count + plan.weight(words)))
-        log_p = log_p - below[of_pair]
-        log_c = np.log10((count + 1.0) / (plan.n + 1.0))[of_pair]  # against N + 1, lest large sums cancel
-        is_known = (count > 0)[of_pair]
-        del trie, found, weight, below
-        at = 0
-        for block, (n_pair, doc) in zip(names, parts, strict=True):
-            mine = np.repeat(pair[at : at + len(n_pair)], n_pair)
-            at += len(n_pair)
-            if not len(doc):
-                continue
-            size = int(doc.max()) + 1
-            sums = [np.bincount(doc, x[mine], size) for x in (log_p, log_c)]
-            yield block, _pack(sums[0].astype(np.float32), sums[1], np.bincount(doc, is_known[mine], size).astype(np.uint32))
+        trie = Trie()
+        kept = np.flatnonzero(seen_word > 0)
+        trie.add("word", 1, np.zeros(len(kept), np.int64), words[kept])
+        place = np.cumsum(seen_word > 0) - 1
+        own = np.flatnonzero(seen_pair > 0)
+        trie.add("before", len(kept), place[of_word[own]], before[own], code(seen_pair[own]))
+        place_pair = np.cumsum(seen_pair > 0) - 1
+        held = np.flatnonzero(seen_tri > 0)
+        trie.add("before2", len(own), place_pair[of_pair[held]], before2[held], code(seen_tri[held]))
+        held = np.flatnonzero(seen_after > 0)
+        trie.add("after pair", len(own), place_pair[after_pair[held]], after[held])
+        follow = np.unique((place[of_word[after_pair[held]]].astype(np.uint64) << np.uint64(40)) | after[held])
+        trie.add("after", len(kept), (follow >> np.uint64(40)).astype(np.int64), follow & np.uint64(CONTEXT))
+        trie.map()
+        del seen_tri, seen_after, follow, held, own, place, place_pair
+        # every distinct n-gram is looked up once
+        at_word = trie.find("word", np.zeros(len(words), np.int64), words)
+        count = np.where(at_word >= 0, seen_word, 0)
+        at_pair = trie.find("before", at_word[of_word], before)
+        at_tri = trie.find("before2", at_pair[of_pair], before2)
+        at_after_pair = trie.find("after pair", at_pair[after_pair], after)
+        at_after = trie.find("after", at_word[of_word[after_pair]], after)
+
+        def value(name, at):
+            return np.where(at >= 0, trie.codes(name)[np.maximum(at, 0)] / STEP if len(trie.codes(name)) else 0.0, 0.0)
+
+        # as a word: which of the three, its numerator, and what a frequent word before it leaves
+        start = before == np.uint64(END)
+        level3 = (at_tri >= 0) & ~start[of_pair]
+        context = plan.hot_context[np.maximum(_place((plan.hot & np.uint64(CONTEXT))[plan.hot_context], before), 0)]
+        is_hot = _place((plan.hot & np.uint64(CONTEXT))[plan.hot_context], before) >= 0
+        left, taken = _left(np.where(is_hot, n_hot[context], 0), DISCOUNT2)
+        lower = np.where(at_pair >= 0, value("before", at_pair) + np.where(is_hot, taken, 0.0), np.log10(count + 0.5)[of_word] + np.where(is_hot, left, 0.0))
+        log_p = np.where(level3, value("before2", at_tri), lower[of_pair])
+        unseen = (~level3 & (at_pair < 0)[of_pair])[tri]
+        # as the context of the next word
+        left, taken = _left(seen_pair, DISCOUNT3)
+        rest = np.where(at_after_pair >= 0, taken[after_pair], left[after_pair])
+        left, taken = _left(count, DISCOUNT2)
+        cold = (hot < 0)[of_word[after_pair]] & (at_after_pair < 0)
+        rest += np.where(cold, np.where(at_after >= 0, taken[of_word[after_pair]], left[of_word[after_pair]]), 0.0)
+        rest[(words == np.uint64(END))[of_word[after_pair]]] = 0.0
+        log_p = log_p[tri] + rest[nxt]
+        log_c = np.log10((count + 1.0) / (plan.n + 1.0))[of_word][pair]  # against N + 1, lest large sums cancel
+        known = (count > 0)[of_word][pair]
         here = np.array([(int(w) >> 32) % plan.shards == shard for w in plan.hot], bool)
-        cold = ~hot
-        n = int(c_word[cold].sum() + n_hot[here].sum())
-        v = int((c_word[cold] > 0).sum() + (n_hot[here] > 0).sum())
+        n = int(seen_word[hot < 0].sum() + n_hot[here].sum())
+        v = int((seen_word[hot < 0] > 0).sum() + (n_hot[here] > 0).sum())
         yield None, _pack(np.array([n, v], np.int64))
+        del trie, tri, nxt, pair, rest, lower
+        at = 0
+        for block, doc in zip(names, docs, strict=True):
+            mine = slice(at, at + len(doc))
+            at += len(doc)
+            if len(doc):
+                size = int(doc.max()) + 1
+                counts = (np.bincount(doc, x[mine], size).astype(np.uint32) for x in (known, unseen))
+                yield block, _pack(np.bincount(doc, log_p[mine], size).astype(np.float32), np.bincount(doc, log_c[mine], size), *counts)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -303,15 +341,14 @@ def _assemble(plan: Plan, n: int, v: int):
 
         def documents(rows: list[tuple[bool, bytes]]):
             known, ids, held, sizes = next(_unpack(x) for is_docs, x in rows if is_docs)
-            log_p, log_c, n_known = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64)
+            log_p, log_c, n_known, unseen = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for _, x in (r for r in rows if not r[0]):
-                for total, part in zip((log_p, log_c, n_known), _unpack(x), strict=True):
+                for total, part in zip((log_p, log_c, n_known, unseen), _unpack(x), strict=True):
                     total[: len(part)] += part
-            # the first word's context occurs once in each training document
-            start = math.log10(plan.starts + float(plan.weight(np.array([END], np.uint64))[0]))
+            log_p -= unseen * math.log10(max(1, n + v))
             base = log_c - sizes * math.log10((n + v + 1) / (plan.n + 1.0))
             return pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64(), mask=~known), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(np.minimum(0.0, log_p - start), pa.float64())],
+                [pa.array(ids, pa.int64(), mask=~known), pa.array(held, pa.bool_()), pa.array(sizes, pa.int64()), pa.array(n_known, pa.int64()), pa.array([n] * len(ids), pa.int64()), pa.array(base, pa.float64()), pa.array(np.minimum(0.0, log_p), pa.float64())],
                 ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
 
@@ -337,12 +374,12 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     ``HELD_OUT`` by ``MOD`` are scored, the others are scored and learnt from.
     A null or empty text is the end alone; repeated rows count each time;
     other columns are not read; without training documents all counts are 0;
-    an empty table gives an empty result.
+    an empty table gives an empty result.  doc_id is cast to a whole number: a
+    text that is none is an error.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (crc_of_id() % MOD == HELD_OUT).alias("held_out"))
     spark = docs.sparkSession
     plan = Plan(docs)
-    plan.starts = docs.where("not held_out").count()
     n = partitions(spark)
     blobs = docs.mapInArrow(_occurrences(plan), "shard int, block string, payload binary")
     spread = F.when(F.col("shard") < 0, F.hash("block")).otherwise(F.col("shard"))
