@@ -19,8 +19,9 @@ def test_elias_fano_successor(values, bits):
     keys = np.concatenate([values, np.arange(0, universe, max(1, universe // 50), dtype=np.uint64)])
     assert (seq.successor(keys) == np.searchsorted(values, keys)).all()
     assert (seq.values(np.arange(len(values))) == values).all()
-    lo, hi = np.full(len(keys), len(values) // 3), np.full(len(keys), len(values) // 2)
-    assert (seq.successor(keys, lo, hi) == np.clip(np.searchsorted(values, keys), lo, np.maximum(lo, hi))).all()
+    lo, hi = len(values) // 3, len(values) // 2
+    assert (seq.part(lo, hi) == values[lo:hi]).all()
+    assert (seq.successor(keys, lo, hi) == np.clip(np.searchsorted(values, keys), lo, hi)).all()
 
 
 def test_elias_fano_is_compact():

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import mmap
 
-CONTEXT_BITS = 40
+CONTEXT_BITS = 32
+ASKED = 1 << 16  # children that are looked up at a time
 
 
 def _select_in(word, k):
@@ -59,29 +60,37 @@ class EliasFano:
             return np.zeros(0, np.uint64)
         word = np.searchsorted(self.before, at.astype(np.uint32), "right") - 1
         one = (word << 6) + _select_in(self.high[word], at - self.before[word])
-        out = (one - at).astype(np.uint64)
-        if self.shift:
-            bit = at * self.shift
-            off = (bit & 63).astype(np.uint64)
-            low = self.low[bit >> 6] >> off
-            low |= np.where(off > 0, self.low[(bit >> 6) + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
-            out = (out << np.uint64(self.shift)) | (low & np.uint64((1 << self.shift) - 1))
-        return out
+        return self._with_low((one - at).astype(np.uint64), at)
+
+    def _with_low(self, high, at):
+        import numpy as np
+
+        if not self.shift:
+            return high
+        bit = at * self.shift
+        off = (bit & 63).astype(np.uint64)
+        low = self.low[bit >> 6] >> off
+        low |= np.where(off > 0, self.low[(bit >> 6) + 1] << ((np.uint64(64) - off) & np.uint64(63)), np.uint64(0))
+        return (high << np.uint64(self.shift)) | (low & np.uint64((1 << self.shift) - 1))
 
-    def successor(self, keys, lo=None, hi=None):
-        """Place of the first value from ``lo`` on that is not less than the key; ``hi`` if none before it is."""
+    def part(self, a: int, b: int):
+        """The values at the places from ``a`` to ``b``, read one after the other."""
         import numpy as np
 
-        lo = np.zeros(len(keys), np.int64) if lo is None else lo.copy()
-        hi = np.full(len(keys), self.n, np.int64) if hi is None else hi.copy()
-        open_ = np.flatnonzero(lo < hi)
-        while open_.size:
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self.values(mid) < keys[open_]
-            lo[open_[less]] = mid[less] + 1
-            hi[open_[~less]] = mid[~less]
-            open_ = open_[lo[open_] < hi[open_]]
-        return lo
+        if a >= b:
+            return np.zeros(0, np.uint64)
+        word, last = (int(x) for x in np.searchsorted(self.before, np.array([a, b - 1], np.uint32), "right") - 1)
+        ones = np.flatnonzero(np.unpackbits(self.high[word : last + 1].view(np.uint8), bitorder="little"))
+        skip = a - int(self.before[word])
+        at = np.arange(a, b)
+        high = (ones[skip : skip + b - a] + ((word << 6) - at)).astype(np.uint64)
+        return self._with_low(high, at)
+
+    def successor(self, keys, lo: int = 0, hi: int | None = None):
+        """Place of the first value from ``lo`` on that is not less than the key; ``hi`` (the end) if none before it is."""
+        import numpy as np
+
+        return lo + np.searchsorted(self.part(lo, self.n if hi is None else hi), keys)
 
     def arrays(self) -> list:
         return [self.low, self.high, self.before]
@@ -130,22 +139,30 @@ class Trie:
         return self
 
     def find(self, name: str, parent, child):
-        """Place of each ``child`` below the place ``parent`` (-1: none), -1 if it isn't held."""
+        """Place of each ``child`` below the place ``parent`` (-1: none), -1 if it isn't held.
+
+        Questions are taken in order, so that those of neighbouring parents
+        share one look at what lies between the pointers of the first and last.
+        """
         import numpy as np
 
         keys, starts, _, parents = self.levels[name]
         out = np.full(len(child), -1, np.int64)
         ask = np.flatnonzero(parent >= 0) if keys.n else np.zeros(0, np.int64)
-        if not ask.size:
-            return out
         above, key = parent[ask], child[ask]
         if parents > 1:
             key = (above.astype(np.uint64) << np.uint64(CONTEXT_BITS)) | key
-        hi = starts.values(above + 1).astype(np.int64)
-        at = keys.successor(key, starts.values(above).astype(np.int64), hi)
-        hit = np.flatnonzero(at < hi)
-        hit = hit[keys.values(at[hit]) == key[hit]]
-        out[ask[hit]] = at[hit]
+        if (key[1:] < key[:-1]).any():
+            order = np.argsort(key)
+            ask, above, key = ask[order], above[order], key[order]
+        for i in range(0, len(ask), ASKED):
+            own, wanted = above[i : i + ASKED], key[i : i + ASKED]
+            lo, hi = (int(x) for x in starts.values(np.array([own[0], own[-1] + 1])))
+            values = keys.part(lo, hi)
+            at = np.searchsorted(values, wanted)
+            hit = np.flatnonzero(at < len(values))
+            hit = hit[values[at[hit]] == wanted[hit]]
+            out[ask[i : i + ASKED][hit]] = lo + at[hit]
         return out
 
     def codes(self, name: str):

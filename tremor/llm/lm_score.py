@@ -42,7 +42,8 @@ HOT = 1000  # words with about 1 in so many tokens are spread over all shards; 4
 DISCOUNT2, DISCOUNT3 = (0.9, 0.1), (0.75, 0.1)  # a and b
 END = 0x5EED_0F_7E97  # stands for the end of a document, and for the context before its first word
 BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_500_000
-CONTEXT = (1 << 40) - 1
+CONTEXT = (1 << 32) - 1  # neighbours are told apart by so many bits of their hashes
+CODED = 255  # most frequent neighbours that are sent as one byte
 STEP = 4096  # codes of log10 counts for each unit
 
 
@@ -100,7 +101,7 @@ def _survey(batches: Iterator) -> Iterator:
         train = [x for x, out in zip(words, held, strict=True) if not out]
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *train]), return_counts=True)
         n = int(counts.sum())
-        keep = counts * HOT >= n
+        keep = counts * (8 * HOT) >= n
         yield pa.RecordBatch.from_arrays(
             [pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()), pa.array([n, *counts[keep].tolist()], pa.int64()), pa.array([sum(map(len, words))] + [0] * int(keep.sum()), pa.int64())],
             ["key", "n", "n_all"],
@@ -117,10 +118,12 @@ class Plan:
         whole = found.where("key is null").first()
         self.n, total = (whole["n"], whole["n_all"]) if whole else (0, 0)
         self.shards = max(1, -(-total // SHARD_TOKENS))
-        # a word with 1 in HOT tokens is frequent in a block at least; words frequent in few blocks only are left out
-        rows = found.where(f"key is not null and n * {4 * HOT} >= {self.n}").select("key").collect()
-        self.hot = np.unique(np.array([END, *(r[0] & ((1 << 64) - 1) for r in rows)], np.uint64))
+        # a word with 1 in 8 HOT tokens is frequent in a block at least
+        rows = found.where(f"key is not null and n * {8 * HOT} >= {self.n}").orderBy(F.desc("n"), "key").collect()
+        words = [(r["key"] & ((1 << 64) - 1), r["n"]) for r in rows]
+        self.hot = np.unique(np.array([END, *(x for x, n in words if n * HOT >= self.n)], np.uint64))
         self.hot_context = np.argsort(self.hot & np.uint64(CONTEXT))
+        self.coded = np.unique(np.array([END, *(x for x, _ in words[:CODED])], np.uint64) & np.uint64(CONTEXT))[:CODED]
 
 
 def _place(keys, wanted):
@@ -131,18 +134,20 @@ def _place(keys, wanted):
     return np.where(keys[at] == wanted, at, -1)
 
 
-def _low5(x):
+def _short(plan: Plan, x) -> tuple:
+    """Neighbours as one byte each, 0 for those that follow in full."""
     import numpy as np
 
-    return np.ascontiguousarray(x.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :5].copy()
+    code = (_place(plan.coded, x) + 1).astype(np.uint8)
+    return code, x[code == 0].astype(np.uint32)
 
 
-def _from5(parts: list):
+def _long(plan: Plan, parts: list[tuple]):
     import numpy as np
 
-    low = np.concatenate(parts)
-    out = np.zeros(len(low), np.uint64)
-    out.view(np.uint8).reshape(-1, 8)[:, :5] = low
+    code = np.concatenate([x for x, _ in parts])
+    out = plan.coded[code.astype(np.int64) - 1]
+    out[code == 0] = np.concatenate([x for _, x in parts])
     return out
 
 
@@ -168,9 +173,9 @@ def _occurrences(plan: Plan):
             low = word & np.uint64(CONTEXT)
             first = np.cumsum(sizes) - sizes
             before = np.roll(low, 1)
-            before[first] = END
+            before[first] = END & CONTEXT
             before2 = np.roll(before, 1)
-            before2[first] = END
+            before2[first] = END & CONTEXT
             after = np.roll(low, -1)  # of a document's last token: not used
             doc = np.repeat(np.arange(len(docs), dtype=np.uint16 if len(docs) < 1 << 16 else np.uint32), sizes)
             shard = ((word >> np.uint64(32)) % np.uint64(plan.shards)).astype(np.int32)
@@ -192,8 +197,8 @@ def _occurrences(plan: Plan):
                 top[1:] = w[pair][1:] != w[pair][:-1]
                 tops = np.flatnonzero(top)
                 yield row(
-                    s, block, w[pair][tops], np.diff(np.append(tops, len(pair))).astype(np.uint32), _low5(c[pair]), np.diff(np.append(pair, b - a)).astype(np.uint32),
-                    _low5(before2[a:b]), _low5(after[a:b]), doc[a:b], np.packbits(train[a:b]), n_hot,
+                    s, block, w[pair][tops], np.diff(np.append(tops, len(pair))).astype(np.uint32), np.diff(np.append(pair, b - a)).astype(np.uint32), doc[a:b], np.packbits(train[a:b]), n_hot,
+                    *_short(plan, c[pair]), *_short(plan, before2[a:b]), *_short(plan, after[a:b]),
                 )
 
     return run
@@ -218,8 +223,8 @@ def _shard_sums(plan: Plan):
         """Distinct (parent, child) as arrays sorted by both, and which of them each is."""
         import numpy as np
 
-        key, of = np.unique((parent.astype(np.uint64) << np.uint64(40)) | child, return_inverse=True)
-        return (key >> np.uint64(40)).astype(np.int64), key & np.uint64(CONTEXT), of.astype(np.int32)
+        key, of = np.unique((parent.astype(np.uint64) << np.uint64(32)) | child, return_inverse=True)
+        return (key >> np.uint64(32)).astype(np.int64), key & np.uint64(CONTEXT), of.astype(np.int32)
 
     def code(counts):
         import numpy as np
@@ -232,14 +237,14 @@ def _shard_sums(plan: Plan):
         names, parts = [x[0] for x in blobs], []
         while blobs:  # their bytes go as they are unpacked
             parts.append(_unpack(blobs.pop(0)[1]))
-        n_hot = sum((p[8].astype(np.int64) for p in parts), np.zeros(len(plan.hot), np.int64))
-        train = np.concatenate([np.unpackbits(p[7], count=len(p[6])).astype(bool) for p in parts])
+        n_hot = sum((p[5].astype(np.int64) for p in parts), np.zeros(len(plan.hot), np.int64))
+        train = np.concatenate([np.unpackbits(p[4], count=len(p[3])).astype(bool) for p in parts])
         words, word = np.unique(np.concatenate([np.repeat(p[0], p[1]) for p in parts]), return_inverse=True)
-        of_word, before, pair = distinct(word, _from5([p[2] for p in parts]))
-        pair = np.repeat(pair, np.concatenate([p[3] for p in parts]))  # of each occurrence
-        of_pair, before2, tri = distinct(pair, _from5([p[4] for p in parts]))
-        after_pair, after, nxt = distinct(pair, _from5([p[5] for p in parts]))
-        docs = [p[6] for p in parts]
+        of_word, before, pair = distinct(word, _long(plan, [p[6:8] for p in parts]))
+        pair = np.repeat(pair, np.concatenate([p[2] for p in parts]))  # of each occurrence
+        of_pair, before2, tri = distinct(pair, _long(plan, [p[8:10] for p in parts]))
+        after_pair, after, nxt = distinct(pair, _long(plan, [p[10:12] for p in parts]))
+        docs = [p[3] for p in parts]
         del parts, word
         seen_tri, seen_after = (np.bincount(x[train], minlength=len(y)) for x, y in ((tri, of_pair), (nxt, after_pair)))
         seen_pair = np.bincount(of_pair, seen_tri, len(of_word)).astype(np.int64)
@@ -258,8 +263,9 @@ def _shard_sums(plan: Plan):
         trie.add("before2", len(own), place_pair[of_pair[held]], before2[held], code(seen_tri[held]))
         held = np.flatnonzero(seen_after > 0)
         trie.add("after pair", len(own), place_pair[after_pair[held]], after[held])
-        follow = np.unique((place[of_word[after_pair[held]]].astype(np.uint64) << np.uint64(40)) | after[held])
-        trie.add("after", len(kept), (follow >> np.uint64(40)).astype(np.int64), follow & np.uint64(CONTEXT))
+        follow = np.sort((place[of_word[after_pair[held]]].astype(np.uint64) << np.uint64(32)) | after[held])
+        follow = follow[np.append(True, follow[1:] != follow[:-1])[: len(follow)]]
+        trie.add("after", len(kept), (follow >> np.uint64(32)).astype(np.int64), follow & np.uint64(CONTEXT))
         trie.map()
         del seen_tri, seen_after, follow, held, own, place, place_pair
         # every distinct n-gram is looked up once
@@ -274,7 +280,7 @@ def _shard_sums(plan: Plan):
             return np.where(at >= 0, trie.codes(name)[np.maximum(at, 0)] / STEP if len(trie.codes(name)) else 0.0, 0.0)
 
         # as a word: which of the three, its numerator, and what a frequent word before it leaves
-        start = before == np.uint64(END)
+        start = before == np.uint64(END & CONTEXT)
         level3 = (at_tri >= 0) & ~start[of_pair]
         context = plan.hot_context[np.maximum(_place((plan.hot & np.uint64(CONTEXT))[plan.hot_context], before), 0)]
         is_hot = _place((plan.hot & np.uint64(CONTEXT))[plan.hot_context], before) >= 0
