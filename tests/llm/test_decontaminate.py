@@ -45,3 +45,21 @@ def test_inconsistent_slots_are_not_a_match(spark):
     bench = spark.createDataFrame([(1, text)], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, text.replace("5", "9")), (2, text.replace("5 red", "9 red").replace("5 green", "8 green").replace("5 blue", "7 blue"))], "doc_id bigint, text string")
     assert [r.doc_id for r in D.contaminated(docs, bench).collect()] == [1]
+
+
+def test_names_that_begin_sentences_and_items_of_placeholders(spark):
+    names = "Alice has red apples. Bob has green pears. Carol wants plums."
+    bench = spark.createDataFrame([(1, names), (2, "12 + 30 = 42"), (3, "Anna, Bert, Cora, Dirk, Emil, Fred, Gina, Hugo and Ida sat down")], "item_id bigint, text string")
+    texts = [
+        names, names.replace("Alice", "Diana").replace("Bob", "Peter").replace("Carol", "Susan"), names.replace("Alice", "Bob"), "It says 12 + 30 = 42 here", "It says 13 + 30 = 43 here",
+        "Well, Anna, Bert, Cora, Dirk, Emil, Fred, Gina, Hugo and Ida sat down again", "Well, Axel, Beth, Carl, Dora, Egon, Fritz, Gerd, Hans and Ines were there again", "Alice has a dog. Bob has a cat. Carol wants plums.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.exact) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(0, 1, True), (1, 1, False), (3, 2, True), (5, 3, True), (2, 1, False)}
+
+
+def test_one_name_for_two_is_no_match(spark):
+    bench = spark.createDataFrame([(1, "Alice gives Bob three of the red apples and Bob gives Alice two of the pears")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "Eve gives Tom three of the red apples and Tom gives Eve two of the pears"), (2, "Eve gives Tom three of the red apples and Ida gives Kim two of the pears")], "doc_id bigint, text string")
+    assert [r.doc_id for r in D.contaminated(docs, bench).collect()] == [1]

@@ -1,10 +1,13 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
 Numbers, names and units become typed placeholders, so that a question with
-other figures or names keeps its template.  Windows of template tokens of all
-documents are hash-joined with those of the benchmark; along each alignment of
-document and item, a slot value of the item must stand for one value of the
-document only.
+other figures or names keeps its template.  A word of mixed case is a name,
+also where it begins a sentence: as a slot it stands for a name or for itself.
+Windows of template tokens of all documents are hash-joined with those of the
+benchmark; along each alignment of document and item, a slot value of the item
+must stand for one value of the document only.  An item that is mostly
+placeholders (figures, lists of names) has no template to speak of; its
+windows of few literals are looked up by their own words.
 """
 
 from __future__ import annotations
@@ -25,14 +28,11 @@ UNITS = (
     "inch inches foot feet yard yards mile miles meter meters metre metres gram grams pound pounds ounce ounces liter liters litre litres percent dollar dollars euro euros cent cents usd eur mph kmh kb mb gb w kw v a hz khz mhz c f"
 ).split()
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-#: A capital after the start of the text, a new line or a sign other than a comma, hyphen or apostrophe begins a sentence; \x01 marks it.
-SENTENCE = r"(^|\n[ \t-\r]*|[^\p{L}\p{N},'’ \t-\r-][ \t-\r]*)(\p{Lu})"
-SEPARATORS = "[^\\p{L}\\p{N}\x01]+"
+SEPARATORS = r"[^\p{L}\p{N}]+"
 
 
 def _raw(text: Column) -> Column:
-    marked = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit("$1\x01$2"))
-    return F.filter(F.split(marked, SEPARATORS), lambda x: x != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda x: x != "")
 
 
 def _number(x: Column) -> Column:
@@ -40,14 +40,13 @@ def _number(x: Column) -> Column:
 
 
 def _canonical(raw: Column) -> Column:
-    """Template tokens; a word of mixed case within a sentence is a name."""
+    """Template tokens."""
     before = F.concat(F.array(F.lit("")), raw)
 
     def token(x: Column, prev: Column) -> Column:
         low = F.lower(x)
         return (
-            F.when(F.startswith(x, F.lit("\x01")), F.substr(low, F.lit(2)))
-            .when(_number(x), NUM)
+            F.when(_number(x), NUM)
             .when(_number(prev) & low.isin(UNITS), UNIT)
             .when((x != low) & (x != F.upper(x)), NAME)
             .otherwise(low)
@@ -56,27 +55,37 @@ def _canonical(raw: Column) -> Column:
     return F.filter(F.zip_with(raw, before, lambda x, p: F.when(x.isNotNull(), token(x, p))), lambda t: t.isNotNull())
 
 
-def _windows(size: Column | int, of: Column) -> Column:
-    """All slices of ``size`` tokens, none if there are fewer."""
+def _windows(size: Column | int, of: Column, *more: Column) -> Column:
+    """Hashes of all slices of ``size`` tokens (with ``more``), none if there are fewer."""
     size = F.lit(size) if isinstance(size, int) else size
     n = F.size(of) - size + 1
     places = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(of, i, size)))
+    return F.transform(places, lambda i: F.xxhash64(F.slice(of, i, size), *more))
+
+
+def _lower(raw: Column) -> Column:
+    return F.transform(raw, F.lower)
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, size, n_windows, key and values (slot values, null for
-    literals) of the windows with enough literals."""
+    """item_id, at, size, literal, n_windows, key and values (slot values, null for literals) of the windows with
+    enough literals, and of all windows of items that have few of them (``literal``: the key is of the words themselves)."""
     items = benchmark.select("item_id", "text").dropDuplicates().where("item_id is not null")
     items = items.withColumn("raw", _raw(F.col("text"))).select("item_id", "raw", _canonical(F.col("raw")).alias("c")).where(F.size("c") > 0)
     items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("c")))
-    rows = items.select("item_id", "raw", "c", "size", F.posexplode(_windows(F.col("size"), F.col("c"))).alias("k", "key"))
+    keys = F.arrays_zip(_windows(F.col("size"), F.col("c")).alias("t"), _windows(F.col("size"), _lower(F.col("raw")), F.lit(1)).alias("w"))
+    rows = items.select("item_id", "raw", "c", "size", F.posexplode(keys).alias("k", "keys"))
     tokens = F.slice("c", F.col("k") + 1, F.col("size"))
     slots = F.zip_with(tokens, F.slice("raw", F.col("k") + 1, F.col("size")), lambda t, r: F.when(t.isin(NUM, NAME, UNIT), F.lower(r)))
-    rows = rows.select("item_id", F.col("k").alias("at"), "size", "key", slots.alias("values"))
-    rows = rows.where(F.size(F.array_compact("values")) <= (1 - LITERALS) * F.col("size"))
-    n = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_windows"))
-    return rows.join(n, "item_id")
+    rows = rows.select("item_id", F.col("k").alias("at"), "size", "keys", slots.alias("values"))
+    rows = rows.withColumn("literal", F.size(F.array_compact("values")) > (1 - LITERALS) * F.col("size"))
+    n = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("literal")).alias("n_rich"))
+    rows = rows.join(n, "item_id").withColumn("poor", 2 * F.col("n_rich") < F.col("n_all")).where("poor or not literal")
+    none = F.transform("values", lambda _: F.lit(None).cast("string"))
+    return rows.select(
+        "item_id", "at", "size", "literal", F.when(F.col("poor"), F.col("n_all")).otherwise(F.col("n_rich")).alias("n_windows"),
+        F.when(F.col("literal"), F.col("keys")["w"]).otherwise(F.col("keys")["t"]).alias("key"), F.when(F.col("literal"), none).otherwise(F.col("values")).alias("values"),
+    )
 
 
 def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
@@ -89,23 +98,25 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
     empty tables give an empty result.
     """
     bench = park(benchmark_windows(benchmark), "benchmark-windows")
-    sizes = sorted(r[0] for r in bench.select("size").distinct().collect())
+    kinds = sorted(map(tuple, bench.select("size", "literal").distinct().collect()))  # two for each length up to WINDOW at most
     n_bench = bench.count()
     bench = F.broadcast(bench) if n_bench <= broadcast_windows else bench
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    templates = docs.withColumn("raw", _raw(F.col("text"))).select("doc_id", "text_key", _canonical(F.col("raw")).alias("c"))
+    raw = docs.select("doc_id", "text_key", _raw(F.col("text")).alias("raw"))
+    templates = raw.select("doc_id", "text_key", _canonical(F.col("raw")).alias("c"))
     found = None
-    for size in sizes or [WINDOW]:
+    for size, literal in kinds or [(WINDOW, False)]:
+        of = raw.select("doc_id", "text_key", _windows(size, _lower(F.col("raw")), F.lit(1)).alias("keys")) if literal else templates.select("doc_id", "text_key", _windows(size, F.col("c")).alias("keys"))
         # only keys go through the join; outer, lest the optimizer works the windows out once more to leave empty ones out
-        keys = templates.select("doc_id", "text_key", F.posexplode_outer(_windows(size, F.col("c"))).alias("place", "key"))
-        hits = keys.join(bench.where(F.col("size") == size), "key").select("doc_id", "text_key", "place", "item_id", "n_windows", "at", "size", "values")
+        keys = of.select("doc_id", "text_key", F.posexplode_outer("keys").alias("place", "key"))
+        hits = keys.join(bench.where((F.col("size") == size) & (F.col("literal") == literal)), "key").select("doc_id", "text_key", "place", "item_id", "n_windows", "at", "size", "values")
         found = hits if found is None else found.unionByName(hits)
     found = park(found, "benchmark-hits")
     wanted = park(found.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")).distinct(), "benchmark-docs")
     wanted = F.broadcast(wanted) if wanted.count() <= broadcast_windows else wanted
     on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))
     raws = docs.join(wanted, on).select("of_doc", "of_key", _raw(F.col("text")).alias("raw")).dropDuplicates(["of_doc", "of_key"])
-    own = F.zip_with("values", F.slice("raw", F.col("place") + 1, F.col("size")), lambda v, r: F.when(v.isNotNull(), F.struct(v.alias("item"), F.regexp_replace(F.lower(r), "\x01", "").alias("doc"))))
+    own = F.zip_with("values", F.slice("raw", F.col("place") + 1, F.col("size")), lambda v, r: F.when(v.isNotNull(), F.struct(v.alias("item"), F.lower(r).alias("doc"))))
     found = found.join(raws, on).select("doc_id", "text_key", "item_id", "n_windows", "at", (F.col("place") - F.col("at")).alias("shift"), F.array_compact(own).alias("slots"))
     # slots of an alignment: pairs of values, each item value with one document value
     along = found.groupBy("doc_id", "text_key", "item_id", "n_windows", "shift").agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
@@ -130,29 +141,31 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UNIT_LIST = ", ".join(f"'{u}'" for u in UNITS)
 _DIGIT = "(substr({0}, 1, 1) between '0' and '9')"
-_TOKEN = f"""case when starts_with(x, chr(1)) then lower(substr(x, 2)) when {_DIGIT.format("x")} then '{NUM}'
+_TOKEN = f"""case when {_DIGIT.format("x")} then '{NUM}'
   when i > 1 and {_DIGIT.format("raw[i - 1]")} and lower(x) in ({_UNIT_LIST}) then '{UNIT}' when x <> lower(x) and x <> upper(x) then '{NAME}' else lower(x) end"""
-_RE = SENTENCE.replace("'", "''")
 
 
 def _sql_tokens(source: str, key: str) -> str:
     return f"""(select {key}, t, raw, list_transform(raw, lambda x, i: {_TOKEN}) as c from (
-    select {key}, t, list_filter(string_split_regex(regexp_replace(t, '{_RE}', '\\1' || chr(1) || '\\2', 'g'), '[^\\p{{L}}\\p{{N}}' || chr(1) || ']+'), lambda x: x <> '') as raw
+    select {key}, t, list_filter(string_split_regex(t, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as raw
     from (select distinct {key}, coalesce(text, '') as t from {source}) s) r)"""
 
 
 ORACLE = f"""
 with items as (select *, least({WINDOW}, len(c)) as size from {_sql_tokens("benchmark", "item_id")} b where len(c) > 0 and item_id is not null),
-bw as (select item_id, size, k as spot, c[k:k + size - 1] as key,
+bw as (select item_id, size, k as spot, c[k:k + size - 1] as key, list_transform(raw[k:k + size - 1], lambda r: lower(r)) as own,
     list_transform(range(k, k + size), lambda j: case when c[j] in ('{NUM}', '{NAME}', '{UNIT}') then lower(raw[j]) end) as vals
   from (select *, unnest(range(1, len(c) - size + 2)) as k from items) t),
-bench as (select *, count(*) over (partition by item_id) as n_windows from bw where len(list_filter(vals, lambda v: v is not null)) <= {1 - LITERALS} * size),
+bl as (select *, len(list_filter(vals, lambda v: v is not null)) > {1 - LITERALS} * size as literal from bw),
+bn as (select *, count(*) over (partition by item_id) as n_all, count(*) filter (where not literal) over (partition by item_id) as n_rich from bl),
+bench as (select item_id, size, spot, literal, case when literal then own else key end as key, case when literal then list_transform(vals, lambda v: cast(null as varchar)) else vals end as vals,
+    case when 2 * n_rich < n_all then n_all else n_rich end as n_windows from bn where 2 * n_rich < n_all or not literal),
 docs as {_sql_tokens("documents", "doc_id")},
-dw as (select doc_id, t, size, k as place, c[k:k + size - 1] as key, raw[k:k + size - 1] as raw
-  from (select doc_id, t, size, raw, c, unnest(range(1, len(c) - size + 2)) as k from docs, (select distinct size from bench) z) t),
+dw as (select doc_id, t, size, literal, k as place, case when literal then list_transform(raw[k:k + size - 1], lambda r: lower(r)) else c[k:k + size - 1] end as key, raw[k:k + size - 1] as raw
+  from (select doc_id, t, size, literal, raw, c, unnest(range(1, len(c) - size + 2)) as k from docs, (select distinct size, literal from bench) z) t),
 hits as (select doc_id, t, item_id, n_windows, spot, place - spot as shift,
-    list_transform(range(1, d.size + 1), lambda j: case when vals[j] is not null then vals[j] || chr(2) || replace(lower(raw[j]), chr(1), '') end) as pairs
-  from dw d join bench b on d.size = b.size and d.key = b.key),
+    list_transform(range(1, d.size + 1), lambda j: case when vals[j] is not null then vals[j] || chr(2) || lower(raw[j]) end) as pairs
+  from dw d join bench b on d.size = b.size and d.literal = b.literal and d.key = b.key),
 pairs as (select distinct doc_id, t, item_id, shift, p from (select doc_id, t, item_id, shift, unnest(pairs) as p from hits) u where p is not null),
 slots as (select doc_id, t, item_id, shift, count(*) = count(distinct split_part(p, chr(2), 1)) as same, bool_and(split_part(p, chr(2), 1) = split_part(p, chr(2), 2)) as exact from pairs group by all),
 good as (select h.doc_id, h.t, h.item_id, h.n_windows, h.spot, coalesce(s.exact, true) as exact from hits h left join slots s
