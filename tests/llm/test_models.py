@@ -43,3 +43,73 @@ def test_folding_and_exceptions():
 
 def test_quality_features_of_nothing():
     assert Q.features(b"") == Q.features(b" \n") == [0.0] * len(Q.NAMES)
+
+
+def test_a_match_anywhere_in_an_exception_phrase_counts_nothing():
+    machine = X.automaton({" kill": 3.0}, {" the killing floor "})
+    assert X.features(machine, "on the Killing floor")[1] == 0
+    assert X.features(machine, "on the killing floor, killing")[1] == X.features(machine, "killing")[1] > 0
+    assert X.phrases(X.automaton({" kill": 3.0}, set()), X.fold("a b killing c")) == {" b killing ", " killing c ", " a b killing ", " b killing c "}
+
+
+def test_phrases_are_learnt_as_exceptions(spark):
+    rows = [(i, f"you scum number{i} go", 1) for i in range(30)] + [(100 + i, f"the scum line of tank{i}", 0) for i in range(12)] + [(200 + i, f"calm text {i}", 0) for i in range(400)]
+    sample = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    weights, words = X.learn_lexicon(sample)
+    learnt = X.learn_phrases(sample, weights, words)
+    assert any(" scum ".startswith(x) for x in weights) and " scum line " in learnt and " you scum " not in learnt
+    machine = X.automaton(weights, words | learnt)
+    assert X.features(machine, "a scum line")[1] == 0 < X.features(machine, "you scum")[1]
+
+
+def brute_quality(docs, labels):
+    """The ranking from its definition: gradient steps on pairs, no shared code but the features."""
+    import zlib
+
+    import numpy as np
+
+    known = [(label, Q.features((docs[i] or "").encode())) for i, label in labels.items() if i in docs and label in (0, 1) and zlib.crc32(str(i).encode()) % 5]
+    good, bad = (np.array([x for y, x in known if y == k]) for k in (1, 0))
+    draw, w = np.random.default_rng(5), np.zeros(good.shape[1])
+    pairs = good[draw.integers(0, len(good), 4000)] - bad[draw.integers(0, len(bad), 4000)]
+    for _ in range(3000):
+        w += 0.5 * (pairs * (1 / (1 + np.exp(pairs @ w)))[:, None]).mean(axis=0) - 0.5 * 0.5 * w / 4000
+    return {i: float(np.array(Q.features((t or "").encode())) @ w) for i, t in docs.items()}
+
+
+def test_quality_ranks_like_brute_force(spark, sf):
+    import numpy as np
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    want = brute_quality(docs, labels)
+    got = {r.doc_id: r.score for r in Q.op1_quality_model(spark, sf).collect()}
+    order = lambda x: np.argsort(np.argsort([x[i] for i in sorted(x)]))
+    assert np.corrcoef(order(want), order(got))[0, 1] > 0.9
+
+
+def test_toxicity_scores_like_a_plain_search(spark, sf):
+    """The scores of all documents from the learnt lexicon by plain string search, without the automaton."""
+    import math
+
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    sample = X.labelled(docs, labels, "toxic", 3, 1, X.FIT_ROWS)
+    weights, words = X.learn_lexicon(sample)
+    exceptions = words | X.learn_phrases(sample, weights, words)
+
+    def strength(text):
+        folded = X.fold(text or "")
+        spans = [(k, k + len(e)) for e in exceptions for k in range(len(folded)) if folded.startswith(e, k)] if any(e in folded for e in exceptions) else []
+        best = {}
+        for entry, weight in weights.items():
+            k = folded.find(entry)
+            while k >= 0:
+                if not any(a <= k and k + len(entry) <= b for a, b in spans):
+                    best[k] = max(weight, best.get(k, 0))
+                k = folded.find(entry, k + 1)
+        total = sum(best.values())
+        return [math.log1p(total), math.log1p(1000 * total / (folded.count(" ") + 20))]
+
+    machine = X.automaton(weights, exceptions)
+    for r in docs.limit(300).collect():
+        assert X.features(machine, r.text or "")[1:] == pytest.approx(strength(r.text))

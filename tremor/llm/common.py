@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor.store import park, shared_dir  # noqa: F401
+
 #: White space of the word rule ``[^\x20\x09-\x0D]+``.
 WS = b" \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -22,31 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share (``spark.checkpoint.dir``).
-
-    A local session without the setting gets a temporary folder; a cluster
-    without it is an error, since executors could not see one another's files.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if path:
-        return path
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = os.path.join(tempfile.gettempdir(), f"tremor-{spark.sparkContext.applicationId}")
-    os.makedirs(path, exist_ok=True)
-    return f"file://{path}"
-
-
-def park(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage,
-    survives the loss of executors, and lets several readers use it."""
-    spark = session(df)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def trim() -> None:
     """Give freed memory back to the system, where the C library can."""
     import contextlib
@@ -56,6 +29,14 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def routes(spark: SparkSession, n: int) -> list[int]:
+    """Numbers that a hash partitioner deals to the partitions 0 to n - 1, one each."""
+    span = spark.range(40 * n + 400).select(F.col("id").cast("int").alias("x"))
+    rows = span.groupBy(F.pmod(F.hash("x"), F.lit(n)).alias("k")).agg(F.min("x").alias("x")).collect()
+    found = dict(map(tuple, rows))
+    return [found.get(k, k) for k in range(n)]
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -76,12 +57,14 @@ def binaries(batch, name: str) -> list[bytes]:
 
 def labelled(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> DataFrame:
     """doc_id, text and label (0 or 1) of at most ``rows`` labelled documents
-    outside the held-out fold, chosen by a hash of doc_id.  The bound on the
-    sample (some 20 bytes a row) also bounds what is broadcast."""
+    outside the held-out fold, chosen by a hash of doc_id; written once for all
+    its readers.  Of documents with equal doc_id the smallest text counts.  The
+    bound on the sample (some 20 bytes a row) also bounds what is broadcast."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(crc_of_id() % mod != held).groupBy("doc_id").agg(F.max("label").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    found = documents.select("doc_id", "text").join(F.broadcast(known), "doc_id")
+    return park(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), f"labelled-{label}")
 
 
 def logistic(x, y, l2: float, steps: int = 30):

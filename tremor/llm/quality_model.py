@@ -1,6 +1,7 @@
 """Quality classifier: Bradley-Terry ranking of documents.
 
-Documents are points of a few text statistics.  From labelled documents,
+Documents are points of a few text statistics and of the shares of their
+three-byte runs, hashed.  From labelled documents,
 preference pairs (a good one over a bad one) give a linear score by logistic
 loss on the differences of their features; a score quantile, the share of bad
 documents in the sample, is the threshold.  Scoring is one pass without a
@@ -18,12 +19,13 @@ from pyspark.sql import functions as F
 from tremor.llm.common import crc_of_id, labelled, logistic, table
 
 FIT_ROWS = 20_000  # labelled documents that the model is fitted on at most
-PAIRS_PER_BAD = 20  # good documents that each bad one is compared with
-L2 = 1.0
+PAIRS_PER_BAD = 10  # good documents that each bad one is compared with
+L2 = 0.5
+RUNS = 64  # values of the hash of three-byte runs
 CUT = 0.3  # the score of a document at the threshold
 SYMBOLS = b"#*$%&|<>{}[]~^_=+\\@"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-NAMES = ["symbols", "bars", "capitals", "digits", "shouts", "stops", "distinct", "doubled", "word_length", "log_words", "long_words", "same_lines"]
+NAMES = ["symbols", "bars", "capitals", "digits", "shouts", "stops", "distinct", "doubled", "word_length", "log_words", "long_words", "same_lines", *(f"run_{i}" for i in range(RUNS))]
 
 
 def features(text: bytes) -> list[float]:
@@ -38,6 +40,25 @@ def features(text: bytes) -> list[float]:
         return math.sqrt((len(text) - len(text.translate(None, of))) / chars)
 
     lengths = [len(x) for x in words]
+    return _statistics(text, words, lines, lengths, share) + runs(text)
+
+
+def runs(text: bytes) -> list[float]:
+    """Root shares of the hash values of all runs of three bytes, letters lower-cased."""
+    import numpy as np
+
+    raw = np.frombuffer(text.lower(), np.uint8)
+    if len(raw) < 3:
+        return [0.0] * RUNS
+    counts = np.zeros(RUNS, np.int64)
+    for k in range(0, len(raw) - 2, 1 << 20):
+        x = raw[k : k + (1 << 20) + 2].astype(np.uint32)
+        counts += np.bincount((((x[:-2] * 65599 + x[1:-1]) * 65599 + x[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(26), minlength=RUNS)
+    return np.sqrt(counts / counts.sum()).tolist()
+
+
+def _statistics(text: bytes, words: list[bytes], lines: list[bytes], lengths: list[int], share) -> list[float]:
+    n = len(words)
     return [
         share(SYMBOLS),
         math.sqrt(min(1.0, text.count(b"|") / n)),
@@ -79,8 +100,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, pairs_per
     draw = np.random.default_rng(1)
     a = draw.integers(0, len(good), len(bad) * pairs_per_bad)
     difference = good[a] - np.repeat(bad, pairs_per_bad, axis=0)
-    both = np.concatenate([difference, -difference])  # either order of a pair, so that both outcomes occur
-    w = logistic(both, np.repeat([1.0, 0.0], len(difference)), L2)
+    w = logistic(difference, np.ones(len(difference)), L2)  # the other order of a pair says the same
     scores = np.sort(x @ w)
     k = len(bad)
     return w.tolist(), float((scores[k - 1] + scores[min(k, len(scores) - 1)]) / 2)

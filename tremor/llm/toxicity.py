@@ -3,17 +3,19 @@
 Texts are folded first: lower case, homoglyphs and digit substitutions to the
 letters that they stand for, everything else to blanks.  The lexicon holds
 beginnings of words, and whole words, that are much more frequent in toxic
-documents of the labelled sample; each weighs its log odds.  Exception
-phrases, words or word sequences that hold an entry but are as common in other
-documents, cancel the matches inside them.  The sum of weights, as it is and
-by length, goes through a logistic curve fitted on the same sample.
+documents of the labelled sample; each weighs its log odds.  Exceptions, words
+and phrases of two or three words that hold an entry but are as common in
+other documents, cancel the matches inside them.  The sum of weights, as it is
+and by length, goes through a logistic curve fitted on the same sample.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,24 +103,68 @@ def automaton(weights: dict[str, float], exceptions: set[str]):
     return out
 
 
-def features(machine, text: str) -> list[float]:
-    """Weights found, as they are and by length; a match inside an exception counts nothing."""
-    folded = fold(text)
+def matches(machine, folded: str) -> list[tuple[int, int, float]]:
+    """(start, end, weight) of the entries found, but for those that lie inside an exception."""
     if not len(machine):
-        return [1.0, 0.0, 0.0]
+        return []
     found, free = [], []
     for end, (size, weight) in machine.iter(folded):
         (free if weight is None else found).append((end - size + 1, end, weight))
-    if free:
-        starts = {a: b for a, b, _ in free}
-        found = [x for x in found if x[1] > starts.get(x[0], -1)]
+    if free and found:
+        free = sorted((a, b) for a, b, _ in free)
+        starts, reach = [a for a, _ in free], list(accumulate((b for _, b in free), max))
+        found = [x for x in found if not (k := bisect_right(starts, x[0])) or reach[k - 1] < x[1]]
+    return found
+
+
+def features(machine, text: str) -> list[float]:
+    """Weights found, as they are and by length; a match inside an exception counts nothing."""
+    folded = fold(text)
     best: dict[int, float] = {}  # of the entries that begin one word the strongest
-    for a, _, weight in found:
+    for a, _, weight in matches(machine, folded):
         best[a] = max(weight, best.get(a, 0.0))
     total = sum(best.values())
     return [1.0, math.log1p(total), math.log1p(1000 * total / (folded.count(" ") + 20))]
 
 
+def phrases(machine, folded: str) -> set[str]:
+    """The runs of two and three words with a match."""
+    words = folded.split()
+    out = set()
+    place, at = 0, 0  # the word that begins behind the blank at ``at``
+    for a in sorted({a for a, _, _ in matches(machine, folded)}):
+        while at < a:
+            at += len(words[place]) + 1
+            place += 1
+        for n in (2, 3):
+            for k in range(max(0, place - n + 1), min(place, len(words) - n) + 1):
+                out.add(f" {' '.join(words[k : k + n])} ")
+    return out
+
+
+def _count_phrases(weights, exceptions):
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        machine = automaton(weights, exceptions)
+        for batch in batches:
+            counts: dict[str, list[int]] = {}
+            for text, label in zip(batch.column("text").to_pylist(), batch.column("label").to_pylist(), strict=True):
+                for phrase in phrases(machine, fold(text or "")):
+                    counts.setdefault(phrase, [0, 0])[1 - label] += 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([x[0] for x in counts.values()], pa.int64()), pa.array([x[1] for x in counts.values()], pa.int64())], ["entry", "toxic", "other"])
+
+    return run
+
+
+def learn_phrases(sample: DataFrame, weights: dict[str, float], exceptions: set[str]) -> set[str]:
+    """Phrases around matches that are as common in other documents; the bounded sample bounds their number."""
+    n = dict(sample.groupBy("label").agg(F.count(F.lit(1))).collect())
+    odds = F.log((F.col("toxic") + 0.5) / (n.get(1, 0) + 1)) - F.log((F.col("other") + 0.5) / (n.get(0, 0) + 1))
+    counts = sample.select("label", "text").mapInArrow(_count_phrases(weights, exceptions), "entry string, toxic bigint, other bigint").groupBy("entry").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    return {r[0] for r in counts.where((F.col("other") >= EXCEPTION_DOCS) & (odds < EXCEPTION_WEIGHT)).select("entry").collect()}
+
+
 def _rows(weights, exceptions, model):
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -150,6 +196,7 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, rows: int = FIT_ROW
     sample = labelled(docs, labels, "toxic", 3, 1, rows)
     weights, learnt = learn_lexicon(sample)
     learnt |= {fold(x) for x in exceptions}
+    learnt |= learn_phrases(sample, weights, learnt)
     fitted = sample.select("label", "text").mapInArrow(_rows(weights, learnt, None), "label int, x array<double>").collect()
     fitted.sort()
     x = np.array([r[1] for r in fitted], float).reshape(-1, 3)
