@@ -52,3 +52,16 @@ def test_edges(spark):
     assert mixed.count() == sum(r.times for r in got)
     empty = spark.createDataFrame([], schema)
     assert M.decide(empty).count() == 0 and M.mix(empty).count() == 0
+
+
+def test_equal_rows_are_dealt_over_chunks(spark, monkeypatch):
+    monkeypatch.setattr(M, "CHUNK", 8)
+    rows = [(None, "one two three", "a")] * 90 + [(k, "word " * (k % 7), "a" if k % 2 else "b") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = M.decide(docs).collect()
+    assert len(got) == len(rows) and sorted(map(repr, got)) == sorted(map(repr, M.decide(docs.repartition(7)).collect()))
+    want = M.targets([(s, sum(len(t.split()) for _, t, x in rows if x == s)) for s in "ab"])
+    for s, t in zip("ab", want):
+        assert abs(sum(r.times * r.size for r in got if r.source == s) - t) <= 7
+    taken = M.mix(docs).collect()
+    assert len(taken) == sum(r.times for r in got) and sum(r.doc_id is None for r in taken) == sum(r.times for r in got if r.doc_id is None)

@@ -24,7 +24,8 @@ SHARE = Fraction(3, 2)
 MOST = 2
 CHUNK = 4096
 WORD = r"[^\x20\x09-\x0D]+"
-SCHEMA = "doc_id bigint, size bigint, src int, times int, p double"
+SCHEMA = "doc_id bigint, size bigint, src int, times int, p double, copy bigint"
+BROADCAST_KEYS = 1_000_000  # keys of repeated rows (8 bytes each) that are sent to all tasks; more are joined
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: Fraction = SHARE, most: int = MOST) -> list[Fraction]:
@@ -86,15 +87,15 @@ def _fly(seed: int, last: bool):
 
         import pyarrow as pa
 
-        rows = list(zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "size", "src", "times", "p")), strict=True))
-        rows.sort(key=lambda r: (zlib.crc32(repr((seed, r[0], r[1])).encode()), r[0] is None, r[0] or 0, r[1]))
+        rows = list(zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "size", "src", "times", "p", "copy")), strict=True))
+        rows.sort(key=lambda r: (zlib.crc32(repr((seed, r[0], r[1], r[5])).encode()), r[0] is None, r[0] or 0, r[1], r[5]))
         sizes, p = [r[1] for r in rows], [r[4] for r in rows]
-        p = flight(sizes, p, random.Random(repr((seed, rows[0][2], rows[0][:2]))).random)
+        p = flight(sizes, p, random.Random(repr((seed, rows[0][2], rows[0][:2], rows[0][5]))).random)
         if last:
             p = landing(sizes, p)
-        ids, sizes, srcs, times, _ = zip(*rows, strict=True)
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
-        return pa.table([pa.array(x, k) for x, k in zip((ids, sizes, srcs, times, p), kinds, strict=True)], names=["doc_id", "size", "src", "times", "p"])
+        ids, sizes, srcs, times, _, copies = zip(*rows, strict=True)
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.int64())
+        return pa.table([pa.array(x, k) for x, k in zip((ids, sizes, srcs, times, p, copies), kinds, strict=True)], names=["doc_id", "size", "src", "times", "p", "copy"])
 
     return run
 
@@ -104,12 +105,16 @@ def decide(documents: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, most:
 
     Null and empty texts have size 0; a null source is a source of its own; a
     null doc_id and repeated rows are rows like others; an empty table gives an
-    empty result.  Only one row per source comes to the driver.
+    empty result.  Only one row per source comes to the driver.  doc_id is cast
+    to a whole number: a text that is none is an error.
     """
     spark = documents.sparkSession
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")
-    sized = park(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.alias("size")), "mix-sizes")
-    found = {r[0]: r[1:] for r in sized.groupBy("source").agg(F.sum("size"), F.count(F.lit(1))).collect()}
+    # equal rows as one with their number, then in blocks of CHUNK, then one by one again: no group of them stays in one task
+    equal = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", size.alias("size")).groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    sized = park(equal.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / CHUNK))).alias("block")), "mix-sizes")
+    inside = F.least(F.lit(CHUNK), F.col("n") - F.col("block") * CHUNK)
+    found = {r[0]: r[1:] for r in sized.groupBy("source").agg(F.sum(F.col("size") * inside), F.sum(inside)).collect()}
     order = sorted(x for x in found if x is not None) + [None] * (None in found)
     goal = targets([(x, found[x][0]) for x in order], weights, share, most)
     rows = []
@@ -118,12 +123,12 @@ def decide(documents: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, most:
         times = int(rate)
         rows.append((x, i, found[x][0], float(t), times, float(rate - times), max(1, -(-found[x][1] // CHUNK))))
     info = spark.createDataFrame(rows, "of_source string, src int, source_size bigint, target double, times int, p double, chunks bigint")
-    start = sized.join(info, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "size", "src", "times", "p", "chunks")
+    start = sized.join(info, F.col("source").eqNullSafe(F.col("of_source"))).select("doc_id", "size", "src", "times", "p", "chunks", F.explode(F.sequence(F.col("block") * CHUNK, F.col("block") * CHUNK + inside - 1)).alias("copy"))
     left, done, r = start, [], 0
     while True:
         most_chunks = max([1, *(x[6] for x in rows)])
-        chunk = F.pmod(F.xxhash64(F.lit(seed + r), F.coalesce("doc_id", F.lit(-1)), "size"), F.col("chunks")).alias("chunk")
-        flown = left.select("doc_id", "size", "src", "times", "p", chunk).groupBy("src", "chunk").applyInArrow(_fly(seed + r, most_chunks == 1), SCHEMA)
+        chunk = F.pmod(F.xxhash64(F.lit(seed + r), F.coalesce("doc_id", F.lit(-1)), "size", "copy"), F.col("chunks")).alias("chunk")
+        flown = left.select("doc_id", "size", "src", "times", "p", "copy", chunk).groupBy("src", "chunk").applyInArrow(_fly(seed + r, most_chunks == 1), SCHEMA)
         flown = park(flown, "mix-flight")
         if most_chunks == 1:
             done.append(flown)
@@ -151,14 +156,23 @@ def mix(documents: DataFrame, **options) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1)), F.coalesce("source", F.lit("\0")), size)
     decided = decide(documents, **options)
     own = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.coalesce("source", F.lit("\0")), "size")
-    times = decided.groupBy(own.alias("of_key")).agg(F.sort_array(F.collect_list("times"), False).alias("all_times"))
+    times = park(decided.groupBy(own.alias("of_key")).agg(F.count(F.lit(1)).alias("rows"), F.sum("times").cast("int").alias("times")), "mix-times")
     row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-    df = documents.select(row.alias("row"), key.alias("key")).join(times, F.col("key") == F.col("of_key"))
-    alone = df.where(F.size("all_times") == 1).select("row", F.col("all_times")[0].alias("times"))
-    place = F.row_number().over(Window.partitionBy("key").orderBy(F.to_json("row")))
-    equal = df.where(F.size("all_times") > 1).select("row", "all_times", place.alias("k")).select("row", F.get("all_times", F.col("k") - 1).alias("times"))
-    df = alone.unionByName(equal).where("times > 0")
-    return df.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select(*[F.col("row")[c].alias(c) for c in documents.columns])
+    docs = documents.select(row.alias("row"), key.alias("key"))
+    # most rows have a key of their own: only these go by the shuffle
+    taken = docs.join(times.where("rows = 1 and times > 0"), F.col("key") == F.col("of_key")).select("row", "times")
+    several = times.where("rows > 1 and times > 0")
+    n = several.count()
+    if n:
+        # the rows of a key by their content, equal ones as one with their number; the first of them in that order
+        # are taken once more than the others
+        few = F.broadcast(several) if n <= BROADCAST_KEYS else several
+        equal = docs.join(few, F.col("key") == F.col("of_key")).groupBy("key", "rows", "times", F.to_json("row").alias("content")).agg(F.first("row").alias("row"), F.count(F.lit(1)).alias("n"))
+        before = F.sum("n").over(Window.partitionBy("key").orderBy("content").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
+        extra = F.greatest(F.lit(0), F.least(F.col("n"), F.col("times") % F.col("rows") - before))
+        equal = equal.select("row", (F.col("n") * F.floor(F.col("times") / F.col("rows")) + extra).cast("int").alias("times"))
+        taken = taken.unionByName(equal.where("times > 0"))
+    return taken.select("row", F.explode(F.sequence(F.lit(1), "times")).alias("copy")).select(*[F.col("row")[c].alias(c) for c in documents.columns])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
