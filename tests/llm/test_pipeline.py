@@ -64,6 +64,36 @@ def test_run_and_rerun(spark, sf):
     assert sorted(first) == sorted(P.run(spark, sf).collect()) and len(first) > 100
 
 
+def test_one_of_each_group_of_repeated_rows(spark, sf):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, "a"), (1, text, "b"), (1, text, "a"), (5, text, "c"), (None, text[::-1], "d"), (None, text[::-1], "e"), (1, text + " more", "f"), (7, None, "g"), (7, None, "g"), (8, "", "h"), (9, "x " * 30_000, "i"), (2, text + " other tail of quite many new words " * 9, "j")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, group_key string")
+    out = P.near_duplicates(spark, docs, sf)
+    got = sorted((r.doc_id or 0, r.text and len(r.text), r.group_key) for r in out.collect())
+    assert out.columns == docs.columns and out.schema["group_key"].dataType.simpleString() == "string"
+    assert len([x for x in got if x[0] == 1]) == 1 and len([x for x in got if x[0] == 0]) == 1
+    assert [x[0] for x in got] == [0, 1, 2, 7, 7, 8, 9]
+    assert P.near_duplicates(spark, docs.where("false"), sf).count() == 0
+
+
+def test_contents_of_stages_on_odd_rows(spark, sf):
+    """Nulls, empty and very long texts, repeats, no rows, clashing names: what each stage leaves."""
+    plain = "The river rises in the hills and runs south to the sea, past farms and old mills. " + " ".join(f"w{i}" for i in range(60))
+    schema = "doc_id bigint, text string, source string, kept string, n_hit int, times int"
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").orderBy("item_id").first().text
+    rows = [(1, plain, "a", "x", 1, 1), (2, None, None, None, None, None), (3, "", "b", "", 0, 0), (None, "y " + plain, "a", "x", 1, 1), (4, " ".join(f"z{i}" for i in range(50_000)), "a", "x", 1, 1), (5, f"Before. {item} After.", "b", "x", 1, 1), (5, f"Before. {item} After.", "b", "x", 1, 1)]
+    docs = spark.createDataFrame(rows, schema)
+    ids = lambda df: sorted((r.doc_id or 0) for r in df.collect())
+    assert {2, 3}.isdisjoint(ids(P.quality(spark, docs, sf))) and {0, 1, 4} <= set(ids(P.quality(spark, docs, sf)))
+    assert ids(P.near_duplicates(spark, docs, sf)) == [1, 2, 3, 4, 5]
+    assert ids(P.decontamination(spark, docs, sf)) == [0, 1, 2, 3, 4]
+    taken = Counter(ids(P.mixture(spark, docs, sf)))
+    assert set(taken) <= {0, 1, 2, 3, 4, 5} and max(taken[x] for x in (0, 1, 4)) <= 2 and taken[5] <= 4
+    assert [r.doc_id for r in P.token_ids(spark, docs, sf).orderBy("start").collect()] == [1, 2, 3, 4, 5, 5, None]
+    for _, stage in P.STAGES:
+        assert stage(spark, docs.where("false"), sf).count() == 0
+
+
 @pytest.mark.parametrize("stage", [f for _, f in P.STAGES])
 def test_stages_on_odd_rows(spark, sf, stage):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept string, row int"

@@ -307,7 +307,7 @@ def _confirm(size: int, percent: int):
 
 
 def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, text_key, n_shingles, component_id and kept for every row.
+    """doc_id, text_key, group_key, n_shingles, component_id and kept for every row.
 
     Sets of ``size``-word shingles are linked from ``percent`` similarity.
     Null and empty texts have an empty set and stand alone.  component_id is
@@ -315,7 +315,8 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     component_id itself (every repeated row of that doc_id) and where
     component_id is null.  Other columns are not read; an empty table gives an
     empty result.  ``text_key``: a hash of the text, to tell rows with equal
-    doc_id apart.
+    doc_id apart; ``group_key``: one value for all rows of a component, null for
+    empty sets.
     """
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -358,24 +359,38 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
         joined = park(components(links.unionByName(exact)), "near-components")
 
     least = nodes.select("node", "doc_id").join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_node = joined.join(least, "component").select("node", "component_id")
-    alone = nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = joined.join(least, "component").select("node", "component", "component_id")
+    alone = nodes.select("node", "doc_id").join(of_node, "node", "left").select("node", F.coalesce("component", "node").alias("group_key"), F.coalesce("component_id", "doc_id").alias("component_id"))
     out = rows.select("doc_id", "text_key", F.col("n").alias("n_shingles"), "node").join(alone, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    out = out.select("doc_id", "text_key", "n_shingles", component.alias("component_id"))
+    out = out.select("doc_id", "text_key", "group_key", "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The kept documents, with all their columns."""
-    gone = near_duplicates(documents, size, percent).where("not kept").select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")).distinct()
+    """One document of each component, with all its columns: the one with the smallest doc_id (null last) and, among
+    its texts, the smallest hash; of repeated rows the one that comes first as JSON.  Null and empty texts all stay."""
+    judged = park(near_duplicates(documents, size, percent).where("group_key is not null").groupBy("group_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "near-judged")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    stays = judged.groupBy("group_key").agg(F.min(order).alias("least"))
+    judged = judged.join(stays, "group_key").withColumn("stays", order.eqNullSafe(F.col("least")))
+    of = (F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"))
+    gone = judged.where("not stays or n > 1").select(*of)
+    repeated = park(judged.where("stays and n > 1").select(*of), "near-repeated")
     row = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     on = F.col("row.doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64("row.text") == F.col("of_key"))
-    return row.join(gone, on, "left_anti").select("row.*")
+    out = row.join(gone, on, "left_anti")
+    n = repeated.count()
+    if n:
+        few = F.broadcast(repeated) if n <= BROADCAST_NODES else repeated
+        # the least row of equal ones, found before the shuffle as far as possible
+        first = row.join(few, on).groupBy("of_doc", "of_key").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.unionByName(first.select("row"))
+    return out.select("row.*")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("text_key")
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2).drop("text_key", "group_key")
 
 
 ORACLE = """
