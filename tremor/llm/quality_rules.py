@@ -126,10 +126,11 @@ def clean_documents(documents: DataFrame) -> DataFrame:
     df = judged(documents)
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
     columns = [new.get(c, F.col("row")[c]).alias(f"c{i}") for i, c in enumerate(documents.columns)]
-    # written first: the optimizer would move the condition, with all that it is
-    # made of, below the columns that it reads, and work them out again for each word
-    judgement = park(df.select(*columns, F.col("kept").alias("stays")), "clean-documents")
-    return judgement.where("stays").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])
+    # a number for each row in the condition keeps it above the columns that it reads: the optimizer would move it
+    # below them, with all that it is made of, and work them out again for each word
+    row = F.monotonically_increasing_id()
+    judgement = df.select(*columns, F.col("kept").alias("stays"), row.alias("place")).where("stays and place >= 0")
+    return judgement.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
