@@ -16,7 +16,7 @@ def test_whole_items_are_found(spark):
     assert len(got) <= 1.2 * len(want)
 
 
-@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+@pytest.mark.parametrize("broadcast", [1 << 26, 0])
 def test_templates_and_edges(spark, broadcast):
     docs = spark.createDataFrame(
         [
@@ -29,7 +29,7 @@ def test_templates_and_edges(spark, broadcast):
         "doc_id bigint, text string, item_id string",
     )
     bench = spark.createDataFrame([(10, ITEM, 1), (10, ITEM, 1), (11, "what is the capital", 2), (12, None, 3), (None, ITEM, 4)], "item_id bigint, text string, doc_id int")
-    rows = D.contaminated(docs, bench, broadcast_windows=broadcast).collect()
+    rows = D.contaminated(docs, bench, broadcast_bytes=broadcast).collect()
     by = {r.doc_id: r for r in rows}
     assert len(rows) == 3 and set(by) == {1, 2, None}
     assert by[1].exact and not by[2].exact

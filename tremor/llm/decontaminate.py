@@ -20,7 +20,7 @@ from tremor.llm.common import park, table
 WINDOW = 8  # template tokens; a shorter item is one window of its own length
 LITERALS = 0.5  # share of a window's tokens that must not be placeholders
 LEAST_SHARE, LEAST_WINDOWS = 0.25, 2  # of an item's windows, to call it found
-BROADCAST_WINDOWS = 1_000_000  # benchmark windows (some 50 bytes each) that are sent to all tasks; more are joined by shuffle
+BROADCAST_BYTES = 64 << 20  # benchmark windows and keys of documents that are sent to all tasks; more are joined by shuffle
 
 # Units after a number.
 UNITS = (
@@ -88,7 +88,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     )
 
 
-def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
+def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """doc_id, text_key, item_id, n_hit, n_windows, exact: the items found in documents.
 
     ``exact``: all slots have the item's values.  Null and empty texts hold
@@ -99,8 +99,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
     """
     bench = park(benchmark_windows(benchmark), "benchmark-windows")
     kinds = sorted(map(tuple, bench.select("size", "literal").distinct().collect()))  # two for each length up to WINDOW at most
-    n_bench = bench.count()
-    bench = F.broadcast(bench) if n_bench <= broadcast_windows else bench
+    bytes_of = bench.agg(F.sum(150 + 32 * F.col("size") + F.length(F.array_join("values", "")))).first()[0] or 0
+    bench = F.broadcast(bench) if bytes_of <= broadcast_bytes else bench
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     raw = docs.select("doc_id", "text_key", _raw(F.col("text")).alias("raw"))
     templates = raw.select("doc_id", "text_key", _canonical(F.col("raw")).alias("c"))
@@ -113,7 +113,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_windows:
         found = hits if found is None else found.unionByName(hits)
     found = park(found, "benchmark-hits")
     wanted = park(found.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")).distinct(), "benchmark-docs")
-    wanted = F.broadcast(wanted) if wanted.count() <= broadcast_windows else wanted
+    wanted = F.broadcast(wanted) if 100 * wanted.count() <= broadcast_bytes else wanted
     on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_key") == F.col("of_key"))
     raws = docs.join(wanted, on).select("of_doc", "of_key", _raw(F.col("text")).alias("raw")).dropDuplicates(["of_doc", "of_key"])
     own = F.zip_with("values", F.slice("raw", F.col("place") + 1, F.col("size")), lambda v, r: F.when(v.isNotNull(), F.struct(v.alias("item"), F.lower(r).alias("doc"))))
