@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import binaries, crc_of_id, park, partitions, table, trim
+from tremor.llm.common import binaries, crc_of_id, park, partitions, routes, table, trim
 from tremor.llm.elias_fano import Trie
 from tremor.llm.hashing import word_hashes
 
@@ -42,6 +42,7 @@ HOT = 1000  # words with about 1 in so many tokens are spread over all shards; 4
 DISCOUNT2, DISCOUNT3 = (0.9, 0.1), (0.75, 0.1)  # a and b
 END = 0x5EED_0F_7E97  # stands for the end of a document, and for the context before its first word
 BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_500_000
+LEAST_SHARD = 100_000  # tokens of a shard where there are more partitions than shards
 CONTEXT = (1 << 32) - 1  # neighbours are told apart by so many bits of their hashes
 CODED = 255  # most frequent neighbours that are sent as one byte
 STEP = 4096  # codes of log10 counts for each unit
@@ -117,7 +118,7 @@ class Plan:
         found = park(docs.mapInArrow(_survey, "key bigint, n bigint, n_all bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "lm-survey")
         whole = found.where("key is null").first()
         self.n, total = (whole["n"], whole["n_all"]) if whole else (0, 0)
-        self.shards = max(1, -(-total // SHARD_TOKENS))
+        self.shards = max(1, -(-total // SHARD_TOKENS), min(partitions(docs.sparkSession), total // LEAST_SHARD))
         # a word with 1 in 8 HOT tokens is frequent in a block at least
         rows = found.where(f"key is not null and n * {8 * HOT} >= {self.n}").orderBy(F.desc("n"), "key").collect()
         words = [(r["key"] & ((1 << 64) - 1), r["n"]) for r in rows]
@@ -388,7 +389,9 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     plan = Plan(docs)
     n = partitions(spark)
     blobs = docs.mapInArrow(_occurrences(plan), "shard int, block string, payload binary")
-    spread = F.when(F.col("shard") < 0, F.hash("block")).otherwise(F.col("shard"))
+    # one shard after the other to each partition, not as their hashes fall
+    route = F.get(F.array(*map(F.lit, routes(spark, n))), F.pmod(F.col("shard"), F.lit(n)))
+    spread = F.when(F.col("shard") < 0, F.hash("block")).otherwise(route)
     blobs = blobs.repartition(n, spread).sortWithinPartitions("shard", "block")
     sums = park(blobs.mapInArrow(_shard_sums(plan), "block string, documents boolean, payload binary"), "lm-sums")
     n_train = v_train = 0
