@@ -29,7 +29,7 @@ END_ID = 2
 SEGMENT_DOCS, SEGMENT_BYTES = 1024, 1 << 20
 DICT_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000  # the dictionary is trained on at most so many documents, none longer
-CACHED_CHUNKS = 400_000  # of a Python worker, some 200 bytes each
+CACHED_CHUNKS = 300_000  # of a Python worker, some 200 bytes each
 PUNCTUATION = ".,;:!?#*$%&|<>()[]{}\"/-_=+~"  # neither letters, digits, white space nor apostrophes
 LINE, LAST = "\ue000", "\ue000\ue000"  # mark a chunk after a line break, and the line break that ends a text
 GROUP_CHARS = 1 << 23  # texts that are encoded together
@@ -290,6 +290,8 @@ def _encode(tokenizer: str, dictionary: bytes, buckets: Buckets, end_id: int):
             del raw
             pa.default_memory_pool().release_unused()
             trim()
+        code.old = {}  # a worker that waits for its next task keeps one generation only
+        trim()
 
     return run
 
