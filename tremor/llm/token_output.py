@@ -33,6 +33,7 @@ CACHED_CHUNKS = 300_000  # of a Python worker, some 200 bytes each
 PUNCTUATION = ".,;:!?#*$%&|<>()[]{}\"/-_=+~"  # neither letters, digits, white space nor apostrophes
 LINE, LAST = "\ue000", "\ue000\ue000"  # mark a chunk after a line break, and the line break that ends a text
 GROUP_CHARS = 1 << 23  # texts that are encoded together
+SLICE = 2048  # documents of an Arrow batch that are encoded together
 _coders: dict[str, Coder] = {}
 
 
@@ -81,6 +82,9 @@ class Coder:
             for token, i in vocab.items():
                 self.n_bytes[i] = len(token)  # a character of the vocabulary stands for a byte
 
+    def forget(self) -> None:
+        self.old, self.young = {}, {LAST: self.young[LAST]}
+
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
 
@@ -106,16 +110,20 @@ class Coder:
             self.old, self.young = self.young, {LAST: self.young[LAST]}
         young, old = self.young, self.old
         known = list(map(young.get, chunks))
-        at = [k for k, ids in enumerate(known) if ids is None]
-        new = [chunks[k] for k in at]
-        back = list(map(old.get, new))
-        missing = [x for x, ids in zip(new, back, strict=True) if ids is None]
-        alone = [x for x in missing if x.removeprefix(LINE)[:1].strip()]
-        young |= zip(new, back, strict=True)
-        young |= dict.fromkeys(missing, b"")
-        young |= zip(alone, self._joined(["\n" + x[1:] if x[0] == LINE else " " + x for x in alone]), strict=True)
-        for k, x in zip(at, new, strict=True):
-            known[k] = young[x]
+        missing = []
+        for k, ids in enumerate(known):
+            if ids is None:
+                chunk = chunks[k]
+                back = old.get(chunk)
+                if back is None:
+                    missing.append(k)
+                else:
+                    young[chunk] = known[k] = back
+        alone = [k for k in missing if chunks[k].removeprefix(LINE)[:1].strip()]
+        young |= dict.fromkeys([chunks[k] for k in missing], b"")
+        parts = [chunks[k] for k in alone]
+        for k, chunk, ids in zip(alone, parts, self._joined(["\n" + x[1:] if x[0] == LINE else " " + x for x in parts]), strict=True):
+            young[chunk] = known[k] = ids
         return [ids or None for ids in known]
 
     def _marked(self, text: str) -> str | None:
@@ -279,18 +287,20 @@ def _encode(tokenizer: str, dictionary: bytes, buckets: Buckets, end_id: int):
         end = np.array([end_id], code.dtype).tobytes()
         width = len(end)
         row = 0
-        for batch in batches:
-            part = batch.column("doc_id").to_pylist()
-            raw = [x + end for x in code.encode([x or "" for x in batch.column("text").to_pylist()])]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(buckets.of(part, row), pa.int32()), pa.array(part, pa.int64()), pa.array([len(x) // width for x in raw], pa.int64()), pa.array([write.compress(x) for x in raw], pa.binary())],
-                ["bucket", "doc_id", "n", "frame"],
-            )
-            row += len(part)
-            del raw
+        for whole in batches:
+            for i in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(i, SLICE)
+                part = batch.column("doc_id").to_pylist()
+                raw = [x + end for x in code.encode([x or "" for x in batch.column("text").to_pylist()])]
+                frames = [write.compress(x) for x in raw]
+                counts = [len(x) // width for x in raw]
+                del raw
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.of(part, row), pa.int32()), pa.array(part, pa.int64()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["bucket", "doc_id", "n", "frame"])
+                row += len(part)
+                del frames
             pa.default_memory_pool().release_unused()
             trim()
-        code.old = {}  # a worker that waits for its next task keeps one generation only
+        code.forget()  # a worker that waits for its next task keeps little
         trim()
 
     return run
