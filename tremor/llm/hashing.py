@@ -7,7 +7,7 @@ from functools import cache
 
 from tremor.llm.common import WS
 
-PIECE = 1 << 20  # bytes hashed at a time
+PIECE = 1 << 18  # bytes hashed at a time
 _PRIME = 0x9E3779B97F4A7C15 | 3  # odd, so that its powers have inverses
 
 

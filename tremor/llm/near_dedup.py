@@ -25,7 +25,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import binaries, park, partitions, table
+from tremor.llm.common import binaries, park, partitions, table, tidy
 from tremor.llm.components import components
 from tremor.llm.hashing import shingles, word_hashes
 
@@ -67,7 +67,7 @@ def _nodes(size: int):
         import pyarrow as pa
         import xxhash
 
-        for batch in batches:
+        for batch in (x.slice(k, 1024) for x in batches for k in range(0, x.num_rows, 1024)):
             counts, nodes, labels, sketches = [], [], [], []
             for words in word_hashes([x.lower() for x in binaries(batch, "text")]):
                 own = shingles(words, size)
@@ -146,7 +146,7 @@ def candidates(nodes: DataFrame) -> DataFrame:
     rows = nodes.select(tree.alias("tree"), "label", "node", "n", "sketch")
     rows = rows.withColumn("label", F.substring("label", F.col("tree") * (4 * DEPTH) + 1, F.lit(4 * DEPTH)))
     rows = rows.repartition(n, "tree", F.substring("label", 1, 4 * LEAST_DEPTH)).sortWithinPartitions("tree", "label", "node")
-    found = rows.mapInArrow(_regions, "a bigint, b bigint, first boolean")
+    found = rows.mapInArrow(tidy(_regions), "a bigint, b bigint, first boolean")
     return found.groupBy("a", "b").agg(F.max("first").alias("first"))
 
 
@@ -281,7 +281,7 @@ def dense(nodes: DataFrame, joined: DataFrame) -> DataFrame:
     rows = rows.select(region.alias("region"), "node", "n", "sketch", "component")
     open_ = rows.groupBy("region").agg(F.count(F.lit(1)).alias("size"), F.min("component").alias("low"), F.max("component").alias("high"))
     rows = rows.join(open_.where((F.col("size") > REGION) & (F.col("low") < F.col("high"))).select("region"), "region")
-    live = _blocks(rows, SKETCH_BLOCK).mapInArrow(_alike, "region bigint, node bigint").distinct()
+    live = _blocks(rows, SKETCH_BLOCK).mapInArrow(tidy(_alike), "region bigint, node bigint").distinct()
     return live.join(joined, "node", "left").select("region", "node", own)
 
 
@@ -320,7 +320,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     """
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = park(docs.mapInArrow(_nodes(size), f"doc_id {kind}, text_key bigint, n bigint, node bigint, sketch bigint, label binary"), "near-rows")
+    rows = park(docs.mapInArrow(tidy(_nodes(size)), f"doc_id {kind}, text_key bigint, n bigint, node bigint, sketch bigint, label binary"), "near-rows")
     full = rows.where("node is not null")
     # the row whose text stands for the node, and the node's smallest doc_id
     by_node = full.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("m"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("label").alias("label"))
@@ -341,7 +341,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     def confirmed(some: DataFrame) -> DataFrame:
         one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
         other = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return park(some.select("a", "b").join(one, "a").join(other, "b").mapInArrow(_confirm(size, percent), "a bigint, b bigint"), "near-links")
+        return park(some.select("a", "b").join(one, "a").join(other, "b").mapInArrow(tidy(_confirm(size, percent)), "a bigint, b bigint"), "near-links")
 
     links = confirmed(pairs.where("first"))
     joined = park(components(links), "near-components")
@@ -355,7 +355,7 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     if not left.isEmpty():
         rest = _blocks(left, SET_BLOCK).select("region", "i", "j", "own", "node", "component")
         rest = rest.join(texts_of(left.select("node").distinct()), "node").repartition(partitions(documents.sparkSession), "region", "i", "j").sortWithinPartitions("region", "i", "j")
-        exact = park(rest.mapInArrow(_links(size, percent), "a bigint, b bigint"), "near-links")
+        exact = park(rest.mapInArrow(tidy(_links(size, percent)), "a bigint, b bigint"), "near-links")
         joined = park(components(links.unionByName(exact)), "near-components")
 
     least = nodes.select("node", "doc_id").join(joined, "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -298,7 +298,6 @@ def _encode(tokenizer: str, dictionary: bytes, buckets: Buckets, end_id: int):
                 yield pa.RecordBatch.from_arrays([pa.array(buckets.of(part, row), pa.int32()), pa.array(part, pa.int64()), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["bucket", "doc_id", "n", "frame"])
                 row += len(part)
                 del frames
-            pa.default_memory_pool().release_unused()
             trim()
         code.forget()  # a worker that waits for its next task keeps little
         trim()
