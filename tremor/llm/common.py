@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,6 +35,19 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, size: str = "8m") -> Iterator[None]:
+    """Arrow batches of about ``size`` for what is written meanwhile: whole texts and blobs make the usual ones heavy
+    on both sides of a Python worker."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    usual = spark.conf.get(name, None)
+    spark.conf.set(name, size)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if usual is None else spark.conf.set(name, usual)
+
+
 def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run``, a function of Arrow batches, whose worker gives its memory back before it waits for the next task."""
 

@@ -33,7 +33,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import binaries, crc_of_id, park, partitions, routes, table, trim
+from tremor.llm.common import binaries, crc_of_id, park, partitions, routes, small_batches, table, tidy, trim
 from tremor.llm.elias_fano import Trie
 from tremor.llm.hashing import word_hashes
 
@@ -393,7 +393,8 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     route = F.get(F.array(*map(F.lit, routes(spark, n))), F.pmod(F.col("shard"), F.lit(n)))
     spread = F.when(F.col("shard") < 0, F.hash("block")).otherwise(route)
     blobs = blobs.repartition(n, spread).sortWithinPartitions("shard", "block")
-    sums = park(blobs.mapInArrow(_shard_sums(plan), "block string, documents boolean, payload binary"), "lm-sums")
+    with small_batches(spark):
+        sums = park(blobs.mapInArrow(tidy(_shard_sums(plan)), "block string, documents boolean, payload binary"), "lm-sums")
     n_train = v_train = 0
     totals = sums.where("block is null").select("payload").mapInArrow(_totals, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
     n_train, v_train = (int(x or 0) for x in totals)

@@ -25,7 +25,7 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import binaries, park, partitions, table, tidy
+from tremor.llm.common import binaries, park, partitions, small_batches, table, tidy
 from tremor.llm.components import components
 from tremor.llm.hashing import shingles, word_hashes
 
@@ -318,6 +318,11 @@ def near_duplicates(documents: DataFrame, size: int = 5, percent: int = 80) -> D
     doc_id apart; ``group_key``: one value for all rows of a component, null for
     empty sets.
     """
+    with small_batches(documents.sparkSession):
+        return _near_duplicates(documents, size, percent)
+
+
+def _near_duplicates(documents: DataFrame, size: int, percent: int) -> DataFrame:
     docs = documents.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = park(docs.mapInArrow(tidy(_nodes(size)), f"doc_id {kind}, text_key bigint, n bigint, node bigint, sketch bigint, label binary"), "near-rows")

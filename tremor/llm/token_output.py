@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tremor.llm.common import partitions, shared_dir, table, trim
+from tremor.llm.common import partitions, shared_dir, small_batches, table, trim
 
 MAGIC = b"TRMIDS1\n"
 HEAD = struct.Struct("<8sIIQ32s")
@@ -358,7 +358,8 @@ def write_tokens(documents: DataFrame, path: str, tokenizer: str = "byte_bpe_50k
     width = int(coder(tokenizer).dtype[-1])
     images = ordered.mapInArrow(_pack(width, hashlib.sha256(dictionary).digest()), "bucket int, seq bigint, first_id bigint, last_id bigint, tokens_before bigint, n_tokens bigint, image binary")
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest())], "dictionary binary, sha256 string").write.parquet(f"{path}/dictionary")
-    images.write.parquet(f"{path}/images")
+    with small_batches(spark):
+        images.write.parquet(f"{path}/images")
 
 
 def _decode(dictionary: bytes, starts: dict[int, int]):
