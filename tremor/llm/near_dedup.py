@@ -377,11 +377,12 @@ def one_of_each(documents: DataFrame, size: int = 5, percent: int = 80) -> DataF
     its texts, the smallest hash; of repeated rows the one that comes first as JSON.  Null and empty texts all stay."""
     judged = park(near_duplicates(documents, size, percent).where("group_key is not null").groupBy("group_key", "doc_id", "text_key").agg(F.count(F.lit(1)).alias("n")), "near-judged")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
-    stays = judged.groupBy("group_key").agg(F.min(order).alias("least"))
-    judged = judged.join(stays, "group_key").withColumn("stays", order.eqNullSafe(F.col("least")))
-    of = (F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"))
-    gone = judged.where("not stays or n > 1").select(*of)
-    repeated = park(judged.where("stays and n > 1").select(*of), "near-repeated")
+    stays = judged.groupBy("group_key").agg(F.min(order).alias("least")).select(F.col("least.doc_id").alias("stay_doc"), F.col("least.text_key").alias("stay_key"))
+    # a text is in one group only, so that id and text tell whether a row stays, without a join by group
+    judged = judged.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key"), "n")
+    same = F.col("of_doc").eqNullSafe(F.col("stay_doc")) & (F.col("of_key") == F.col("stay_key"))
+    repeated = park(judged.where("n > 1").join(stays, same, "left_semi").select("of_doc", "of_key"), "near-repeated")
+    gone = judged.join(stays, same, "left_anti").select("of_doc", "of_key").unionByName(repeated)
     row = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     on = F.col("row.doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64("row.text") == F.col("of_key"))
     out = row.join(gone, on, "left_anti")
