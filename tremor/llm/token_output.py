@@ -17,6 +17,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +32,7 @@ DICT_BYTES = 64 << 10
 SAMPLE_DOCS, SAMPLE_CHARS = 512, 20_000  # the dictionary is trained on at most so many documents, none longer
 CACHED_CHUNKS = 300_000  # of a Python worker, some 200 bytes each
 PUNCTUATION = ".,;:!?#*$%&|<>()[]{}\"/-_=+~"  # neither letters, digits, white space nor apostrophes
+KEPT_CHUNKS = 100_000  # of them between tasks
 LINE, LAST = "\ue000", "\ue000\ue000"  # mark a chunk after a line break, and the line break that ends a text
 GROUP_CHARS = 1 << 23  # texts that are encoded together
 SLICE = 2048  # documents of an Arrow batch that are encoded together
@@ -83,7 +85,8 @@ class Coder:
                 self.n_bytes[i] = len(token)  # a character of the vocabulary stands for a byte
 
     def forget(self) -> None:
-        self.old, self.young = {}, {LAST: self.young[LAST]}
+        """Keep the chunks that came first, which are the frequent ones."""
+        self.old, self.young = {}, dict(islice(self.young.items(), KEPT_CHUNKS)) | {LAST: self.young[LAST]}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         import numpy as np
