@@ -119,6 +119,17 @@ def test_a_copy_of_a_training_document_stands_out(spark):
     assert all(got[copy] > got[k] + 1 for k in held[1:])
 
 
+def test_blobs_are_bounded_by_tokens_with_more_shards_than_words(spark, monkeypatch):
+    monkeypatch.setattr(L, "SHARD_TOKENS", 2)
+    rows = [(k, f"a w{k} b w{k % 7}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8)
+    check(L.lm_scores(docs).collect(), expected(rows))
+    flagged = docs.withColumn("held_out", L.crc_of_id() % L.MOD == L.HELD_OUT)
+    plan = L.Plan(flagged)
+    blobs = flagged.mapInArrow(L._occurrences(plan), "shard int, block string, payload binary")
+    assert plan.shards == 100 and blobs.where("shard >= 0").count() <= 200
+
+
 def test_edges(spark):
     rows = [(1, "A b a"), (1, "A b a"), (2, None), (3, ""), (None, "b\tc"), (5, "x " * 50_000), (6, "only here " * 3)]
     docs = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id bigint, text string, score string")

@@ -17,12 +17,14 @@ neighbours, so that every occurrence goes to the shard of its word once, with
 the two words before it and the one after: c(u v w), c(v w) and c(w) decide
 there which of the three it is and its numerator; as a context for the next
 word, c(u v), c(v) and what was seen after them give the rest.  A very frequent
-word is spread over all shards by the word before it; its count goes to all
-shards, and its part as a context v is added where w is.  A shard merges the
+word is spread over all shards by the word before it; its count is known to all
+tasks, and its part as a context v is added where w is.  A shard merges the
 counts of all blocks of documents into a trie (words; words before them, twice;
 words after them, also after pairs; quantised log10 counts), looks each
-distinct n-gram up in it, and sends back one sum per document.  Which words are
-spread, and how the documents are cut, doesn't change a score.
+distinct n-gram up in it, and sends back one sum for each document that it has
+tokens of.  So all that travels is bounded by the tokens, whatever the number
+of blocks and shards.  Which words are spread, and how the documents are cut,
+doesn't change a score.
 """
 
 from __future__ import annotations
@@ -109,8 +111,24 @@ def _survey(batches: Iterator) -> Iterator:
         )
 
 
+def _counts(words):
+    """Task that counts tokens which are one of ``words``: (place in them, count)."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        total = np.zeros(len(words), np.int64)
+        for _, _, docs in _blocks(batches):
+            at = _place(words, np.concatenate(docs))
+            total += np.bincount(at[at >= 0], minlength=len(words))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words)), pa.int32()), pa.array(total, pa.int64())], ["place", "n"])
+
+    return run
+
+
 class Plan:
-    """What all tasks know: N, the number of shards, and the words that are spread over them."""
+    """What all tasks know: N, the number of shards, and the words that are spread over them with their training counts."""
 
     def __init__(self, docs: DataFrame):
         import numpy as np
@@ -124,6 +142,10 @@ class Plan:
         words = [(r["key"] & ((1 << 64) - 1), r["n"]) for r in rows]
         self.hot = np.unique(np.array([END, *(x for x, n in words if n * HOT >= self.n)], np.uint64))
         self.hot_context = np.argsort(self.hot & np.uint64(CONTEXT))
+        sums = docs.where("not held_out").mapInArrow(_counts(self.hot), "place int, n bigint").groupBy("place").agg(F.sum("n")).collect()
+        self.n_hot = np.zeros(len(self.hot), np.int64)
+        for k, n in sums:
+            self.n_hot[k] = n
         self.coded = np.unique(np.array([END, *(x for x, _ in words[:CODED])], np.uint64) & np.uint64(CONTEXT))[:CODED]
 
 
@@ -180,16 +202,13 @@ def _occurrences(plan: Plan):
             after = np.roll(low, -1)  # of a document's last token: not used
             doc = np.repeat(np.arange(len(docs), dtype=np.uint16 if len(docs) < 1 << 16 else np.uint32), sizes)
             shard = ((word >> np.uint64(32)) % np.uint64(plan.shards)).astype(np.int32)
-            hot = _place(plan.hot, word)
-            spread = hot >= 0
+            spread = _place(plan.hot, word) >= 0
             shard[spread] = ((word[spread] >> np.uint64(32)) + before[spread] * np.uint64(0x9E3779B1)) % np.uint64(plan.shards)
             train = ~np.array(held, bool)[doc]
-            n_hot = np.bincount(hot[spread & train], minlength=len(plan.hot)).astype(np.uint32)
             order = np.lexsort((before, word, shard))
             word, before, before2, after, doc, train, shard = (x[order] for x in (word, before, before2, after, doc, train, shard))
-            cuts = np.searchsorted(shard, np.arange(plan.shards + 1))
-            for s in range(plan.shards):
-                a, b = int(cuts[s]), int(cuts[s + 1])
+            own, cuts = np.unique(shard, return_index=True)
+            for s, a, b in zip(own.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(shard)], strict=True):
                 w, c = word[a:b], before[a:b]
                 new = np.ones(b - a, bool)
                 new[1:] = (w[1:] != w[:-1]) | (c[1:] != c[:-1])
@@ -198,7 +217,7 @@ def _occurrences(plan: Plan):
                 top[1:] = w[pair][1:] != w[pair][:-1]
                 tops = np.flatnonzero(top)
                 yield row(
-                    s, block, w[pair][tops], np.diff(np.append(tops, len(pair))).astype(np.uint32), np.diff(np.append(pair, b - a)).astype(np.uint32), doc[a:b], np.packbits(train[a:b]), n_hot,
+                    s, block, w[pair][tops], np.diff(np.append(tops, len(pair))).astype(np.uint32), np.diff(np.append(pair, b - a)).astype(np.uint32), doc[a:b], np.packbits(train[a:b]),
                     *_short(plan, c[pair]), *_short(plan, before2[a:b]), *_short(plan, after[a:b]),
                 )
 
@@ -218,7 +237,7 @@ def _left(count, discount: tuple[float, float]):
 def _shard_sums(plan: Plan):
     """Blobs sorted by shard to (block, payload): per document of a block the sums of a shard.
 
-    Block null: payload holds the shard's training tokens and distinct ones."""
+    Block null: payload holds the shard's training tokens and distinct ones, but for the words spread over all."""
 
     def distinct(parent, child):
         """Distinct (parent, child) as arrays sorted by both, and which of them each is."""
@@ -232,19 +251,19 @@ def _shard_sums(plan: Plan):
 
         return np.round(np.log10(counts) * STEP).astype(np.uint16)
 
-    def process(blobs: list[tuple[str, bytes]], shard: int):
+    def process(blobs: list[tuple[str, bytes]]):
         import numpy as np
 
         names, parts = [x[0] for x in blobs], []
         while blobs:  # their bytes go as they are unpacked
             parts.append(_unpack(blobs.pop(0)[1]))
-        n_hot = sum((p[5].astype(np.int64) for p in parts), np.zeros(len(plan.hot), np.int64))
+        n_hot = plan.n_hot
         train = np.concatenate([np.unpackbits(p[4], count=len(p[3])).astype(bool) for p in parts])
         words, word = np.unique(np.concatenate([np.repeat(p[0], p[1]) for p in parts]), return_inverse=True)
-        of_word, before, pair = distinct(word, _long(plan, [p[6:8] for p in parts]))
+        of_word, before, pair = distinct(word, _long(plan, [p[5:7] for p in parts]))
         pair = np.repeat(pair, np.concatenate([p[2] for p in parts]))  # of each occurrence
-        of_pair, before2, tri = distinct(pair, _long(plan, [p[8:10] for p in parts]))
-        after_pair, after, nxt = distinct(pair, _long(plan, [p[10:12] for p in parts]))
+        of_pair, before2, tri = distinct(pair, _long(plan, [p[7:9] for p in parts]))
+        after_pair, after, nxt = distinct(pair, _long(plan, [p[9:11] for p in parts]))
         docs = [p[3] for p in parts]
         del parts, word
         seen_tri, seen_after = (np.bincount(x[train], minlength=len(y)) for x, y in ((tri, of_pair), (nxt, after_pair)))
@@ -299,19 +318,15 @@ def _shard_sums(plan: Plan):
         log_p = log_p[tri] + rest[nxt]
         log_c = np.log10((count + 1.0) / (plan.n + 1.0))[of_word][pair]  # against N + 1, lest large sums cancel
         known = (count > 0)[of_word][pair]
-        here = np.array([(int(w) >> 32) % plan.shards == shard for w in plan.hot], bool)
-        n = int(seen_word[hot < 0].sum() + n_hot[here].sum())
-        v = int((seen_word[hot < 0] > 0).sum() + (n_hot[here] > 0).sum())
-        yield None, _pack(np.array([n, v], np.int64))
+        yield None, _pack(np.array([seen_word[hot < 0].sum(), (seen_word[hot < 0] > 0).sum()], np.int64))
         del trie, tri, nxt, pair, rest, lower
         at = 0
         for block, doc in zip(names, docs, strict=True):
             mine = slice(at, at + len(doc))
             at += len(doc)
-            if len(doc):
-                size = int(doc.max()) + 1
-                counts = (np.bincount(doc, x[mine], size).astype(np.uint32) for x in (known, unseen))
-                yield block, _pack(np.bincount(doc, log_p[mine], size).astype(np.float32), np.bincount(doc, log_c[mine], size), *counts)
+            own, of = np.unique(doc, return_inverse=True)
+            counts = (np.bincount(of, x[mine]).astype(np.uint32) for x in (known, unseen))
+            yield block, _pack(np.diff(own, prepend=own[:1]), own[:1], np.bincount(of, log_p[mine]).astype(np.float32), np.bincount(of, log_c[mine]), *counts)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -328,13 +343,13 @@ def _shard_sums(plan: Plan):
                     yield batch_of([(block, True, payload)])
                     continue
                 if shard != now and blobs:
-                    yield batch_of((a, False, b) for a, b in process(blobs, now))
+                    yield batch_of((a, False, b) for a, b in process(blobs))
                     blobs = []
                     trim()
                 now = shard
                 blobs.append((block, payload))
         if blobs:
-            yield batch_of((a, False, b) for a, b in process(blobs, now))
+            yield batch_of((a, False, b) for a, b in process(blobs))
 
     return run
 
@@ -350,8 +365,10 @@ def _assemble(plan: Plan, n: int, v: int):
             known, ids, held, sizes = next(_unpack(x) for is_docs, x in rows if is_docs)
             log_p, log_c, n_known, unseen = np.zeros(len(ids)), np.zeros(len(ids)), np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             for _, x in (r for r in rows if not r[0]):
-                for total, part in zip((log_p, log_c, n_known, unseen), _unpack(x), strict=True):
-                    total[: len(part)] += part
+                step, first, *sums = _unpack(x)
+                own = np.cumsum(step.astype(np.int64)) + first
+                for total, part in zip((log_p, log_c, n_known, unseen), sums, strict=True):
+                    total[own] += part
             log_p -= unseen * math.log10(max(1, n + v))
             base = log_c - sizes * math.log10((n + v + 1) / (plan.n + 1.0))
             return pa.RecordBatch.from_arrays(
@@ -395,9 +412,8 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     blobs = blobs.repartition(n, spread).sortWithinPartitions("shard", "block")
     with small_batches(spark):
         sums = park(blobs.mapInArrow(tidy(_shard_sums(plan)), "block string, documents boolean, payload binary"), "lm-sums")
-    n_train = v_train = 0
     totals = sums.where("block is null").select("payload").mapInArrow(_totals, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
-    n_train, v_train = (int(x or 0) for x in totals)
+    n_train, v_train = (int(x or 0) + int(y) for x, y in zip(totals, (plan.n_hot.sum(), (plan.n_hot > 0).sum()), strict=True))
     by_block = sums.where("block is not null").repartition(n, "block").sortWithinPartitions("block")
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
     return by_block.mapInArrow(_assemble(plan, n_train, v_train), schema)
