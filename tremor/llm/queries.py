@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import decontaminate, html_extract, line_dedup, lm_score, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
+from tremor.llm import decontaminate, html_extract, line_dedup, lm_score, merkle, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_output": token_output.op8_token_output,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extract": html_extract.op10_html_extract,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op5_decontaminate": decontaminate.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
 }
