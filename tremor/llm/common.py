@@ -75,6 +75,13 @@ def crc_of_id(doc_id: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 
 
+def crc_sql(number: str) -> str:
+    """DuckDB SQL of the crc32 of a number as text (null: empty), bit by bit."""
+    of_byte = "list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(a, x))"
+    codes = f"case when {number} is null then [] else list_transform(string_split(cast({number} as varchar), ''), lambda x: cast(ascii(x) as bigint)) end"
+    return f"xor(list_reduce({codes}, lambda a, x: {of_byte}, cast(4294967295 as bigint)), 4294967295)"
+
+
 def binaries(batch, name: str) -> list[bytes]:
     """The UTF-8 bytes of a string column of an Arrow batch; null is empty."""
     import pyarrow as pa

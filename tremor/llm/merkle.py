@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from tremor.llm.common import UPPER, crc_of_id, park, small_batches, table
+from tremor.llm.common import UPPER, crc_of_id, crc_sql, park, small_batches, table
 from tremor.llm.placing import placed
 
 FAN, LEVELS = 8, 3
@@ -261,13 +261,10 @@ def _sql_leaf(text: str) -> str:
     return "sha256(" + " || ".join(_sql_member(text if c == "text" else c) for c in FIELDS) + ")"
 
 
-# crc32 bit by bit; ids are ASCII
-_CRC_BYTE = "list_reduce(range(8), lambda c, i: xor(c >> 1, (c & 1) * 3988292384), xor(a, x))"
-_SQL_CRC = f"xor(list_reduce(list_transform(string_split(coalesce(cast(doc_id as varchar), ''), ''), lambda x: cast(ascii(x) as bigint)), lambda a, x: {_CRC_BYTE}, cast(4294967295 as bigint)), 4294967295)"
 _LOWER = f"translate(text, '{UPPER}', '{UPPER.lower()}')"
 ORACLE = f"""
 with recursive d as (select row_number() over () as k, doc_id, coalesce('=' || lang, '') as g, {_sql_leaf("text")} as leaf,
-  {_sql_leaf("t")} as claim from (select *, case when doc_id is null or {_SQL_CRC} % 3 = 0 then {_LOWER} else text end as t from documents) x),
+  {_sql_leaf("t")} as claim from (select *, case when {crc_sql('doc_id')} % 3 = 0 then {_LOWER} else text end as t from documents) x),
 p as (select *, row_number() over (partition by g order by doc_id nulls first, leaf, k) - 1 as i, count(*) over (partition by g) as n from d),
 low as (select g, 0 as lv, i, leaf as h, n from p
   union all select g, lv + 1, i // {FAN}, sha256(string_agg(h, '' order by i)), (n + {FAN - 1}) // {FAN} from low where n > 1 group by g, lv, i // {FAN}, n),

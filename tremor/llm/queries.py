@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import decontaminate, html_extract, line_dedup, lm_score, merkle, mixing, near_dedup, quality_model, quality_rules, token_output, toxicity
+from tremor.llm import decontaminate, html_extract, line_dedup, lm_score, merkle, mixing, near_dedup, prefix_trie, quality_model, quality_rules, token_output, toxicity
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
 }
 
 ORACLES = {
@@ -24,4 +25,5 @@ ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_prefix_trie": prefix_trie.ORACLE,
 }
