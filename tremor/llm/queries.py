@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tremor.llm import decontaminate, html_extract, line_dedup, lm_score, merkle, mixing, near_dedup, prefix_trie, quality_model, quality_rules, token_output, toxicity
+from tremor.llm import decontaminate, html_extract, line_dedup, lm_score, merkle, mixing, near_dedup, prefix_trie, quality_model, quality_rules, secret_scan, token_output, toxicity
 
 QUERIES = {
     "op1_quality_model": quality_model.op1_quality_model,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_html_extract": html_extract.op10_html_extract,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
     "op12_prefix_trie": prefix_trie.op12_prefix_trie,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
 ORACLES = {
