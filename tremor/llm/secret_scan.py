@@ -320,6 +320,9 @@ def _joined(spans: Column) -> Column:
 
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = secret_spans(table(spark, sf_dir, "documents"))
-    count = {k: F.size(F.filter("spans", lambda x, k=k: x["kind"] == k)).cast("bigint").alias(f"n_{k}") for k in KINDS[:3]}
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
     base = _joined(F.filter("spans", lambda x: x["kind"] != "literal"))
-    return rows.select("doc_id", *count.values(), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
+    return rows.select("doc_id", *map(count, KINDS[:3]), F.sha2(base.cast("binary"), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"))
