@@ -18,6 +18,7 @@ from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -304,8 +305,6 @@ def mask(text: str) -> str:
 
 def masked(documents: DataFrame) -> DataFrame:
     """``documents`` with their texts masked, n_chars (where there is such a column) to match; a null text stays null."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def masking(texts: pd.Series) -> pd.Series:
         return texts.map(mask, na_action="ignore")
