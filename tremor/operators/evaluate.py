@@ -149,12 +149,14 @@ def case_quality(cases: DataFrame) -> DataFrame:
 
 
 def run_evaluation(events: DataFrame, ground_truth: DataFrame, config=None, total_points: DataFrame | None = None) -> dict[str, DataFrame]:
-    """anomalies, cases, aggregate, per_incident, per_fault and skipped (flawed cases) as lazy frames."""
+    """anomalies, cases, aggregate, per_incident, per_fault and skipped (flawed cases) as lazy frames.
+
+    Only the signals of a case's own incident count: a burst on another one detects nothing."""
     from tremor.operators.detect import detect
 
     known = case_windows(ground_truth).where("case_id is not null")
     flaws = case_quality(known).where("flaw is not null")
     cases = known.join(flaws, "case_id", "left_anti")
-    anomalies = detect(events, cases.select("case_id", F.col("inject_time_ms").alias("baseline_end")), config)
+    anomalies = detect(events, cases.select("case_id", F.col("inject_time_ms").alias("baseline_end")), config, restrict_to_incident=True)
     metrics = evaluate_cases(cases, anomalies, total_points)
     return {"anomalies": anomalies, "cases": metrics, "aggregate": aggregate(metrics), "per_incident": per_incident(metrics), "per_fault": per_fault(metrics), "skipped": flaws}

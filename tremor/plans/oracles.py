@@ -72,6 +72,7 @@ scored as (
   select m.*, mean, std, "max", "quantile", case when std = 0 then 0.0 else (value - mean) / std end as score
   from marked m join (select * from stats where n_total >= 10 and n_base >= 10) s using (case_id, service, signal_type) where not in_baseline),
 anomalies as (select * from scored where abs(score) >= 3.0),
+judged as (select * from anomalies where {_RESTRICTED}),
 halves as (select *, row_number() over (partition by case_id, service, signal_type order by timestamp_ms, value) <= floor(count(*) over (partition by case_id, service, signal_type) / 2) as in_baseline from series),
 half_stats as (
   select case_id, service, signal_type, count(*) as n_total, count(*) filter (where in_baseline) as n_base, avg(value) filter (where in_baseline) as mean, stddev_pop(value) filter (where in_baseline) as std,
@@ -80,7 +81,7 @@ half_anomalies as (
   select * from (select h.*, case when std = 0 then 0.0 else (value - mean) / std end as score
     from halves h join (select * from half_stats where n_total >= 10 and n_base >= 10) s using (case_id, service, signal_type)) z where abs(score) >= 3.0),
 point_counts as (select case_id, count(*) as n from series group by case_id),
-hits as (select c.*, a.timestamp_ms, a.service, a.case_id is not null as hit from cases c left join anomalies a using (case_id)),
+hits as (select c.*, a.timestamp_ms, a.service, a.case_id is not null as hit from cases c left join judged a using (case_id)),
 validated as (
   select case_id, fault, incident_type, root_cause_service, count(*) filter (where timestamp_ms >= inject_time_ms) > 0 as detected, min(timestamp_ms) filter (where timestamp_ms >= inject_time_ms) as first_detection_ms,
     (min(timestamp_ms) filter (where timestamp_ms >= inject_time_ms) - inject_time_ms) / 1000.0::double as delay_seconds, count(*) filter (where timestamp_ms >= inject_time_ms) as valid_anomalies,

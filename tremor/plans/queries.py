@@ -46,6 +46,11 @@ def found(t: Tables, **options) -> DataFrame:
     return D.detect(events(t), ends(t), DetectorConfig(**options))
 
 
+def judged(t: Tables) -> DataFrame:
+    """What the evaluation looks at: anomalies on the signals of a case's own incident."""
+    return D.detect(events(t), ends(t), restrict_to_incident=True)
+
+
 def traces(t: Tables) -> DataFrame:
     return t.traces_raw().withColumn("timestamp_ms", F.col("startTimeMillis"))
 
@@ -59,7 +64,7 @@ def points(t: Tables) -> DataFrame:
 
 
 def metrics(t: Tables, by_points: bool = False) -> DataFrame:
-    return evaluate.evaluate_cases(cases(t), found(t), points(t) if by_points else None)
+    return evaluate.evaluate_cases(cases(t), judged(t), points(t) if by_points else None)
 
 
 def names(t: Tables) -> DataFrame:
@@ -261,22 +266,22 @@ def last_anomaly(t):
 # Evaluate
 @query
 def validate_detection(t):
-    return evaluate.validate_detection(cases(t), found(t))
+    return evaluate.validate_detection(cases(t), judged(t))
 
 
 @query
 def validate_detection_windowed(t):
-    return evaluate.validate_detection(cases(t), found(t), ONE_DAY_MS)
+    return evaluate.validate_detection(cases(t), judged(t), ONE_DAY_MS)
 
 
 @query
 def detection_summary(t):
-    return r6(evaluate.summarize(evaluate.validate_detection(cases(t), found(t))), "detection_rate", "avg_delay_seconds")
+    return r6(evaluate.summarize(evaluate.validate_detection(cases(t), judged(t))), "detection_rate", "avg_delay_seconds")
 
 
 @query
 def detection_summary_by_incident(t):
-    return r6(evaluate.summarize_by_incident(evaluate.validate_detection(cases(t), found(t))), "detection_rate")
+    return r6(evaluate.summarize_by_incident(evaluate.validate_detection(cases(t), judged(t))), "detection_rate")
 
 
 def _cases(df: DataFrame) -> DataFrame:
