@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tremor.config import DETECTABLE_SIGNALS, INCIDENT_SIGNALS, METRIC_SUFFIXES, SYSTEM_NAMES
-from tremor.plans.queries import NAMES, ONE_DAY_MS, WINDOW_MS
+from tremor.operators.incidents import TOP_SERVICES
+from tremor.plans.queries import GRID_MS, MOST_LAG, NAMES, ONE_DAY_MS, WINDOW_MS
 from tremor.sources.adapters import WIDE
 
 
@@ -129,6 +130,51 @@ _CHECKED = """select case_id, incident_type, {} from (select c.case_id, c.incide
   coalesce(bool_or(a.incident_type = c.incident_type) filter (where timestamp_ms >= inject_time_ms), false) as own
   from cases c left join anomalies a on a.case_id = c.case_id group by all) t"""
 
+_SESSIONS = f"""paused as (select *, abs(score) as strength, case when timestamp_ms - lag(timestamp_ms) over (partition by case_id, service order by timestamp_ms) <= {ONE_DAY_MS} then 0 else 1 end as opens from anomalies),
+numbered as (select *, sum(opens) over (partition by case_id, service order by timestamp_ms rows unbounded preceding) as burst from paused),
+named as (select *, case_id || '|' || service || '|' || min(timestamp_ms) over (partition by case_id, service, burst) as session from numbered),
+bursts as (select case_id, service, session, min(timestamp_ms) as start_ms, max(timestamp_ms) as end_ms, count(*) as anomalies, max(strength) as peak from named group by case_id, service, session)"""
+_INCIDENTS = _SESSIONS + ", " + _EDGES.format("") + """,
+touching as (select a.session as u, b.session as v from bursts a join bursts b on a.case_id = b.case_id and a.start_ms <= b.end_ms and b.start_ms <= a.end_ms
+  where exists (select 1 from edges e where (e.source = a.service and e.target = b.service) or (e.source = b.service and e.target = a.service))),
+joined as (select session as s, session as r from bursts union select v, r from joined join touching on u = s),
+members as (select b.*, incident_id from bursts b join (select s as session, min(r) as incident_id from joined group by s) j using (session))"""
+_HOPS = _SESSIONS + ", " + _EDGES.format("") + f""",
+hops as (select u.session as u, v.session as v from bursts u join bursts v on u.case_id = v.case_id and u.start_ms <= v.start_ms and v.start_ms <= u.end_ms + {ONE_DAY_MS} join edges e on e.target = u.service and e.source = v.service),
+walks as (select b.case_id, b.service as origin, b.session, 0 as hops, b.service as path from bursts b join cases c on c.case_id = b.case_id and c.root_cause_service = b.service
+  union all select w.case_id, w.origin, h.v, w.hops + 1, min(w.path || ' > ' || b.service) from walks w join hops h on h.u = w.session join bursts b on b.session = h.v where w.hops < (select count(*) from bursts) group by all)"""
+_PRINTS = _INCIDENTS + """,
+whole as (select case_id, incident_id, min(start_ms) as start_ms, sum(anomalies) as anomalies from members group by all),
+by_signal as (select incident_id, signal_type, max(strength) as peak, min(timestamp_ms) as first_ms from named join members using (session) group by all),
+by_service as (select incident_id, members.service, max(strength) as peak from named join members using (session) group by all),
+high as (select incident_id, list(ln(1 + peak) order by peak desc) as high from by_service group by 1),
+prints as (select w.case_id, w.incident_id as id, w.anomalies, [{}] || list_transform(range(1, {}), lambda k: coalesce(high[k], 0.0)) as v
+  from whole w join high using (incident_id)),
+queries as (select * from prints qualify row_number() over (partition by case_id order by anomalies desc, id desc) = 1)""".format(
+    ", ".join(
+        f"coalesce((select ln(1 + peak) from by_signal b where b.incident_id = w.incident_id and signal_type = '{x}'), 0.0), coalesce((select 1 / (1 + (b.first_ms - w.start_ms) / 3600000) from by_signal b where b.incident_id = w.incident_id and signal_type = '{x}'), 0.0)"
+        for x in DETECTABLE_SIGNALS
+    ),
+    TOP_SERVICES + 1,
+)
+_NEAREST = """select query_id, id, round(similarity, 6) as similarity, cast(row_number() over (partition by query_id order by round(similarity, 9) desc, id) as integer) as place
+from (select q.id as query_id, x.id, list_dot_product(q.v, x.v) / sqrt(list_dot_product(q.v, q.v) * list_dot_product(x.v, x.v)) as similarity from queries q join {} x on x.id <> q.id) s qualify place <= {}"""
+
+_TEMPLATES = r"""worded as (select row_number() over () as k, "case" as case_id, timestamp * 1000 as timestamp_ms,
+  list_transform(regexp_split_to_array(trim(coalesce(message, ''), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[ \t-\r]+'), lambda w: case when regexp_matches(w, '[0-9]') then '<*>' else w end) as w from logs_raw),
+leaves as (select *, len(w) as n, w[1:2] as first, count(*) over (partition by len(w), w[1:2]) as size from worded),
+common as (select n, first, i, word from (select n, first, size, unnest(range(1, n + 1)) as i, unnest(w) as word from leaves) x group by n, first, i, word, size having 2 * count(*) > size),
+templated as (select l.case_id, l.timestamp_ms, string_agg(case when c.word = l.word then l.word else '<*>' end, ' ' order by l.i) as template
+  from (select k, case_id, timestamp_ms, n, first, unnest(range(1, n + 1)) as i, unnest(w) as word from leaves) l left join common c using (n, first, i) group by l.k, l.case_id, l.timestamp_ms),
+pivots as (select case_id, min(timestamp_ms) as lo, max(timestamp_ms) as hi, cast(floor((min(timestamp_ms) + max(timestamp_ms)) / 2) as bigint) as mid from worded group by 1),
+counted_logs as (select case_id, template, lo, hi, mid, count(*) filter (where timestamp_ms < mid) as before, count(*) filter (where timestamp_ms >= mid) as after from templated join pivots using (case_id) group by all),
+expected as (select *, (before + after) * (hi - mid + 1) / (hi - lo + 1) as e from counted_logs),
+burst as (select *, 2 * (case when after > 0 then after * ln(after / e) else 0 end + case when before > 0 then before * ln(before / (before + after - e)) else 0 end) as g from expected)"""
+_LAGS = f"""first_series as (select case_id, service, signal_type from (select case_id, service, signal_type, min(timestamp_ms) as first_ms from anomalies group by all) t qualify row_number() over (partition by case_id order by first_ms, service, signal_type) = 1),
+cells as (select case_id, service, signal_type, cast(floor(timestamp_ms / {GRID_MS}) as bigint) as cell, avg(value) as value from series group by all),
+refs as (select c.case_id, cell, value as ref, cast(unnest(range(-{MOST_LAG}, {MOST_LAG + 1})) as integer) as lag from cells c join first_series using (case_id, service, signal_type)),
+lags as (select c.case_id, c.service, c.signal_type, lag, count(*) as n, corr(ref, value) as corr from cells c join refs r on r.case_id = c.case_id and c.cell = r.cell + r.lag group by all having count(*) >= 10 and stddev_pop(ref) > 0 and stddev_pop(value) > 0)"""
+
 ORACLES = {
     "load_metrics_window": _with(f"""select "case", time, time * 1000 as timestamp, "svc-0_cpu", "svc-1_error" from metrics_wide where "case" = 'case_1' and time >= {WINDOW_MS[0] // 1000} and time <= {WINDOW_MS[1] // 1000}"""),
     "load_logs_window": _with("""select *, timestamp * 1000 as timestamp_ms from logs_raw where "case" = 'case_2' and timestamp between 1704067200 and 1704667200"""),
@@ -214,5 +260,12 @@ ORACLES = {
 s as (select q.id as query_id, u.id, case when q.n * u.n > 0 then list_dot_product(q.v, u.v) / (q.n * u.n) else 0.0 end as similarity from u q join u on u.id <> q.id where q.id % 50 = 0)
 select query_id, id, round(similarity, 6) as similarity, cast(row_number() over (partition by query_id order by round(similarity, 9) desc, id) as integer) as place from s qualify place <= 5""",
     "logs_near_incident": _with(f"select event_id, case_id, timestamp_ms, service_name from log_events join cases using (case_id) where timestamp_ms between inject_time_ms - {15 * ONE_DAY_MS} and inject_time_ms + {ONE_DAY_MS}"),
+    "anomaly_sessions": _with("select * replace (round(peak, 6) as peak) from bursts", _SESSIONS),
+    "incident_sessions": _with("select case_id, incident_id, min(start_ms) as start_ms, max(end_ms) as end_ms, arg_min(service, struct_pack(a := start_ms, b := service)) as first_service, string_agg(distinct service, ',' order by service) as services, count(*) as sessions, cast(sum(anomalies) as bigint) as anomalies, round(max(peak), 6) as peak_score from members group by case_id, incident_id", _INCIDENTS),
+    "impact_paths": _with("select case_id, origin, service, start_ms as arrival_ms, hops, path from walks join bursts using (case_id, session) where service <> origin qualify row_number() over (partition by case_id, origin, service order by start_ms, hops, path) = 1", _HOPS),
+    "similar_incidents": _with(_NEAREST.format("prints", 3), _PRINTS),
+    "similar_vectors_indexed": "with x as (select cast(vec_id as varchar) as id, vec_id, cast(embedding as double[]) as v from embeddings), queries as (select * from x where vec_id % 50 = 0) " + _NEAREST.format("x", 5),
+    "relevant_logs": _with("select case_id, template, before, after, round(score, 6) as score, cast(row_number() over (partition by case_id order by score desc, template) as integer) as place from (select *, round(case when after >= e then g else -g end, 9) as score from burst) b", _TEMPLATES),
+    "lead_lag": _with("select case_id, service, signal_type, lag, n, round(corr, 6) as corr, cast(row_number() over (partition by case_id, service, signal_type order by abs(round(corr, 9)) desc, abs(lag), lag) as integer) as place from lags", _LAGS),
     "incident_nodes": _with("select case_id, service, incident_type, min(timestamp_ms) as first_ms, max(timestamp_ms) as last_ms, count(*) as anomalies, round(max(abs(score)), 6) as peak_score from anomalies group by all"),
 }

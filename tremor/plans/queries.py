@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tremor import store
 from tremor.config import DetectorConfig
 from tremor.functions import parsing
 from tremor.operators import detect as D
-from tremor.operators import etl, evaluate, normalize, profile, similar
+from tremor.operators import correlate, etl, evaluate, incidents, ivf, normalize, profile, similar
+from tremor.operators import logs as L
 from tremor.schemas import EVENT_COLUMNS
 from tremor.sources import loader
 from tremor.sources.adapters import Tables
@@ -18,6 +20,7 @@ from tremor.sources.adapters import Tables
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 WINDOW_MS = (1705000000500, 1705600000500)
 ONE_DAY_MS = 86_400_000
+GRID_MS, MOST_LAG = ONE_DAY_MS // 4, 6
 NAMES = ("checkoutservice_cpu", "ts-auth-service_latency-90", "carts-db_diskio", "a_b_c", "foo", "foo_", "_cpu", " x_cpu ", "x_latency-50", "_", "")
 
 
@@ -480,6 +483,60 @@ def incident_nodes(t):
     return r6(etl.incident_nodes(found(t)), "peak_score")
 
 
+def burst_signals(t: Tables) -> DataFrame:
+    return incidents.session_signals(found(t), ONE_DAY_MS)
+
+
+def burst_members(t: Tables) -> DataFrame:
+    return incidents.members(incidents.sessions(burst_signals(t)), etl.dependencies(t.traces_raw()))
+
+
+@query
+def anomaly_sessions(t):
+    return r6(incidents.sessions(burst_signals(t)), "peak")
+
+
+@query
+def incident_sessions(t):
+    rows = incidents.incident_sessions(burst_members(t))
+    return r6(rows.withColumn("services", F.array_join("services", ",")), "peak_score")
+
+
+@query
+def impact_paths(t):
+    """From the root cause of each case."""
+    origins = cases(t).select("case_id", F.col("root_cause_service").alias("service"))
+    return incidents.impact_paths(incidents.sessions(burst_signals(t)), etl.dependencies(t.traces_raw()), origins, ONE_DAY_MS)
+
+
+@query
+def similar_incidents(t):
+    """Of each case's main incident."""
+    prints = store.park(incidents.fingerprints(burst_members(t), burst_signals(t)).withColumnRenamed("incident_id", "id"), "fingerprints")
+    wanted = incidents.main_incidents(prints.withColumnRenamed("id", "incident_id")).withColumnRenamed("incident_id", "id")
+    return r6(ivf.search(ivf.build(prints, cells=16), wanted, 3), "similarity")
+
+
+@query
+def similar_vectors_indexed(t):
+    v = t.read("embeddings").select(F.col("vec_id").cast("string").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    return r6(ivf.search(ivf.build(v, cells=64), v.where("cast(id as bigint) % 50 = 0"), 5), "similarity")
+
+
+@query
+def relevant_logs(t):
+    """Around the middle of each case's own logs, whose clock in these tables is not that of the cases."""
+    rows = logs(t).withColumnRenamed("case", "case_id")
+    return r6(L.relevant_logs(rows, L.own_pivots(rows)), "score")
+
+
+@query
+def lead_lag(t):
+    """Against the series of each case that deviates first."""
+    first = etl.first_deviation(found(t)).where("place = 1")
+    return r6(correlate.lead_lag(D.build_series(events(t)), first, GRID_MS, MOST_LAG), "corr")
+
+
 @query
 def detection_report(t):
     """Rows only: the lines of the text report."""
