@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tremor.config import DETECTABLE_SIGNALS, INCIDENT_SIGNALS, DetectorConfig
 from tremor.functions.parsing import finite, float_text, incident_of, z_score
+from tremor.operators.quantile import quantiles
 
 KEYS = ("case_id", "service", "signal_type")
 
@@ -53,13 +54,17 @@ def in_baseline(series: DataFrame, baseline_end: DataFrame | None) -> DataFrame:
 
 
 def baselines(points: DataFrame, quantile: float | None = 0.95) -> DataFrame:
-    """Per series: n_total, n_base, mean, population std, max and the linearly interpolated quantile (null for
-    ``quantile`` None: its buffer holds a series' distinct values, so that only the method that needs it pays)."""
+    """Per series: n_total, n_base, mean, population std, max and the linearly interpolated quantile.
+
+    The quantile is exact and found in fixed memory a series, by histograms
+    that are refined over the points; None leaves it null and has one pass."""
     base = F.when(F.col("in_baseline"), F.col("value"))
-    return points.groupBy(*KEYS).agg(
-        F.count(F.lit(1)).alias("n_total"), F.count(base).alias("n_base"), F.avg(base).alias("mean"), F.stddev_pop(base).alias("std"), F.max(base).alias("max"),
-        (F.lit(None).cast("double") if quantile is None else F.percentile(base, quantile)).alias("quantile"),
-    )
+    stats = points.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_total"), F.count(base).alias("n_base"), F.avg(base).alias("mean"), F.stddev_pop(base).alias("std"), F.max(base).alias("max"))
+    if quantile is None:
+        return stats.withColumn("quantile", F.lit(None).cast("double"))
+    known = points.where("in_baseline").select(F.struct(*KEYS).alias("series"), "value")
+    found = quantiles(known, ["series"], "value", quantile)
+    return stats.withColumn("series", F.struct(*KEYS)).join(found, "series", "left").drop("series")
 
 
 def eligible(stats: DataFrame, config: DetectorConfig) -> DataFrame:

@@ -181,7 +181,7 @@ ORACLES = {
     "load_traces_window": _with("""select "case", "traceID", "spanID", "serviceName", "startTimeMillis", duration from traces_raw where "case" = 'case_0' and "startTimeMillis" between 1704067205000 and 1704367205000"""),
     "list_cases": _with('select distinct "case" from ground_truth'),
     "case_windows": _with("select * from cases"),
-    "metric_columns": f"select unnest([{_list(WIDE)}]) as metric_name",
+    "metric_columns": _with(" union all ".join(f"""select '{c}' as metric_name, count("{c}") as n from metrics_wide""" for c in WIDE)),
     "case_bundle_counts": _with("""select case_id, source, count(*) as n from (select 'metrics' as source, "case" as case_id, timestamp as ts from metrics_long union all select 'logs', "case", timestamp * 1000 from logs_raw
   union all select 'traces', "case", "startTimeMillis" from traces_raw) e join cases using (case_id) where ts between time_start_ms and time_end_ms group by all"""),
     "unpivot_metrics": _with(" union all ".join(f"""select "case", time * 1000 as timestamp, '{c}' as metric_name, "{c}" as value from metrics_wide""" for c in WIDE)),
@@ -267,5 +267,7 @@ select query_id, id, round(similarity, 6) as similarity, cast(row_number() over
     "similar_vectors_indexed": "with x as (select cast(vec_id as varchar) as id, vec_id, cast(embedding as double[]) as v from embeddings), queries as (select * from x where vec_id % 50 = 0) " + _NEAREST.format("x", 5),
     "relevant_logs": _with("select case_id, template, before, after, round(score, 6) as score, cast(row_number() over (partition by case_id order by score desc, template) as integer) as place from (select *, round(case when after >= e then g else -g end, 9) as score from burst) b", _TEMPLATES),
     "lead_lag": _with("select case_id, service, signal_type, lag, n, round(corr, 6) as corr, cast(row_number() over (partition by case_id, service, signal_type order by abs(round(corr, 9)) desc, abs(lag), lag) as integer) as place from lags", _LAGS),
+    "stored_points": _with("""select resource, day, count(*) as n, round(max(value), 6) as high from (select case_id, metric_name, timestamp_ms, coalesce(nullif(service_name, ''), 'unknown') as resource,
+  strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d') as day, max(value) as value from metric_events group by all) t group by all"""),
     "incident_nodes": _with("select case_id, service, incident_type, min(timestamp_ms) as first_ms, max(timestamp_ms) as last_ms, count(*) as anomalies, round(max(abs(score)), 6) as peak_score from anomalies group by all"),
 }

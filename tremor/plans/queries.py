@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tremor import store
@@ -13,8 +14,8 @@ from tremor.functions import parsing
 from tremor.operators import detect as D
 from tremor.operators import correlate, etl, evaluate, incidents, ivf, normalize, profile, similar
 from tremor.operators import logs as L
-from tremor.schemas import EVENT_COLUMNS
-from tremor.sources import loader
+from tremor.schemas import EVENT_COLUMNS, METRICS_META
+from tremor.sources import loader, resource_store
 from tremor.sources.adapters import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,7 +105,11 @@ def case_windows(t):
 
 @query
 def metric_columns(t):
-    return t.spark.createDataFrame([(c,) for c in t.metrics_wide().columns if c not in ("case", "dataset", "fault", "root_cause_service", "time")], "metric_name string")
+    """The metric columns that hold a value, with how many."""
+    wide = t.metrics_wide()
+    values = [c for c in wide.columns if c not in METRICS_META]
+    counts = wide.agg(*[F.count(F.col(f"`{c}`")).alias(c) for c in values])
+    return counts.unpivot([], [F.col(f"`{c}`") for c in values], "metric_name", "n")
 
 
 @query
@@ -213,12 +218,12 @@ def baseline_quantile(t):
 
 @query
 def baseline_eligible(t):
-    return D.eligible(D.baselines(D.in_baseline(D.build_series(events(t)), ends(t))), DetectorConfig()).select(*D.KEYS, "n_total", "n_base")
+    return D.eligible(D.baselines(D.in_baseline(D.build_series(events(t)), ends(t)), None), DetectorConfig()).select(*D.KEYS, "n_total", "n_base")
 
 
 @query
 def baseline_first_half(t):
-    return r6(D.baselines(D.in_baseline(D.build_series(events(t)), None)), "mean", "std", "max").drop("quantile")
+    return r6(D.baselines(D.in_baseline(D.build_series(events(t)), None), None), "mean", "std", "max").drop("quantile")
 
 
 # Detect
@@ -409,10 +414,11 @@ def value_counts_root_cause(t):
 
 @query
 def value_counts_ordered(t):
-    """The fault counts in the three orders; rows are numbered as they come."""
-    parts = [profile.value_counts(t.traces_raw(), "fault", order).collect() for order in ("key", "desc", "asc")]
-    rows = [(order, k, r["fault"], r["n"]) for order, part in zip(("key", "desc", "asc"), parts, strict=True) for k, r in enumerate(part)]
-    return t.spark.createDataFrame(rows, "ordered_by string, place int, fault string, n bigint")
+    """The fault counts in the three orders."""
+    counts = profile.value_counts(t.traces_raw(), "fault")
+    orders = {"key": ("fault",), "desc": (F.desc("n"), "fault"), "asc": ("n", "fault")}
+    parts = [counts.select(F.lit(name).alias("ordered_by"), (F.row_number().over(Window.orderBy(*by)) - 1).alias("place"), "fault", "n") for name, by in orders.items()]  # a row for each fault
+    return etl.union_rows(*parts)
 
 
 @query
@@ -537,6 +543,17 @@ def lead_lag(t):
     return r6(correlate.lead_lag(D.build_series(events(t)), first, GRID_MS, MOST_LAG), "corr")
 
 
+@query
+def stored_points(t):
+    """Points of the resource store after one load and a second one of a single case, by resource and day."""
+    path = f"{store.shared_dir(t.spark)}/resources-{uuid.uuid4().hex}"
+    rows = resource_store.points(events(t))
+    resource_store.upsert(rows, path)
+    resource_store.upsert(rows.where("case_id = 'case_1'"), path)
+    found = resource_store.read(t.spark, path)
+    return r6(found.groupBy("resource", "day").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("high")), "high")
+
+
 @query
 def detection_report(t):
     """Rows only: the lines of the text report."""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tremor import schemas, store
+from tremor.sources import csv_records
 
 FILES = {"metrics": "data/processed/metrics/metrics.csv", "logs": "data/processed/logs/logs.csv", "traces": "data/processed/traces/traces.csv", "ground_truth": "data/ground_truth/target_incidents.csv"}
 
@@ -70,15 +71,33 @@ class DatasetLoader:
             if missing:
                 raise FileNotFoundError(f"missing data files: {missing}")
 
-    def _csv(self, path: str, schema: str, required, source: str, multi_line: bool = False) -> DataFrame:
-        """``multi_line``: values may hold line breaks; a file is then read by one task, so that a large table has
-        to come in many files."""
+    def _csv(self, path: str, schema: str, required, source: str, breaks: bool = False) -> DataFrame:
+        """``breaks``: values may hold line breaks; files are read by byte ranges all the same."""
         header = self.spark.read.csv(path, header=True).columns
         kinds = dict(x.split() for x in schema.split(", "))
         declared = ", ".join(f"`{c}` {kinds.get(c, 'string')}" for c in header)
-        df = self.spark.read.csv(path, header=True, schema=declared, multiLine=multi_line, escape='"')
+        df = csv_records.read_csv(self.spark, path, declared) if breaks else self.spark.read.csv(path, header=True, schema=declared, escape='"')
         return schemas.require(df, required, source)
 
+    def quarantined(self, source: str) -> DataFrame:
+        """case, file, reason and record of the rows of ``source`` that a load turns into nulls, or cuts: a value that is
+        not of its column's type, or too many or too few values.  Loads keep these rows."""
+        path = getattr(self.paths, source)
+        header = self.spark.read.csv(path, header=True).columns
+        if source == "metrics":
+            kinds = {c: "string" if c in schemas.CASE else "bigint" if c == "time" else "double" for c in header}
+        else:
+            fixed = {"logs": schemas.LOG_SCHEMA, "traces": schemas.TRACE_SCHEMA, "ground_truth": schemas.GROUND_TRUTH_SCHEMA}[source]
+            kinds = {c: dict(x.split() for x in fixed.split(", ")).get(c, "string") for c in header}
+        names = [f"c{i}" for i in range(len(header))]
+        declared = ", ".join(f"{n} string" for n in [*names, "wrong"])
+        rows = csv_records.records(self.spark, path).where("not first")
+        rows = rows.select("file", "text", F.from_csv("text", declared, {"escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "wrong"}).alias("r"))
+        flaws = [F.when(F.col("r.wrong").isNotNull(), F.lit(f"not {len(header)} values"))]
+        flaws += [F.when(F.col(f"r.{n}").isNotNull() & F.col(f"r.{n}").try_cast(kinds[c]).isNull(), F.lit(f"{c}: no {kinds[c]}")) for n, c in zip(names, header, strict=True) if kinds[c] != "string"]
+        case = F.col(f"r.{names[header.index('case')]}") if "case" in header else F.lit(None).cast("string")
+        return rows.select(case.alias("case"), "file", F.array_join(F.array_compact(F.array(*flaws)), "; ").alias("reason"), F.col("text").alias("record")).where("reason <> ''")
+
     def get_metric_columns(self) -> list[str]:
         return [c for c in self.spark.read.csv(self.paths.metrics, header=True).columns if c not in schemas.METRICS_META]
 
@@ -92,7 +111,7 @@ class DatasetLoader:
     load_metrics = scan_metrics
 
     def load_logs(self, case_id: str | None = None, *, time_start_ms: int | None = None, time_end_ms: int | None = None) -> DataFrame:
-        df = self._csv(self.paths.logs, schemas.LOG_SCHEMA, schemas.names(schemas.LOG_SCHEMA), "logs", multi_line=True)
+        df = self._csv(self.paths.logs, schemas.LOG_SCHEMA, schemas.names(schemas.LOG_SCHEMA), "logs", breaks=True)
         return to_ms(window(case_filter(df, case_id), "timestamp", time_start_ms, time_end_ms), "timestamp", "timestamp_ms")
 
     def load_traces(self, case_id: str | None = None, *, time_start_ms: int | None = None, time_end_ms: int | None = None) -> DataFrame:
