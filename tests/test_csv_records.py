@@ -96,6 +96,7 @@ def test_quarantine_names_file_and_reason(spark, tmp_path):
     data = loader.DatasetLoader(spark, loader.DatasetPaths(**paths))
     bad = {(r.case, r.reason, r.record) for r in data.quarantined("metrics").collect()}
     assert bad == {("c1", "time: no bigint; a_cpu: no double", "c1,d,cpu,a,two,x"), ("c2", "not 6 values", "c2,d,cpu,a,3"), ("c2", "not 6 values", "c2,d,cpu,a,4,,9")}
+    assert {tuple(r) for r in data.quarantine_counts("metrics").collect()} == {("c1", "time: no bigint; a_cpu: no double", 1), ("c2", "not 6 values", 2)}
     (log,) = data.quarantined("logs").collect()
     assert (log.case, log.reason, log.record) == ("c1", "timestamp: no bigint", 'c1,d,cpu,a,soon,box,"more\nlines"') and log.file.endswith("logs.csv")
     assert data.quarantined("traces").count() == data.quarantined("ground_truth").count() == 0

@@ -203,7 +203,11 @@ def test_dataset_build(spark, tmp_path, indexed):
     got = etl.build_dataset(spark, str(raw), subset, out)
     assert got["rows"] == {"cases": 3, "metrics": 20, "logs": 0, "traces": 5, "services": 3, "dependencies": 2}
     assert got["missing"] == {"metrics": ["c2", "c3"], "logs": ["c1", "c2", "c3"], "traces": ["c3"]}
-    assert all(got["files"].values()) and len(got["files"]) == 8
+    assert all(got["files"].values()) and len(got["files"]) == 9
+    ((file, reason),) = got["quarantined"].items()  # one broken file among three
+    assert file.endswith("/c2/metrics.parquet") and reason
+    (broken,) = spark.read.csv(f"{out}/quarantine", header=True, escape='"').collect()
+    assert (broken.case, broken.file) == ("c2", file)
     truth = spark.read.csv(f"{out}/ground_truth", header=True)
     assert truth.columns == ["case", "dataset", "fault", "root_cause_service", *(["inject_time"] if indexed else [])] and truth.count() == 3
     assert [tuple(r) for r in spark.read.csv(f"{out}/dependencies", header=True).collect()] == [("a", "b"), ("b", "c")]
@@ -215,6 +219,34 @@ def test_dataset_build(spark, tmp_path, indexed):
         etl.build_dataset(spark, str(raw), subset.drop("fault"), out)
 
 
+def test_a_killed_build_goes_on(spark, tmp_path, monkeypatch):
+    raw, out = tmp_path / "raw", tmp_path / "out"
+    raw.mkdir()
+    subset = raw_tree(spark, raw)
+    write = sinks.write_telemetry
+
+    def killed(df, path):
+        if "/traces-" in path:
+            raise KeyboardInterrupt
+        write(df, path)
+
+    monkeypatch.setattr(sinks, "write_telemetry", killed)
+    with pytest.raises(KeyboardInterrupt):
+        etl.build_dataset(spark, str(raw), subset, str(out))
+    made = {p: p.stat().st_mtime_ns for p in (out / "metrics").rglob("*") if p.is_file()}
+    assert made and not (out / "traces").exists()
+    written = []
+    monkeypatch.setattr(sinks, "write_telemetry", lambda df, path: written.append(path.split("/")[-1].split("-")[0]) or write(df, path))
+    whole = etl.build_dataset(spark, str(raw), subset, str(out))
+    assert written == ["traces"] and whole["rows"]["metrics"] == 20 and whole["rows"]["traces"] == 5 and len(whole["quarantined"]) == 1
+    assert {p: p.stat().st_mtime_ns for p in (out / "metrics").rglob("*") if p.is_file()} == made
+    assert etl.build_dataset(spark, str(raw), subset, str(out)) == whole and written == ["traces"]
+    # what a table is made from has changed: that table only
+    (raw / "c2" / "metrics.parquet").write_bytes((raw / "c1" / "metrics.parquet").read_bytes())
+    again = etl.build_dataset(spark, str(raw), subset, str(out))
+    assert written == ["traces", "metrics"] and again["rows"]["metrics"] == 40 and again["quarantined"] == {}
+
+
 def test_evaluation_on_disk(spark, tmp_path):
     import json
 

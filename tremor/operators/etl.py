@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tremor import store
 from tremor.config import FAULT_TO_INCIDENT
@@ -41,13 +48,31 @@ def union_rows(first: DataFrame, *others: DataFrame) -> DataFrame:
     return first
 
 
-def read_case_files(spark: SparkSession, raw: str, name: str) -> DataFrame:
-    """``raw``/*/``name``.parquet in one scan, the folder's name as case."""
-    df = spark.read.option("mergeSchema", "true").option("ignoreCorruptFiles", "true").parquet(f"{raw}/*/{name}.parquet")
+def read_case_files(spark: SparkSession, raw: str, name: str, files: list[str] | None = None) -> DataFrame:
+    """``raw``/*/``name``.parquet (or these ``files``) in one scan, the folder's name as case."""
+    df = spark.read.option("mergeSchema", "true").parquet(*(files or [f"{raw}/*/{name}.parquet"]))
     case = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2)
     return df.select(case.alias("case"), *[c for c in df.columns if c != "case"])
 
 
+def unreadable(spark: SparkSession, files: list[str]) -> list[tuple[str, str]]:
+    """The Parquet files that can't be read to their end, with the reason.
+
+    All files are read in one job; only if that fails, each half is, and so on,
+    so that few broken files among many cost few jobs."""
+    if not files:
+        return []
+    try:
+        df = spark.read.option("mergeSchema", "true").parquet(*files)
+        df.agg(F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]))).collect()
+        return []
+    except (PySparkException, Py4JJavaError) as e:
+        if len(files) == 1:
+            return [(files[0], str(e).strip().splitlines()[0][:300])]
+        half = len(files) // 2
+        return unreadable(spark, files[:half]) + unreadable(spark, files[half:])
+
+
 def services(traces: DataFrame) -> DataFrame:
     return traces.where("serviceName is not null").select(F.col("serviceName").alias("service")).distinct()
 
@@ -108,44 +133,92 @@ def case_index(spark: SparkSession, raw: str, subset: DataFrame) -> DataFrame:
     return available(cases, names(GROUND_TRUTH_SCHEMA))
 
 
+class _Build:
+    """Steps of a build, each with one folder, that are not done again.
+
+    A step writes beside the others; its folder is then moved into place and
+    its report written, which is what counts as done.  A build that was killed
+    goes on with the first step that is not; a step whose token (what it was
+    made from) has changed is done anew.
+    """
+
+    def __init__(self, spark: SparkSession, out: str):
+        self.spark, self.out = spark, out
+
+    def step(self, name: str, token: list, write: Callable[[str], dict]) -> dict:
+        manifest = f"{self.out}/_manifest/{name}.json"
+        known = store.read_text(self.spark, manifest)
+        if known is not None and (found := json.loads(known))["token"] == token and store.exists(self.spark, f"{self.out}/{name}"):
+            return found["report"]
+        staged = f"{self.out}/_staging/{name}-{uuid.uuid4().hex}"
+        report = write(staged)
+        store.replace(self.spark, f"{self.out}/{name}", staged)
+        sinks.write_text(self.spark, json.dumps({"token": token, "report": report}), manifest)
+        return report
+
+
 def build_dataset(spark: SparkSession, raw: str, subset: DataFrame, out: str) -> dict:
-    """The whole build: class files, ground truth, unified telemetry, topology and inventory.
+    """The whole build: class files, ground truth, unified telemetry, topology, inventory and quarantine.
 
     ``raw`` holds a folder for each case with metrics, logs and traces in
     Parquet, ``subset`` the wanted cases.  Returns the rows by table, the cases
-    that lack a source, and the status of each written path.  A file that
-    can't be read is skipped, and its case counts as one without that source.
-    A source that no case has is written as an empty table.
+    that lack a source, the files that could not be read with their reasons,
+    and the status of each written path.  Such a file is left out as a whole,
+    listed in ``out``/quarantine, and its case counts as one without that
+    source.  A source that no case has is written as an empty table.  After a
+    failure the next call goes on where it ended.
     """
     require(subset, CASE, "subset")
-    sinks.write_incident_classes(subset, f"{out}/incidents")
-    sinks.write_csv(case_index(spark, raw, subset), f"{out}/ground_truth")
-    sinks.write_csv(subset, f"{out}/inventory")
-    report: dict = {"rows": {"cases": subset.count()}, "missing": {}}
+    build = _Build(spark, out)
+    whole = subset.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*[F.col(f"`{c}`") for c in subset.columns]))).first()
+    token = [*whole, *subset.columns]
+    build.step("incidents", token, lambda path: sinks.write_incident_classes(subset, path) or {})
+    index = list(store.files(spark, f"{raw}/cases.parquet")) + list(store.files(spark, f"{raw}/cases.parquet/*"))
+    build.step("ground_truth", [*token, *map(list, index)], lambda path: sinks.write_csv(case_index(spark, raw, subset), path) or {})
+    build.step("inventory", token, lambda path: sinks.write_csv(subset, path) or {})
+    report: dict = {"rows": {"cases": whole[0]}, "missing": {}, "quarantined": {}}
     empty = {"metrics": ", ".join(f"{c} {'bigint' if c == 'time' else 'string'}" for c in METRICS_META), "logs": LOG_SCHEMA, "traces": TRACE_SCHEMA}
     for name, schema in empty.items():
-        if store.listed(spark, f"{raw}/*/{name}.parquet"):
-            rows = with_case(read_case_files(spark, raw, name), subset)
-        else:
-            rows = spark.createDataFrame([], schema)
-        sinks.write_telemetry(rows, f"{out}/{name}")
-        written = rows if "case" not in rows.columns else spark.read.schema(rows.schema).parquet(f"{out}/{name}")
-        report["rows"][name] = written.count()
-        report["missing"][name] = [r[0] for r in without_telemetry(subset, written).select("case").distinct().orderBy("case").collect()]
+        files = [list(x) for x in store.files(spark, f"{raw}/*/{name}.parquet")]
+
+        def telemetry(path: str, name: str = name, schema: str = schema, files: list = files) -> dict:
+            bad: list[tuple[str, str]] = []
+
+            def write(good: list[str]) -> DataFrame:
+                rows = with_case(read_case_files(spark, raw, name, good), subset) if good else spark.createDataFrame([], schema)
+                sinks.write_telemetry(rows, path)
+                return rows
+
+            paths = [x[0] for x in files]
+            try:
+                rows = write(paths)
+            except (PySparkException, Py4JJavaError):
+                bad = unreadable(spark, paths)
+                if not bad:
+                    raise
+                rows = write([p for p in paths if p not in dict(bad)])
+            written = spark.read.schema(rows.schema).parquet(path)
+            missing = [r[0] for r in without_telemetry(subset, written).select("case").distinct().orderBy("case").collect()]
+            return {"rows": written.count(), "missing": missing, "quarantined": dict(bad), "schema": rows.schema.json()}
+
+        own = build.step(name, [*token, *files], telemetry)
+        report["rows"][name], report["missing"][name] = own["rows"], own["missing"]
+        report["quarantined"] |= own["quarantined"]
         if name == "traces":
+            written = spark.read.schema(StructType.fromJson(json.loads(own["schema"]))).parquet(f"{out}/{name}")
             spans = available(written, ("case", "spanID", "serviceName", "parentSpanID"))
             edges = dependencies(spans).select(F.col("source").alias("source_service"), F.col("target").alias("target_service"))
             for table, rows in (("services", services(spans).orderBy("service")), ("dependencies", edges.orderBy("source_service", "target_service"))):
-                sinks.write_csv(rows, f"{out}/{table}")
-                report["rows"][table] = rows.count()
-    report["files"] = sinks.generated_files(spark, [f"{out}/{x}" for x in ("incidents", "ground_truth", "inventory", *empty, "services", "dependencies")])
+                report["rows"][table] = build.step(table, [*token, *files], lambda path, rows=rows: sinks.write_csv(rows, path) or {"rows": rows.count()})["rows"]
+    broken = spark.createDataFrame([(f.split("/")[-2], f, reason) for f, reason in sorted(report["quarantined"].items())], "case string, file string, reason string")
+    build.step("quarantine", [list(x) for x in sorted(report["quarantined"].items())], lambda path: sinks.write_csv(broken, path) or {})
+    report["files"] = sinks.generated_files(spark, [f"{out}/{x}" for x in ("incidents", "ground_truth", "inventory", *empty, "services", "dependencies", "quarantine")])
     return report
 
 
 def main(arguments: list[str] | None = None) -> None:
     """python -m tremor.operators.etl RAW SUBSET_CSV OUT"""
     import argparse
-    import json
 
     from tremor import session
 

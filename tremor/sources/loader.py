@@ -98,6 +98,10 @@ class DatasetLoader:
         case = F.col(f"r.{names[header.index('case')]}") if "case" in header else F.lit(None).cast("string")
         return rows.select(case.alias("case"), "file", F.array_join(F.array_compact(F.array(*flaws)), "; ").alias("reason"), F.col("text").alias("record")).where("reason <> ''")
 
+    def quarantine_counts(self, source: str) -> DataFrame:
+        """case, reason and rows of what ``quarantined`` lists."""
+        return self.quarantined(source).groupBy("case", "reason").agg(F.count(F.lit(1)).alias("rows"))
+
     def get_metric_columns(self) -> list[str]:
         return [c for c in self.spark.read.csv(self.paths.metrics, header=True).columns if c not in schemas.METRICS_META]
 

@@ -51,6 +51,27 @@ def listed(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(x.getPath().toString() for x in fs.globStatus(found) or ())
 
 
+def files(spark: SparkSession, pattern: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of what matches ``pattern``, sorted."""
+    found, fs = _path(spark, pattern)
+    return sorted((x.getPath().toString(), x.getLen(), x.getModificationTime()) for x in fs.globStatus(found) or ())
+
+
+def replace(spark: SparkSession, path: str, by: str) -> None:
+    """Move the folder ``by`` to ``path``, in place of what is there."""
+    target, fs = _path(spark, path)
+    source, _ = _path(spark, by)
+    fs.mkdirs(target.getParent())
+    fs.delete(target, True)
+    if not fs.rename(source, target):
+        raise OSError(f"can't move {by} to {path}")
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """A small text file; None if there is none."""
+    return "\n".join(r[0] for r in spark.read.option("lineSep", "\n").text(path).collect()) if exists(spark, path) else None
+
+
 def write_text(spark: SparkSession, text: str, path: str) -> None:
     """A small text file, overwritten."""
     found, fs = _path(spark, path)
