@@ -42,7 +42,7 @@ SALTS = 16  # parts of a host's pages in that join
 # Elements by their role in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-OMITTED = frozenset("head title script style noscript template iframe svg nav header footer aside form button select option textarea dialog menu object canvas audio video".split())
+OMITTED = frozenset("head title script style noscript template iframe svg nav header footer aside button select option textarea dialog menu object canvas audio video".split())
 BLOCK = frozenset("p div section article main h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table caption thead tbody tfoot tr td th hr address details summary head body html center nav header footer aside form dialog menu".split())
 #: Elements that hold a part of a text, so that headings or other parts would be lost with them as slots.
 TEXT_LEVEL = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table tbody tr td th a b i em strong span font small".split())
@@ -54,11 +54,11 @@ NAMES = frozenset(
 )
 
 TAG = re.compile(
-    r"""<(?:!--(?:.*?-->|.*)|[!?][^>]*+>?|/([a-zA-Z][^\s/>]*+)[^>]*+>?|([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>?)""",
+    r"""<(?:!--(?:-?>|.*?--!?>|.*)|[!?][^>]*+>?|/([a-zA-Z][^\s/>]*+)[^>]*+>?|([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|))*+)>?)""",
     re.S,
 )
-ATTRIBUTE = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-HIDDEN = re.compile(r"(?<![^\s\"'/])hidden(?![^\s/>=])", re.I)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?|["'][^"'>]*["']?""")
+HEADING = frozenset("p h1 h2 h3 h4 h5 h6".split())
 DIGITS = re.compile(r"\d+")
 CLOSE = {x: re.compile(rf"</{x}\b[^>]*>?", re.I) for x in RAW}
 
@@ -144,9 +144,11 @@ class Page:
         close(0)
 
     def _open(self, name: str, attributes: str, parent: int) -> None:
-        step, names = name, ()
+        step, names, hidden = name, (), False
         if attributes:
-            found = sorted((a.lower(), v.strip("\"'").lower()) for a, v in ATTRIBUTE.findall(attributes))
+            own = [(a.lower(), v.strip("\"'").lower()) for a, v in ATTRIBUTE.findall(attributes)]
+            hidden = any(a == "hidden" for a, _ in own)
+            found = sorted(x for x in own if x[0] in ("class", "id", "role") and x[1])
             names = [x for _, v in found for x in v.split()]
             if found:
                 step = DIGITS.sub("0", f"{name} {found}")
@@ -161,8 +163,8 @@ class Page:
         self.path.append(path)
         self.parent.append(parent)
         self.end.append(0)
-        self.omitted.append(self.omitted[parent] or name in OMITTED or bool(attributes) and HIDDEN.search(attributes) is not None)
-        self.named.append(not NAMES.isdisjoint(names) and name not in ("html", "body", "article", "main"))
+        self.omitted.append(self.omitted[parent] or name in OMITTED or hidden)
+        self.named.append(name == "form" or not NAMES.isdisjoint(names) and name not in ("html", "body", "article", "main"))
 
     def inside(self, letters: list[int]) -> list[int]:
         """Sums over each element and all that it holds."""
@@ -172,17 +174,20 @@ class Page:
         return out
 
     def _leave_out(self) -> None:
-        """Omit elements by their names, but not those with an article or with most of the page's text."""
+        """Omit forms and elements by their names, but not those with an article or with most of the page's text (in
+        forms, which may be wrapped round a page, with a paragraph or heading in it)."""
         if any(self.named):
-            own, mains = [0] * len(self.tag), [0] * len(self.tag)
+            own, mains, prose = [0] * len(self.tag), [0] * len(self.tag), [0] * len(self.tag)
             for element, _, text in self.pieces:
                 if not self.omitted[element]:
                     own[element] += len(text.strip())
             for k, name in enumerate(self.tag):
                 mains[k] = name in ("article", "main") and not self.omitted[k]
-            letters, mains = self.inside(own), self.inside(mains)
+                prose[k] = name in HEADING
+            letters, mains, prose = self.inside(own), self.inside(mains), self.inside(prose)
             for k in range(1, len(self.tag)):
-                self.omitted[k] |= self.omitted[self.parent[k]] or self.named[k] and not mains[k] and 2 * letters[k] < letters[0]
+                stays = mains[k] or 2 * letters[k] >= letters[0] and (self.tag[k] != "form" or prose[k])
+                self.omitted[k] |= self.omitted[self.parent[k]] or self.named[k] and not stays
         self.pieces = [x for x in self.pieces if not self.omitted[x[0]]]
 
     def blocks(self, first: int = 0) -> list[tuple[int, str]]:
@@ -258,23 +263,42 @@ def deduce(rows: list[tuple]) -> tuple[list[int], list[int]]:
 
 def extract(page: str, template: tuple[list[int], list[int]] | None) -> str:
     """The text of a page in the first of its host's slots that it has, without the host's constants; without a
-    slot that of its article or main element, if it is a large part of the page, or else of its body."""
+    slot that of its articles or main element, if it is a large part of the page, or else of its body.
+
+    A constant in a slot is the author's text all the same if it is a
+    paragraph, heading, list item or the like, or in an article: recipes of
+    a host share their headings and their salt."""
     slots, constants = template or ((), ())
     tree = Page(page)
     known = frozenset(constants)
 
-    def text(first: int) -> list[str]:
+    def in_article(element: int) -> bool:
+        while element > 0 and tree.tag[element] not in ("article", "main"):
+            element = tree.parent[element]
+        return element > 0
+
+    def text(first: int, slot: bool = False) -> list[str]:
         rows = tree.blocks(first)
-        return [x for element, x in rows if not known or tree.token(element, x) not in known]
+        return [x for element, x in rows if not known or slot and tree.low[element] or tree.token(element, x) not in known or in_article(element)]
 
     if slots:
         place = {x: k for k, x in zip(range(len(tree.path) - 1, -1, -1), reversed(tree.path), strict=True) if not tree.omitted[k]}
         for slot in slots:
-            if slot in place and (found := text(place[slot])):
+            if slot in place and (found := text(place[slot], slot=True)):
                 return "\n\n".join(found)
     whole = text(0)
     total = sum(map(len, whole))
-    own = [found for name in ("article", "main") for k in [next((k for k, x in enumerate(tree.tag) if x == name and not tree.omitted[k]), None)] if k is not None and (found := text(k))]
+    own = []
+    for name in ("article", "main"):
+        found, end = [], -1
+        for k, x in enumerate(tree.tag):
+            if x == name and k > end and not tree.omitted[k]:  # one inside another is a part of it
+                found.append(text(k))
+                end = tree.end[k]
+        sizes = [sum(map(len, x)) for x in found]
+        # several articles of like size are the page's text together; small ones beside a large one are teasers
+        if any(sizes):
+            own.append([x for blocks, n in zip(found, sizes, strict=True) if 2 * n >= max(sizes) for x in blocks])
     large = [x for x in own if sum(map(len, x)) >= OWN_MASS * total]
     return "\n\n".join(next(iter(large or own), whole))
 
