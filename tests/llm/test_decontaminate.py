@@ -63,3 +63,25 @@ def test_one_name_for_two_is_no_match(spark):
     bench = spark.createDataFrame([(1, "Alice gives Bob three of the red apples and Bob gives Alice two of the pears")], "item_id bigint, text string")
     docs = spark.createDataFrame([(1, "Eve gives Tom three of the red apples and Tom gives Eve two of the pears"), (2, "Eve gives Tom three of the red apples and Ida gives Kim two of the pears")], "doc_id bigint, text string")
     assert [r.doc_id for r in D.contaminated(docs, bench).collect()] == [1]
+
+
+NAMES = "Alice has red apples. Bob has green pears. Carol wants plums."
+SUM = "Tom has 12 apples and buys 5 more."
+
+
+def test_other_letter_case_and_numbers_with_separators(spark):
+    bench = spark.createDataFrame([(1, NAMES), (2, SUM), (3, "A box of 1,250.5 kg costs 3.75 dollars, so how much is left of 10,000 dollars?")], "item_id bigint, text string")
+    texts = [
+        NAMES.lower(), NAMES.upper(), SUM.lower(), "Before. " + SUM.upper() + " After", "Tom has 1,200 apples and buys 5.5 more.", "Ann has 1200 apples and buys 7 more.",
+        "a box of 1250.5 kg costs 3.75 dollars, so how much is left of 10000 dollars?", "A box of 9.5 kg costs 1,000,000 dollars, so how much is left of 7 dollars?", NAMES.lower().replace("red", "old").replace("green", "new").replace("wants", "sells"),
+        "tom had 12 apples and sold 5 more.", "Numbers 1,2,3,4,5 and 1.2.3 are here.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id, r.exact) for r in D.contaminated(docs, bench).collect()}
+    assert got == {(0, 1, True), (1, 1, True), (2, 2, True), (3, 2, True), (4, 2, False), (5, 2, False), (6, 3, True), (7, 3, False)}
+    con = duckdb.connect()
+    con.sql("create table documents (doc_id bigint, text varchar)")
+    con.sql("create table benchmark (item_id bigint, text varchar)")
+    for table, df in (("documents", docs), ("benchmark", bench)):
+        con.executemany(f"insert into {table} values (?, ?)", [tuple(r) for r in df.collect()])
+    assert {(a, b, c) for a, b, c in con.sql(f"select doc_id, item_id, exact from ({D.ORACLE}) x").fetchall()} == got

@@ -7,7 +7,10 @@ Windows of template tokens of all documents are hash-joined with those of the
 benchmark; along each alignment of document and item, a slot value of the item
 must stand for one value of the document only.  An item that is mostly
 placeholders (figures, lists of names) has no template to speak of; its
-windows of few literals are looked up by their own words.
+windows of few literals are looked up by their own words.  So are windows that
+hold a name, besides: in a text of other letter case names can't be told.
+A number is one token with its separators: ``1,200`` is ``1200``, ``5.5`` a number
+of its own.
 """
 
 from __future__ import annotations
@@ -29,10 +32,13 @@ UNITS = (
 ).split()
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
 SEPARATORS = r"[^\p{L}\p{N}]+"
+POINT = "\u02d1"  # a letter that stands for the point inside a number
 
 
 def _raw(text: Column) -> Column:
-    return F.filter(F.split(F.coalesce(text, F.lit("")), SEPARATORS), lambda x: x != "")
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9]),(?=[0-9])", "")
+    text = F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9])", POINT)
+    return F.filter(F.split(text, SEPARATORS), lambda x: x != "")
 
 
 def _number(x: Column) -> Column:
@@ -55,12 +61,17 @@ def _canonical(raw: Column) -> Column:
     return F.filter(F.zip_with(raw, before, lambda x, p: F.when(x.isNotNull(), token(x, p))), lambda t: t.isNotNull())
 
 
-def _windows(size: Column | int, of: Column, *more: Column) -> Column:
-    """Hashes of all slices of ``size`` tokens (with ``more``), none if there are fewer."""
+def _hashes(tokens: Column) -> Column:
+    """Each token is hashed once, not once for each window that it is in."""
+    return F.transform(tokens, lambda x: F.xxhash64(x))
+
+
+def _windows(size: Column | int, of: Column, literal: bool) -> Column:
+    """Keys of all slices of ``size`` token hashes, none if there are fewer."""
     size = F.lit(size) if isinstance(size, int) else size
     n = F.size(of) - size + 1
     places = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.xxhash64(F.slice(of, i, size), *more))
+    return F.transform(places, lambda i: F.xxhash64(F.slice(of, i, size), F.lit(int(literal))))
 
 
 def _lower(raw: Column) -> Column:
@@ -69,18 +80,22 @@ def _lower(raw: Column) -> Column:
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     """item_id, at, size, literal, n_windows, key and values (slot values, null for literals) of the windows with
-    enough literals, and of all windows of items that have few of them (``literal``: the key is of the words themselves)."""
+    enough literals, and of all windows of items that have few of them.  ``literal``: the key is of the words
+    themselves, which windows with a name have as well."""
     items = benchmark.select("item_id", "text").dropDuplicates().where("item_id is not null")
     items = items.withColumn("raw", _raw(F.col("text"))).select("item_id", "raw", _canonical(F.col("raw")).alias("c")).where(F.size("c") > 0)
     items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("c")))
-    keys = F.arrays_zip(_windows(F.col("size"), F.col("c")).alias("t"), _windows(F.col("size"), _lower(F.col("raw")), F.lit(1)).alias("w"))
+    items = items.withColumns({"th": _hashes(F.col("c")), "wh": _hashes(_lower(F.col("raw")))})
+    keys = F.arrays_zip(_windows(F.col("size"), F.col("th"), False).alias("t"), _windows(F.col("size"), F.col("wh"), True).alias("w"))
     rows = items.select("item_id", "raw", "c", "size", F.posexplode(keys).alias("k", "keys"))
     tokens = F.slice("c", F.col("k") + 1, F.col("size"))
     slots = F.zip_with(tokens, F.slice("raw", F.col("k") + 1, F.col("size")), lambda t, r: F.when(t.isin(NUM, NAME, UNIT), F.lower(r)))
-    rows = rows.select("item_id", F.col("k").alias("at"), "size", "keys", slots.alias("values"))
+    rows = rows.select("item_id", F.col("k").alias("at"), "size", "keys", slots.alias("values"), F.array_contains(tokens, NAME).alias("named"))
     rows = rows.withColumn("literal", F.size(F.array_compact("values")) > (1 - LITERALS) * F.col("size"))
     n = rows.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_all"), F.count_if(~F.col("literal")).alias("n_rich"))
     rows = rows.join(n, "item_id").withColumn("poor", 2 * F.col("n_rich") < F.col("n_all")).where("poor or not literal")
+    ways = F.when(F.col("literal"), F.array(F.lit(True))).when(F.col("named"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    rows = rows.withColumn("literal", F.explode(ways))
     none = F.transform("values", lambda _: F.lit(None).cast("string"))
     return rows.select(
         "item_id", "at", "size", "literal", F.when(F.col("poor"), F.col("n_all")).otherwise(F.col("n_rich")).alias("n_windows"),
@@ -102,15 +117,18 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: in
     bytes_of = bench.agg(F.sum(150 + 32 * F.col("size") + F.length(F.array_join("values", "")))).first()[0] or 0
     bench = F.broadcast(bench) if bytes_of <= broadcast_bytes else bench
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
-    raw = docs.select("doc_id", "text_key", _raw(F.col("text")).alias("raw"))
-    templates = raw.select("doc_id", "text_key", _canonical(F.col("raw")).alias("c"))
-    found = None
-    for size, literal in kinds or [(WINDOW, False)]:
-        of = raw.select("doc_id", "text_key", _windows(size, _lower(F.col("raw")), F.lit(1)).alias("keys")) if literal else templates.select("doc_id", "text_key", _windows(size, F.col("c")).alias("keys"))
-        # only keys go through the join; outer, lest the optimizer works the windows out once more to leave empty ones out
-        keys = of.select("doc_id", "text_key", F.posexplode_outer("keys").alias("place", "key"))
-        hits = keys.join(bench.where((F.col("size") == size) & (F.col("literal") == literal)), "key").select("doc_id", "text_key", "place", "item_id", "n_windows", "at", "size", "values")
-        found = hits if found is None else found.unionByName(hits)
+    # one pass: the keys of all kinds of windows, tokens and their hashes worked out once
+    ways = {literal for _, literal in kinds}
+    rows = docs.select("doc_id", "text_key", _raw(F.col("text")).alias("raw"))
+    rows = rows.select("doc_id", "text_key", *([_hashes(_canonical(F.col("raw"))).alias("h0")] if False in ways else []), *([_hashes(_lower(F.col("raw"))).alias("h1")] if True in ways else []))
+    names = [f"k{i}" for i in range(len(kinds))]
+    rows = rows.select("doc_id", "text_key", *[_windows(size, F.col(f"h{int(literal)}"), literal).alias(name) for name, (size, literal) in zip(names, kinds, strict=True)])
+    # a window's place comes with its key; outer, lest the optimizer works the windows out once more to leave empty ones out
+    placed = [F.transform(name, lambda key, i: F.struct(i.alias("place"), key.alias("key"))) for name in names]
+    pair = "array<struct<place:int,key:bigint>>"
+    keys = rows.select("doc_id", "text_key", F.explode_outer(F.concat(*placed) if placed else F.array().cast(pair)).alias("w")).select("doc_id", "text_key", "w.place", "w.key")
+    # only keys go through the join
+    found = keys.join(bench, "key").select("doc_id", "text_key", "place", "item_id", "n_windows", "at", "size", "values")
     found = park(found, "benchmark-hits")
     wanted = park(found.select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")).distinct(), "benchmark-docs")
     wanted = F.broadcast(wanted) if 100 * wanted.count() <= broadcast_bytes else wanted
@@ -145,9 +163,16 @@ _TOKEN = f"""case when {_DIGIT.format("x")} then '{NUM}'
   when i > 1 and {_DIGIT.format("raw[i - 1]")} and lower(x) in ({_UNIT_LIST}) then '{UNIT}' when x <> lower(x) and x <> upper(x) then '{NAME}' else lower(x) end"""
 
 
+# a digit belongs to one match of a pass: a second pass has the separators between single digits
+_NUMBERS = "t"
+for _mark, _by in ((",", ""), ("[.]", POINT)):
+    for _ in range(2):
+        _NUMBERS = f"regexp_replace({_NUMBERS}, '([0-9]){_mark}([0-9])', '\\1{_by}\\2', 'g')"
+
+
 def _sql_tokens(source: str, key: str) -> str:
     return f"""(select {key}, t, raw, list_transform(raw, lambda x, i: {_TOKEN}) as c from (
-    select {key}, t, list_filter(string_split_regex(t, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as raw
+    select {key}, t, list_filter(string_split_regex({_NUMBERS}, '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') as raw
     from (select distinct {key}, coalesce(text, '') as t from {source}) s) r)"""
 
 
@@ -158,8 +183,9 @@ bw as (select item_id, size, k as spot, c[k:k + size - 1] as key, list_transform
   from (select *, unnest(range(1, len(c) - size + 2)) as k from items) t),
 bl as (select *, len(list_filter(vals, lambda v: v is not null)) > {1 - LITERALS} * size as literal from bw),
 bn as (select *, count(*) over (partition by item_id) as n_all, count(*) filter (where not literal) over (partition by item_id) as n_rich from bl),
-bench as (select item_id, size, spot, literal, case when literal then own else key end as key, case when literal then list_transform(vals, lambda v: cast(null as varchar)) else vals end as vals,
-    case when 2 * n_rich < n_all then n_all else n_rich end as n_windows from bn where 2 * n_rich < n_all or not literal),
+bench as (select item_id, size, spot, way as literal, case when way then own else key end as key, case when way then list_transform(vals, lambda v: cast(null as varchar)) else vals end as vals,
+    case when 2 * n_rich < n_all then n_all else n_rich end as n_windows
+  from (select *, unnest(case when literal then [true] when list_contains(key, '{NAME}') then [false, true] else [false] end) as way from bn) x where 2 * n_rich < n_all or not literal),
 docs as {_sql_tokens("documents", "doc_id")},
 dw as (select doc_id, t, size, literal, k as place, case when literal then list_transform(raw[k:k + size - 1], lambda r: lower(r)) else c[k:k + size - 1] end as key, raw[k:k + size - 1] as raw
   from (select doc_id, t, size, literal, raw, c, unnest(range(1, len(c) - size + 2)) as k from docs, (select distinct size, literal from bench) z) t),
