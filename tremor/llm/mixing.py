@@ -7,7 +7,9 @@ flight phase moves them through the null space of the balancing constraints
 (document total and word total of the source), so that both totals stay what
 they are while ever more probabilities become 0 or 1.  Flights run in parallel
 over chunks of a source, each leaving two documents at most; what is left is
-chunked again, until one small landing problem per source remains.
+chunked again, until one small landing problem per source remains: the last
+documents and the largest of the last chunk, which are kept out of the flight
+so that their sums of words come near any target.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = Fraction(3, 2)
 MOST = 2
 CHUNK = 4096
+LANDING = 14  # documents that are kept for the landing
 WORD = r"[^\x20\x09-\x0D]+"
 SCHEMA = "doc_id bigint, size bigint, src int, times int, p double, copy bigint"
 BROADCAST_KEYS = 1_000_000  # keys of repeated rows (8 bytes each) that are sent to all tasks; more are joined
@@ -42,13 +45,14 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, share: Fractio
     return out
 
 
-def flight(sizes: list[int], p: list[float], draw) -> list[float]:
+def flight(sizes: list[int], p: list[float], draw, spare=()) -> list[float]:
     """Move ``p`` until at most two entries are fractional, keeping the sums of
-    p and of p * size.  ``draw``: uniform numbers in [0, 1)."""
+    p and of p * size; the entries ``spare`` stay as they are.  ``draw``:
+    uniform numbers in [0, 1)."""
     p = list(p)
     hold: list[int] = []
     for k in range(len(p)):
-        if 0 < p[k] < 1:
+        if 0 < p[k] < 1 and k not in spare:
             hold.append(k)
         while len(hold) == 3:
             a, b, c = (sizes[i] for i in hold)
@@ -67,16 +71,18 @@ def flight(sizes: list[int], p: list[float], draw) -> list[float]:
 
 
 def landing(sizes: list[int], p: list[float]) -> list[float]:
-    """Settle the last fractional entries: the 0/1 choice nearest in words, then in documents."""
+    """Settle the last fractional entries (some LANDING + 2): the 0/1 choice nearest in words, then in documents."""
+    import numpy as np
+
     rest = [i for i, x in enumerate(p) if 0 < x < 1]
     words, docs = sum(sizes[i] * p[i] for i in rest), sum(p[i] for i in rest)
-    best = min(
-        ([m >> k & 1 for k in range(len(rest))] for m in range(1 << len(rest))),
-        key=lambda x: (abs(sum(sizes[i] * y for i, y in zip(rest, x, strict=True)) - words), abs(sum(x) - docs), x),
-    )
+    total, count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    for i in rest:  # sums of all subsets, bit k of the place for the k-th entry
+        total, count = np.concatenate([total, total + sizes[i]]), np.concatenate([count, count + 1])
+    best = int(np.lexsort((np.arange(len(total)), np.abs(count - docs), np.abs(total - words)))[0])
     out = list(p)
-    for i, y in zip(rest, best, strict=True):
-        out[i] = float(y)
+    for k, i in enumerate(rest):
+        out[i] = float(best >> k & 1)
     return out
 
 
@@ -90,7 +96,8 @@ def _fly(seed: int, last: bool):
         rows = list(zip(*(chunk.column(c).to_pylist() for c in ("doc_id", "size", "src", "times", "p", "copy")), strict=True))
         rows.sort(key=lambda r: (zlib.crc32(repr((seed, r[0], r[1], r[5])).encode()), r[0] is None, r[0] or 0, r[1], r[5]))
         sizes, p = [r[1] for r in rows], [r[4] for r in rows]
-        p = flight(sizes, p, random.Random(repr((seed, rows[0][2], rows[0][:2], rows[0][5]))).random)
+        spare = set(sorted((k for k, x in enumerate(p) if 0 < x < 1), key=lambda k: -sizes[k])[:LANDING]) if last else ()
+        p = flight(sizes, p, random.Random(repr((seed, rows[0][2], rows[0][:2], rows[0][5]))).random, spare)
         if last:
             p = landing(sizes, p)
         ids, sizes, srcs, times, _, copies = zip(*rows, strict=True)
