@@ -88,28 +88,80 @@ def test_quality_ranks_like_brute_force(spark, sf):
     assert np.corrcoef(order(want), order(got))[0, 1] > 0.9
 
 
-def test_toxicity_scores_like_a_plain_search(spark, sf):
-    """The scores of all documents from the learnt lexicon by plain string search, without the automaton."""
+def plain_toxicity(weights, exceptions):
+    """Features of a text by plain string search, word by word for the readings of signs."""
     import math
 
-    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
-    sample = X.labelled(docs, labels, "toxic", 3, 1, X.FIT_ROWS)
-    weights, words = X.learn_lexicon(sample)
-    exceptions = words | X.learn_phrases(sample, weights, words)
-
-    def strength(text):
-        folded = X.fold(text or "")
-        spans = [(k, k + len(e)) for e in exceptions for k in range(len(folded)) if folded.startswith(e, k)] if any(e in folded for e in exceptions) else []
-        best = {}
+    def best(folded):
+        spans = [(k, k + len(e)) for e in exceptions if e in folded for k in range(len(folded)) if folded.startswith(e, k)]
+        out = {}
         for entry, weight in weights.items():
             k = folded.find(entry)
             while k >= 0:
                 if not any(a <= k and k + len(entry) <= b for a, b in spans):
-                    best[k] = max(weight, best.get(k, 0))
+                    out[k] = max(weight, out.get(k, 0))
                 k = folded.find(entry, k + 1)
-        total = sum(best.values())
-        return [math.log1p(total), math.log1p(1000 * total / (folded.count(" ") + 20))]
+        return out
+
+    def total(folded):
+        a, b = best(folded), best(folded.translate(X.BARE))
+        return sum(max(a.get(k, 0), b.get(k, 0)) for k in a | b)
+
+    def run(text):
+        sum_of_all = total(X.fold(text))
+        for word in text.split():
+            word = word.strip(X.EDGES)
+            if any(c in "$!|+1" for c in word) and any(c.isalpha() for c in word):
+                signs = word.replace("$", "s").replace("!", "i").replace("+", "t")
+                others = [total(X.fold(signs.replace("|", "i"))), total(X.fold(signs.replace("|", "l").replace("1", "l")))]
+                sum_of_all += max(0, max(others) - total(X.fold(word)))
+        return [math.log1p(sum_of_all), math.log1p(1000 * sum_of_all / (X.fold(text).count(" ") + 20))]
+
+    return run
 
-    machine = X.automaton(weights, exceptions)
-    for r in docs.limit(300).collect():
-        assert X.features(machine, r.text or "")[1:] == pytest.approx(strength(r.text))
+
+def test_toxicity_scores_like_a_plain_search(spark):
+    """The query's scores of all documents, against plain search with the learnt lexicon and a curve fitted to it."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{SF}/{x}.parquet") for x in ("documents", "labels"))
+    sample = X.labelled(docs, labels, "toxic", 3, 1, X.FIT_ROWS)
+    weights, words = X.learn_lexicon(sample)
+    exceptions = words | X.learn_phrases(sample, weights, words)
+    assert weights
+    features = plain_toxicity(weights, exceptions)
+    x = {r.doc_id: features(r.text or "") for r in docs.collect()}
+    fit = sorted((r.label, [1.0, *x[r.doc_id]]) for r in sample.select("label", "doc_id").collect())
+    got = {r.doc_id: r.score for r in X.op9_toxicity(spark, SF).collect()}
+    assert got.keys() == x.keys()
+    w = X.logistic(np.array([v for _, v in fit]), np.array([y for y, _ in fit], float), 0.1)
+    for i, v in x.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(w @ [1.0, *v], -30, 30))), abs=1e-6)
+
+
+def test_toxicity_by_plain_search_of_odd_words():
+    weights, exceptions = {" idiot": 3.0, " kill": 2.5, " shit ": 4.0, " ass ": 1.5, " réeux": 2.0}, {" kilt ", " killing floor "}
+    features, machine = plain_toxicity(weights, exceptions), X.automaton(weights, exceptions)
+    words = "an ïdiot 𝐢𝐝𝐢𝐨𝐭 a$$ sh!t ki11 ki|| k!ll idiot! $100 US$5 Home|idiot réeuxa reeuxa 1d!0t a+b c++ killing floor sh!t! 1 + $ kil1ing -- Élan đ $h1t".split()
+    for k in range(200):
+        text = " ".join(words[(k * 7 + j * (k + 3)) % len(words)] for j in range(k % 12))
+        assert X.features(machine, text)[1:] == pytest.approx(features(text)), text
+
+
+@pytest.mark.parametrize("text", ["ïdiot", "𝐢𝐝𝐢𝐨𝐭", "🅸🅳🅸🅾🆃", "i\u0336d\u0336i\u0336o\u0336t", "1d!0t", "ｉｄｉｏｔ", "ідіот".replace("д", "d").replace("т", "t"), "(id|ot)", "i\u200bdiot"])
+def test_disguises_of_one_word(text):
+    machine = X.automaton({" idiot ": 3.0}, set())
+    assert X.features(machine, text)[1] == pytest.approx(X.math.log1p(3.0))
+    assert X.features(machine, "radio idol idi0+x")[1] == 0
+
+
+@pytest.mark.parametrize(("text", "entry"), [("a$$", " ass "), ("$hit!", " shit "), ("sh!t", " shit "), ("ki11", " kill "), ("ki||er", " kill"), ("K!LL", " kill ")])
+def test_signs_as_letters(text, entry):
+    assert X.features(X.automaton({entry: 3.0}, set()), f"so {text} so")[1] == pytest.approx(X.math.log1p(3.0))
+
+
+def test_signs_that_are_none():
+    machine = X.automaton({" idiot": 3.0, " kill": 3.0, " wowi": 3.0, " s": 3.0}, set())
+    assert X.features(machine, "Wow! $100 + 5 | 200 !!! | +")[1] == 0
+    assert X.features(machine, "idiot!|moron")[1] == X.features(machine, "idiot moron")[1]
+    assert X.features(machine, "x" * 500_000 + "!y" * 200_000)[1] == 0

@@ -1,7 +1,10 @@
 """Toxicity: a weighted lexicon matched by an Aho-Corasick automaton.
 
-Texts are folded first: lower case, homoglyphs and digit substitutions to the
-letters that they stand for, everything else to blanks.  The lexicon holds
+Texts are folded first: compatibility forms, lower case, homoglyphs and digit
+substitutions to the letters that they stand for, everything else to blanks.
+They are searched once more without diacritics, and words with a sign inside,
+or with a 1, with the sign as a letter and the 1 as an l; the reading that
+weighs most counts.  The lexicon is learnt from the plain reading.  It holds
 beginnings of words, and whole words, that are much more frequent in toxic
 documents of the labelled sample; each weighs its log odds.  Exceptions, words
 and phrases of two or three words that hold an entry but are as common in
@@ -12,6 +15,8 @@ and by length, goes through a logistic curve fitted on the same sample.
 from __future__ import annotations
 
 import math
+import re
+import unicodedata
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -28,19 +33,51 @@ PREFIXES = range(3, 11)
 EXCEPTION_DOCS, EXCEPTION_WEIGHT = 4, 1.0
 PREDICT = 0.7
 
-# Characters that look like a letter, and digits that stand for one.
-HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k", "ı": "i", "ɑ": "a", "ɡ": "g", "ⅼ": "l"}
+# Characters that look like a letter, digits that stand for one, and signs that may do so inside a word.
+HOMOGLYPHS = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "х": "x", "і": "i", "ѕ": "s", "ј": "j", "к": "k", "м": "m", "т": "t", "н": "h", "в": "b", "ԁ": "d", "ԛ": "q", "ԝ": "w", "һ": "h", "α": "a", "ε": "e", "ι": "i", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "ν": "v", "κ": "k", "η": "n", "ω": "w", "ɑ": "a", "ɡ": "g", "օ": "o", "ս": "u", "հ": "h", "ո": "n"}
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a"}
+READINGS = [{"$": "s", "!": "i", "+": "t", "|": "i"}, {"$": "s", "!": "i", "+": "t", "|": "l", "1": "l"}]
 HIDDEN = "​‌‍⁠﻿­"
-BLANKS = " \t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”„‘’…–—¡¿·• 　"
-FOLD = str.maketrans({**HOMOGLYPHS, **DIGITS, **dict.fromkeys(HIDDEN, ""), **dict.fromkeys(BLANKS, " "), **{chr(0xFF41 + i): chr(97 + i) for i in range(26)}})
+BLANKS = " \t\n\x0b\x0c\r!\"#$%&'()*+,-./:;<=>?[\\]^_`{|}~«»“”„‘’…–—¡¿·• 　"
+MARKS = [(0x0300, 0x0370), (0x1AB0, 0x1B00), (0x1DC0, 0x1E00), (0x20D0, 0x2100)]  # blocks of combining diacritics
+LETTERS = [(0x00C0, 0x02B0), (0x1D00, 0x1D80), (0x1E00, 0x1F00), (0x2C60, 0x2C80), (0xA720, 0xA800), (0x1F100, 0x1F200)]  # of Latin letters
+
+
+def _latin(diacritics: bool) -> dict[str, str]:
+    """Letters by the Unicode names of their variants: those that decompose to a letter and
+    diacritics, or all others (with a stroke or hook, small capital, in a square)."""
+    name = re.compile(r"(?:.* )?(?:LATIN|SYMBOL) (?:SMALL |CAPITAL )?LETTER (?:SMALL CAPITAL |DOTLESS )?([A-Z])(?: WITH .*)?|REGIONAL INDICATOR SYMBOL LETTER ([A-Z])")
+    found = {chr(c): name.fullmatch(unicodedata.name(chr(c), "")) for a, b in LETTERS for c in range(a, b)}
+    return {c: (m[1] or m[2]).lower() for c, m in found.items() if m and bool(unicodedata.decomposition(c)) == diacritics}
+
+
+FOLD = str.maketrans({**_latin(False), **HOMOGLYPHS, **DIGITS, **{chr(c): "" for a, b in MARKS for c in range(a, b)}, **dict.fromkeys(HIDDEN, ""), **dict.fromkeys(BLANKS, " ")})
+BARE = str.maketrans(_latin(True))
+SIGNED = re.compile(r"(?<!\S)[^\s$!|+1]*+[$!|+1]\S*+")
+EDGES = BLANKS.replace("$", "")
+SIGNS = [str.maketrans(x) for x in READINGS]
 
 
 def fold(text: str) -> str:
     """Folded words, one blank before, between and after them."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFKC", text)
     return f" {' '.join(text.lower().translate(FOLD).split())} "
 
 
+def readings(text: str) -> Iterator[tuple[str, list[str]]]:
+    """(folded plainly, other readings) of each word with a letter and, inside, a sign or a 1.
+
+    A dollar sign counts at a word's ends, too; others there are punctuation.
+    """
+    for found in SIGNED.finditer(text):
+        word = found[0].strip(EDGES)
+        if SIGNED.match(word) and any(map(str.isalpha, word)):
+            plain = fold(word)
+            others = {fold(word.translate(x)) for x in SIGNS}
+            yield plain, sorted((others | {x.translate(BARE) for x in others}) - {plain})
+
+
 def _candidates(folded: str) -> set[str]:
     out = set()
     for word in set(folded.split()):
@@ -117,13 +154,26 @@ def matches(machine, folded: str) -> list[tuple[int, int, float]]:
     return found
 
 
+def strength(machine, folded: str) -> float:
+    """The sum of weights, with and without diacritics; of the entries that begin one word the strongest counts."""
+    best: dict[int, float] = {}
+    for reading in [folded] if folded.isascii() else {folded, folded.translate(BARE)}:
+        for a, _, weight in matches(machine, reading):
+            best[a] = max(weight, best.get(a, 0.0))
+    return sum(best.values())
+
+
 def features(machine, text: str) -> list[float]:
-    """Weights found, as they are and by length; a match inside an exception counts nothing."""
+    """Weights found, as they are and by length; a match inside an exception counts nothing.
+
+    Other readings of a word are tried by themselves, so that only exceptions
+    of one word hold for them."""
     folded = fold(text)
-    best: dict[int, float] = {}  # of the entries that begin one word the strongest
-    for a, _, weight in matches(machine, folded):
-        best[a] = max(weight, best.get(a, 0.0))
-    total = sum(best.values())
+    total = strength(machine, folded)
+    for plain, others in readings(text):
+        most = max((strength(machine, x) for x in others), default=0.0)
+        if most:
+            total += max(0.0, most - strength(machine, plain))
     return [1.0, math.log1p(total), math.log1p(1000 * total / (folded.count(" ") + 20))]
 
 
