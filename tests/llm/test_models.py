@@ -161,7 +161,7 @@ def test_signs_as_letters(text, entry):
 
 
 def test_signs_that_are_none():
-    machine = X.automaton({" idiot": 3.0, " kill": 3.0, " wowi": 3.0, " s": 3.0}, set())
+    machine = X.automaton({" idiot": 3.0, " kill": 3.0, " wowi": 3.0, " sioo": 3.0}, set())
     assert X.features(machine, "Wow! $100 + 5 | 200 !!! | +")[1] == 0
     assert X.features(machine, "idiot!|moron")[1] == X.features(machine, "idiot moron")[1]
     assert X.features(machine, "x" * 500_000 + "!y" * 200_000)[1] == 0
