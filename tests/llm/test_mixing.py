@@ -88,6 +88,13 @@ def test_edges(spark):
     assert M.decide(empty).count() == 0 and M.mix(empty).count() == 0
 
 
+def test_rows_without_words_go_with_their_source(spark):
+    rows = [(1, "a b c d", "x"), (2, None, "x"), (3, "", "x"), (4, None, "y"), (5, " ", "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = sorted(r.doc_id for r in M.mix(docs).collect())
+    assert set(got) <= {1, 2, 3} and got.count(1) >= 1 and got.count(2) >= 1
+
+
 def test_equal_rows_are_dealt_over_chunks(spark, monkeypatch):
     monkeypatch.setattr(M, "CHUNK", 8)
     rows = [(None, "one two three", "a")] * 90 + [(k, "word " * (k % 7), "a" if k % 2 else "b") for k in range(60)]

@@ -165,3 +165,10 @@ def test_signs_that_are_none():
     assert X.features(machine, "Wow! $100 + 5 | 200 !!! | +")[1] == 0
     assert X.features(machine, "idiot!|moron")[1] == X.features(machine, "idiot moron")[1]
     assert X.features(machine, "x" * 500_000 + "!y" * 200_000)[1] == 0
+
+
+def test_labels_that_contradict_each_other_and_texts_of_one_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (2, None), (3, "c"), (None, "d")], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(1, 0, "x"), (1, 1, "x"), (2, 0, "x"), (3, 7, "x"), (3, None, "x"), (None, 1, "x"), (9, 1, "x")], "doc_id bigint, toxic int, text string")
+    got = {tuple(r) for r in X.labelled(docs, labels, "toxic", 1, 1, 10).select("doc_id", "text", "label").collect()}
+    assert got == {(1, "a", 1), (2, None, 0)}

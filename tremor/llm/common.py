@@ -94,7 +94,9 @@ def binaries(batch, name: str) -> list[bytes]:
 def labelled(documents: DataFrame, labels: DataFrame, label: str, mod: int, held: int, rows: int) -> DataFrame:
     """doc_id, text and label (0 or 1) of at most ``rows`` labelled documents
     outside the held-out fold, chosen by a hash of doc_id; written once for all
-    its readers.  Of documents with equal doc_id the smallest text counts.  The
+    its readers.  Of documents with equal doc_id the smallest text counts, of
+    labels that contradict each other the 1; other labels and null ids are left
+    out.  The
     bound on the sample (some 20 bytes a row) also bounds what is broadcast."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull())
     known = known.where(crc_of_id() % mod != held).groupBy("doc_id").agg(F.max("label").alias("label"))

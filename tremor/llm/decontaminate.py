@@ -146,7 +146,12 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: in
 
 
 def decontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without those that hold a benchmark item, with all their columns."""
+    """The documents without those that hold a benchmark item, with all their columns.
+
+    Null and empty texts stay.  Of rows with one doc_id, or none, those go whose
+    own text holds an item, with all their repetitions; columns may have any
+    name; an empty benchmark takes nothing, an empty table stays empty.
+    """
     found = contaminated(documents, benchmark).select(F.col("doc_id").alias("of_doc"), F.col("text_key").alias("of_key")).distinct()
     row = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     on = F.col("row.doc_id").eqNullSafe(F.col("of_doc")) & (F.xxhash64("row.text") == F.col("of_key"))

@@ -156,7 +156,14 @@ def decide(documents: DataFrame, weights=WEIGHTS, share: Fraction = SHARE, most:
 def mix(documents: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: with all their columns, a row once
     for each time that it is taken.  Rows with equal doc_id, source and number
-    of words share what was decided for them."""
+    of words share what was decided for them.
+
+    A null source is a source, the last one.  Rows without words (null and empty
+    texts) are taken like others of their source, whose total they don't change;
+    of a source without words nothing is taken.  A null doc_id is like any other
+    value, ties are settled by the rows' content, columns may have any name, an
+    empty table stays empty.
+    """
     from pyspark.sql import Window
 
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("bigint")

@@ -122,7 +122,12 @@ def quality_rules(documents: DataFrame) -> DataFrame:
 
 def clean_documents(documents: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns; text without the
-    lines that failed, n_chars (where there is such a column) to match."""
+    lines that failed, n_chars (where there is such a column) to match.
+
+    Documents with a null, empty or short text go; a null doc_id is no reason.
+    Repeated rows and ties are judged one by one; columns may have any name; an
+    empty table stays empty.
+    """
     df = judged(documents)
     new = {"text": F.col("clean"), "n_chars": F.length("clean").cast("bigint")}
     columns = [new.get(c, F.col("row")[c]).alias(f"c{i}") for i, c in enumerate(documents.columns)]

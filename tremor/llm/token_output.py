@@ -389,7 +389,9 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     """doc_id, start, and ids or else n_tokens and ids_crc32, from the files.
 
     Only the token total of each bucket, one number per written partition,
-    comes to the driver.
+    comes to the driver.  One row per document written, repeated and null
+    doc_ids included; an empty text has the end id alone; files without
+    documents give no rows.
     """
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
     images = spark.read.parquet(f"{path}/images")
@@ -403,7 +405,10 @@ def read_tokens(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
 
 def read_documents(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     """doc_id and ids of single documents: ranges of ids in the images' columns leave all other images
-    unread, and of an image only the frames asked for are decompressed."""
+    unread, and of an image only the frames asked for are decompressed.
+
+    All rows of a repeated doc_id are found; ids that were never written, and an empty list, give no rows; documents
+    without doc_id can't be asked for."""
     dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
     wanted = frozenset(doc_ids)
 
