@@ -119,7 +119,7 @@ def twice_seen(docs: DataFrame, bits: int) -> bytes:
 
 
 def _suspects(bloom_of, bits: int):
-    """Task of pass 2: (doc_id, key) of the lines that may recur."""
+    """Task of pass 2: (doc_id, hash of the text, key) of the lines that may recur."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -127,39 +127,40 @@ def _suspects(bloom_of, bits: int):
 
         bloom = np.frombuffer(bloom_of.value, "uint8")
         for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
             rows, digests = [], []
-            for doc_id, text in zip(ids, binaries(batch, "text"), strict=True):
+            for row, text in enumerate(binaries(batch, "text")):
                 keys = set(_keys(text))
                 keys.discard(b"")
                 digests += map(_digest, keys)
-                rows += [doc_id] * len(keys)
+                rows += [row] * len(keys)
             if digests:
                 hit = np.flatnonzero(_has(bloom, _places(digests, bits))).tolist()
+                own = pa.array([rows[i] for i in hit], pa.int32())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([rows[i] for i in hit], batch.column("doc_id").type), pa.array([digests[i] for i in hit], pa.binary())],
-                    ["doc_id", "key"],
+                    [batch.column("doc_id").take(own), batch.column("of_text").take(own), pa.array([digests[i] for i in hit], pa.binary())],
+                    ["doc_id", "of_text", "key"],
                 )
 
     return run
 
 
 def _clean(keys_of):
-    """Task of pass 3; ``keys_of``: broadcast keys, or None to read the row's own."""
+    """Task of pass 3; ``keys_of``: broadcast keys, beside which a row may have its own in ``keys``."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        frequent = None if keys_of is None else keys_of.value
+        frequent = keys_of.value
         for batch in batches:
             texts, n_lines, n_dropped = [], [], []
-            own = batch.column("keys").to_pylist() if frequent is None else [frequent] * batch.num_rows
-            for text, drop in zip(binaries(batch, "text"), own, strict=True):
+            own = batch.column("keys").to_pylist() if "keys" in batch.schema.names else [()] * batch.num_rows
+            for text, more in zip(binaries(batch, "text"), own, strict=True):
                 lines = text.split(b"\n")
                 kept = lines
-                if drop:
-                    drop = drop if frequent is not None else set(drop)
-                    kept = [x for x, key in zip(lines, _keys(text), strict=True) if not (key and _digest(key) in drop)]
+                if frequent or more:
+                    more = set(more)
+                    digests = [_digest(x) if x else b"" for x in _keys(text)]
+                    kept = [x for x, key in zip(lines, digests, strict=True) if not (key in frequent or key in more)]
                 texts.append(b"\n".join(kept))
                 n_lines.append(len(lines))
                 n_dropped.append(len(lines) - len(kept))
@@ -176,7 +177,7 @@ def frequent_keys(docs: DataFrame, min_docs: int, bits: int) -> tuple[DataFrame,
     spark = docs.sparkSession
     bloom = spark.sparkContext.broadcast(twice_seen(docs, bits))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    suspects = park(docs.mapInArrow(_suspects(bloom, bits), f"doc_id {kind}, key binary"), "line-suspects")
+    suspects = park(docs.mapInArrow(_suspects(bloom, bits), f"doc_id {kind}, of_text bigint, key binary"), "line-suspects")
     counts = suspects.groupBy("key").agg(F.count(F.lit(1)).alias("n_docs"))
     return suspects, park(counts.where(F.col("n_docs") >= min_docs), "line-keys")
 
@@ -189,21 +190,26 @@ def line_dedup(documents: DataFrame, min_docs: int = 10, broadcast_keys: int = B
     empty text is one empty line, which is never dropped; a null doc_id is a
     document like others; other columns are not read.  An empty table gives an
     empty result.  Confirmed keys go to all tasks if there are at most
-    ``broadcast_keys``; more come by a join on doc_id.
+    ``broadcast_keys``.  Of more, those with over 1 in ``broadcast_keys`` of
+    all confirmed lines still do, which are fewer; the others, none of them
+    hot, come by joins on key and doc_id.
     """
-    docs = documents.select("doc_id", "text")
+    docs = documents.select("doc_id", "text", F.xxhash64("text").alias("of_text"))  # so that many rows of a null doc_id are no group
     spark = docs.sparkSession
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (128 * docs.count()).bit_length()))
     suspects, confirmed = frequent_keys(docs, min_docs, bits)
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, text string, n_lines bigint, n_dropped bigint"
-    if confirmed.count() <= broadcast_keys:
-        keys = spark.sparkContext.broadcast({bytes(r[0]) for r in confirmed.select("key").toLocalIterator()})
+    n_keys, n_found = confirmed.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    hot = F.lit(True) if n_keys <= broadcast_keys else F.col("n_docs") * broadcast_keys > n_found
+    keys = spark.sparkContext.broadcast({bytes(r[0]) for r in confirmed.where(hot).select("key").toLocalIterator()})
+    if n_keys <= broadcast_keys:
         return docs.mapInArrow(_clean(keys), out)
-    per_doc = suspects.join(confirmed, "key").groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_set("key").alias("keys"))
-    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
+    named = suspects.select(F.col("doc_id").alias("of_doc"), F.col("of_text").alias("with_text"), "key")
+    per_doc = named.join(confirmed.where(~hot).select("key"), "key").groupBy("of_doc", "with_text").agg(F.collect_set("key").alias("keys"))
+    joined = docs.join(per_doc, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("of_text") == F.col("with_text")), "left")
     empty = F.array().cast("array<binary>")
-    return joined.select("doc_id", "text", F.coalesce("keys", empty).alias("keys")).mapInArrow(_clean(None), out)
+    return joined.select("doc_id", "text", F.coalesce("keys", empty).alias("keys")).mapInArrow(_clean(keys), out)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
