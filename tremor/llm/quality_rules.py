@@ -23,10 +23,17 @@ WINDOW, MIN_WORDS, MAX_REPEAT_PCT = 8, 20, 30
 MAX_SYMBOL_PCT = 10  # symbols among a line's word characters
 SHOUTS = 3  # so many exclamation marks, and more than one for two words
 SEPARATORS, WORDS_PER_SEPARATOR = 3, 6
+SIGNS = ["|", "·", "•", "›", "»", "→", "▸", "/", ">"]  # that separate the items of a menu where they stand between blanks
+SIGN_WORDS, WORDS_PER_SIGN = 2, 3  # so many such signs, with so many words (themselves included) for each
+TEASER_WORDS = 12  # a line of so many words that ends in dots is the beginning of a text on another page
 BOILERPLATE_CHARS = 200
+# Notices of web pages in the languages of the corpus.
 BOILERPLATE = [
     "all rights reserved", "licensed under", "released under the", "privacy policy", "cookie policy", "terms of service",
     "terms of use", "enable javascript", "click here", "sign up for our newsletter", "skip to content", "back to top",
+    "alle rechte vorbehalten", "datenschutzerklärung", "allgemeine geschäftsbedingungen", "nutzungsbedingungen", "newsletter abonnieren", "zum seitenanfang",
+    "tous droits réservés", "politique de confidentialité", "conditions d'utilisation", "mentions légales", "cliquez ici", "haut de page",
+    "todos los derechos reservados", "política de privacidad", "política de cookies", "términos y condiciones", "haga clic aquí", "volver arriba",
 ]
 MAX_LOST_PCT = 50
 
@@ -40,16 +47,38 @@ def _word_chars(line: Column) -> Column:
     return F.length(F.translate(line, BLANK, ""))
 
 
+def _words(line: Column) -> Column:
+    return F.split(F.btrim(line, F.lit(BLANK)), BLANK_RE)
+
+
 def _n_words(line: Column) -> Column:
-    return F.size(F.split(F.btrim(line, F.lit(BLANK)), BLANK_RE))
+    return F.size(_words(line))
+
+
+def _holds_phrase(text: Column) -> Column:
+    def any_of(lower: Column) -> Column:
+        found = F.lit(False)
+        for x in BOILERPLATE:
+            found = found | F.contains(lower, F.lit(x))
+        return found
+
+    return F.exists(F.array(F.lower(text)), any_of)  # lower case is made once
+
 
+def _menu(line: Column) -> Column:
+    signs = F.size(F.filter(_words(line), lambda w: w.isin(SIGNS)))
+    return (signs >= SIGN_WORDS) & (_n_words(line) <= WORDS_PER_SIGN * signs)
 
-def _boilerplate(line: Column) -> Column:
-    lower = F.lower(line)
-    phrase = F.lit(False)
-    for x in BOILERPLATE:
-        phrase = phrase | F.contains(lower, F.lit(x))
-    return (F.length(line) <= BOILERPLATE_CHARS) & phrase
+
+def _teaser(line: Column) -> Column:
+    end = F.btrim(line, F.lit(BLANK))
+    return (F.endswith(end, F.lit("...")) | F.endswith(end, F.lit("…"))) & (_n_words(line) <= TEASER_WORDS)
+
+
+def _may_fail(text: Column, n_symbols: Column, n_shouts: Column) -> Column:
+    """Whether the text has anything that a line can fail for; it costs less than a look at each line."""
+    dots = F.contains(text, F.lit("...")) | F.contains(text, F.lit("…"))
+    return (n_symbols > 0) | (n_shouts >= SHOUTS) | (_n(text, "".join(SIGNS)) >= SIGN_WORDS) | dots | _holds_phrase(text)
 
 
 def line_passes(line: Column) -> Column:
@@ -57,7 +86,8 @@ def line_passes(line: Column) -> Column:
     symbols = 100 * _n(line, SYMBOLS) > MAX_SYMBOL_PCT * _word_chars(line)
     shouting = (_n(line, "!") >= SHOUTS) & (2 * _n(line, "!") > _n_words(line))
     navigation = (_n(line, "|") >= SEPARATORS) & (_n_words(line) <= WORDS_PER_SEPARATOR * _n(line, "|"))
-    return ~(symbols | shouting | navigation | _boilerplate(line))
+    boilerplate = (F.length(line) <= BOILERPLATE_CHARS) & _holds_phrase(line)
+    return ~(symbols | shouting | _teaser(line) | navigation | _menu(line) | boilerplate)
 
 
 def _with_repeat_words(df: DataFrame) -> DataFrame:
@@ -89,14 +119,12 @@ def judged(documents: DataFrame) -> DataFrame:
         F.when(F.element_at("w", 1) == "", 0).otherwise(F.size("w")).alias("n"),
         F.length(F.array_join("w", "")).alias("word_chars"),
         _n(F.col("t"), SYMBOLS).alias("n_symbols"),
-        _n(F.col("t"), "!").alias("shouts"),
+        _may_fail(F.col("t"), _n(F.col("t"), SYMBOLS), _n(F.col("t"), "!")).alias("may_fail"),
         F.filter("l", lambda x: F.btrim(x, F.lit(BLANK)) != "").alias("l"),
     )
     windows = F.transform(F.sequence(F.lit(1), F.col("n") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(F.col("w"), i, F.lit(WINDOW))))
     df = df.withColumn("h", F.when(F.col("n") >= WINDOW, windows).otherwise(F.array().cast("array<bigint>")))
-    # without symbols and shouts only boilerplate is left to look for
-    plain = F.filter("l", lambda x: ~_boilerplate(x))
-    df = df.withColumn("passed", F.when((F.col("n_symbols") == 0) & (F.col("shouts") < SHOUTS), plain).otherwise(F.filter("l", line_passes)))
+    df = df.withColumn("passed", F.when(F.col("may_fail"), F.filter("l", line_passes)).otherwise(F.col("l")))
     df = _with_repeat_words(df)
     df = df.select(
         "row", F.col("n").cast("bigint").alias("n_words"), F.col("word_chars").cast("bigint").alias("word_chars"), F.col("n_symbols").cast("bigint").alias("n_symbols"),
@@ -149,7 +177,12 @@ def _sql_n(text: str, chars: str) -> str:
     return f"(length({text}) - length(translate({text}, '{chars}', '')))"
 
 
+def _quoted(phrase: str) -> str:
+    return phrase.replace("'", "''")
+
+
 _LINE_N = r"len(regexp_extract_all(x, '[^ \t-\r]+'))"
+_SIGNS = f"len(list_filter(regexp_extract_all(x, '[^ \t-\r]+'), lambda w: w in ({', '.join(map(repr, SIGNS))})))"
 _LINE_CHARS = r"length(regexp_replace(x, '[ \t-\r]+', '', 'g'))"
 ORACLE = f"""
 with d as (select row_number() over () as k, doc_id, coalesce(text, '') as t from documents),
@@ -163,7 +196,9 @@ lost as (select k, len(l) - len(list_distinct(l)) as n_dup,
   list_sum(list_transform(list_filter(l, lambda x: 100 * {_sql_n("x", SYMBOLS)} > {MAX_SYMBOL_PCT} * {_LINE_CHARS}
     or ({_sql_n("x", "!")} >= {SHOUTS} and 2 * {_sql_n("x", "!")} > {_LINE_N})
     or ({_sql_n("x", "|")} >= {SEPARATORS} and {_LINE_N} <= {WORDS_PER_SEPARATOR} * {_sql_n("x", "|")})
-    or (length(x) <= {BOILERPLATE_CHARS} and ({" or ".join(f"contains(lower(x), '{p}')" for p in BOILERPLATE)}))), lambda x: {_LINE_CHARS})) as lost from lines),
+    or ({_SIGNS} >= {SIGN_WORDS} and {_LINE_N} <= {WORDS_PER_SIGN} * {_SIGNS})
+    or ((ends_with(trim(x, {_WS}), '...') or ends_with(trim(x, {_WS}), '…')) and {_LINE_N} <= {TEASER_WORDS})
+    or (length(x) <= {BOILERPLATE_CHARS} and ({" or ".join(f"contains(lower(x), '{_quoted(p)}')" for p in BOILERPLATE)}))), lambda x: {_LINE_CHARS})) as lost from lines),
 c as (select w.doc_id, cast(len(w.w) as bigint) as n_words, cast(length(array_to_string(w.w, '')) as bigint) as word_chars,
   cast({_sql_n("w.t", SYMBOLS)} as bigint) as n_symbols, cast(n_dup as bigint) as n_dup_lines, coalesce(r, 0) as n_repeat_words, cast(coalesce(lost, 0) as bigint) as lost_chars
   from w join lost using (k) left join rep using (k)),
