@@ -139,3 +139,52 @@ def test_edges(spark):
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 for r in none)
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
         L.lm_scores(spark.createDataFrame([("x", "t")], "doc_id string, text string")).collect()
+
+
+def test_a_shard_is_bounded_however_large_the_corpus_is(spark, monkeypatch):
+    """Words of Zipf's law, the first with a quarter of all tokens: the fullest shard stays near its share as shards
+    become many, but for the most frequent three words in a row, which meet in one shard."""
+    rng = np.random.default_rng(5)
+    words = np.minimum(rng.zipf(1.3, (400, 250)), 10**6)
+    docs = spark.createDataFrame([(k, " ".join(f"w{x}" for x in row)) for k, row in enumerate(words)], "doc_id bigint, text string")
+    flagged = docs.withColumn("held_out", L.crc_of_id() % L.MOD == L.HELD_OUT)
+    three = max(Counter(t for row in words.tolist() for t in zip(row, row[1:], row[2:], strict=False)).values())
+    for size in (20_000, 4000, 1000):
+        monkeypatch.setattr(L, "SHARD_TOKENS", size)
+        plan = L.Plan(flagged)
+        blobs = flagged.coalesce(1).mapInArrow(L._occurrences(plan), "shard int, block string, payload binary").where("shard >= 0").collect()
+        tokens = Counter()
+        for r in blobs:
+            tokens[r["shard"]] += len(L._unpack(r["payload"])[3])
+        assert sum(tokens.values()) == 400 * 251 and plan.shards == -(-400 * 251 // size)
+        assert max(tokens.values()) < 1.6 * size + three, (size, max(tokens.values()), three)
+        assert len(plan.pairs) > 0
+
+
+def test_frequent_pairs_against_brute_force(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    words = np.minimum(rng.zipf(1.5, (150, 120)), 10**4)
+    rows = [(k, " ".join(f"w{x}" for x in row)) for k, row in enumerate(words)] + [(1000, "w1"), (1001, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for shard, hot in ((2000, 8), (500, 30), (10**6, 8)):
+        monkeypatch.setattr(L, "SHARD_TOKENS", shard)
+        monkeypatch.setattr(L, "HOT", hot)
+        check(L.lm_scores(docs).collect(), expected(rows))
+
+
+@pytest.mark.parametrize("shard", [4000, 10**7])
+def test_a_written_model_scores_new_texts(spark, sf, monkeypatch, tmp_path, shard):
+    monkeypatch.setattr(L, "SHARD_TOKENS", shard)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r.doc_id: r for r in L.lm_scores(docs, str(tmp_path / "model")).collect()}
+    for again in (docs, docs.where("doc_id % 5 = 0").repartition(3)):  # of every document by itself, whatever goes with it
+        got = L.score_texts(again, str(tmp_path / "model")).collect()
+        assert len(got) == again.count() and all(r.held_out for r in got)
+        for r in got:
+            known = want[r.doc_id]
+            assert (r.n_tokens, r.n_known, r.train_tokens) == (known.n_tokens, known.n_known, known.train_tokens)
+            assert np.allclose((r.base_score, r.score), (known.base_score, known.score), rtol=1e-6, atol=1e-3)
+    odd = spark.createDataFrame([(1, None, 0), (2, "", 0), (None, "words never seen zzz", 0), (2, "x " * 40_000, 0)], "doc_id bigint, text string, score int")
+    got = L.score_texts(odd, str(tmp_path / "model")).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 5, 40_001] and all(r.score <= 0 for r in got)
+    assert L.score_texts(odd.where("false"), str(tmp_path / "model")).count() == 0

@@ -8,6 +8,7 @@ it.  All queries work on arrays of keys.
 
 from __future__ import annotations
 
+import json
 import mmap
 
 CONTEXT_BITS = 32
@@ -117,26 +118,59 @@ class Trie:
         universe = parents << CONTEXT_BITS if parents > 1 else 1 << 64
         self.levels[name] = EliasFano.build(key, universe), EliasFano.build(starts, len(child) + 1), codes, parents
 
+    def _header(self) -> list:
+        """Per level its name, number of parents, sizes and shifts of both sequences, and type and length of each array."""
+        out = []
+        for name, (keys, starts, codes, parents) in self.levels.items():
+            arrays = [*keys.arrays(), *starts.arrays(), *([] if codes is None else [codes])]
+            out.append([name, parents, keys.n, keys.shift, starts.n, starts.shift, [[x.dtype.str, len(x)] for x in arrays]])
+        return out
+
+    def _lay(self, header: list, whole) -> Trie:
+        """Levels as views of one run of bytes."""
+        import numpy as np
+
+        at = 0
+        for name, parents, n, shift, n_starts, shift_starts, kinds in header:
+            views = []
+            for kind, length in kinds:
+                size = length * np.dtype(kind).itemsize
+                views.append(whole[at : at + size].view(kind))
+                at += size + -size % 8
+            keys, starts = EliasFano(*views[:3], n, shift), EliasFano(*views[3:6], n_starts, shift_starts)
+            self.levels[name] = keys, starts, views[6] if len(views) > 6 else None, parents
+        self.whole = whole
+        return self
+
     def map(self) -> Trie:
         """Move all levels into one memory map."""
         import numpy as np
 
+        header = self._header()
         arrays = [x for keys, starts, codes, _ in self.levels.values() for x in (*keys.arrays(), *starts.arrays(), *([] if codes is None else [codes]))]
         self.bytes = sum(x.nbytes + -x.nbytes % 8 for x in arrays)
         whole = np.frombuffer(mmap.mmap(-1, max(1, self.bytes)), np.uint8)
         at = 0
-
-        def place(x):
-            nonlocal at
-            out = whole[at : at + x.nbytes].view(x.dtype)
-            out[:] = x
+        for x in arrays:
+            whole[at : at + x.nbytes] = x.view(np.uint8)
             at += x.nbytes + -x.nbytes % 8
-            return out
+        return self._lay(header, whole)
 
-        for name, (keys, starts, codes, parents) in self.levels.items():
-            keys, starts = (EliasFano(*map(place, x.arrays()), x.n, x.shift) for x in (keys, starts))
-            self.levels[name] = keys, starts, None if codes is None else place(codes), parents
-        return self
+    def dump(self) -> bytes:
+        """A mapped trie as bytes: a line of JSON that describes the levels, then the map."""
+        return json.dumps(self._header()).encode() + b"\n" + self.whole.tobytes()
+
+    @staticmethod
+    def load(data: bytes) -> Trie:
+        """The trie that was dumped, in a memory map of its own."""
+        import numpy as np
+
+        at = data.index(b"\n") + 1
+        trie = Trie()
+        trie.bytes = len(data) - at
+        whole = np.frombuffer(mmap.mmap(-1, max(1, trie.bytes)), np.uint8)
+        whole[: trie.bytes] = np.frombuffer(data, np.uint8, offset=at)
+        return trie._lay(json.loads(data[:at]), whole)
 
     def find(self, name: str, parent, child):
         """Place of each ``child`` below the place ``parent`` (-1: none), -1 if it isn't held.

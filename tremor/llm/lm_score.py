@@ -16,15 +16,18 @@ The logarithm is a sum of terms, each of counts of one word and its
 neighbours, so that every occurrence goes to the shard of its word once, with
 the two words before it and the one after: c(u v w), c(v w) and c(w) decide
 there which of the three it is and its numerator; as a context for the next
-word, c(u v), c(v) and what was seen after them give the rest.  A very frequent
-word is spread over all shards by the word before it; its count is known to all
-tasks, and its part as a context v is added where w is.  A shard merges the
+word, c(u v), c(v) and what was seen after them give the rest.  A word with
+over an eighth of a shard's tokens is spread over all shards by the word before
+it, and such a pair by the word before both.  Their counts are known to all
+tasks, and their parts as contexts v and u v are added where w is.  A shard merges the
 counts of all blocks of documents into a trie (words; words before them, twice;
 words after them, also after pairs; quantised log10 counts), looks each
 distinct n-gram up in it, and sends back one sum for each document that it has
 tokens of.  So all that travels is bounded by the tokens, whatever the number
-of blocks and shards.  Which words are spread, and how the documents are cut,
+of blocks and shards.  Which words and pairs are spread, and how the documents are cut,
 doesn't change a score.
+
+The tries can be written and score new documents later, see ``score_texts``.
 """
 
 from __future__ import annotations
@@ -40,7 +43,8 @@ from tremor.llm.elias_fano import Trie
 from tremor.llm.hashing import word_hashes
 
 MOD, HELD_OUT = 7, 2
-HOT = 1000  # words with about 1 in so many tokens are spread over all shards; 4 times as many at most
+HOT = 8  # words with 1 in so many tokens of a shard of usual size are spread over all shards
+MOST_HOT = 1_000_000  # the most frequent words at most: any other has less than a millionth of all tokens
 DISCOUNT2, DISCOUNT3 = (0.9, 0.1), (0.75, 0.1)  # a and b
 END = 0x5EED_0F_7E97  # stands for the end of a document, and for the context before its first word
 BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_500_000
@@ -96,63 +100,96 @@ def _blocks(batches: Iterator) -> Iterator:
 
 
 def _survey(batches: Iterator) -> Iterator:
-    """Counts of a block's frequent training tokens; key null: of all training tokens, all tokens, training documents."""
+    """Counts of a block's training tokens; key null: of all training tokens, all tokens."""
     import numpy as np
     import pyarrow as pa
 
     for _, held, words in _blocks(batches):
         train = [x for x, out in zip(words, held, strict=True) if not out]
         keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *train]), return_counts=True)
-        n = int(counts.sum())
-        keep = counts * (8 * HOT) >= n
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([None, *keys[keep].view(np.int64).tolist()], pa.int64()), pa.array([n, *counts[keep].tolist()], pa.int64()), pa.array([sum(map(len, words))] + [0] * int(keep.sum()), pa.int64())],
-            ["key", "n", "n_all"],
-        )
+        rest = np.zeros(len(keys), np.int64)
+        columns = (np.append(x, last) for x, last in ((counts, counts.sum()), (rest, sum(map(len, words)))))
+        key = pa.array(np.append(keys.view(np.int64), 0), mask=np.append(rest.astype(bool), True))
+        yield pa.RecordBatch.from_arrays([key, *(pa.array(x, pa.int64()) for x in columns)], ["key", "n", "n_all"])
+
+
+def _pair(before, word):
+    """A pair of neighbours as one number."""
+    import numpy as np
 
+    return ((before & np.uint64(CONTEXT)) << np.uint64(32)) | (word & np.uint64(CONTEXT))
 
-def _counts(words):
-    """Task that counts tokens which are one of ``words``: (place in them, count)."""
+
+def _hot_pairs(hot):
+    """Task that counts training pairs of two frequent words, as only these can be frequent."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        total = np.zeros(len(words), np.int64)
+        end = np.array([END], np.uint64)
         for _, _, docs in _blocks(batches):
-            at = _place(words, np.concatenate(docs))
-            total += np.bincount(at[at >= 0], minlength=len(words))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words)), pa.int32()), pa.array(total, pa.int64())], ["place", "n"])
+            word, before = np.concatenate(docs), np.concatenate([np.concatenate([end, x[:-1]]) for x in docs])
+            both = (_place(hot, word) >= 0) & (_place(hot, before) >= 0)
+            keys, counts = np.unique(_pair(before[both], word[both]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["key", "n"])
 
     return run
 
 
 class Plan:
-    """What all tasks know: N, the number of shards, and the words that are spread over them with their training counts."""
+    """What all tasks know: N, the number of shards, and the words and pairs that are spread over them with their training counts.
+
+    A word or pair is spread from 1 in ``HOT`` tokens of a shard of usual size on, however large the corpus is."""
 
     def __init__(self, docs: DataFrame):
         import numpy as np
 
-        found = park(docs.mapInArrow(_survey, "key bigint, n bigint, n_all bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "lm-survey")
+        # shards have this many tokens at least, where there are several
+        least = min(LEAST_SHARD, SHARD_TOKENS / 2) / (4 * HOT)
+        end = F.lit(END).cast("bigint")
+        counted = docs.mapInArrow(_survey, "key bigint, n bigint, n_all bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+        found = park(counted.where(F.col("key").isNull() | (F.col("key") == end) | (F.col("n") >= least)), "lm-survey")
         whole = found.where("key is null").first()
         self.n, total = (whole["n"], whole["n_all"]) if whole else (0, 0)
         self.shards = max(1, -(-total // SHARD_TOKENS), min(partitions(docs.sparkSession), total // LEAST_SHARD))
-        # a word with 1 in 8 HOT tokens is frequent in a block at least
-        rows = found.where(f"key is not null and n * {8 * HOT} >= {self.n}").orderBy(F.desc("n"), "key").collect()
-        words = [(r["key"] & ((1 << 64) - 1), r["n"]) for r in rows]
-        self.hot = np.unique(np.array([END, *(x for x, n in words if n * HOT >= self.n)], np.uint64))
+        words = found.where("key is not null").select("key", "n").orderBy(F.desc("n"), "key")
+        hot = {END: 0} | {k & ((1 << 64) - 1): n for k, n in words.where((F.col("n") * (HOT * self.shards) >= total) | (F.col("key") == end)).limit(MOST_HOT).collect()}
+        self.hot = np.array(sorted(hot), np.uint64)
+        self.n_hot = np.array([hot[int(x)] for x in self.hot], np.int64)
         self.hot_context = np.argsort(self.hot & np.uint64(CONTEXT))
-        sums = docs.where("not held_out").mapInArrow(_counts(self.hot), "place int, n bigint").groupBy("place").agg(F.sum("n")).collect()
-        self.n_hot = np.zeros(len(self.hot), np.int64)
-        for k, n in sums:
-            self.n_hot[k] = n
-        self.coded = np.unique(np.array([END, *(x for x, _ in words[:CODED])], np.uint64) & np.uint64(CONTEXT))[:CODED]
+        self.pairs, self.n_pairs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        if self.shards > 1:
+            pairs = docs.where("not held_out").mapInArrow(_hot_pairs(self.hot), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
+            rows = pairs.where(F.col("n") * (HOT * self.shards) >= total).orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()
+            known = sorted((k & ((1 << 64) - 1), n) for k, n in rows)
+            self.pairs, self.n_pairs = np.array([k for k, _ in known], np.uint64), np.array([n for _, n in known], np.int64)
+        coded = [r["key"] & ((1 << 64) - 1) for r in words.limit(CODED).collect()]
+        self.coded = np.unique(np.array([END, *coded], np.uint64) & np.uint64(CONTEXT))[:CODED]
+
+    def dump(self, n: int, v: int) -> bytes:
+        import numpy as np
+
+        return _pack(np.array([self.n, self.shards, n, v], np.int64), self.hot, self.n_hot, self.pairs, self.n_pairs, self.coded)
+
+    @staticmethod
+    def load(data: bytes) -> tuple[Plan, int, int]:
+        """A written plan, with the totals of training tokens and of distinct ones."""
+        import numpy as np
+
+        plan = object.__new__(Plan)
+        numbers, plan.hot, plan.n_hot, plan.pairs, plan.n_pairs, plan.coded = _unpack(data)
+        plan.n, plan.shards, n, v = numbers.tolist()
+        plan.hot_context = np.argsort(plan.hot & np.uint64(CONTEXT))
+        return plan, n, v
 
 
 def _place(keys, wanted):
-    """Where each wanted value is in the sorted, non-empty keys, -1 for nowhere."""
+    """Where each wanted value is in the sorted keys, -1 for nowhere."""
     import numpy as np
 
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, at, -1)
 
@@ -204,6 +241,8 @@ def _occurrences(plan: Plan):
             shard = ((word >> np.uint64(32)) % np.uint64(plan.shards)).astype(np.int32)
             spread = _place(plan.hot, word) >= 0
             shard[spread] = ((word[spread] >> np.uint64(32)) + before[spread] * np.uint64(0x9E3779B1)) % np.uint64(plan.shards)
+            spread = _place(plan.pairs, _pair(before, word)) >= 0
+            shard[spread] = ((word[spread] >> np.uint64(32)) + before[spread] * np.uint64(0x9E3779B1) + before2[spread] * np.uint64(0x85EBCA77)) % np.uint64(plan.shards)
             train = ~np.array(held, bool)[doc]
             order = np.lexsort((before, word, shard))
             word, before, before2, after, doc, train, shard = (x[order] for x in (word, before, before2, after, doc, train, shard))
@@ -234,10 +273,12 @@ def _left(count, discount: tuple[float, float]):
     return np.log10(share), np.log10(np.maximum(1 - share, 1e-300) / c)
 
 
-def _shard_sums(plan: Plan):
+def _shard_sums(plan: Plan, keep: bool = False):
     """Blobs sorted by shard to (block, payload): per document of a block the sums of a shard.
 
-    Block null: payload holds the shard's training tokens and distinct ones, but for the words spread over all."""
+    Block null: payload holds the shard's training tokens and distinct ones, but for the words spread over all;
+    with ``keep`` a second row with documents true holds its trie.  A blob of block "" is the trie of a model: documents
+    of its shard are then only scored by it."""
 
     def distinct(parent, child):
         """Distinct (parent, child) as arrays sorted by both, and which of them each is."""
@@ -251,9 +292,33 @@ def _shard_sums(plan: Plan):
 
         return np.round(np.log10(counts) * STEP).astype(np.uint16)
 
-    def process(blobs: list[tuple[str, bytes]]):
+    def grown(words, of_word, before, of_pair, before2, after_pair, after, seen_word, seen_pair, seen_tri, seen_after):
+        """The trie of what occurs in training documents."""
+        import numpy as np
+
+        trie = Trie()
+        kept = np.flatnonzero(seen_word > 0)
+        trie.add("word", 1, np.zeros(len(kept), np.int64), words[kept], seen_word[kept])
+        place = np.cumsum(seen_word > 0) - 1
+        own = np.flatnonzero(seen_pair > 0)
+        trie.add("before", len(kept), place[of_word[own]], before[own], code(seen_pair[own]))
+        place_pair = np.cumsum(seen_pair > 0) - 1
+        held = np.flatnonzero(seen_tri > 0)
+        trie.add("before2", len(own), place_pair[of_pair[held]], before2[held], code(seen_tri[held]))
+        held = np.flatnonzero(seen_after > 0)
+        trie.add("after pair", len(own), place_pair[after_pair[held]], after[held])
+        follow = np.sort((place[of_word[after_pair[held]]].astype(np.uint64) << np.uint64(32)) | after[held])
+        follow = follow[np.append(True, follow[1:] != follow[:-1])[: len(follow)]]
+        trie.add("after", len(kept), (follow >> np.uint64(32)).astype(np.int64), follow & np.uint64(CONTEXT))
+        return trie.map()
+
+    def process(shard: int, blobs: list[tuple[str, bytes]]):
         import numpy as np
 
+        trie = Trie.load(blobs.pop(0)[1]) if blobs[0][0] == "" else None
+        if not blobs:
+            return
+        model = trie is not None
         names, parts = [x[0] for x in blobs], []
         while blobs:  # their bytes go as they are unpacked
             parts.append(_unpack(blobs.pop(0)[1]))
@@ -271,34 +336,24 @@ def _shard_sums(plan: Plan):
         seen_word = np.bincount(of_word, seen_pair, len(words)).astype(np.int64)
         hot = _place(plan.hot, words)
         seen_word = np.where(hot >= 0, n_hot[hot], seen_word)
-        # the trie holds what occurs in training documents
-        trie = Trie()
-        kept = np.flatnonzero(seen_word > 0)
-        trie.add("word", 1, np.zeros(len(kept), np.int64), words[kept])
-        place = np.cumsum(seen_word > 0) - 1
-        own = np.flatnonzero(seen_pair > 0)
-        trie.add("before", len(kept), place[of_word[own]], before[own], code(seen_pair[own]))
-        place_pair = np.cumsum(seen_pair > 0) - 1
-        held = np.flatnonzero(seen_tri > 0)
-        trie.add("before2", len(own), place_pair[of_pair[held]], before2[held], code(seen_tri[held]))
-        held = np.flatnonzero(seen_after > 0)
-        trie.add("after pair", len(own), place_pair[after_pair[held]], after[held])
-        follow = np.sort((place[of_word[after_pair[held]]].astype(np.uint64) << np.uint64(32)) | after[held])
-        follow = follow[np.append(True, follow[1:] != follow[:-1])[: len(follow)]]
-        trie.add("after", len(kept), (follow >> np.uint64(32)).astype(np.int64), follow & np.uint64(CONTEXT))
-        trie.map()
-        del seen_tri, seen_after, follow, held, own, place, place_pair
+        hot_pair = _place(plan.pairs, _pair(before, words[of_word]))
+        if len(plan.pairs):
+            seen_pair = np.where(hot_pair >= 0, plan.n_pairs[hot_pair], seen_pair)
+        if trie is None:
+            trie = grown(words, of_word, before, of_pair, before2, after_pair, after, seen_word, seen_pair, seen_tri, seen_after)
+        del seen_tri, seen_after, seen_pair
         # every distinct n-gram is looked up once
         at_word = trie.find("word", np.zeros(len(words), np.int64), words)
-        count = np.where(at_word >= 0, seen_word, 0)
-        at_pair = trie.find("before", at_word[of_word], before)
-        at_tri = trie.find("before2", at_pair[of_pair], before2)
-        at_after_pair = trie.find("after pair", at_pair[after_pair], after)
-        at_after = trie.find("after", at_word[of_word[after_pair]], after)
 
         def value(name, at):
             return np.where(at >= 0, trie.codes(name)[np.maximum(at, 0)] / STEP if len(trie.codes(name)) else 0.0, 0.0)
 
+        held = trie.codes("word")[np.maximum(at_word, 0)] if len(trie.codes("word")) else np.zeros(len(words), np.int64)
+        count = np.where(hot >= 0, n_hot[hot], np.where(at_word >= 0, held, 0))
+        at_pair = trie.find("before", at_word[of_word], before)
+        at_tri = trie.find("before2", at_pair[of_pair], before2)
+        at_after_pair = trie.find("after pair", at_pair[after_pair], after)
+        at_after = trie.find("after", at_word[of_word[after_pair]], after)
         # as a word: which of the three, its numerator, and what a frequent word before it leaves
         start = before == np.uint64(END & CONTEXT)
         level3 = (at_tri >= 0) & ~start[of_pair]
@@ -307,10 +362,15 @@ def _shard_sums(plan: Plan):
         left, taken = _left(np.where(is_hot, n_hot[context], 0), DISCOUNT2)
         lower = np.where(at_pair >= 0, value("before", at_pair) + np.where(is_hot, taken, 0.0), np.log10(count + 0.5)[of_word] + np.where(is_hot, left, 0.0))
         log_p = np.where(level3, value("before2", at_tri), lower[of_pair])
+        if len(plan.pairs):  # and what a frequent pair before it leaves
+            context = _place(plan.pairs, _pair(before2, before[of_pair]))
+            left, taken = _left(plan.n_pairs[context], DISCOUNT3)
+            log_p += np.where((context >= 0) & ~start[of_pair], np.where(level3, taken, left), 0.0)
         unseen = (~level3 & (at_pair < 0)[of_pair])[tri]
         # as the context of the next word
-        left, taken = _left(seen_pair, DISCOUNT3)
-        rest = np.where(at_after_pair >= 0, taken[after_pair], left[after_pair])
+        # a context's count of up to 1,000 is read from its code without a loss
+        left, taken = _left(np.where(at_pair >= 0, np.round(10.0 ** value("before", at_pair)), 0), DISCOUNT3)
+        rest = np.where((hot_pair >= 0)[after_pair], 0.0, np.where(at_after_pair >= 0, taken[after_pair], left[after_pair]))
         left, taken = _left(count, DISCOUNT2)
         cold = (hot < 0)[of_word[after_pair]] & (at_after_pair < 0)
         rest += np.where(cold, np.where(at_after >= 0, taken[of_word[after_pair]], left[of_word[after_pair]]), 0.0)
@@ -318,7 +378,10 @@ def _shard_sums(plan: Plan):
         log_p = log_p[tri] + rest[nxt]
         log_c = np.log10((count + 1.0) / (plan.n + 1.0))[of_word][pair]  # against N + 1, lest large sums cancel
         known = (count > 0)[of_word][pair]
-        yield None, _pack(np.array([seen_word[hot < 0].sum(), (seen_word[hot < 0] > 0).sum()], np.int64))
+        if not model:
+            yield None, False, shard, _pack(np.array([seen_word[hot < 0].sum(), (seen_word[hot < 0] > 0).sum()], np.int64))
+        if keep:
+            yield None, True, shard, trie.dump()
         del trie, tri, nxt, pair, rest, lower
         at = 0
         for block, doc in zip(names, docs, strict=True):
@@ -326,30 +389,30 @@ def _shard_sums(plan: Plan):
             at += len(doc)
             own, of = np.unique(doc, return_inverse=True)
             counts = (np.bincount(of, x[mine]).astype(np.uint32) for x in (known, unseen))
-            yield block, _pack(np.diff(own, prepend=own[:1]), own[:1], np.bincount(of, log_p[mine]).astype(np.float32), np.bincount(of, log_c[mine]), *counts)
+            yield block, False, shard, _pack(np.diff(own, prepend=own[:1]), own[:1], np.bincount(of, log_p[mine]).astype(np.float32), np.bincount(of, log_c[mine]), *counts)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         def batch_of(rows):
-            rows = list(rows)
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.binary())], ["block", "documents", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.string(), pa.bool_(), pa.int32(), pa.binary()), strict=True)], ["block", "documents", "shard", "payload"])
 
         blobs: list[tuple[str, bytes]] = []
         now = None
         for batch in batches:
             for shard, block, payload in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "payload")), strict=True):
                 if shard < 0:
-                    yield batch_of([(block, True, payload)])
+                    yield batch_of([(block, True, shard, payload)])
                     continue
                 if shard != now and blobs:
-                    yield batch_of((a, False, b) for a, b in process(blobs))
+                    if rows := list(process(now, blobs)):
+                        yield batch_of(rows)
                     blobs = []
                     trim()
                 now = shard
                 blobs.append((block, payload))
-        if blobs:
-            yield batch_of((a, False, b) for a, b in process(blobs))
+        if blobs and (rows := list(process(now, blobs))):
+            yield batch_of(rows)
 
     return run
 
@@ -391,7 +454,28 @@ def _assemble(plan: Plan, n: int, v: int):
     return run
 
 
-def lm_scores(documents: DataFrame) -> DataFrame:
+SUMS = "block string, documents boolean, shard int, payload binary"
+SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+
+
+def _by_shard(docs: DataFrame, plan: Plan, tries: DataFrame | None = None) -> DataFrame:
+    """Blobs of documents, and a model's tries before them, one shard after the other to each partition, not as their
+    hashes fall."""
+    n = partitions(docs.sparkSession)
+    blobs = docs.mapInArrow(_occurrences(plan), "shard int, block string, payload binary")
+    if tries is not None:
+        blobs = blobs.unionByName(tries)
+    route = F.get(F.array(*map(F.lit, routes(docs.sparkSession, n))), F.pmod(F.col("shard"), F.lit(n)))
+    spread = F.when(F.col("shard") < 0, F.hash("block")).otherwise(route)
+    return blobs.repartition(n, spread).sortWithinPartitions("shard", "block")
+
+
+def _scored(sums: DataFrame, plan: Plan, n: int, v: int) -> DataFrame:
+    by_block = sums.where("block is not null").repartition(partitions(sums.sparkSession), "block").sortWithinPartitions("block")
+    return by_block.select("block", "documents", "payload").mapInArrow(_assemble(plan, n, v), SCORES)
+
+
+def lm_scores(documents: DataFrame, model: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row.
 
     Documents whose crc32 of doc_id (null: of empty text) has the remainder
@@ -400,23 +484,36 @@ def lm_scores(documents: DataFrame) -> DataFrame:
     other columns are not read; without training documents all counts are 0;
     an empty table gives an empty result.  doc_id is cast to a whole number: a
     text that is none is an error.
+
+    With ``model``, a path on a shared file system, the tries are also written
+    there, for ``score_texts``.
     """
     docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", (crc_of_id() % MOD == HELD_OUT).alias("held_out"))
-    spark = docs.sparkSession
     plan = Plan(docs)
-    n = partitions(spark)
-    blobs = docs.mapInArrow(_occurrences(plan), "shard int, block string, payload binary")
-    # one shard after the other to each partition, not as their hashes fall
-    route = F.get(F.array(*map(F.lit, routes(spark, n))), F.pmod(F.col("shard"), F.lit(n)))
-    spread = F.when(F.col("shard") < 0, F.hash("block")).otherwise(route)
-    blobs = blobs.repartition(n, spread).sortWithinPartitions("shard", "block")
-    with small_batches(spark):
-        sums = park(blobs.mapInArrow(tidy(_shard_sums(plan)), "block string, documents boolean, payload binary"), "lm-sums")
-    totals = sums.where("block is null").select("payload").mapInArrow(_totals, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
+    with small_batches(docs.sparkSession):
+        sums = park(_by_shard(docs, plan).mapInArrow(tidy(_shard_sums(plan, model is not None)), SUMS), "lm-sums")
+    totals = sums.where("block is null and not documents").select("payload").mapInArrow(_totals, "n bigint, v bigint").agg(F.sum("n"), F.sum("v")).first()
     n_train, v_train = (int(x or 0) + int(y) for x, y in zip(totals, (plan.n_hot.sum(), (plan.n_hot > 0).sum()), strict=True))
-    by_block = sums.where("block is not null").repartition(n, "block").sortWithinPartitions("block")
-    schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
-    return by_block.mapInArrow(_assemble(plan, n_train, v_train), schema)
+    if model is not None:
+        about = docs.sparkSession.createDataFrame([(-1, bytearray(plan.dump(n_train, v_train)))], "shard int, payload binary")
+        with small_batches(docs.sparkSession):
+            sums.where("block is null and documents").select("shard", "payload").unionByName(about).write.mode("overwrite").parquet(model)
+    return _scored(sums, plan, n_train, v_train)
+
+
+def score_texts(documents: DataFrame, model: str) -> DataFrame:
+    """The columns of ``lm_scores`` for new documents, by a model that it wrote; nothing is learnt from them and all are
+    marked as held out.
+
+    Each shard's trie is read once, by the one task that has the shard's tokens.  Odd rows are treated as there.
+    """
+    docs = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.lit(True).alias("held_out"))
+    tries = docs.sparkSession.read.parquet(model)
+    plan, n, v = Plan.load(bytes(tries.where("shard = -1").first()["payload"]))
+    with small_batches(docs.sparkSession):
+        blobs = _by_shard(docs, plan, tries.where("shard >= 0").select("shard", F.lit("").alias("block"), "payload"))
+        sums = park(blobs.mapInArrow(tidy(_shard_sums(plan)), SUMS), "lm-sums")
+    return _scored(sums, plan, n, v)
 
 
 def _totals(batches: Iterator) -> Iterator:
