@@ -166,6 +166,7 @@ def test_frequent_pairs_against_brute_force(spark, monkeypatch):
     words = np.minimum(rng.zipf(1.5, (150, 120)), 10**4)
     rows = [(k, " ".join(f"w{x}" for x in row)) for k, row in enumerate(words)] + [(1000, "w1"), (1001, None)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(L, "SURVEYED", 40)
     for shard, hot in ((2000, 8), (500, 30), (10**6, 8)):
         monkeypatch.setattr(L, "SHARD_TOKENS", shard)
         monkeypatch.setattr(L, "HOT", hot)

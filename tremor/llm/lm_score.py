@@ -48,6 +48,7 @@ MOST_HOT = 1_000_000  # the most frequent words at most: any other has less than
 DISCOUNT2, DISCOUNT3 = (0.9, 0.1), (0.75, 0.1)  # a and b
 END = 0x5EED_0F_7E97  # stands for the end of a document, and for the context before its first word
 BLOCK_TOKENS, SHARD_TOKENS = 1_000_000, 1_500_000
+SURVEYED = 4_000_000  # distinct words that a task of the survey holds at a time
 LEAST_SHARD = 100_000  # tokens of a shard where there are more partitions than shards
 CONTEXT = (1 << 32) - 1  # neighbours are told apart by so many bits of their hashes
 CODED = 255  # most frequent neighbours that are sent as one byte
@@ -99,18 +100,33 @@ def _blocks(batches: Iterator) -> Iterator:
         yield ids, held, words
 
 
-def _survey(batches: Iterator) -> Iterator:
-    """Counts of a block's training tokens; key null: of all training tokens, all tokens."""
-    import numpy as np
-    import pyarrow as pa
+def _survey(rarest: int):
+    """Task: counts of the training tokens that are 1 in ``rarest`` at least of those of their task (of a part of it, where
+    it has very many words); key null: of all tokens."""
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def frequent():
+            known = keys[counts * rarest >= counts.sum()], counts[counts * rarest >= counts.sum()]
+            key = pa.array(np.append(known[0].view(np.int64), 0), mask=np.append(np.zeros(len(known[0]), bool), True))
+            n = pa.array(np.append(known[1], counts.sum()), pa.int64())
+            return pa.RecordBatch.from_arrays([key, n, pa.array(np.append(np.zeros(len(known[0]), np.int64), n_all))], ["key", "n", "n_all"])
+
+        keys, counts, n_all = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        for _, held, words in _blocks(batches):
+            train = [x for x, out in zip(words, held, strict=True) if not out]
+            own, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *train]), return_counts=True)
+            keys, of = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(of, np.concatenate([counts, n]), len(keys)).astype(np.int64)
+            n_all += sum(map(len, words))
+            if len(keys) > SURVEYED:
+                yield frequent()
+                keys, counts, n_all = keys[:0], counts[:0], 0
+        yield frequent()
 
-    for _, held, words in _blocks(batches):
-        train = [x for x, out in zip(words, held, strict=True) if not out]
-        keys, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *train]), return_counts=True)
-        rest = np.zeros(len(keys), np.int64)
-        columns = (np.append(x, last) for x, last in ((counts, counts.sum()), (rest, sum(map(len, words)))))
-        key = pa.array(np.append(keys.view(np.int64), 0), mask=np.append(rest.astype(bool), True))
-        yield pa.RecordBatch.from_arrays([key, *(pa.array(x, pa.int64()) for x in columns)], ["key", "n", "n_all"])
+    return run
 
 
 def _pair(before, word):
@@ -120,19 +136,23 @@ def _pair(before, word):
     return ((before & np.uint64(CONTEXT)) << np.uint64(32)) | (word & np.uint64(CONTEXT))
 
 
-def _hot_pairs(hot):
-    """Task that counts training pairs of two frequent words, as only these can be frequent."""
+def _exact(words):
+    """Task that counts training tokens which are one of ``words``, and pairs of two of them: (whether a pair, key, count)."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         end = np.array([END], np.uint64)
+        total = np.zeros(len(words), np.int64)
         for _, _, docs in _blocks(batches):
             word, before = np.concatenate(docs), np.concatenate([np.concatenate([end, x[:-1]]) for x in docs])
-            both = (_place(hot, word) >= 0) & (_place(hot, before) >= 0)
+            at = _place(words, word)
+            total += np.bincount(at[at >= 0], minlength=len(words))
+            both = (at >= 0) & (_place(words, before) >= 0)
             keys, counts = np.unique(_pair(before[both], word[both]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["key", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([True] * len(keys), pa.bool_()), pa.array(keys.view(np.int64)), pa.array(counts, pa.int64())], ["pair", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(words), pa.bool_()), pa.array(words.view(np.int64)), pa.array(total)], ["pair", "key", "n"])
 
     return run
 
@@ -145,28 +165,33 @@ class Plan:
     def __init__(self, docs: DataFrame):
         import numpy as np
 
-        # shards have this many tokens at least, where there are several
-        least = min(LEAST_SHARD, SHARD_TOKENS / 2) / (4 * HOT)
-        end = F.lit(END).cast("bigint")
-        counted = docs.mapInArrow(_survey, "key bigint, n bigint, n_all bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
-        found = park(counted.where(F.col("key").isNull() | (F.col("key") == end) | (F.col("n") >= least)), "lm-survey")
+        # tokens are no more than half of the bytes and two a row; so no more shards than these, and no lower share of a frequent word
+        rows, size = docs.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+        rarest = 4 * HOT * self.shards_of(size // 2 + 2 * rows, docs)
+        counted = docs.mapInArrow(_survey(rarest), "key bigint, n bigint, n_all bigint").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all"))
+        found = park(counted, "lm-survey")
         whole = found.where("key is null").first()
         self.n, total = (whole["n"], whole["n_all"]) if whole else (0, 0)
-        self.shards = max(1, -(-total // SHARD_TOKENS), min(partitions(docs.sparkSession), total // LEAST_SHARD))
+        self.shards = self.shards_of(total, docs)
+        least = total / (HOT * self.shards)
         words = found.where("key is not null").select("key", "n").orderBy(F.desc("n"), "key")
-        hot = {END: 0} | {k & ((1 << 64) - 1): n for k, n in words.where((F.col("n") * (HOT * self.shards) >= total) | (F.col("key") == end)).limit(MOST_HOT).collect()}
-        self.hot = np.array(sorted(hot), np.uint64)
-        self.n_hot = np.array([hot[int(x)] for x in self.hot], np.int64)
+        # a quarter of that count at most is missing
+        may_be_hot = words.where(F.col("n") >= 0.75 * least).limit(MOST_HOT).collect() if self.shards > 1 else []
+        candidates = np.unique(np.array([END, *(k & ((1 << 64) - 1) for k, _ in may_be_hot)], np.uint64))
+        exact = docs.where("not held_out").mapInArrow(_exact(candidates), "pair boolean, key bigint, n bigint").groupBy("pair", "key").agg(F.sum("n").alias("n"))
+        hot = exact.where((F.col("n") >= least) | (~F.col("pair") & (F.col("key") == F.lit(END).cast("bigint"))))
+        counts = ({END: 0}, {})
+        for pair, key, n in hot.orderBy("pair", F.desc("n"), "key").limit(2 * MOST_HOT).collect():
+            counts[pair][key & ((1 << 64) - 1)] = n
+        (self.hot, self.n_hot), (self.pairs, self.n_pairs) = ((np.array(sorted(x), np.uint64), np.array([x[k] for k in sorted(x)], np.int64)) for x in counts)
         self.hot_context = np.argsort(self.hot & np.uint64(CONTEXT))
-        self.pairs, self.n_pairs = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        if self.shards > 1:
-            pairs = docs.where("not held_out").mapInArrow(_hot_pairs(self.hot), "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-            rows = pairs.where(F.col("n") * (HOT * self.shards) >= total).orderBy(F.desc("n"), "key").limit(MOST_HOT).collect()
-            known = sorted((k & ((1 << 64) - 1), n) for k, n in rows)
-            self.pairs, self.n_pairs = np.array([k for k, _ in known], np.uint64), np.array([n for _, n in known], np.int64)
         coded = [r["key"] & ((1 << 64) - 1) for r in words.limit(CODED).collect()]
         self.coded = np.unique(np.array([END, *coded], np.uint64) & np.uint64(CONTEXT))[:CODED]
 
+    @staticmethod
+    def shards_of(tokens: int, docs: DataFrame) -> int:
+        return max(1, -(-tokens // SHARD_TOKENS), min(partitions(docs.sparkSession), tokens // LEAST_SHARD))
+
     def dump(self, n: int, v: int) -> bytes:
         import numpy as np
 
