@@ -35,6 +35,27 @@ def test_planted_error_comes_first(spark):
     assert {(r.template, r.before, r.after) for r in near} == {("connection to <*> refused", 0, 15), ("request <*> served in <*> ms", 10, 10)}
 
 
+def test_no_task_holds_all_logs_or_templates_of_a_case(spark):
+    from pyspark.sql import functions as F
+
+    letters = "abcdefghij"
+    rows = [("c", k, f"{letters[k % 10]} {letters[k // 10 % 10]} {letters[k // 100]} done") for k in range(1000)]
+    pivots = spark.createDataFrame([("c", 500, 0, 2000)], "case_id string, pivot_ms bigint, start_ms bigint, end_ms bigint")
+    name, was = "spark.sql.adaptive.coalescePartitions.enabled", spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set(name, "false")
+    try:
+        got = L.relevant_logs(spark.createDataFrame(rows, LOG), pivots, depth=3).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(name, was)
+    got.sort(key=lambda r: (-r.score, r.template))
+    assert len(got) == 1000 and [r.place for r in got] == list(range(1, 1001))  # ties by template
+    assert len({r.task for r in got}) > 1 and "_range" not in got[0].asDict()
+
+
+def test_shared_leaves_without_a_common_word(spark):
+    assert templates(spark, ["a b", "c d", "alone in its leaf", "x 1"], 0) == ["<*> <*>", "<*> <*>", "alone in its leaf", "<*> <*>"]
+
+
 @pytest.mark.parametrize("after, before, la, lb", [(30, 0, 1000, 1000), (5, 5, 300, 900), (0, 9, 10, 10), (1, 100, 5, 500), (2, 3, 7, 11)])
 def test_burst_score(spark, after, before, la, lb):
     from pyspark.sql import functions as F
