@@ -206,3 +206,32 @@ def test_index_of_few_rows(spark):
     assert ivf.search(ivf.build(empty, 4), empty, 3).count() == 0
     two = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [1.0, 0.0])], "id string, v array<double>")
     assert [(r.query_id, r.id, r.place) for r in ivf.search(ivf.build(two, 4), two, 3).orderBy("query_id").collect()] == [("a", "b", 1), ("b", "a", 1)]
+
+
+def test_exact_search_in_small_pieces(spark):
+    """Batches of any size, ties by id, a row's own id left out, and memory that a batch doesn't decide."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from tremor.operators import similar
+
+    draw = np.random.default_rng(5)
+    n, k = 6000, 3
+    v = draw.integers(-1, 2, (n, 4)).astype(float)  # many ties, and zero vectors
+    ids = np.arange(n)[::-1].copy()
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array(v.tolist())], ["id", "v"])
+    few = np.arange(0, n, 5)
+    tracemalloc.start()
+    parts = list(similar._nearest(ids[few], similar.unit(v[few]), k)(iter([batch.slice(0, 0), batch.slice(0, 5000), batch.slice(5000)])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24 << 20  # all pairs of the larger batch: 48 MB, twice with their order
+    got = {}
+    for x in parts:
+        for q, i, s in zip(*(c.to_pylist() for c in x.columns), strict=True):
+            got.setdefault(q, []).append((-round(s, 9), i))
+    u = similar.unit(v)
+    for at in few[::37]:
+        near = np.round(u @ u[at], 9)
+        want = sorted((-s, int(i)) for s, i in zip(near, ids, strict=True) if i != ids[at])[:k]
+        assert sorted(got[ids[at]]) == want
