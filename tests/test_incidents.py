@@ -235,3 +235,23 @@ def test_exact_search_in_small_pieces(spark):
         near = np.round(u @ u[at], 9)
         want = sorted((-s, int(i)) for s, i in zip(near, ids, strict=True) if i != ids[at])[:k]
         assert sorted(got[ids[at]]) == want
+
+
+def test_bursts_and_edges_are_worked_out_once(spark, sf):
+    from pyspark.sql import functions as F
+    from tremor.plans import queries as Q
+    from tremor.sources.adapters import Tables
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    bursts = Q.burst_signals(Tables(spark, sf))
+    assert "Aggregate" not in plan(bursts) and "Join" not in plan(bursts)  # a table that was written, not all events again
+    edges = spark.createDataFrame([("a", "b"), ("b", "b")], EDGE).groupBy("source").agg(F.max("target").alias("target"))
+    assert "max(target" not in plan(incidents.overlaps(incidents.sessions(bursts), edges))
+
+
+def test_last_span_of_an_id_by_time_then_service(spark):
+    from tremor.operators import etl
+
+    row = "case string, time bigint, startTimeMillis bigint, spanID string, serviceName string, parentSpanID string, duration double"
+    rows = [("c", 1, 1, "p", "zz", None, 9.0), ("c", 2, None, "p", "a", None, 1.0), ("c", 2, 5, "p", "b", None, 0.0), ("c", 2, 5, "p", "a", None, 9.0), ("d", 9, 9, "p", "other", None, 1.0), ("c", 3, 3, "k", "x", "p", 1.0), ("c", 3, 3, "l", "b", "p", 1.0), (None, 1, 1, "k", "y", "p", 1.0)]
+    assert {tuple(r) for r in etl.dependencies(spark.createDataFrame(rows, row)).collect()} == {("b", "x")}

@@ -52,6 +52,7 @@ def _on_edges(bursts: DataFrame, edges: DataFrame, both: bool) -> DataFrame:
     own = edges.select("source", "target").where("source <> target").distinct()
     if both:
         own = own.select(F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target")).distinct()
+    own = park(own, "edges")  # read once for each end
     ends = [own.select(F.col(c).alias("service"), F.struct("source", "target").alias("edge"), F.lit(c == "target").alias("callee")) for c in ("source", "target")]
     return bursts.join(ends[0].unionByName(ends[1]), "service")
 
