@@ -255,3 +255,11 @@ def test_last_span_of_an_id_by_time_then_service(spark):
     row = "case string, time bigint, startTimeMillis bigint, spanID string, serviceName string, parentSpanID string, duration double"
     rows = [("c", 1, 1, "p", "zz", None, 9.0), ("c", 2, None, "p", "a", None, 1.0), ("c", 2, 5, "p", "b", None, 0.0), ("c", 2, 5, "p", "a", None, 9.0), ("d", 9, 9, "p", "other", None, 1.0), ("c", 3, 3, "k", "x", "p", 1.0), ("c", 3, 3, "l", "b", "p", 1.0), (None, 1, 1, "k", "y", "p", 1.0)]
     assert {tuple(r) for r in etl.dependencies(spark.createDataFrame(rows, row)).collect()} == {("b", "x")}
+
+
+def test_similar_incidents_detect_once(spark, sf, monkeypatch):
+    from tremor.plans import queries as Q
+
+    calls, found = [], Q.found
+    monkeypatch.setattr(Q, "found", lambda t, **options: calls.append(t) or found(t, **options))
+    assert Q.QUERIES["similar_incidents"](spark, sf).columns and len(calls) == 1
