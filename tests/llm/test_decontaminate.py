@@ -85,3 +85,34 @@ def test_other_letter_case_and_numbers_with_separators(spark):
     for table, df in (("documents", docs), ("benchmark", bench)):
         con.executemany(f"insert into {table} values (?, ?)", [tuple(r) for r in df.collect()])
     assert {(a, b, c) for a, b, c in con.sql(f"select doc_id, item_id, exact from ({D.ORACLE}) x").fetchall()} == got
+
+
+def test_keys_of_documents_are_those_of_the_benchmark(spark):
+    """Hashes and windows that are worked out in one go against the plain ones, of texts of every length."""
+    from pyspark.sql import functions as F
+    from tremor.llm import decontaminate as D
+
+    texts = ["", None, "one", "Tom has 1,200 apples, 5.5 kg of Pears and 3 KG; ISO 9 days", " ,1,2,3.4. a.5 6,b ", "Éa ÉA éa İx ǅ ǆ 中文 ٣ x²", "1 2 3 4 5 6 7 8 9 km km"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "k int, text string").select("k", D._raw(F.col("text")).alias("raw"))
+    df = df.withColumn("low", D._lower(F.col("raw"))).withColumn("h1", D._hashes(F.col("low")))
+    df = df.withColumns({"h0": D._canonical_hashes("raw", "low", "h1"), "want": D._hashes(D._canonical(F.col("raw")))})
+    for size in (1, 3, 8):
+        for literal in (False, True):
+            of = f"h{int(literal)}"
+            df = df.withColumns({f"w{size}{of}": D._windows(F.lit(size), F.col(of), literal), f"p{size}{of}": D._placed(size, of, literal)})
+    for r in df.collect():
+        assert r.h0 == r.want
+        for c in [c for c in df.columns if c[0] == "w" and c != "want"]:
+            assert [x.key for x in r["p" + c[1:]]] == r[c] and [x.place for x in r["p" + c[1:]]] == list(range(len(r[c])))
+
+
+def test_windows_that_become_rows(spark):
+    from pyspark.sql import functions as F
+    from tremor.llm import decontaminate as D
+
+    keys = [0, -1, 1 << 62, -(1 << 63), 131071, 131072, 32768, 98303]
+    bits = D._bits(spark.createDataFrame([(k,) for k in keys], "key bigint"))
+    tried = spark.range(-200, 140000).select("id", F.array(F.struct(F.lit(0).alias("place"), F.col("id").alias("key"))).alias("w"))
+    kept = {r.id for r in tried.where(F.size(D._maybe(F.col("w"), bits)) == 1).collect()}
+    low = {k % 131072 for k in keys}
+    assert kept == {i for i in range(-200, 140000) if i % 131072 in low}

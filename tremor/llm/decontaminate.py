@@ -22,6 +22,7 @@ from tremor.llm.common import park, table
 
 WINDOW = 8  # template tokens; a shorter item is one window of its own length
 LITERALS = 0.5  # share of a window's tokens that must not be placeholders
+KEY_BITS = 17  # last bits of keys by which windows are tried before the join
 LEAST_SHARE, LEAST_WINDOWS = 0.25, 2  # of an item's windows, to call it found
 BROADCAST_BYTES = 64 << 20  # benchmark windows and keys of documents that are sent to all tasks; more are joined by shuffle
 
@@ -31,18 +32,19 @@ UNITS = (
     "inch inches foot feet yard yards mile miles meter meters metre metres gram grams pound pounds ounce ounces liter liters litre litres percent dollar dollars euro euros cent cents usd eur mph kmh kb mb gb w kw v a hz khz mhz c f"
 ).split()
 NUM, NAME, UNIT = "<num>", "<name>", "<unit>"
-SEPARATORS = r"[^\p{L}\p{N}]+"
+SEPARATORS = r"[^a-z0-9A-Z\p{L}\p{N}]+"  # the ranges are letters and digits too, but told without a look at a character's category
 POINT = "\u02d1"  # a letter that stands for the point inside a number
 
 
 def _raw(text: Column) -> Column:
-    text = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?<=[0-9]),(?=[0-9])", "")
-    text = F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9])", POINT)
-    return F.filter(F.split(text, SEPARATORS), lambda x: x != "")
+    # the sign comes first, so that what is beside it is looked at only there
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), r",(?<=[0-9],)(?=[0-9])", "")
+    text = F.regexp_replace(text, r"\.(?<=[0-9]\.)(?=[0-9])", POINT)
+    return F.array_remove(F.split(text, SEPARATORS), "")
 
 
 def _number(x: Column) -> Column:
-    return F.substring(x, 1, 1).between("0", "9")
+    return (x >= "0") & (x < ":")  # a digit comes first
 
 
 def _canonical(raw: Column) -> Column:
@@ -66,14 +68,58 @@ def _hashes(tokens: Column) -> Column:
     return F.transform(tokens, lambda x: F.xxhash64(x))
 
 
-def _windows(size: Column | int, of: Column, literal: bool) -> Column:
+def _canonical_hashes(raw: str, low: str, hashes: str) -> Column:
+    """``_hashes(_canonical(raw))`` from the columns of tokens, of lower-cased ones and of their hashes."""
+
+    def of(x: Column, i: Column) -> Column:
+        small = F.get(F.col(low), i)
+        return (
+            F.when(_number(x), F.xxhash64(F.lit(NUM)))
+            .when(_number(F.get(F.col(raw), i - 1)) & small.isin(UNITS), F.xxhash64(F.lit(UNIT)))
+            .when(x == small, F.get(F.col(hashes), i))
+            .when(x != F.upper(x), F.xxhash64(F.lit(NAME)))
+            .otherwise(F.get(F.col(hashes), i))
+        )
+
+    return F.transform(raw, of)
+
+
+def _windows(size: Column, of: Column, literal: bool) -> Column:
     """Keys of all slices of ``size`` token hashes, none if there are fewer."""
-    size = F.lit(size) if isinstance(size, int) else size
     n = F.size(of) - size + 1
     places = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     return F.transform(places, lambda i: F.xxhash64(F.slice(of, i, size), F.lit(int(literal))))
 
 
+def _placed(size: int, of: str, literal: bool) -> Column:
+    """place and key of the same windows.  The hash of a slice is that of its elements in turn, which are got one by one."""
+    h = F.col(of)
+    key = lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, size)], F.lit(int(literal)))
+    return F.slice(F.transform(h, lambda x, i: F.struct(i.alias("place"), key(x, i).alias("key"))), 1, F.greatest(F.size(h) - (size - 1), F.lit(0)))
+
+
+def _bits(bench: DataFrame) -> list[int]:
+    """A set of 2 ** KEY_BITS bits, as longs: those that the benchmark's keys end in.  16 KB, however many keys there are."""
+    import numpy as np
+
+    low = F.col("key").bitwiseAND((1 << KEY_BITS) - 1)
+    found = np.zeros((1 << KEY_BITS - 15, 512), "<i8")
+    for part, bits in bench.select(low.alias("k")).groupBy(F.shiftright("k", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("k").bitwiseAND(32767))).collect():
+        found[part] = np.frombuffer(bytes(bits), "<i8")
+    return found.ravel().tolist()
+
+
+def _maybe(placed: Column, bits: list[int]) -> Column:
+    """Without most of the windows whose key is none of the benchmark's, before each becomes a row."""
+    known = F.lit(bits)
+
+    def of(w: Column) -> Column:
+        at = w["key"].bitwiseAND((1 << KEY_BITS) - 1)
+        return F.getbit(F.get(known, F.shiftright(at, 6).cast("int")), at.bitwiseAND(63).cast("int")) == 1
+
+    return F.filter(placed, of)
+
+
 def _lower(raw: Column) -> Column:
     return F.transform(raw, F.lower)
 
@@ -118,15 +164,15 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, broadcast_bytes: in
     bench = F.broadcast(bench) if bytes_of <= broadcast_bytes else bench
     docs = documents.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     # one pass: the keys of all kinds of windows, tokens and their hashes worked out once
-    ways = {literal for _, literal in kinds}
     rows = docs.select("doc_id", "text_key", _raw(F.col("text")).alias("raw"))
-    rows = rows.select("doc_id", "text_key", *([_hashes(_canonical(F.col("raw"))).alias("h0")] if False in ways else []), *([_hashes(_lower(F.col("raw"))).alias("h1")] if True in ways else []))
-    names = [f"k{i}" for i in range(len(kinds))]
-    rows = rows.select("doc_id", "text_key", *[_windows(size, F.col(f"h{int(literal)}"), literal).alias(name) for name, (size, literal) in zip(names, kinds, strict=True)])
-    # a window's place comes with its key; outer, lest the optimizer works the windows out once more to leave empty ones out
-    placed = [F.transform(name, lambda key, i: F.struct(i.alias("place"), key.alias("key"))) for name in names]
-    pair = "array<struct<place:int,key:bigint>>"
-    keys = rows.select("doc_id", "text_key", F.explode_outer(F.concat(*placed) if placed else F.array().cast(pair)).alias("w")).select("doc_id", "text_key", "w.place", "w.key")
+    rows = rows.select("doc_id", "text_key", "raw", _lower(F.col("raw")).alias("low"))
+    rows = rows.select("doc_id", "text_key", "raw", "low", _hashes(F.col("low")).alias("h1"))
+    rows = rows.select("doc_id", "text_key", "h1", *([_canonical_hashes("raw", "low", "h1").alias("h0")] if any(not literal for _, literal in kinds) else []))
+
+    placed = [_placed(size, f"h{int(literal)}", literal) for size, literal in kinds]
+    windows = _maybe(F.concat(*placed), _bits(bench)) if placed else F.array().cast("array<struct<place:int,key:bigint>>")
+    # outer, lest the optimizer works the windows out once more to leave empty ones out
+    keys = rows.select("doc_id", "text_key", F.explode_outer(windows).alias("w")).select("doc_id", "text_key", "w.place", "w.key")
     # only keys go through the join
     found = keys.join(bench, "key").select("doc_id", "text_key", "place", "item_id", "n_windows", "at", "size", "values")
     found = park(found, "benchmark-hits")
