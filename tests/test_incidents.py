@@ -263,3 +263,14 @@ def test_similar_incidents_detect_once(spark, sf, monkeypatch):
     calls, found = [], Q.found
     monkeypatch.setattr(Q, "found", lambda t, **options: calls.append(t) or found(t, **options))
     assert Q.QUERIES["similar_incidents"](spark, sf).columns and len(calls) == 1
+
+
+def test_bursts_read_the_anomalies_once(spark, sf):
+    """All events are read for the series' figures and for the anomalies, not again for each side of a join."""
+    from tremor.plans import queries as Q
+    from tremor.sources.adapters import Tables
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    found = Q.found(Tables(spark, sf))
+    bursts = plan(incidents.session_signals(found, Q.ONE_DAY_MS))
+    assert bursts.count("Relation [event_id") == plan(found).count("Relation [event_id") == 2

@@ -21,7 +21,8 @@ def session_signals(anomalies: DataFrame, gap_ms: int) -> DataFrame:
     A pause of more than ``gap_ms`` ends a burst; session names it by its
     first anomaly.  Anomalies are first counted in slices of ``gap_ms``, of
     which one never holds a pause, so that what is shuffled and walked in
-    order is a row for each slice, however many anomalies a service has.
+    order is a row for each slice and signal, however many anomalies a service
+    has; the anomalies are read once.
     Anomalies without a time are left out; those without a service belong to
     one of name null.
     """
@@ -29,15 +30,13 @@ def session_signals(anomalies: DataFrame, gap_ms: int) -> DataFrame:
     slices = anomalies.where("timestamp_ms is not null").groupBy(*OF_SERVICE, piece, "signal_type").agg(
         F.min(at).alias("first_ms"), F.max(at).alias("last_ms"), F.count(F.lit(1)).alias("anomalies"), F.max(F.abs("score")).alias("peak")
     )
-    slices = slices.withColumn("key", F.struct(*OF_SERVICE))
-    whole = slices.groupBy("key", "piece").agg(F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"))
-    by = Window.partitionBy("key").orderBy("piece")
-    pause = F.col("first_ms") - F.lag("last_ms").over(by)
-    opened = F.when(F.coalesce(pause > gap_ms, F.lit(True)), F.col("first_ms"))
-    named = whole.select("key", "piece", F.last(opened, ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, 0)).alias("start_ms"))
+    by = Window.partitionBy(*OF_SERVICE).orderBy("piece")  # null is a service, too
+    whole, earlier = by.rangeBetween(0, 0), by.rangeBetween(Window.unboundedPreceding, -1)
+    pause = F.min("first_ms").over(whole) - F.max("last_ms").over(earlier)
+    opened = slices.withColumn("opened", F.when(F.coalesce(pause > gap_ms, F.lit(True)), F.min("first_ms").over(whole)))
+    named = opened.withColumn("start_ms", F.max("opened").over(by.rangeBetween(Window.unboundedPreceding, 0)))
     session = F.concat_ws("|", F.coalesce("case_id", F.lit("")), F.coalesce("service", F.lit("")), F.col("start_ms").cast("string"))
-    # the struct equals itself with null fields too
-    return slices.join(named, ["key", "piece"]).withColumn("session", session).groupBy(*OF_SERVICE, "session", "signal_type").agg(
+    return named.withColumn("session", session).groupBy(*OF_SERVICE, "session", "signal_type").agg(
         F.min("first_ms").alias("first_ms"), F.max("last_ms").alias("last_ms"), F.sum("anomalies").alias("anomalies"), F.max("peak").alias("peak")
     )
 
